@@ -58,7 +58,7 @@ def gossip_merge(local: DataFrame, remote: DataFrame, now_s: int) -> DataFrame:
     node are its own. ``merged`` marks the nodes that were new.
     """
     mine = local.select("node_id", F.struct(*[f for f in NODE_FIELDS], "last_seen_s").alias("l"))
-    theirs = remote.filter(F.coalesce("node_id", F.lit("")) != "").select("node_id", F.struct(*NODE_FIELDS).alias("r"))
+    theirs = remote.filter(F.coalesce(F.col("node_id").cast("string"), F.lit("")) != "").select("node_id", F.struct(*NODE_FIELDS).alias("r"))
     both = mine.join(theirs, "node_id", "full_outer")
     known = F.col("l").isNotNull()
 

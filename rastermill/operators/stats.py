@@ -168,7 +168,7 @@ def log_classify(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     chunk = ok.filter(F.startswith(path, F.lit("/chunks/")) & (F.col("method") == "GET")).select(
         "ts", F.regexp_extract("path", "^/chunks/(.*)$", 1).alias("sha"), F.lit("read").alias("access_type")
     )
-    names = F.filter(F.transform(F.split(F.coalesce("query_collections", F.lit("")), ","), F.trim), lambda c: c != "")
+    names = F.filter(F.transform(F.split(F.coalesce("query_collections", F.lit("")), ","), lambda c: F.trim(c)), lambda c: c != "")
     searched = ok.filter(F.startswith(path, F.lit("/stac/search"))).select(
         "ts", F.explode(names).alias("collection_id"), F.lit("query").alias("access_type")
     )
