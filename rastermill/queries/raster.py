@@ -1,0 +1,410 @@
+"""Raster queries: tiles, indices, band math and whole cube requests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rastermill.fixtures import SCENE_BANDS, Inputs
+from rastermill.operators import indices, search, tiles
+from rastermill.plans import cube as plans
+from rastermill.registry import query
+from rastermill.sources import sinks
+
+EDGE = 8  # derived scenes are 8 x 8 pixels per band
+OPTICAL = ["B02", "B03", "B04", "B08", "B8A", "B11", "B12"]
+FLOATS = "CAST(b02 AS FLOAT) AS b, CAST(b03 AS FLOAT) AS g, CAST(b04 AS FLOAT) AS r, CAST(b08 AS FLOAT) AS n, CAST(b11 AS FLOAT) AS w, scl"
+
+
+def scene_tiles(i: Inputs):
+    """Each scene as one tile per band."""
+    zero = F.lit(0)
+    edge = F.lit(EDGE)
+    return i.tiles.withColumns({"y_off": zero, "x_off": zero, "h": edge, "w": edge, "tile_row": zero, "tile_col": zero})
+
+
+def scene_cube(i: Inputs, bands=SCENE_BANDS):
+    paired = indices.pair_bands(scene_tiles(i), ["scene", "w"], list(bands))
+    return indices.cube_from_tiles(paired, ["scene"], list(bands))
+
+
+def six(name: str):
+    return F.round(F.col(name).cast("double"), 6).alias(name)
+
+
+def _index_sql(expression: str, name: str) -> str:
+    return f"WITH f AS (SELECT scene, y, x, {FLOATS} FROM cube) SELECT scene, y, x, round(CAST({expression} AS DOUBLE), 6) AS {name} FROM f"
+
+
+ND = "CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {a}+{b} = 0 THEN 0::FLOAT ELSE CAST(({a}-{b})::DOUBLE/({a}+{b})::DOUBLE AS FLOAT) END"
+NDVI = ND.format(a="n", b="r")
+CUBE = ("cube",)
+
+
+@query("pair_bands", "SELECT scene, y, x, b04 AS \"B04\", b08 AS \"B08\", scl AS \"SCL\" FROM cube", CUBE)
+def _(i: Inputs):
+    return scene_cube(i, ["B04", "B08", "SCL"])
+
+
+@query("pair_bands_pixels",
+    "SELECT scene, y, x, min(b04) AS b04, min(b08) AS b08 FROM pixels_wide GROUP BY 1,2,3", ("pixels_wide",))
+def _(i: Inputs):
+    long = i.pixels_wide.selectExpr("scene", "y", "x", "stack(2, 'b04', b04, 'b08', b08) AS (band, value)")
+    ranked = long.withColumn("rank", -F.col("value"))
+    return indices.pair_bands(ranked, ["scene", "y", "x"], ["b04", "b08"], value="value", order="rank")
+
+
+@query("ndvi", _index_sql(NDVI, "ndvi"), CUBE)
+def _(i: Inputs):
+    return indices.ndvi(scene_cube(i, ["B04", "B08"])).select("scene", "y", "x", six("ndvi"))
+
+
+@query("ndwi", _index_sql(ND.format(a="g", b="n"), "ndwi"), CUBE)
+def _(i: Inputs):
+    return indices.ndwi(scene_cube(i, ["B03", "B08"])).select("scene", "y", "x", six("ndwi"))
+
+
+@query("ndsi",
+    f"WITH f AS (SELECT scene, y, x, {FLOATS} FROM cube) SELECT scene, y, x, round(CAST({ND.format(a='g', b='w')} AS DOUBLE), 6) AS ndsi FROM f", CUBE)
+def _(i: Inputs):
+    return indices.ndsi(scene_cube(i, ["B03", "B11"])).select("scene", "y", "x", six("ndsi"))
+
+
+DENOM = "(n + 6::FLOAT*r - 7.5::FLOAT*b + 1::FLOAT)"
+EVI = f"CASE WHEN {DENOM} = 0 THEN 0::FLOAT ELSE least(greatest(CAST((2.5::FLOAT*(n-r))::DOUBLE/{DENOM}::DOUBLE AS FLOAT), -1::FLOAT), 1::FLOAT) END"
+
+
+@query("evi", _index_sql(EVI, "evi"), CUBE)
+def _(i: Inputs):
+    return indices.evi(scene_cube(i, ["B02", "B04", "B08"])).select("scene", "y", "x", six("evi"))
+
+
+@query("ndvi_bulk",
+    f"""WITH f AS (SELECT scene, y, x, CAST(min(b04) AS FLOAT) AS r, CAST(min(b08) AS FLOAT) AS n FROM pixels_wide GROUP BY 1,2,3)
+        SELECT scene, y, x, round(CAST({NDVI} AS DOUBLE), 6) AS ndvi FROM f""", ("pixels_wide",))
+def _(i: Inputs):
+    bulk = i.pixels_wide.groupBy("scene", "y", "x").agg(F.min("b04").alias("B04"), F.min("b08").alias("B08"))
+    return indices.ndvi(bulk).select("scene", "y", "x", six("ndvi"))
+
+
+@query("cloud_mask",
+    "SELECT scene, y, x, CASE WHEN scl IS NULL THEN NULL WHEN scl IN (8,9,10) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS cloud_mask FROM cube WHERE scl IS NOT NULL", CUBE)
+def _(i: Inputs):
+    return indices.cloud_mask(scene_cube(i, ["SCL"])).select("scene", "y", "x", six("cloud_mask"))
+
+
+@query("true_color",
+    "SELECT scene, y, x, CAST(b04 AS DOUBLE) AS red, CAST(b03 AS DOUBLE) AS green, CAST(b02 AS DOUBLE) AS blue FROM cube WHERE b02 IS NOT NULL", CUBE)
+def _(i: Inputs):
+    return indices.true_color(scene_cube(i, ["B02", "B03", "B04"])).select("scene", "y", "x", six("red"), six("green"), six("blue"))
+
+
+@query("band_math",
+    f"""WITH f AS (SELECT scene, y, x, {FLOATS} FROM cube WHERE b02 IS NOT NULL AND b08 IS NOT NULL AND b04 IS NOT NULL)
+        SELECT scene, y, x, round(CAST(CASE WHEN r - 5000 = 0 THEN 0::FLOAT ELSE CAST((CASE WHEN n > r THEN n - b ELSE r * 2::FLOAT END)::DOUBLE / (r - 5000::FLOAT)::DOUBLE AS FLOAT) END AS DOUBLE), 4) AS result FROM f""", CUBE)
+def _(i: Inputs):
+    result = indices.band_math(scene_cube(i, ["B02", "B04", "B08"]), "np.where(B08 > B04, B08 - B02, B04 * 2) / (B04 - 5000)")
+    return result.select("scene", "y", "x", F.round(F.col("result").cast("double"), 4).alias("result"))
+
+
+@query("apply_masked",
+    f"""WITH f AS (SELECT scene, y, x, {FLOATS} FROM cube WHERE b04 IS NOT NULL)
+        SELECT scene, y, x, round(CAST(CASE WHEN scl IS NOT NULL AND scl NOT IN (8,9,10) THEN {NDVI} END AS DOUBLE), 6) AS ndvi FROM f""", CUBE)
+def _(i: Inputs):
+    cube = indices.ndvi(scene_cube(i, ["B04", "B08", "SCL"]), target_band="ndvi")
+    cube = cube.withColumn("mask", (~F.col("SCL").isin(*indices.CLOUD_CLASSES)).cast("int"))
+    return indices.apply_masked(cube, "ndvi", "mask").select("scene", "y", "x", six("ndvi"))
+
+
+@query("target_band",
+    f"""WITH f AS (SELECT scene, y, x, b04, b08, {FLOATS} FROM cube)
+        SELECT scene, y, x, b04 AS "B04", b08 AS "B08", round(CAST({NDVI} AS DOUBLE), 6) AS veg FROM f""", CUBE)
+def _(i: Inputs):
+    cube = indices.ndvi(scene_cube(i, ["B04", "B08"]), nir="B08", red="B04", target_band="veg")
+    return cube.select("scene", "y", "x", "B04", "B08", six("veg"))
+
+
+@query("stack_passthrough", "SELECT scene, y, x, b02 AS \"B02\", b12 AS \"B12\" FROM cube", CUBE)
+def _(i: Inputs):
+    return indices.stack_passthrough(scene_cube(i), ["B02", "B12"])
+
+
+@query("zonal_stats",
+    f"""WITH f AS (SELECT scene, y, x, {FLOATS} FROM cube)
+        SELECT scene, count(v) AS n, round(avg(v), 6) AS mean, round(min(v), 6) AS min, round(max(v), 6) AS max
+        FROM (SELECT scene, CAST({NDVI} AS DOUBLE) AS v FROM f) GROUP BY scene""", CUBE)
+def _(i: Inputs):
+    cube = indices.ndvi(scene_cube(i, ["B04", "B08"]))
+    return indices.zonal_stats(cube, "ndvi", ["scene"]).select("scene", "n", six("mean"), six("min"), six("max"))
+
+
+def scene_items(i: Inputs):
+    """Catalogue rows of the derived scenes."""
+    return i.items.withColumn("scene", F.col("seq"))
+
+
+@query("cube_query",
+    f"""WITH chosen AS (SELECT seq AS scene FROM items WHERE collection IN ('sentinel-2-l2a','landsat-c2-l2') AND bbox_east >= -170 AND bbox_west <= 170
+           AND bbox_north >= -90 AND bbox_south <= 60 AND datetime >= '1993' AND datetime <= '2000-12-31T23:59:59'),
+        f AS (SELECT scene, y, x, {FLOATS} FROM cube WHERE scene IN (SELECT scene FROM chosen))
+        SELECT scene, y, x, round(CAST({NDVI} AS DOUBLE), 6) AS ndvi FROM f""", ("cube", "items"))
+def _(i: Inputs):
+    result = plans.cube_query(
+        scene_items(i), scene_tiles(i), "ndvi", ["B04", "B08"], key="scene", collections=["sentinel-2-l2a", "landsat-c2-l2"],
+        bbox=[-170.0, -90.0, 170.0, 60.0], datetime_range="1993/2000-12-31T23:59:59",
+    )
+    return result.select("scene", "y", "x", six("ndvi"))
+
+
+@query("process_items",
+    f"""WITH p AS (SELECT scene // 2 AS request_id, y, x, band, arg_max(dn, scene) AS dn FROM pixels GROUP BY 1,2,3,4),
+        w AS (SELECT request_id, y, x, CAST(max(CASE WHEN band='B08' THEN dn END) AS FLOAT) AS n, CAST(max(CASE WHEN band='B03' THEN dn END) AS FLOAT) AS g FROM p GROUP BY 1,2,3)
+        SELECT request_id, y, x, round(CAST({ND.format(a='g', b='n')} AS DOUBLE), 6) AS ndwi FROM w""", ("pixels",))
+def _(i: Inputs):
+    band_tiles = scene_tiles(i).withColumnRenamed("scene", "item_id")
+    requests = band_tiles.select("item_id").distinct().withColumns(
+        {"request_id": F.floor(F.col("item_id") / 2).cast("bigint"), "position": F.col("item_id")}
+    )
+    result = plans.process_items(requests, band_tiles, "ndwi", ["B03", "B08"])
+    return result.select("request_id", "y", "x", six("ndwi"))
+
+
+@query("tile_grid",
+    """WITH r AS (SELECT seq AS item_id, width, width // 3 + 7 AS height FROM items)
+       SELECT item_id, tr * CAST(ceil(width/512.0) AS INT) + tc AS tile_idx, tr AS tile_row, tc AS tile_col, tr*512 AS y_off, tc*512 AS x_off,
+              least(512, height - tr*512) AS h, least(512, width - tc*512) AS w
+       FROM (SELECT item_id, width, height, tr, unnest(range(CAST(ceil(width/512.0) AS INT)))::INT AS tc
+             FROM (SELECT item_id, width, height, unnest(range(CAST(ceil(height/512.0) AS INT)))::INT AS tr FROM r))""", ("items",))
+def _(i: Inputs):
+    rasters = i.items.select(F.col("seq").alias("item_id"), "width", (F.floor(F.col("width") / 3) + 7).cast("int").alias("height"))
+    grid = tiles.tile_grid(rasters)
+    return grid.select("item_id", "tile_idx", "tile_row", "tile_col", "y_off", "x_off", "h", "w")
+
+
+@query("tile_raster",
+    """SELECT scene, band, y // 3 AS tile_row, x // 3 AS tile_col, list(dn ORDER BY y, x) AS pixels, CAST(max(y)-min(y)+1 AS INT) AS h, CAST(max(x)-min(x)+1 AS INT) AS w
+       FROM pixels GROUP BY 1,2,3,4""", ("pixels",))
+def _(i: Inputs):
+    pixels = tiles.explode_pixels(scene_tiles(i), ["scene", "band"])
+    return tiles.tile_raster(pixels, ["scene", "band"], 3).select("scene", "band", "tile_row", "tile_col", "pixels", "h", "w")
+
+
+@query("retile",
+    """SELECT scene, band, y // 5 AS tile_row, x // 5 AS tile_col, list(dn ORDER BY y, x) AS pixels, CAST(max(y)-min(y)+1 AS INT) AS h, CAST(max(x)-min(x)+1 AS INT) AS w
+       FROM pixels GROUP BY 1,2,3,4""", ("pixels",))
+def _(i: Inputs):
+    cut = tiles.retile(scene_tiles(i), ["scene", "band"], 5)
+    return cut.select("scene", "band", "tile_row", "tile_col", "pixels", "h", "w")
+
+
+def archive(i: Inputs, layout: str = tiles.BAND_LEVEL, tile_size: int = 4):
+    """Items and chunks holding the derived scenes: one item per scene, or per scene and band."""
+    small = tiles.retile(scene_tiles(i), ["scene", "band"], tile_size)
+    cols = -(-EDGE // tile_size)
+    if layout == tiles.SPATIAL:
+        encoded = tiles.encode_tile(tiles.stack_bands(small, ["scene"]).drop("bands"))
+        chunks, lists = tiles.hash_tiles(encoded, ["scene"], cols)
+        names = i.tiles.groupBy("scene").agg(F.sort_array(F.collect_set("band")).alias("band_names"))
+        items = lists.join(names, "scene").select(
+            F.col("scene").alias("item_id"), "band_names", F.create_map(F.lit(tiles.ALL_BANDS), F.col("hashes")).alias("chunk_hashes")
+        )
+    else:
+        chunks, lists = tiles.hash_tiles(tiles.encode_tile(small), ["scene", "band"], cols)
+        items = lists.select(
+            F.concat(F.lit("S2_T32TPT_"), (F.col("scene") + 20000000).cast("string"), F.lit("_"), F.col("band")).alias("item_id"),
+            F.array("band").alias("band_names"),
+            F.create_map(F.col("band"), F.col("hashes")).alias("chunk_hashes"),
+            (F.col("scene") * 100 + F.ascii(F.substring("band", 3, 1))).alias("seq"),
+            "scene",
+        )
+    edge = F.lit(EDGE)
+    items = items.withColumns(
+        {"width": edge, "height": edge, "tile_size": F.lit(tile_size), "dtype": F.lit("uint16"), "chunk_format": F.lit(layout)}
+    )
+    return items, chunks
+
+
+def _without(chunks, items, condition: str):
+    """Chunks minus the last tile of the items that meet ``condition``."""
+    lost = items.filter(condition).select(F.element_at(F.element_at(F.map_values("chunk_hashes"), 1), -1).alias("sha"))
+    return chunks.join(lost, "sha", "left_anti")
+
+
+@query("reconstruct",
+    """SELECT scene AS item_id, band, y, x, CASE WHEN scene % 5 = 0 AND y >= 4 AND x >= 4 THEN 0.0::DOUBLE ELSE CAST(dn AS DOUBLE) END AS value
+       FROM pixels WHERE band IN ('B04','B8A')""", ("pixels",))
+def _(i: Inputs):
+    items, chunks = archive(i, tiles.SPATIAL)
+    rebuilt = tiles.reconstruct(items, _without(chunks, items, "item_id % 5 = 0"), ["B04", "B8A"])
+    return tiles.explode_pixels(rebuilt, ["item_id", "band"])
+
+
+@query("reconstruct_band_level",
+    """SELECT concat('S2_T32TPT_', CAST(20000000 + scene AS VARCHAR), '_', band) AS item_id, band, y, x,
+              CASE WHEN scene % 5 = 0 AND y >= 4 AND x >= 4 THEN 0.0::DOUBLE ELSE CAST(dn AS DOUBLE) END AS value
+       FROM pixels WHERE band IN ('B04','SCL')""", ("pixels",))
+def _(i: Inputs):
+    items, chunks = archive(i, tiles.BAND_LEVEL)
+    rebuilt = tiles.reconstruct(items, _without(chunks, items, "scene % 5 = 0"), ["B04", "SCL"])
+    return tiles.explode_pixels(rebuilt, ["item_id", "band"])
+
+
+@query("decode_tile",
+    "SELECT scene, band, list(CAST(dn AS DOUBLE) ORDER BY y, x) AS pixels FROM pixels GROUP BY 1, 2", ("pixels",))
+def _(i: Inputs):
+    encoded = tiles.encode_tile(i.tiles.select("scene", "band", "pixels"), "int32")
+    return tiles.decode_tile(encoded, "int32")
+
+
+@query("hash_tiles",
+    """SELECT scene, band, list(sha256(CAST(b AS BLOB)) ORDER BY tr, tc) AS hashes FROM (
+         SELECT scene, band, y // 4 AS tr, x // 4 AS tc, unhex(string_agg(printf('%02x%02x', dn % 256, dn // 256), '' ORDER BY y, x)) AS b
+         FROM pixels GROUP BY 1,2,3,4) GROUP BY 1, 2""", ("pixels",))
+def _(i: Inputs):
+    small = tiles.retile(scene_tiles(i), ["scene", "band"], 4)
+    return tiles.hash_tiles(tiles.encode_tile(small), ["scene", "band"], 2)[1]
+
+
+@query("build_item",
+    """SELECT id, collection, 1 + (width - 1) // 512 AS tile_cols, 1 + (width // 2 - 1) // 512 AS tile_rows, 2 AS bands, 'spatial-tile' AS chunk_format,
+              [[bbox_west,bbox_south],[bbox_east,bbox_south],[bbox_east,bbox_north],[bbox_west,bbox_north],[bbox_west,bbox_south]] AS ring FROM items""", ("items",))
+def _(i: Inputs):
+    rasters = i.items.withColumns(
+        {
+            "item_id": F.col("id"), "crs": F.lit("EPSG:4326"), "height": F.floor(F.col("width") / 2).cast("int"),
+            "band_names": F.array(F.lit("B04"), F.lit("B08")), "dtype": F.lit("uint16"),
+            "source_file": F.concat("id", F.lit(".tif")), "hashes": F.array(F.sha2("id", 256)),
+        }
+    )
+    built = tiles.build_item(rasters)
+    ring = F.get(F.from_json("geometry", "struct<type:string,coordinates:array<array<array<double>>>>")["coordinates"], F.lit(0))
+    p = F.col("properties")
+    return built.select("id", "collection", p["tile_cols"].alias("tile_cols"), p["tile_rows"].alias("tile_rows"), p["bands"].alias("bands"),
+                        p["chunk_format"].alias("chunk_format"), ring.alias("ring"))
+
+
+@query("resample_nearest",
+    """SELECT scene, band, ty AS y, tx AS x, dn AS value FROM pixels, (SELECT unnest(range(13))::INT AS ty) a, (SELECT unnest(range(20))::INT AS tx) b
+       WHERE y = (2*ty+1)*8 // 26 AND x = (2*tx+1)*8 // 40""", ("pixels",))
+def _(i: Inputs):
+    pixels = tiles.explode_pixels(scene_tiles(i), ["scene", "band"])
+    return tiles.resample_nearest(pixels, EDGE, EDGE, 13, 20)
+
+
+@query("shape_check",
+    """WITH b AS (SELECT o_custkey AS scene, o_orderkey AS seq, concat('band', CAST(o_orderkey AS VARCHAR)) AS band,
+                         CASE WHEN o_totalprice > 400000 THEN 5490 ELSE 10980 END AS h, 10980 AS w FROM orders),
+       l AS (SELECT scene, arg_min(h, seq) AS lh, arg_min(w, seq) AS lw FROM b GROUP BY 1)
+       SELECT b.scene, band, h, w FROM b JOIN l ON b.scene = l.scene WHERE h <> lh OR w <> lw""")
+def _(i: Inputs):
+    bands = i.orders.select(
+        F.col("o_custkey").alias("scene"), F.col("o_orderkey").alias("seq"), F.concat(F.lit("band"), F.col("o_orderkey").cast("string")).alias("band"),
+        F.when(F.col("o_totalprice") > 400000, 5490).otherwise(10980).alias("h"), F.lit(10980).alias("w"),
+    )
+    return tiles.shape_check(bands)
+
+
+def located_pixels(i: Inputs):
+    pixels = tiles.explode_pixels(scene_tiles(i), ["scene", "band"])
+    items = scene_items(i).withColumns({"width": F.lit(EDGE), "height": F.lit(EDGE)})
+    return tiles.geo_transform(pixels, items, "scene")
+
+
+LOCATED = """loc AS (SELECT scene, band, y, x, dn AS value, bbox_west + (x + 0.5::DOUBLE) * (bbox_east - bbox_west) / 8 AS lon,
+        bbox_north - (y + 0.5::DOUBLE) * (bbox_north - bbox_south) / 8 AS lat, datetime FROM pixels JOIN items ON seq = scene)"""
+
+
+@query("geo_transform", f"WITH {LOCATED} SELECT scene, band, y, x, value, round(lon, 6) AS lon, round(lat, 6) AS lat FROM loc", ("pixels", "items"))
+def _(i: Inputs):
+    return located_pixels(i).select("scene", "band", "y", "x", "value", six("lon"), six("lat"))
+
+
+@query("filter_spatial",
+    f"WITH {LOCATED} SELECT scene, band, y, x, value FROM loc WHERE lon BETWEEN -100 AND 60 AND lat BETWEEN -40 AND 50", ("pixels", "items"))
+def _(i: Inputs):
+    return search.filter_spatial(located_pixels(i), [-100.0, -40.0, 60.0, 50.0]).select("scene", "band", "y", "x", "value")
+
+
+@query("filter_temporal",
+    f"WITH {LOCATED} SELECT scene, band, y, x, value FROM loc WHERE datetime >= '1995-01-01' AND datetime <= '1998-06-30T23:59:59'", ("pixels", "items"))
+def _(i: Inputs):
+    dated = tiles.explode_pixels(scene_tiles(i).join(scene_items(i).select("scene", "datetime"), "scene"), ["scene", "band", "datetime"])
+    return search.filter_temporal(dated, "1995-01-01", "1998-06-30").select("scene", "band", "y", "x", "value")
+
+
+@query("best_item_per_band",
+    """WITH b AS (SELECT *, CASE seq % 3 WHEN 0 THEN 'B04' WHEN 1 THEN 'B08' END AS band FROM items)
+       SELECT collection, band, arg_max(seq, (width, -seq)) AS seq, max(width) AS width FROM b WHERE band IS NOT NULL GROUP BY 1, 2""", ("items",))
+def _(i: Inputs):
+    suffix = F.when(F.col("seq") % 3 == 0, "_B04_10m").when(F.col("seq") % 3 == 1, "_B08").otherwise("")
+    items = i.items.select(F.concat("id", suffix).alias("id"), "collection", "width", "seq")
+    return plans.best_item_per_band(items).select("collection", "band", "seq", "width")
+
+
+def _migrated(i: Inputs):
+    items, chunks = archive(i, tiles.BAND_LEVEL)
+    return tiles.migrate_tiles(items.drop("scene"), chunks, 5), chunks
+
+
+@query("migrate_tiles",
+    """SELECT CASE WHEN count(*) = 1 THEN min(concat('S2_T32TPT_', CAST(20000000 + scene AS VARCHAR), '_', band)) ELSE concat('T32TPT_', CAST(20000000 + scene AS VARCHAR)) END AS item_id,
+              list_sort(list(band)) AS band_names, 4 AS tiles, 5 AS tile_size FROM (SELECT DISTINCT scene, band FROM pixels) GROUP BY scene""", ("pixels",))
+def _(i: Inputs):
+    (items, _, _), _ = _migrated(i)
+    size = F.size(F.element_at("chunk_hashes", tiles.ALL_BANDS))
+    return items.select("item_id", "band_names", size.alias("tiles"), "tile_size")
+
+
+@query("migrate_tiles_pixels",
+    """SELECT CASE WHEN nb = 1 THEN concat('S2_T32TPT_', CAST(20000000 + scene AS VARCHAR), '_', band) ELSE concat('T32TPT_', CAST(20000000 + scene AS VARCHAR)) END AS item_id,
+              band, y, x, CAST(dn AS DOUBLE) AS value FROM pixels JOIN (SELECT scene, count(DISTINCT band) AS nb FROM pixels GROUP BY 1) USING (scene)""", ("pixels",))
+def _(i: Inputs):
+    (items, fresh, _), chunks = _migrated(i)
+    return tiles.explode_pixels(tiles.reconstruct(items, fresh.select("sha", "data")), ["item_id", "band"])
+
+
+GRAPH = """concat('{"load1":{"process_id":"load_collection","arguments":{"id":"', collection, '","spatial_extent":{"xmin":', CAST(request_id AS STRING),
+   ',"south":-10,"east":20},"bands":["B04","B08"]}},"ft":{"process_id":"filter_temporal","arguments":{"extent":["', date_from, '","', date_to, '"]}},',
+   '"ndvi1":{"process_id":"ndvi","arguments":{"data":{"from_node":"load1"},"nir":"B8A"}},',
+   CASE WHEN request_id % 2 = 0 THEN concat('"load2":{"process_id":"load_collection","arguments":{"id":"extra","temporal_extent":["', date_from, '",null]}},"fs":{"process_id":"filter_spatial","arguments":{"extent":{"west":1.5,"north":7}}},') ELSE '' END,
+   '"save":{"process_id":"save_result","arguments":{"format":"JSON"}}}')"""
+
+
+@query("graph_requirements",
+    """SELECT request_id AS graph_id, 0 AS position, collection, CAST(request_id AS DOUBLE) AS west, -10.0::DOUBLE AS south, 20.0::DOUBLE AS east, 90.0::DOUBLE AS north,
+              date_from, date_to, ['B04','B08'] AS bands, 'ndvi' AS operation, 'B04' AS red, 'B8A' AS nir, 'JSON' AS format FROM aois
+       UNION ALL SELECT request_id, 3, 'extra', 1.5, -90, 180, 7, date_from, NULL, []::VARCHAR[], 'ndvi', 'B04', 'B8A', 'JSON' FROM aois WHERE request_id % 2 = 0""", ("aois",))
+def _(i: Inputs):
+    graphs = i.aois.select(F.col("request_id").alias("graph_id"), F.expr(GRAPH).alias("graph"))
+    return plans.graph_requirements(graphs)
+
+
+@query("src_stac_json",
+    """SELECT id, collection, bbox_west, bbox_south, bbox_east, bbox_north, datetime, CASE WHEN seq % 3 = 2 THEN 0 ELSE 1 END AS hashes,
+              CASE WHEN seq % 3 = 2 THEN NULL ELSE sha256(id) END AS sha FROM items""", ("items",))
+def _(i: Inputs):
+    from rastermill.sources.readers import decode_stac
+
+    hashed = i.items.withColumn("chunk_hashes", F.create_map(F.lit("B04"), F.array(F.sha2("id", 256))))
+    top = sinks.to_stac(hashed, include_chunks=True)
+    inside = F.replace(sinks.to_stac(hashed), F.lit('"properties":{'), F.concat(F.lit('"properties":{"grid:chunk_hashes":["'), F.sha2("id", 256), F.lit('"],')))
+    text = F.when(F.col("seq") % 3 == 0, top).when(F.col("seq") % 3 == 1, inside).otherwise(sinks.to_stac(hashed))
+    decoded = decode_stac(hashed.select(text.alias("value")))
+    lists = F.flatten(F.map_values("chunk_hashes"))
+    return decoded.select("id", "collection", "bbox_west", "bbox_south", "bbox_east", "bbox_north", "datetime",
+                          F.size(lists).alias("hashes"), F.get(lists, F.lit(0)).alias("sha"))
+
+
+@query("sink_stac_json",
+    """SELECT id, 'Feature' AS type, bbox_east AS east, datetime FROM items""", ("items",))
+def _(i: Inputs):
+    documents = sinks.sink_stac_json(i.items)
+    get = lambda path: F.get_json_object("json", path)
+    return documents.select("id", get("$.type").alias("type"), get("$.bbox[2]").cast("double").alias("east"), get("$.properties.datetime").alias("datetime"))
+
+
+@query("sink_replica_export",
+    """SELECT id, sha256(id) AS sha FROM items WHERE collection = 'landsat-c2-l2'""", ("items",))
+def _(i: Inputs):
+    hashed = i.items.withColumn("chunk_hashes", F.create_map(F.lit("B04"), F.array(F.sha2("id", 256))))
+    documents = sinks.sink_replica_export(hashed, "landsat-c2-l2")
+    return documents.select("id", F.get_json_object("json", "$['grid:chunk_hashes'].B04[0]").alias("sha"))
