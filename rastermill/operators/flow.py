@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rastermill.functions.times import micros, moment
 from rastermill.plans.ordered import carried_max, trailing_counts
@@ -73,21 +74,13 @@ def rate_admission(
         (F.col("_us") >= F.col("_from") - span) & (F.col("_us") <= F.col("_to"))
     )
 
-    schema = "client bigint, _stretch bigint, seq bigint, _us bigint, _sure boolean, admitted boolean"
-    columns = ["client", "_stretch", "seq", "_us", "_sure"]
+    columns = [*requests.columns, "_us", "_sure", "_stretch"]
+    ordered = placed.select(*columns).repartition("client", "_stretch").sortWithinPartitions("client", "_stretch", "_us", "seq")
+    schema = T.StructType([*ordered.schema.fields, T.StructField("admitted", T.BooleanType())])
     replay = _replayer(rpm, burst, minute_s * 1_000_000, burst_s * 1_000_000)
-    replayed = (
-        placed.select(F.col("client").cast("bigint"), F.col("_stretch").cast("bigint"), F.col("seq").cast("bigint"), "_us", "_sure")
-        .repartition("client", "_stretch")
-        .sortWithinPartitions("client", "_stretch", "_us", "seq")
-        .select(*columns)
-        .mapInPandas(replay, schema)
-        .filter(~F.col("_sure"))
-        .select("seq", "admitted")
-    )
+    replayed = ordered.mapInPandas(replay, schema).filter(~F.col("_sure")).drop("_us", "_sure", "_stretch")
     sure = counted.filter("_sure").drop("_us", "_sure").withColumn("admitted", F.lit(True))
-    undecided = counted.filter(~F.col("_sure")).drop("_us", "_sure").join(replayed, "seq")
-    return sure.unionByName(undecided)
+    return sure.unionByName(replayed)
 
 
 def admit(times: list[deque], now: int, rpm: int, burst: int, minute_us: int, burst_us: int) -> bool:

@@ -408,3 +408,19 @@ def _(i: Inputs):
     hashed = i.items.withColumn("chunk_hashes", F.create_map(F.lit("B04"), F.array(F.sha2("id", 256))))
     documents = sinks.sink_replica_export(hashed, "landsat-c2-l2")
     return documents.select("id", F.get_json_object("json", "$['grid:chunk_hashes'].B04[0]").alias("sha"))
+
+
+@query("sink_result_raster",
+    f"""WITH f AS (SELECT scene, y, x, {FLOATS} FROM cube)
+        SELECT scene AS item_id, 'ndvi' AS band, round((bbox_east - bbox_west) / 8, 6) AS pixel_width, list(round(CAST({NDVI} AS DOUBLE), 6) ORDER BY y, x) AS pixels
+        FROM f JOIN items ON seq = scene GROUP BY ALL""", ("cube", "items"))
+def _(i: Inputs):
+    from rastermill.streaming.run import work_folder
+
+    values = indices.ndvi(scene_cube(i, ["B04", "B08"])).select(F.col("scene").alias("item_id"), "y", "x", F.col("ndvi").alias("value"))
+    result = tiles.tile_raster(values, ["item_id"], EDGE).withColumn("band", F.lit("ndvi"))
+    items = scene_items(i).withColumns({"item_id": F.col("scene"), "crs": F.lit("EPSG:4326"), "width": F.lit(EDGE), "height": F.lit(EDGE)})
+    folder = work_folder(i.spark)
+    sinks.sink_result_raster(result, items, folder)
+    pixels = F.transform("pixels", lambda v: F.round(v.cast("double"), 6)).alias("pixels")
+    return i.spark.read.parquet(folder).select("item_id", "band", six("pixel_width"), pixels)

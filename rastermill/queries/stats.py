@@ -197,3 +197,17 @@ def _(i: Inputs):
         .unionByName(collection.select(F.lit("collection").alias("kind"), "ts", F.col("collection_id").alias("what"), F.col("access_type").alias("how"), zero))
         .unionByName(download.select(F.lit("download").alias("kind"), "ts", F.col("item_id").alias("what"), F.col("client_ip").alias("how"), "bytes"))
     )
+
+
+@query("sink_audit_append",
+    """SELECT event_type AS action, event_type <> 'error' AS ok, count(*) AS n FROM events WHERE event_id % 19 <> 0 GROUP BY 1, 2
+       UNION ALL SELECT 'again', TRUE, count(*) FROM events WHERE event_id % 19 <> 0 AND event_type = 'click' HAVING count(*) > 0""")
+def _(i: Inputs):
+    from rastermill.sources.sinks import sink_audit_append
+    from rastermill.streaming.run import work_folder
+
+    entries = readers.decode_audit(_audit_lines(i))
+    folder = work_folder(i.spark)
+    sink_audit_append(entries, folder)
+    sink_audit_append(entries.filter("action = 'click'").withColumn("action", F.lit("again")), folder)
+    return stats.audit_counts(readers.decode_audit(i.spark.read.text(folder)))

@@ -38,8 +38,13 @@ def sink_chunks_put(store: DataFrame, incoming: DataFrame, order: str | None = N
 
 
 def write_chunks(new_chunks: DataFrame, path: str) -> None:
-    """Append to the chunk table, one folder per leading hash byte."""
-    new_chunks.withColumn("prefix", F.substring("sha", 1, 2)).write.mode("append").partitionBy("prefix").parquet(path)
+    """Append to the chunk table, one folder per leading hash byte.
+
+    The rebalance hint lets adaptive execution cut or merge a folder's rows
+    into even files instead of one file per task and folder.
+    """
+    prefixed = new_chunks.withColumn("prefix", F.substring("sha", 1, 2)).hint("rebalance", "prefix")
+    prefixed.write.mode("append").partitionBy("prefix").parquet(path)
 
 
 def sink_storage_limit(
