@@ -53,9 +53,6 @@ PORTABLE = {
                s_suppkey % 7 * 10 AS chunk_count,
                CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE concat('n', CAST(s_suppkey AS STRING)) END AS url
         FROM {{supplier}}""",
-    "node_collections": f"""
-        SELECT s_suppkey AS node_id, {_collection('(s_suppkey + k)')} AS collection
-        FROM {{supplier}} CROSS JOIN (VALUES (0),(1),(2)) AS v(k) WHERE k <= s_suppkey % 3""",
     "access_log": f"""
         SELECT event_id, user_id AS chunk_no, ts, event_type AS access_type, {_collection('user_id')} AS collection_id
         FROM {{events}}""",
@@ -111,6 +108,9 @@ PORTABLE = {
 SCENE_BANDS = ("B02", "B03", "B04", "B08", "B8A", "B11", "SCL", "B12")
 
 SPARK_ONLY = {
+    "node_collections": f"""
+        SELECT s_suppkey AS node_id, {_collection('(s_suppkey + k)')} AS collection
+        FROM {{supplier}} LATERAL VIEW explode(sequence(0, CAST(s_suppkey % 3 AS INT))) AS k""",
     "tiles": """
         SELECT vec_id DIV 8 AS scene, CAST(vec_id % 8 AS INT) AS band_no,
                element_at(array('B02','B03','B04','B08','B8A','B11','SCL','B12'), CAST(vec_id % 8 AS INT) + 1) AS band,
@@ -125,6 +125,9 @@ SPARK_ONLY = {
 }
 
 DUCK_ONLY = {
+    "node_collections": f"""
+        SELECT node_id, {_collection('(node_id + k)')} AS collection
+        FROM (SELECT s_suppkey AS node_id, unnest(range(s_suppkey % 3 + 1)) AS k FROM supplier)""",
     "pixels": """
         SELECT scene, band_no, CASE band_no WHEN 0 THEN 'B02' WHEN 1 THEN 'B03' WHEN 2 THEN 'B04' WHEN 3 THEN 'B08'
                     WHEN 4 THEN 'B8A' WHEN 5 THEN 'B11' WHEN 6 THEN 'SCL' ELSE 'B12' END AS band, y, x,
@@ -184,6 +187,8 @@ def with_tables(names: tuple[str, ...], sql: str) -> str:
             text = text.replace("{" + t + "}", t)
         parts.append(f"{name} AS ({text})")
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     return "WITH " + ",\n".join(parts) + "\n" + body

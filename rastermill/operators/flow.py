@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rastermill.functions.numbers import floor_div
 from rastermill.functions.times import micros, moment
 from rastermill.plans.ordered import carried_max, trailing_counts
 from rastermill.plans.pick import first_per_key
@@ -40,72 +41,89 @@ def rate_window_counts(requests: DataFrame, minute_s: int = MINUTE_S, burst_s: i
     return trailing_counts(timed, "client", "_us", (minute_s, burst_s), ("in_minute", "in_burst")).drop("_us")
 
 
+def _crowded(histogram: DataFrame, cell: str, limit: int) -> DataFrame:
+    """Cells that, together with the cell before, hold more than ``limit`` requests."""
+    counted_for = F.explode(F.array(F.col(cell), F.col(cell) + 1)).alias(cell)
+    pairs = histogram.select("_who", counted_for, "_n").groupBy("_who", cell).agg(F.sum("_n").alias("_n"))
+    return pairs.filter(F.col("_n") > limit).select("_who", cell)
+
+
 def rate_admission(
     requests: DataFrame, rpm: int = REQUESTS_PER_MINUTE, burst: int = BURST, minute_s: int = MINUTE_S, burst_s: int = BURST_S
 ) -> DataFrame:
     """Admit or reject each request, where rejected requests do not count.
 
-    Most requests are decided without looking at order: if all requests of the
-    trailing windows, admitted or not, stay within the limits, the request is
-    certainly admitted. Only stretches of overload (no gap of a window length
-    between undecided requests) are replayed in order, together with the
-    window of certainly admitted requests in front of them.
+    Admission depends on order, but only under load. Time is cut into cells as
+    long as the windows; if a cell and the one before hold no more requests
+    than the limits allow, everything in it is admitted whatever came earlier.
+    The cells come from two counts that combine on the map side. Only runs of
+    crowded cells are replayed in order, each with the quiet cell in front of
+    it, whose requests are exactly what the limiter remembers at that point.
     """
-    timed = _limited(requests).withColumn("_us", micros("ts"))
-    counted = trailing_counts(timed, "client", "_us", (minute_s, burst_s), ("_m", "_b"))
-    counted = counted.withColumn("_sure", (F.col("_m") <= rpm) & (F.col("_b") <= burst)).drop("_m", "_b")
-
-    # Undecided requests shrink to one row per client and window-length cell,
-    # and neighbouring cells chain into stretches.
-    span = minute_s * 1_000_000
-    cell = F.floor(F.col("_us") / F.lit(span)).cast("bigint")
-    cells = (
-        counted.filter(~F.col("_sure")).groupBy("client", cell.alias("_cell"))
-        .agg(F.min("_us").alias("_from"), F.max("_us").alias("_to"))
-    )
-    by_cell = Window.partitionBy("client").orderBy("_cell")
-    starts = F.coalesce(F.col("_from") - F.lag("_to").over(by_cell) > span, F.lit(True))
-    chained = cells.withColumn("_stretch", F.sum(starts.cast("int")).over(by_cell))
-    stretch = chained.groupBy("client", "_stretch").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
-    # the stretch and the window before it, spelled out per cell for an equi-join
-    first, last = F.floor((F.col("_from") - span) / span).cast("bigint"), F.floor(F.col("_to") / span).cast("bigint")
-    reach = stretch.withColumn("_cell", F.explode(F.sequence(first, last)))
-    placed = counted.withColumn("_cell", cell).join(reach, ["client", "_cell"]).filter(
-        (F.col("_us") >= F.col("_from") - span) & (F.col("_us") <= F.col("_to"))
-    )
-
-    columns = [*requests.columns, "_us", "_sure", "_stretch"]
-    ordered = placed.select(*columns).repartition("client", "_stretch").sortWithinPartitions("client", "_stretch", "_us", "seq")
+    long_us, short_us = minute_s * 1_000_000, burst_s * 1_000_000
+    who = F.coalesce(F.col("client").cast("string"), F.lit("unknown"))
+    timed = _limited(requests).withColumn("_us", micros("ts")).withColumn("_who", who)
+    timed = timed.withColumn("_cell", floor_div("_us", long_us))
+
+    histogram = timed.groupBy("_who", "_cell", floor_div("_us", short_us).alias("_short")).agg(F.count(F.lit(1)).alias("_n"))
+    bursts = _crowded(histogram, "_short", burst)
+    first_us = F.col("_short") * F.lit(short_us)
+    touched = F.explode(F.array_distinct(F.array(floor_div(first_us, long_us), floor_div(first_us + (short_us - 1), long_us))))
+    hot = _crowded(histogram, "_cell", rpm).unionByName(bursts.select("_who", touched.alias("_cell"))).distinct()
+    # neighbouring cells share cell number minus position; a client has one row per crowded cell here
+    position = F.row_number().over(Window.partitionBy("_who").orderBy("_cell"))
+    runs = hot.withColumn("_run", F.col("_cell") - position)
+    before = runs.groupBy("_who", "_run").agg((F.min("_cell") - 1).alias("_cell"))
+    replayed_cells = runs.select("_who", "_cell", "_run").unionByName(before.select("_who", "_cell", "_run"))
+
+    quiet = timed.join(replayed_cells, ["_who", "_cell"], "left_anti").withColumn("admitted", F.lit(True))
+    columns = [*requests.columns, "_us", "_who", "_run"]
+    busy = timed.join(replayed_cells, ["_who", "_cell"]).select(*columns)
+    ordered = busy.repartition("_who", "_run").sortWithinPartitions("_who", "_run", "_us", "seq")
     schema = T.StructType([*ordered.schema.fields, T.StructField("admitted", T.BooleanType())])
-    replay = _replayer(rpm, burst, minute_s * 1_000_000, burst_s * 1_000_000)
-    replayed = ordered.mapInPandas(replay, schema).filter(~F.col("_sure")).drop("_us", "_sure", "_stretch")
-    sure = counted.filter("_sure").drop("_us", "_sure").withColumn("admitted", F.lit(True))
-    return sure.unionByName(replayed)
+    decided = ordered.mapInPandas(_replayer(rpm, burst, long_us, short_us), schema)
+    names = [*requests.columns, "admitted"]
+    return quiet.select(*names).unionByName(decided.select(*names))
 
 
-def admit(times: list[deque], now: int, rpm: int, burst: int, minute_us: int, burst_us: int) -> bool:
-    """One step of the limiter on the admitted times of a client (a one-element list holding a deque)."""
-    seen = times[0]
-    while seen and seen[0] < now - minute_us:
-        seen.popleft()
-    recent = sum(1 for t in seen if t >= now - burst_us)
-    if len(seen) >= rpm or recent >= burst:
-        return False
-    seen.append(now)
-    return True
+def admit(times: np.ndarray, admitted: list[int], rpm: int, burst: int, minute_us: int, burst_us: int) -> np.ndarray:
+    """Verdicts for sorted request ``times`` of a client.
+
+    ``admitted`` holds the latest admitted times, at most the larger limit of
+    them, and is updated in place. After an admission the next one is the first
+    request late enough for both windows, found by binary search, so a flood of
+    rejected requests costs nothing.
+    """
+    verdicts = np.zeros(len(times), dtype=bool)
+    keep = max(rpm, burst)
+    at = 0
+    while at < len(times) and min(rpm, burst) > 0:
+        for limit, span in ((rpm, minute_us), (burst, burst_us)):
+            if len(admitted) >= limit:
+                at = max(at, int(np.searchsorted(times, admitted[-limit] + span, side="right")))
+        if at < len(times):
+            verdicts[at] = True
+            admitted.append(int(times[at]))
+            del admitted[:-keep]
+            at += 1
+    return verdicts
 
 
 def _replayer(rpm: int, burst: int, minute_us: int, burst_us: int):
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows arrive sorted by stretch and time; the state is one stretch's
-        # admitted times, at most ``rpm`` numbers, whatever the stretch length.
-        current, state = None, [deque()]
+        # Rows arrive sorted by run and time and a run may span batches; the
+        # state is one run's latest admitted times, whatever its length.
+        current, admitted = None, []
         for pdf in batches:
-            verdicts = []
-            for client, stretch, now in zip(pdf["client"], pdf["_stretch"], pdf["_us"]):
-                if (client, stretch) != current:
-                    current, state = (client, stretch), [deque()]
-                verdicts.append(admit(state, int(now), rpm, burst, minute_us, burst_us))
+            if pdf.empty:
+                continue
+            runs = pdf.groupby(["_who", "_run"], sort=False).indices  # rows of a run are neighbours
+            verdicts = np.zeros(len(pdf), dtype=bool)
+            times = pdf["_us"].to_numpy()
+            for run, rows in runs.items():
+                if run != current:
+                    current, admitted = run, []
+                verdicts[rows] = admit(times[rows], admitted, rpm, burst, minute_us, burst_us)
             yield pdf.assign(admitted=verdicts)
 
     return replay
@@ -117,7 +135,7 @@ def fail_streaks(log: DataFrame, limit: int = MAX_CONSECUTIVE_FAILS, slice_rows:
     A run is named by the last success before it. An account's history is cut
     into slices of ``slice_rows`` sequence numbers so a busy account spreads.
     """
-    sliced = log.select("account_id", "seq", "success").withColumn("_slice", F.floor(F.col("seq") / slice_rows).cast("bigint"))
+    sliced = log.select("account_id", "seq", "success").withColumn("_slice", floor_div("seq", slice_rows))
     succeeded = F.when(F.col("success"), F.col("seq"))
     named = carried_max(sliced, ["account_id"], "_slice", ["seq"], succeeded, "_run")
     runs = named.groupBy("account_id", "_run").agg(F.count_if(~F.col("success")).alias("n"))

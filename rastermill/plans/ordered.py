@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rastermill.functions.numbers import floor_div
 from rastermill.session import pin
 
 
@@ -84,8 +85,7 @@ def trailing_counts(
     """
     widest = max(windows_s)
     width = max(slice_s or widest, widest) * 1_000_000
-    own = F.floor(F.col(micros) / F.lit(width)).cast("bigint")
-    reach = F.floor((F.col(micros) + F.lit(widest * 1_000_000)) / F.lit(width)).cast("bigint")
+    own, reach = floor_div(micros, width), floor_div(F.col(micros) + F.lit(widest * 1_000_000), width)
     sliced = df.withColumn("_own", own).withColumn("_slice", F.explode(F.sequence(F.col("_own"), reach)))
     for seconds, name in zip(windows_s, names):
         span = Window.partitionBy(key, "_slice").orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)

@@ -25,7 +25,18 @@ def _(i: Inputs):
     return flow.rate_window_counts(i.requests)
 
 
-@query("rate_admission")
+# one step per request of every client at once; the state is the list of admitted times
+REPLAY = """RECURSIVE r AS (SELECT seq, ts, client, path, epoch_us(ts) AS us, row_number() OVER (PARTITION BY client ORDER BY ts, seq) AS rn
+       FROM requests WHERE path NOT IN ('/', '/health')),
+   step AS (SELECT client, seq, rn, [us] AS adm, TRUE AS admitted FROM r WHERE rn = 1
+     UNION ALL SELECT client, seq, rn, CASE WHEN ok THEN list_append(kept, us) ELSE kept END, ok FROM (
+       SELECT client, seq, rn, us, kept, len(kept) < 20 AND len(list_filter(kept, lambda t: t >= us - 3600000000)) < 4 AS ok FROM (
+         SELECT r.client, r.seq, r.rn, r.us, list_filter(step.adm, lambda t: t >= r.us - 86400000000) AS kept
+         FROM step JOIN r ON r.client = step.client AND r.rn = step.rn + 1)))"""
+REPLAY_TABLES = ("requests",)
+
+
+@query("rate_admission", f"WITH {REPLAY} SELECT r.seq, r.ts, r.client, r.path, admitted FROM step JOIN r ON r.client = step.client AND r.rn = step.rn", REPLAY_TABLES)
 def _(i: Inputs):
     return flow.rate_admission(i.requests, rpm=20, burst=4, minute_s=86400, burst_s=3600)
 

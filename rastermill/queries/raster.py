@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rastermill.fixtures import SCENE_BANDS, Inputs
 from rastermill.operators import indices, search, tiles
@@ -424,3 +425,18 @@ def _(i: Inputs):
     sinks.sink_result_raster(result, items, folder)
     pixels = F.transform("pixels", lambda v: F.round(v.cast("double"), 6)).alias("pixels")
     return i.spark.read.parquet(folder).select("item_id", "band", six("pixel_width"), pixels)
+
+
+@query("register_op",
+    f"""WITH f AS (SELECT scene, y, x, {FLOATS} FROM cube WHERE b04 IS NOT NULL AND b08 IS NOT NULL)
+        SELECT scene, y, x, round(CAST(n - r AS DOUBLE), 6) AS difference FROM f""", CUBE)
+def _(i: Inputs):
+    indices.register_op("difference", lambda b: [(b["B08"] - b["B04"]).alias("difference")], ["B08", "B04"])
+    return indices.apply_op(scene_cube(i, ["B04", "B08"]), "difference").select("scene", "y", "x", six("difference"))
+
+
+@query("tile_function",
+    "SELECT scene, band, list(CAST(dn AS DOUBLE) / 2 ORDER BY y DESC, x) AS pixels FROM pixels GROUP BY 1, 2", ("pixels",))
+def _(i: Inputs):
+    flipped = tiles.tile_pixels_by(scene_tiles(i), lambda a: a[::-1] / 2, T.DoubleType())
+    return flipped.select("scene", "band", "pixels")

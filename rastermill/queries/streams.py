@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rastermill.fixtures import Inputs
+from rastermill.queries.flow import REPLAY, REPLAY_TABLES
 from rastermill.queries.stats import CLASSIFY, raw_requests
 from rastermill.registry import query
 from rastermill.streaming import merges, run, stateful, windows
@@ -96,7 +97,7 @@ def _(i: Inputs):
     return i.spark.read.parquet(f"{folder}/chunks").select("sha")
 
 
-@query("st_rate_limit")
+@query("st_rate_limit", f"WITH {REPLAY} SELECT client, seq, admitted FROM step", REPLAY_TABLES)
 def _(i: Inputs):
     path = F.when(F.col("event_id") % 11 == 0, "/health").otherwise("/stac/search")
     stream = event_stream(i).select(F.col("event_id").alias("seq"), "ts", (F.col("user_id") % 20).alias("client"), path.alias("path"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,12 +31,12 @@ def st_rate_limit(
         if state.hasTimedOut:
             state.remove()
             return
-        times = [deque(state.get[0] if state.exists else [])]
+        admitted = list(state.get[0]) if state.exists else []
         rows = _in_order(chunks, ["us", "seq"])
-        verdicts = [flow.admit(times, int(now), rpm, burst, minute_us, burst_us) for now in rows["us"]]
-        state.update((list(times[0]),))
-        if times[0]:
-            expiry = times[0][-1] // 1000 + minute_s * 1000 + 1
+        verdicts = flow.admit(rows["us"].to_numpy(), admitted, rpm, burst, minute_us, burst_us)
+        state.update((admitted,))
+        if admitted:
+            expiry = admitted[-1] // 1000 + max(minute_s, burst_s) * 1000 + 1
             state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"client": [key[0]] * len(rows), "seq": rows["seq"].to_numpy(), "admitted": verdicts})
 
