@@ -117,14 +117,14 @@ def _replayer(rpm: int, burst: int, minute_us: int, burst_us: int):
         for pdf in batches:
             if pdf.empty:
                 continue
-            runs = pdf.groupby(["_who", "_run"], sort=False).indices  # rows of a run are neighbours
-            verdicts = np.zeros(len(pdf), dtype=bool)
-            times = pdf["_us"].to_numpy()
-            for run, rows in runs.items():
-                if run != current:
-                    current, admitted = run, []
-                verdicts[rows] = admit(times[rows], admitted, rpm, burst, minute_us, burst_us)
-            yield pdf.assign(admitted=verdicts)
+            whos, runs, times = (pdf[c].to_numpy() for c in ("_who", "_run", "_us"))
+            borders = np.flatnonzero((whos[1:] != whos[:-1]) | (runs[1:] != runs[:-1])) + 1
+            verdicts = []
+            for first, last in zip([0, *borders], [*borders, len(pdf)]):
+                if (whos[first], runs[first]) != current:
+                    current, admitted = (whos[first], runs[first]), []
+                verdicts.append(admit(times[first:last], admitted, rpm, burst, minute_us, burst_us))
+            yield pdf.assign(admitted=np.concatenate(verdicts))
 
     return replay
 
