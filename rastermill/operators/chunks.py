@@ -3,7 +3,9 @@
 Chunk references may be very uneven (one empty tile can be referenced by a
 large share of all items). References are therefore joined to one narrow row
 per hash, computed before the join, and no reference list is gathered per
-hash; adaptive skew handling splits the reference side of such a join.
+hash. ``lookup_join`` keeps crowded hashes out of the shuffle; plain semi and
+anti joins come straight from a shuffle on both sides, where adaptive
+execution splits the crowded partition.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rastermill.functions.times import moment
 from rastermill.operators.search import batch_bbox_search
+from rastermill.plans.lookup import lookup_join
 from rastermill.plans.ordered import running_sum
 from rastermill.plans.pick import first_per_key
 from rastermill.sources.sinks import content_hash
@@ -30,7 +33,7 @@ def chunk_refs(items: DataFrame) -> DataFrame:
 def chunk_availability(refs: DataFrame, store: DataFrame) -> DataFrame:
     """References with a flag telling whether the chunk is stored."""
     known = store.select("sha").distinct().withColumn("local", F.lit(True))
-    return refs.join(known, "sha", "left").withColumn("local", F.coalesce("local", F.lit(False)))
+    return lookup_join(refs, known, "sha").withColumn("local", F.coalesce("local", F.lit(False)))
 
 
 def missing_chunks(refs: DataFrame, store: DataFrame) -> DataFrame:
@@ -54,7 +57,7 @@ def items_needed(missing: DataFrame) -> DataFrame:
 
 def orphan_chunks(store: DataFrame, refs: DataFrame) -> DataFrame:
     """Stored chunks that no item refers to."""
-    return store.join(refs.select("sha"), "sha", "left_anti")
+    return store.join(refs.select("sha").distinct(), "sha", "left_anti")
 
 
 def orphan_summary(orphans: DataFrame) -> DataFrame:
@@ -71,9 +74,8 @@ def verify_items(refs: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     checked = chunks.select("sha", (content_hash() == F.col("sha")).alias("valid"))
     checked = checked.groupBy("sha").agg(F.bool_and("valid").alias("valid"))
-    joined = refs.join(checked, "sha", "left")
     return (
-        joined.groupBy("item_id")
+        lookup_join(refs, checked, "sha").groupBy("item_id")
         .agg(
             F.count(F.lit(1)).alias("total"),
             F.count_if(F.col("valid")).alias("valid"),
@@ -204,22 +206,22 @@ def chunk_map(refs: DataFrame, placements: DataFrame, bands: list[str] | None =
     if bands:
         refs = refs.filter(F.col("band").isin(list(bands)))
     holders = placements.groupBy("sha").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
-    return refs.join(holders, "sha", "left").withColumn("nodes", F.coalesce("nodes", F.array().cast("array<bigint>")))
+    return lookup_join(refs, holders, "sha").withColumn("nodes", F.coalesce("nodes", F.array().cast("array<bigint>")))
 
 
 def validate_report(requests: DataFrame, items: DataFrame, refs: DataFrame, store: DataFrame) -> DataFrame:
     """Dry run: stored and missing chunks per request.
 
-    Chunk counts are made once per item, so a request only meets item rows.
+    Chunk counts are made once per item and travel with the item through the
+    area join, so a popular item is never looked up again.
     """
     per_item = chunk_availability(refs, store).groupBy("item_id").agg(
         F.count_if(F.col("local")).alias("l"), F.count_if(~F.col("local")).alias("m")
     )
-    hits = batch_bbox_search(requests, items, same_collection=True)
+    counted_items = items.join(per_item.withColumnRenamed("item_id", "id"), "id")
+    hits = batch_bbox_search(requests, counted_items, same_collection=True, carry=("l", "m"))
     hits = hits.filter((F.col("datetime") >= F.col("date_from")) & (F.col("datetime") <= F.col("date_to")))
-    counted = hits.join(per_item, "item_id").groupBy("request_id").agg(
-        F.sum("l").alias("local_chunks"), F.sum("m").alias("missing_chunks")
-    )
+    counted = hits.groupBy("request_id").agg(F.sum("l").alias("local_chunks"), F.sum("m").alias("missing_chunks"))
     return (
         requests.select("request_id").join(counted, "request_id", "left").fillna(0, ["local_chunks", "missing_chunks"])
         .withColumn("needs_download", F.col("missing_chunks") > 0)

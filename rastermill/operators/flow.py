@@ -104,6 +104,8 @@ def admit(times: np.ndarray, admitted: list[int], rpm: int, burst: int, minute_u
         if at < len(times):
             verdicts[at] = True
             admitted.append(int(times[at]))
+            if len(admitted) > 1 and admitted[-2] > admitted[-1]:  # a late row of a stream
+                admitted.sort()
             del admitted[:-keep]
             at += 1
     return verdicts

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rastermill.functions.times import moment, normalise_end
 from rastermill.plans.gridjoin import overlap_join
+from rastermill.plans.lookup import lookup_join
 from rastermill.plans.pick import first_per_key
 
 # Logical collection -> upstream collection, and the fall-back.
@@ -173,8 +174,13 @@ def product_search(
     return found.orderBy(F.col("date").desc(), "product_id").limit(limit)
 
 
-def batch_bbox_search(requests: DataFrame, items: DataFrame, cell_deg: float = 1.0, same_collection: bool = False) -> DataFrame:
-    """All (request, item) pairs whose boxes overlap; with ``same_collection`` they must also agree on it."""
+def batch_bbox_search(
+    requests: DataFrame, items: DataFrame, cell_deg: float = 1.0, same_collection: bool = False, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """All (request, item) pairs whose boxes overlap; with ``same_collection`` they must also agree on it.
+
+    ``carry`` names item columns to keep beside each pair.
+    """
     also_on = ("collection",) if same_collection else ()
     extra = [c for c in ("date_from", "date_to") if c in requests.columns]
     areas = requests.select(
@@ -182,11 +188,11 @@ def batch_bbox_search(requests: DataFrame, items: DataFrame, cell_deg: float = 1
         F.col("east").alias("ae"), F.col("north").alias("an"),
     )
     boxes = items.select(
-        F.col("id").alias("item_id"), "datetime", *also_on, F.col("bbox_west").alias("iw"), F.col("bbox_south").alias("is"),
+        F.col("id").alias("item_id"), "datetime", *also_on, *carry, F.col("bbox_west").alias("iw"), F.col("bbox_south").alias("is"),
         F.col("bbox_east").alias("ie"), F.col("bbox_north").alias("in"),
     )
     pairs = overlap_join(areas, boxes, cell_deg, also_on)
-    return pairs.select("request_id", "item_id", "datetime", *extra)
+    return pairs.select("request_id", "item_id", "datetime", *extra, *carry)
 
 
 def search_fallback(requests: DataFrame, items: DataFrame, limit: int = FALLBACK_LIMIT) -> DataFrame:
@@ -232,8 +238,10 @@ def search_fallback(requests: DataFrame, items: DataFrame, limit: int = FALLBACK
         slim.join(top_days.select("collection", "day"), ["collection", "day"], "left_semi")
         .withColumn("_rank", F.row_number().over(per_collection)).filter(F.col("_rank") <= limit)
     )
-    anything = still_open.select("request_id", "collection").join(ranked, "collection").select(
-        "request_id", "item_id", F.lit(2).alias("step")
+    # one row per collection, at most ``limit`` ids in it
+    listed = ranked.groupBy("collection").agg(F.collect_list("item_id").alias("ids"))
+    anything = lookup_join(still_open.select("request_id", "collection"), listed, "collection").select(
+        "request_id", F.explode("ids").alias("item_id"), F.lit(2).alias("step")
     )
     return exact.unionByName(by_period).unionByName(anything)
 

@@ -219,23 +219,28 @@ def build_item(rasters: DataFrame, tile_size: int = TILE_SIZE) -> DataFrame:
     )
 
 
-def reconstruct(items: DataFrame, chunks: DataFrame, bands: list[str] | None = None) -> DataFrame:
+def reconstruct(items: DataFrame, chunks: DataFrame, bands: list[str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Band tiles of each item from its hash lists; a missing chunk gives zeros.
 
     ``items``: item_id, width, height, tile_size, dtype, band_names and
     ``chunk_hashes`` (band -> hashes, or ``*`` -> hashes of all-band tiles).
     With per-band hashes the band filter comes before the chunk join, so only
-    the wanted bands' bytes are read.
+    the wanted bands' bytes are read. The bands wanted may differ per item: a
+    column ``wanted_bands`` does what ``bands`` does for all. ``carry`` names
+    item columns to keep beside each tile.
     """
-    meta = ["item_id", "width", "height", "tile_size", "dtype", "band_names"]
-    lists = items.select(*meta, F.explode("chunk_hashes").alias("_band", "_hashes"))
     if bands is not None:
-        lists = lists.filter(F.col("_band").isin(ALL_BANDS, *bands))
+        items = items.withColumn("wanted_bands", F.array(*[F.lit(b) for b in bands]))
+    wanted = "wanted_bands" in items.columns
+    meta = ["item_id", *carry, "width", "height", "tile_size", "dtype", "band_names", *(["wanted_bands"] if wanted else [])]
+    lists = items.select(*meta, F.explode("chunk_hashes").alias("_band", "_hashes"))
+    if wanted:
+        lists = lists.filter((F.col("_band") == ALL_BANDS) | F.array_contains("wanted_bands", F.col("_band")))
     refs = lists.select(*meta, "_band", F.posexplode("_hashes").alias("_idx", "sha"))
     size, cols = F.col("tile_size"), F.ceil(F.col("width") / F.col("tile_size")).cast("int")
     row, col = _div("_idx", cols), F.col("_idx") % cols
     placed = refs.select(
-        "item_id", "dtype", "band_names", "_band", "sha",
+        "item_id", *carry, "dtype", "band_names", *(["wanted_bands"] if wanted else []), "_band", "sha",
         row.alias("tile_row"), col.alias("tile_col"), (row * size).alias("y_off"), (col * size).alias("x_off"),
         F.least(size, F.col("height") - row * size).alias("h"), F.least(size, F.col("width") - col * size).alias("w"),
     )
@@ -247,12 +252,12 @@ def reconstruct(items: DataFrame, chunks: DataFrame, bands: list[str] | None = N
             "band_names", lambda b, i: F.struct(b.alias("band"), F.slice("pixels", i * area + 1, area).alias("pixels"))
         ),
     ).otherwise(F.array(F.struct(F.col("_band").alias("band"), F.col("pixels"))))
-    if bands is not None:
-        per_band = F.filter(per_band, lambda b: b["band"].isin(list(bands)))
+    if wanted:
+        per_band = F.filter(per_band, lambda b: F.array_contains("wanted_bands", b["band"]))
     zeros = F.array_repeat(F.lit(0.0), area)
     tiles = decoded.withColumn("_b", F.explode(per_band))
     return tiles.select(
-        "item_id", F.col("_b.band").alias("band"), "tile_row", "tile_col", "y_off", "x_off", "h", "w",
+        "item_id", *carry, F.col("_b.band").alias("band"), "tile_row", "tile_col", "y_off", "x_off", "h", "w",
         F.coalesce("_b.pixels", zeros).alias("pixels"),
     )
 
@@ -318,7 +323,8 @@ def migrate_tiles(items: DataFrame, chunks: DataFrame, tile_size: int = TILE_SIZ
     # one winner per band, settled on item rows before any bytes are read
     winners = named.select("new_id", "item_id", "seq", F.explode("band_names").alias("band"))
     winners = last_per_key(winners, ["new_id", "band"], "seq").select("new_id", "item_id", "band")
-    tiles = reconstruct(todo, chunks).join(winners, ["item_id", "band"]).drop("item_id")
+    read = winners.groupBy("item_id", "new_id").agg(F.collect_set("band").alias("wanted_bands"))
+    tiles = reconstruct(todo.join(read, "item_id"), chunks, carry=("new_id",))
     merged = stack_bands(retile(tiles, ["new_id", "band"], tile_size), ["new_id"])
 
     lead = first_per_key(named.drop("_scene", "_shape", "chunk_hashes", "band_names", "item_id"), ["new_id"], "seq")
