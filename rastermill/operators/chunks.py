@@ -31,9 +31,12 @@ def chunk_refs(items: DataFrame) -> DataFrame:
 
 
 def chunk_availability(refs: DataFrame, store: DataFrame) -> DataFrame:
-    """References with a flag telling whether the chunk is stored."""
-    known = store.select("sha").distinct().withColumn("local", F.lit(True))
-    return lookup_join(refs, known, "sha").withColumn("local", F.coalesce("local", F.lit(False)))
+    """References with a flag telling whether the chunk is stored.
+
+    The two halves read the same shuffles of references and hashes.
+    """
+    stored = has_chunk(refs, store).withColumn("local", F.lit(True))
+    return stored.unionByName(missing_chunks(refs, store).withColumn("local", F.lit(False)))
 
 
 def missing_chunks(refs: DataFrame, store: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rastermill.functions.times import moment, normalise_end
 from rastermill.plans.gridjoin import overlap_join
-from rastermill.plans.lookup import lookup_join
+from rastermill.plans.lookup import salted_join
 from rastermill.plans.pick import first_per_key
 
 # Logical collection -> upstream collection, and the fall-back.
@@ -206,15 +206,17 @@ def search_fallback(requests: DataFrame, items: DataFrame, limit: int = FALLBACK
     requests = requests.withColumn("date_to", normalise_end("date_to"))
     in_period = (F.col("datetime") >= F.col("date_from")) & (F.col("datetime") <= F.col("date_to"))
     exact = batch_bbox_search(requests, items, same_collection=True).filter(in_period)
-    exact = exact.select("request_id", "item_id", F.lit(0).alias("step"))
+    # the left join feeds both the answer and the open requests from one shuffle
+    exact = requests.join(exact.select("request_id", "item_id"), "request_id", "left")
+    answered = exact.filter(F.col("item_id").isNotNull()).select("request_id", "item_id", F.lit(0).alias("step"))
+    open_requests = exact.filter(F.col("item_id").isNull()).select("request_id", "collection", "date_from", "date_to")
 
     slim = items.select(F.col("id").alias("item_id"), "collection", "datetime", F.substring("datetime", 1, 10).alias("day"))
     days = slim.groupBy("collection", "day").agg(F.count(F.lit(1)).alias("n"))
-    open_requests = requests.join(exact.select("request_id").distinct(), "request_id", "left_anti")
 
     # Step 1. Requests walk the days that exist in their period, newest first,
     # until the days strictly inside the period have filled the list.
-    wanted = open_requests.select("request_id", "collection", "date_from", "date_to").join(
+    wanted = open_requests.join(
         days.withColumn("day_n", F.col("n")), "collection"
     ).filter((F.col("day") >= F.substring("date_from", 1, 10)) & (F.col("day") <= F.substring("date_to", 1, 10)))
     inside = (F.col("day") > F.substring("date_from", 1, 10)) & (F.col("day") < F.substring("date_to", 1, 10))
@@ -225,9 +227,11 @@ def search_fallback(requests: DataFrame, items: DataFrame, limit: int = FALLBACK
     by_period = (
         wanted.join(slim, ["collection", "day"]).filter(in_period)
         .withColumn("_rank", F.row_number().over(per_request)).filter(F.col("_rank") <= limit)
-        .select("request_id", "item_id", F.lit(1).alias("step"))
+        .select("request_id", "item_id")
     )
-    still_open = open_requests.join(by_period.select("request_id").distinct(), "request_id", "left_anti")
+    by_period = open_requests.select("request_id", "collection").join(by_period, "request_id", "left")
+    newest_in_period = by_period.filter(F.col("item_id").isNotNull()).select("request_id", "item_id", F.lit(1).alias("step"))
+    still_open = by_period.filter(F.col("item_id").isNull()).select("request_id", "collection")
 
     # Step 2. The newest items of each collection, ranked once: only days that
     # the list can reach are ranked, so a crowded collection stays small.
@@ -240,10 +244,10 @@ def search_fallback(requests: DataFrame, items: DataFrame, limit: int = FALLBACK
     )
     # one row per collection, at most ``limit`` ids in it
     listed = ranked.groupBy("collection").agg(F.collect_list("item_id").alias("ids"))
-    anything = lookup_join(still_open.select("request_id", "collection"), listed, "collection").select(
+    anything = salted_join(still_open, listed, "collection", "request_id").select(
         "request_id", F.explode("ids").alias("item_id"), F.lit(2).alias("step")
     )
-    return exact.unionByName(by_period).unionByName(anything)
+    return answered.unionByName(newest_in_period).unionByName(anything)
 
 
 def recent_window(log: DataFrame, now: str, hours: float) -> DataFrame:

@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 from rastermill.functions.text import band_from_item_id
 from rastermill.operators import indices
 from rastermill.operators.bands import OPERATION_BANDS
-from rastermill.operators.search import search_bbox, search_collections, search_datetime
+from rastermill.operators.search import WORLD, search_bbox, search_collections, search_datetime
 from rastermill.plans.pick import last_per_key
 
 # Bands and format used when a graph does not name them.
 DEFAULT_RED, DEFAULT_NIR, DEFAULT_FORMAT = "B04", "B08", "GTiff"
 
+EXTENT = "west double, south double, east double, north double, xmin double, ymin double, xmax double, ymax double"
+GRAPH_NODE = (
+    "process_id string, arguments struct<id:string, bands:array<string>, "
+    f"spatial_extent:struct<{EXTENT.replace(' double', ':double')}>, temporal_extent:array<string>, extent:string, "
+    "red:string, nir:string, format:string>"
+)
+
 
 def needed_bands(operation: str) -> list[str] | None:
     """Every band name an operation could use; None means all."""
@@ -68,18 +75,16 @@ def graph_requirements(graphs: DataFrame) -> DataFrame:
     bands, operation, red, nir, format. Filters change the load before them.
     """
     nodes = graphs.select("graph_id", F.posexplode(F.map_entries(F.from_json("graph", "map<string,string>"))).alias("position", "node"))
-    process = F.get_json_object("node.value", "$.process_id")
-
-    def arg(path: str):
-        return F.get_json_object("node.value", f"$.arguments.{path}")
-
-    nodes = nodes.select("graph_id", "position", process.alias("process"), F.col("node"))
+    nodes = nodes.select("graph_id", "position", F.from_json("node.value", GRAPH_NODE).alias("n")).select(
+        "graph_id", "position", F.col("n.process_id").alias("process"), F.col("n.arguments").alias("args")
+    )
     whole = Window.partitionBy("graph_id")
     upto = whole.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
 
-    def latest(path: str, name: str, default: str):
+    def latest(argument: str, name: str, default: str):
         """Last non-empty value in the graph."""
-        value = F.when((F.col("process") == name) & (F.coalesce(arg(path), F.lit("")) != ""), arg(path))
+        given = F.col(f"args.{argument}")
+        value = F.when((F.col("process") == name) & (F.coalesce(given, F.lit("")) != ""), given)
         picked = F.max_by(value, F.when(value.isNotNull(), F.col("position"))).over(whole)
         return F.coalesce(picked, F.lit(default))
 
@@ -94,28 +99,29 @@ def graph_requirements(graphs: DataFrame) -> DataFrame:
         }
     ).filter(F.col("load").isNotNull())
 
-    corners = (("west", "xmin", -180.0), ("south", "ymin", -90.0), ("east", "xmax", 180.0), ("north", "ymax", 90.0))
+    corners = (("west", "xmin"), ("south", "ymin"), ("east", "xmax"), ("north", "ymax"))
 
-    def extent(root: str, aliases: bool):
+    def box(extent, aliases: bool):
         def corner(name, alias, world):
-            other = arg(f"{root}.{alias}").cast("double") if aliases else F.lit(None).cast("double")
-            return F.coalesce(arg(f"{root}.{name}").cast("double"), other, F.lit(world)).alias(name)
+            return F.coalesce(extent[name], extent[alias] if aliases else F.lit(None), F.lit(world)).alias(name)
 
-        return F.struct(*[corner(*c) for c in corners])
+        return F.struct(*[corner(*names, world) for names, world in zip(corners, WORLD)])
 
-    spatial = F.when(is_load & arg("spatial_extent").isNotNull(), extent("spatial_extent", True)).when(
-        (F.col("process") == "filter_spatial") & arg("extent").isNotNull(), extent("extent", False)
+    # a filter's extent is a box or a period, so it is kept as text until its process is known
+    loaded, filtered = F.col("args.spatial_extent"), F.col("args.extent")
+    spatial = F.when(is_load & loaded.isNotNull(), box(loaded, True)).when(
+        (F.col("process") == "filter_spatial") & filtered.isNotNull(), box(F.from_json(filtered, EXTENT), False)
     )
-    temporal = F.when(is_load, F.from_json(arg("temporal_extent"), "array<string>")).when(
-        (F.col("process") == "filter_temporal") & arg("extent").isNotNull(), F.from_json(arg("extent"), "array<string>")
+    temporal = F.when(is_load, F.col("args.temporal_extent")).when(
+        (F.col("process") == "filter_temporal") & filtered.isNotNull(), F.from_json(filtered, "array<string>")
     )
     last_of = lambda value: F.max_by(value, F.when(value.isNotNull(), F.col("position")))
     empty = F.array().cast("array<string>")
     grouped = nodes.groupBy("graph_id", F.col("load").alias("position")).agg(
-        F.max(F.when(is_load, F.coalesce(arg("id"), F.lit("")))).alias("collection"),
+        F.max(F.when(is_load, F.coalesce("args.id", F.lit("")))).alias("collection"),
         last_of(spatial).alias("_s"),
         last_of(temporal).alias("_t"),
-        F.coalesce(last_of(F.when(is_load, F.from_json(arg("bands"), "array<string>"))), empty).alias("bands"),
+        F.coalesce(last_of(F.when(is_load, F.col("args.bands"))), empty).alias("bands"),
         *[F.first(c).alias(c) for c in ("operation", "red", "nir", "format")],
     )
     return grouped.select(

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CROWDED = 1000
+SALTS = 64
 
 
 def lookup_join(left: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
@@ -28,3 +29,14 @@ def lookup_join(left: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     by_broadcast = marked.filter(alone).drop("_crowded").join(few, key, "left")
     by_shuffle = marked.filter(~F.coalesce(alone, F.lit(False))).drop("_crowded").join(lookup, key, "left")
     return by_shuffle.unionByName(by_broadcast)
+
+
+def salted_join(left: DataFrame, lookup: DataFrame, key: str, spread: str) -> DataFrame:
+    """Inner join with a lookup that has few keys, each of which may own a large share of ``left``.
+
+    Every key's rows are spread over ``SALTS`` parts by the column ``spread``
+    and meet a copy of the lookup row there; the lookup grows by that factor.
+    """
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [key, "_salt"]).drop("_salt")

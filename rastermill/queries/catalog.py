@@ -418,7 +418,7 @@ def _(i: Inputs):
     "human_bytes",
     """SELECT seq, CASE WHEN b < 1024 THEN printf('%.1f B', b) WHEN b < 1048576 THEN printf('%.1f KB', b/1024)
               WHEN b < 1073741824 THEN printf('%.1f MB', b/1048576) WHEN b < 1099511627776 THEN printf('%.1f GB', b/1073741824)
-              ELSE printf('%.1f TB', b/1099511627776) END AS shown
+              WHEN b < 1125899906842624 THEN printf('%.1f TB', b/1099511627776) ELSE printf('%.1f PB', b/1125899906842624) END AS shown
        FROM (SELECT seq, CAST(seq * seq AS DOUBLE) * seq AS b FROM items)""",
     ("items",),
 )

@@ -46,19 +46,17 @@ def src_items(spark: SparkSession, path: str, prefix: str = "grid:") -> DataFram
 
 def decode_stac(features: DataFrame, prefix: str = "grid:") -> DataFrame:
     """STAC Feature JSON (column ``value``) as item rows; hashes may sit on top or in the properties."""
-
-    def text(path: str) -> Column:
-        return F.get_json_object("value", path)
-
-    hashes = F.coalesce(text(f"$['{prefix}chunk_hashes']"), text(f"$.properties['{prefix}chunk_hashes']"))
-    corner = {name: text(f"$.bbox[{k}]").cast("double").alias(f"bbox_{name}") for k, name in enumerate(("west", "south", "east", "north"))}
-    return features.select(
-        text("$.id").alias("id"),
-        text("$.collection").alias("collection"),
-        *corner.values(),
-        F.coalesce(text("$.properties.datetime"), F.lit("")).alias("datetime"),
-        F.from_json(_strip_prefix(text("$.properties"), prefix), PROPERTIES).alias("properties"),
-        F.coalesce(chunk_hashes(hashes), F.create_map().cast("map<string,array<string>>")).alias("chunk_hashes"),
+    # nested objects typed as string keep their JSON text
+    top = F.from_json(
+        _strip_prefix(F.col("value"), prefix), "id string, collection string, bbox array<double>, properties string, chunk_hashes string"
+    )
+    parsed = features.select(top.alias("t")).select(
+        "t.*", F.from_json("t.properties", PROPERTIES).alias("p"), F.from_json("t.properties", "chunk_hashes string")["chunk_hashes"].alias("inner")
+    )
+    corners = [F.get("bbox", F.lit(k)).alias(f"bbox_{name}") for k, name in enumerate(("west", "south", "east", "north"))]
+    return parsed.select(
+        "id", "collection", *corners, F.coalesce("p.datetime", F.lit("")).alias("datetime"), F.col("p").alias("properties"),
+        F.coalesce(chunk_hashes(F.coalesce("chunk_hashes", "inner")), F.create_map().cast("map<string,array<string>>")).alias("chunk_hashes"),
     )
 
 
