@@ -10,6 +10,8 @@ from rastermill.operators.search import alive_nodes, alive_peers, search_bbox, s
 from rastermill.plans.ordered import global_row_number
 from rastermill.plans.pick import first_per_key
 
+# What a newer remote row may change, and what a new node starts with.
+USER_UPDATES = ("role", "active", "updated_at")
 NODE_FIELDS = ["node_name", "url", "collections", "item_count", "chunk_count", "chunks_bytes"]
 
 
@@ -63,9 +65,12 @@ def gossip_merge(local: DataFrame, remote: DataFrame, now_s: int) -> DataFrame:
     known = F.col("l").isNotNull()
 
     def field(name: str):
-        if name in ("node_name", "url"):
-            return F.when(known, F.col(f"l.{name}")).otherwise(F.col(f"r.{name}"))
-        return F.coalesce(f"r.{name}", f"l.{name}")
+        if name == "url":
+            return F.when(known, F.col("l.url")).otherwise(F.col("r.url"))
+        if name == "node_name":
+            return F.when(known, F.col("l.node_name")).otherwise(F.coalesce("r.node_name", F.lit("")))
+        empty = F.array().cast("array<string>") if name == "collections" else F.lit(0)
+        return F.when(known, F.coalesce(f"r.{name}", f"l.{name}")).otherwise(F.coalesce(f"r.{name}", empty))
 
     return both.select(
         "node_id",
@@ -87,21 +92,25 @@ def discover_peers(known: DataFrame, remote: DataFrame, self_url: str | None = N
 def user_merge(local: DataFrame, remote: DataFrame) -> DataFrame:
     """Every local and remote user with ``action``: kept, added, updated or skipped.
 
-    Columns: user_id, username, active, updated_at. A newer remote row updates
-    a known user; an unknown user is added unless its name is taken, by a local
-    user or by an earlier added one.
+    Both sides have user_id, username, updated_at and the same further columns.
+    A newer remote row updates role, active and updated_at of a known user; an
+    unknown user is added unless its name is taken, by a local user or by an
+    earlier added one.
     """
-    fields = ["username", "updated_at", "active"]
+    fields = [c for c in local.columns if c != "user_id"]
     mine = local.select("user_id", F.struct(*fields).alias("l"))
     theirs = remote.select("user_id", F.struct(*fields).alias("r"))
     both = mine.join(theirs, "user_id", "full_outer")
     known = both.filter(F.col("l").isNotNull())
     newer = F.col("r").isNotNull() & (F.col("r.updated_at") > F.col("l.updated_at"))
+
+    def settled_field(name: str):
+        mine = F.col(f"l.{name}")
+        return (F.when(newer, F.col(f"r.{name}")).otherwise(mine) if name in USER_UPDATES else mine).alias(name)
+
     settled = known.select(
         "user_id",
-        F.col("l.username").alias("username"),
-        F.when(newer, F.col("r.updated_at")).otherwise(F.col("l.updated_at")).alias("updated_at"),
-        F.when(newer, F.col("r.active")).otherwise(F.col("l.active")).alias("active"),
+        *[settled_field(f) for f in fields],
         F.when(newer, "updated").when(F.col("r").isNotNull(), "skipped").otherwise("kept").alias("action"),
     )
     unknown = both.filter(F.col("l").isNull()).select("user_id", "r.*")

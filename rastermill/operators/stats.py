@@ -165,16 +165,20 @@ def log_classify(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     ok = raw.filter(F.col("status") == 200)
     path = F.col("path")
+
+    def after(prefix: str) -> Column:
+        """Text between ``prefix`` and its next occurrence or the end."""
+        return F.get(F.split(path, prefix), F.lit(1))
+
     chunk = ok.filter(F.startswith(path, F.lit("/chunks/")) & (F.col("method") == "GET")).select(
-        "ts", F.regexp_extract("path", "^/chunks/(.*)$", 1).alias("sha"), F.lit("read").alias("access_type")
+        "ts", after("/chunks/").alias("sha"), F.lit("read").alias("access_type")
     )
     names = F.filter(F.transform(F.split(F.coalesce("query_collections", F.lit("")), ","), lambda c: F.trim(c)), lambda c: c != "")
     searched = ok.filter(F.startswith(path, F.lit("/stac/search"))).select(
         "ts", F.explode(names).alias("collection_id"), F.lit("query").alias("access_type")
     )
-    fetched = ok.filter(F.rlike(path, F.lit("^/download/[^/]*/")))
-    parts = F.split(F.regexp_extract("path", "^/download/(.*)$", 1), "/")
-    downloads = fetched.select(
+    parts = F.split(after("/download/"), "/")
+    downloads = ok.filter(F.startswith(path, F.lit("/download/")) & (F.size(parts) >= 2)).select(
         "ts", F.lit("user").alias("origin"), F.get(parts, F.lit(0)).alias("collection_id"), F.get(parts, F.lit(1)).alias("item_id"),
         F.coalesce("bytes", F.lit(0)).alias("bytes"), F.col("client").alias("client_ip"),
     )

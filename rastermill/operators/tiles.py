@@ -27,6 +27,12 @@ TILE_SIZE = 512
 SPATIAL, BAND_LEVEL, LEGACY = "spatial-tile", "band-level", "legacy"
 ALL_BANDS = "*"
 
+ELEMENTS = {
+    "double": (T.DoubleType(), "float64", pa.float64()),
+    "float": (T.FloatType(), "float32", pa.float32()),
+    "int": (T.IntegerType(), "int32", pa.int32()),
+}
+
 
 def _div(a: Column | str, b: Column | int) -> Column:
     a = F.col(a) if isinstance(a, str) else a
@@ -130,14 +136,17 @@ def encode_tile(tiles: DataFrame, dtype: str | None = "uint16") -> DataFrame:
     return tiles.select(*names, "pixels").mapInArrow(run, schema)
 
 
-def decode_tile(chunks: DataFrame, dtype: str | None = None) -> DataFrame:
-    """Replace ``data`` by its values (column ``pixels``, doubles).
+def decode_tile(chunks: DataFrame, dtype: str | None = None, element: str = "double") -> DataFrame:
+    """Replace ``data`` by its values (column ``pixels``).
 
-    The numpy type is ``dtype`` or, when that is None, the row's ``dtype``
-    column. Missing bytes stay a null list.
+    The numpy type of the bytes is ``dtype`` or, when that is None, the row's
+    ``dtype`` column. ``element`` is the Spark type of the values: doubles hold
+    every pixel type, ``int`` or ``float`` halve what later shuffles move when
+    the archive's types allow it. Missing bytes stay a null list.
     """
     kept = [f for f in chunks.schema.fields if f.name != "data"]
-    schema = T.StructType([*kept, T.StructField("pixels", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*kept, T.StructField("pixels", T.ArrayType(ELEMENTS[element][0]))])
+    numpy_type, arrow_type = ELEMENTS[element][1:]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,10 +154,10 @@ def decode_tile(chunks: DataFrame, dtype: str | None = None) -> DataFrame:
             data = batch.column(batch.schema.get_field_index("data"))
             types = [dtype] * len(data) if dtype else batch.column(batch.schema.get_field_index("dtype")).to_pylist()
             decoded = [
-                None if raw is None else np.frombuffer(raw, kind).astype("float64") for raw, kind in zip(data.to_pylist(), types)
+                None if raw is None else np.frombuffer(raw, kind).astype(numpy_type) for raw, kind in zip(data.to_pylist(), types)
             ]
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(decoded, pa.list_(pa.float64()))], [*names, "pixels"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(decoded, pa.list_(arrow_type))], [*names, "pixels"])
 
     return chunks.select(*names, "data").mapInArrow(run, schema)
 
@@ -211,6 +220,7 @@ def build_item(rasters: DataFrame, tile_size: int = TILE_SIZE) -> DataFrame:
             F.struct(
                 F.lit("/chunks").alias("href"),
                 F.lit("application/octet-stream").alias("type"),
+                F.lit("Spatial-tiled raster data (all bands per tile)").alias("title"),
                 F.size("hashes").alias("chunk_count"),
                 F.col("band_names").alias("bands_available"),
             ),
@@ -219,7 +229,9 @@ def build_item(rasters: DataFrame, tile_size: int = TILE_SIZE) -> DataFrame:
     )
 
 
-def reconstruct(items: DataFrame, chunks: DataFrame, bands: list[str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def reconstruct(
+    items: DataFrame, chunks: DataFrame, bands: list[str] | None = None, carry: tuple[str, ...] = (), element: str = "double"
+) -> DataFrame:
     """Band tiles of each item from its hash lists; a missing chunk gives zeros.
 
     ``items``: item_id, width, height, tile_size, dtype, band_names and
@@ -244,7 +256,7 @@ def reconstruct(items: DataFrame, chunks: DataFrame, bands: list[str] | None = N
         row.alias("tile_row"), col.alias("tile_col"), (row * size).alias("y_off"), (col * size).alias("x_off"),
         F.least(size, F.col("height") - row * size).alias("h"), F.least(size, F.col("width") - col * size).alias("w"),
     )
-    decoded = decode_tile(placed.join(chunks.select("sha", "data"), "sha", "left"))
+    decoded = decode_tile(placed.join(chunks.select("sha", "data"), "sha", "left"), element=element)
     area = F.col("h") * F.col("w")
     per_band = F.when(
         F.col("_band") == ALL_BANDS,
@@ -254,7 +266,7 @@ def reconstruct(items: DataFrame, chunks: DataFrame, bands: list[str] | None = N
     ).otherwise(F.array(F.struct(F.col("_band").alias("band"), F.col("pixels"))))
     if wanted:
         per_band = F.filter(per_band, lambda b: F.array_contains("wanted_bands", b["band"]))
-    zeros = F.array_repeat(F.lit(0.0), area)
+    zeros = F.array_repeat(F.lit(0).cast(element), area)
     tiles = decoded.withColumn("_b", F.explode(per_band))
     return tiles.select(
         "item_id", *carry, F.col("_b.band").alias("band"), "tile_row", "tile_col", "y_off", "x_off", "h", "w",
@@ -302,7 +314,9 @@ def resample_nearest(pixels: DataFrame, height: int, width: int, target_height:
     ).select(*pixels.columns)
 
 
-def migrate_tiles(items: DataFrame, chunks: DataFrame, tile_size: int = TILE_SIZE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def migrate_tiles(
+    items: DataFrame, chunks: DataFrame, tile_size: int = TILE_SIZE, element: str = "double"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Merge band items of a scene into all-band tiles.
 
     Items not yet in the all-band layout are grouped by scene and resolution;
@@ -324,7 +338,7 @@ def migrate_tiles(items: DataFrame, chunks: DataFrame, tile_size: int = TILE_SIZ
     winners = named.select("new_id", "item_id", "seq", F.explode("band_names").alias("band"))
     winners = last_per_key(winners, ["new_id", "band"], "seq").select("new_id", "item_id", "band")
     read = winners.groupBy("item_id", "new_id").agg(F.collect_set("band").alias("wanted_bands"))
-    tiles = reconstruct(todo.join(read, "item_id"), chunks, carry=("new_id",))
+    tiles = reconstruct(todo.join(read, "item_id"), chunks, carry=("new_id",), element=element)
     merged = stack_bands(retile(tiles, ["new_id", "band"], tile_size), ["new_id"])
 
     lead = first_per_key(named.drop("_scene", "_shape", "chunk_hashes", "band_names", "item_id"), ["new_id"], "seq")

@@ -79,15 +79,19 @@ def trailing_counts(
 ) -> DataFrame:
     """Rows of the same key in the trailing ``w`` seconds (both ends included), this row counted.
 
-    A key's timeline is cut into slices of ``slice_s`` seconds. Each row is
-    also copied into the next slices its window reaches, so every slice can be
-    counted on its own; the copies are dropped afterwards.
+    Rows of one instant are counted first, on the map side. A key's timeline is
+    then cut into slices of ``slice_s`` seconds; each instant is also copied
+    into the next slices its window reaches, so every slice is counted on its
+    own and holds at most two slices' worth of distinct instants, however many
+    rows there are. The counts are joined back to the rows.
     """
     widest = max(windows_s)
     width = max(slice_s or widest, widest) * 1_000_000
     own, reach = floor_div(micros, width), floor_div(F.col(micros) + F.lit(widest * 1_000_000), width)
-    sliced = df.withColumn("_own", own).withColumn("_slice", F.explode(F.sequence(F.col("_own"), reach)))
+    instants = df.groupBy(key, micros).agg(F.count(F.lit(1)).alias("_n"))
+    sliced = instants.withColumn("_own", own).withColumn("_slice", F.explode(F.sequence(F.col("_own"), reach)))
     for seconds, name in zip(windows_s, names):
         span = Window.partitionBy(key, "_slice").orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
-        sliced = sliced.withColumn(name, F.count(F.lit(1)).over(span))
-    return sliced.filter(F.col("_own") == F.col("_slice")).drop("_own", "_slice")
+        sliced = sliced.withColumn(name, F.sum("_n").over(span))
+    counted = sliced.filter(F.col("_own") == F.col("_slice")).select(F.col(key).alias("_k"), F.col(micros).alias("_t"), *names)
+    return df.join(counted, df[key].eqNullSafe(F.col("_k")) & (df[micros] == F.col("_t"))).drop("_k", "_t")

@@ -68,8 +68,8 @@ def _gossip(i: Inputs):
         r AS (SELECT node_id, concat('peer ', node_name) AS node_name, url, CASE WHEN node_id % 8 = 0 THEN NULL ELSE ['landsat-c2-l2'] END AS collections,
                      CASE WHEN node_id % 4 = 0 THEN NULL ELSE item_count + 100 END AS item_count, chunk_count, chunks_bytes FROM full_nodes WHERE node_id % 2 = 0)
         SELECT coalesce(l.node_id, r.node_id) AS node_id, CASE WHEN l.node_id IS NULL THEN r.node_name ELSE l.node_name END AS node_name,
-               CASE WHEN l.node_id IS NULL THEN r.url ELSE l.url END AS url, coalesce(r.collections, l.collections) AS collections,
-               coalesce(r.item_count, l.item_count) AS item_count, coalesce(r.chunk_count, l.chunk_count) AS chunk_count,
+               CASE WHEN l.node_id IS NULL THEN r.url ELSE l.url END AS url, CASE WHEN l.node_id IS NULL THEN coalesce(r.collections, []) ELSE coalesce(r.collections, l.collections) END AS collections,
+               CASE WHEN l.node_id IS NULL THEN coalesce(r.item_count, 0) ELSE coalesce(r.item_count, l.item_count) END AS item_count, coalesce(r.chunk_count, l.chunk_count) AS chunk_count,
                coalesce(r.chunks_bytes, l.chunks_bytes) AS chunks_bytes,
                CASE WHEN r.node_id IS NOT NULL THEN {NOW_SECONDS} ELSE l.last_seen_s END AS last_seen_s, l.node_id IS NULL AS merged
         FROM l FULL JOIN r ON l.node_id = r.node_id""", ("nodes", "node_collections"))

@@ -252,8 +252,8 @@ def _(i: Inputs):
 @query("decode_tile",
     "SELECT scene, band, list(CAST(dn AS DOUBLE) ORDER BY y, x) AS pixels FROM pixels GROUP BY 1, 2", ("pixels",))
 def _(i: Inputs):
-    encoded = tiles.encode_tile(i.tiles.select("scene", "band", "pixels"), "int32")
-    return tiles.decode_tile(encoded, "int32")
+    encoded = tiles.encode_tile(i.tiles.select("scene", "band", "pixels"), "uint16")
+    return tiles.decode_tile(encoded, "uint16")
 
 
 @query("hash_tiles",
@@ -343,7 +343,7 @@ def _(i: Inputs):
 
 def _migrated(i: Inputs):
     items, chunks = archive(i, tiles.BAND_LEVEL)
-    return tiles.migrate_tiles(items.drop("scene"), chunks, 5), chunks
+    return tiles.migrate_tiles(items.drop("scene"), chunks, 5, element="int"), chunks
 
 
 @query("migrate_tiles",

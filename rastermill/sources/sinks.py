@@ -14,8 +14,14 @@ GIB = 1024**3
 def sink_items_upsert(
     stored: DataFrame, updates: DataFrame, collections: DataFrame | None = None, version: str = "version"
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Insert-or-replace by id, the highest ``version`` wins; also the collections after the write."""
-    items = last_per_key(stored.unionByName(updates), ["id"], version)
+    """Insert-or-replace by id; also the collections after the write.
+
+    An update replaces the stored row, and the highest ``version`` wins among
+    updates of one id. Stored rows are only filtered by an anti join, so a small
+    set of updates does not move the catalogue.
+    """
+    newest = last_per_key(updates, ["id"], version)
+    items = stored.join(newest.select("id"), "id", "left_anti").unionByName(newest)
     if collections is None:
         return items, None
     named = updates.select(F.col("collection").alias("id")).distinct()
