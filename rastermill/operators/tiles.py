@@ -229,6 +229,25 @@ def build_item(rasters: DataFrame, tile_size: int = TILE_SIZE) -> DataFrame:
     )
 
 
+def _placed_chunks(items: DataFrame, bands: list[str] | None, carry: tuple[str, ...]) -> DataFrame:
+    """One row per wanted chunk reference with its place in the raster."""
+    if bands is not None:
+        items = items.withColumn("wanted_bands", F.array(*[F.lit(b) for b in bands]))
+    picked = ["wanted_bands"] if "wanted_bands" in items.columns else []
+    kept = ["item_id", *carry, "dtype", "band_names", *picked]
+    lists = items.select(*kept, "width", "height", "tile_size", F.explode("chunk_hashes").alias("_band", "_hashes"))
+    if picked:
+        lists = lists.filter((F.col("_band") == ALL_BANDS) | F.array_contains("wanted_bands", F.col("_band")))
+    refs = lists.select(*kept, "width", "height", "tile_size", "_band", F.posexplode("_hashes").alias("_idx", "sha"))
+    size, cols = F.col("tile_size"), F.ceil(F.col("width") / F.col("tile_size")).cast("int")
+    row, col = _div("_idx", cols), F.col("_idx") % cols
+    return refs.select(
+        *kept, "_band", "sha",
+        row.alias("tile_row"), col.alias("tile_col"), (row * size).alias("y_off"), (col * size).alias("x_off"),
+        F.least(size, F.col("height") - row * size).alias("h"), F.least(size, F.col("width") - col * size).alias("w"),
+    )
+
+
 def reconstruct(
     items: DataFrame, chunks: DataFrame, bands: list[str] | None = None, carry: tuple[str, ...] = (), element: str = "double"
 ) -> DataFrame:
@@ -241,21 +260,8 @@ def reconstruct(
     column ``wanted_bands`` does what ``bands`` does for all. ``carry`` names
     item columns to keep beside each tile.
     """
-    if bands is not None:
-        items = items.withColumn("wanted_bands", F.array(*[F.lit(b) for b in bands]))
-    wanted = "wanted_bands" in items.columns
-    meta = ["item_id", *carry, "width", "height", "tile_size", "dtype", "band_names", *(["wanted_bands"] if wanted else [])]
-    lists = items.select(*meta, F.explode("chunk_hashes").alias("_band", "_hashes"))
-    if wanted:
-        lists = lists.filter((F.col("_band") == ALL_BANDS) | F.array_contains("wanted_bands", F.col("_band")))
-    refs = lists.select(*meta, "_band", F.posexplode("_hashes").alias("_idx", "sha"))
-    size, cols = F.col("tile_size"), F.ceil(F.col("width") / F.col("tile_size")).cast("int")
-    row, col = _div("_idx", cols), F.col("_idx") % cols
-    placed = refs.select(
-        "item_id", *carry, "dtype", "band_names", *(["wanted_bands"] if wanted else []), "_band", "sha",
-        row.alias("tile_row"), col.alias("tile_col"), (row * size).alias("y_off"), (col * size).alias("x_off"),
-        F.least(size, F.col("height") - row * size).alias("h"), F.least(size, F.col("width") - col * size).alias("w"),
-    )
+    placed = _placed_chunks(items, bands, carry)
+    wanted = "wanted_bands" in placed.columns
     decoded = decode_tile(placed.join(chunks.select("sha", "data"), "sha", "left"), element=element)
     area = F.col("h") * F.col("w")
     per_band = F.when(
@@ -314,38 +320,96 @@ def resample_nearest(pixels: DataFrame, height: int, width: int, target_height:
     ).select(*pixels.columns)
 
 
-def migrate_tiles(
-    items: DataFrame, chunks: DataFrame, tile_size: int = TILE_SIZE, element: str = "double"
-) -> tuple[DataFrame, DataFrame, DataFrame]:
+# Bytes per pixel of the numpy types rasters come in.
+PIXEL_BYTES = {
+    "uint8": 1, "int8": 1, "uint16": 2, "int16": 2, "uint32": 4, "int32": 4, "float32": 4, "uint64": 8, "int64": 8, "float64": 8,
+}
+
+
+def _pixel_bytes(dtype: str) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in PIXEL_BYTES.items() for x in kv]), F.col(dtype))
+
+
+@F.pandas_udf(T.StringType())
+def common_type(types: pd.Series) -> pd.Series:
+    """Numpy type that holds all the given types (one list per raster, not per pixel)."""
+    return types.apply(lambda names: str(np.result_type(*names)))
+
+
+def band_bytes(items: DataFrame, chunks: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Bytes of each wanted band's tiles, without decoding; a missing chunk gives null ``data``."""
+    joined = _placed_chunks(items, None, carry).join(chunks.select("sha", "data"), "sha", "left")
+    area = F.col("h") * F.col("w") * _pixel_bytes("dtype")
+    planes = F.transform("band_names", lambda b, i: F.struct(b.alias("band"), (i * area).alias("from")))
+    planes = F.when(F.col("_band") == ALL_BANDS, planes).otherwise(
+        F.array(F.struct(F.col("_band").alias("band"), F.lit(0).alias("from")))
+    )
+    planes = F.filter(planes, lambda p: F.array_contains("wanted_bands", p["band"]))
+    cut = joined.withColumn("_p", F.explode(planes))
+    return cut.select(
+        "item_id", *carry, "dtype", F.col("_p.band").alias("band"), "y_off", "x_off", "h", "w",
+        F.substring("data", F.col("_p.from") + 1, area).alias("data"),
+    )
+
+
+def convert_bytes(planes: DataFrame, target: str) -> DataFrame:
+    """Bytes of every plane in the type named by column ``target``; planes already in it are passed on as they are."""
+    columns = [c for c in planes.columns if c != "dtype"]
+    differs = (F.col("dtype") != F.col(target)) & F.col("data").isNotNull()
+    recoded = encode_tile(decode_tile(planes.filter(differs)).withColumn("dtype", F.col(target)), None)
+    zeros = F.unhex(F.repeat(F.lit("00"), F.col("h") * F.col("w") * _pixel_bytes(target)))
+    same = planes.filter(~differs).withColumn("data", F.coalesce("data", zeros))
+    return same.select(*columns).unionByName(recoded.select(*columns))
+
+
+def retile_bytes(planes: DataFrame, keys: list[str], dtype: str, tile_size: int = TILE_SIZE) -> DataFrame:
+    """Like ``retile`` on raw single-band bytes: lines are cut and joined as bytes, no pixel is decoded."""
+    lines = planes.withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
+    first, last = _div("x_off", tile_size), _div(F.col("x_off") + F.col("w") - 1, tile_size)
+    lines = lines.withColumn("tile_col", F.explode(F.sequence(first, last)))
+    start = F.greatest(F.col("x_off"), F.col("tile_col") * tile_size)
+    stop = F.least(F.col("x_off") + F.col("w"), (F.col("tile_col") + 1) * tile_size)
+    size = _pixel_bytes(dtype)
+    fragments = lines.select(
+        *keys, "tile_col", (F.col("y_off") + F.col("_r")).cast("int").alias("_y"), start.alias("_x"),
+        F.substring("data", (F.col("_r") * F.col("w") + start - F.col("x_off")) * size + 1, (stop - start) * size).alias("_v"),
+    ).withColumn("tile_row", _div("_y", tile_size))
+    return fragments.groupBy(*keys, "tile_row", "tile_col").agg(F.expr("listagg(_v) WITHIN GROUP (ORDER BY _y, _x)").alias("data"))
+
+
+def migrate_tiles(items: DataFrame, chunks: DataFrame, tile_size: int = TILE_SIZE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Merge band items of a scene into all-band tiles.
 
     Items not yet in the all-band layout are grouped by scene and resolution;
-    where two items carry the same band the later one (``seq``) wins. Returns
-    the items after the change, the chunks to add, and the moves
-    (item_id, new_id). A group of one keeps its id; a scene with several
-    resolutions gets the resolution in its new ids.
+    where two items carry the same band the later one (``seq``) wins, and bands
+    of different pixel types meet in a type that holds them all. Returns the
+    items after the change, the chunks to add, and the moves (item_id, new_id).
+    A group of one keeps its id; a scene with several resolutions gets the
+    resolution in its new ids. Tiles are cut and stacked as bytes.
     """
     todo = items.filter(F.col("chunk_format") != SPATIAL)
     scene = scene_key("item_id")
     shape = F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"))
     todo = todo.withColumn("_scene", F.coalesce(scene, F.col("item_id"))).withColumn("_shape", shape)
-    groups = todo.groupBy("_scene", "_shape").agg(F.count(F.lit(1)).alias("_n"), F.min("item_id").alias("_only"))
+    groups = todo.groupBy("_scene", "_shape").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("item_id").alias("_only"), F.collect_set("dtype").alias("_types")
+    )
     shapes = groups.groupBy("_scene").agg(F.count(F.lit(1)).alias("_shapes"))
     new_id = F.when(F.col("_n") == 1, F.col("_only")).when(F.col("_shapes") > 1, F.concat_ws("_", "_scene", "_shape")).otherwise(F.col("_scene"))
-    named = todo.join(groups.join(shapes, "_scene").select("_scene", "_shape", new_id.alias("new_id")), ["_scene", "_shape"])
+    groups = groups.join(shapes, "_scene").select("_scene", "_shape", new_id.alias("new_id"), common_type("_types").alias("new_type"))
+    named = todo.join(groups, ["_scene", "_shape"])
 
     # one winner per band, settled on item rows before any bytes are read
     winners = named.select("new_id", "item_id", "seq", F.explode("band_names").alias("band"))
     winners = last_per_key(winners, ["new_id", "band"], "seq").select("new_id", "item_id", "band")
-    read = winners.groupBy("item_id", "new_id").agg(F.collect_set("band").alias("wanted_bands"))
-    tiles = reconstruct(todo.join(read, "item_id"), chunks, carry=("new_id",), element=element)
-    merged = stack_bands(retile(tiles, ["new_id", "band"], tile_size), ["new_id"])
+    read = winners.groupBy("item_id").agg(F.collect_set("band").alias("wanted_bands"))
+    planes = band_bytes(named.join(read, "item_id"), chunks, carry=("new_id", "new_type"))
+    cut = retile_bytes(convert_bytes(planes, "new_type"), ["new_id", "new_type", "band"], "new_type", tile_size)
+    stacked = cut.groupBy("new_id", "tile_row", "tile_col").agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY band)").alias("data"))
 
     lead = first_per_key(named.drop("_scene", "_shape", "chunk_hashes", "band_names", "item_id"), ["new_id"], "seq")
-    kinds = lead.select("new_id", "dtype", "width")
-    by_kind = merged.join(kinds, "new_id").drop("bands")
-    encoded = encode_tile(by_kind, None)
-    fresh, lists = hash_tiles(encoded, ["new_id"], F.ceil(F.col("width") / tile_size).cast("int"))
+    tiles = stacked.join(lead.select("new_id", "width"), "new_id")
+    fresh, lists = hash_tiles(tiles, ["new_id"], F.ceil(F.col("width") / tile_size).cast("int"))
     fresh = fresh.join(chunks.select("sha"), "sha", "left_anti")
     names = winners.groupBy("new_id").agg(F.sort_array(F.collect_set("band")).alias("band_names"))
     rebuilt = (
@@ -353,6 +417,7 @@ def migrate_tiles(
         .withColumns(
             {
                 "item_id": F.col("new_id"),
+                "dtype": F.col("new_type"),
                 "chunk_format": F.lit(SPATIAL),
                 "tile_size": F.lit(tile_size),
                 "chunk_hashes": F.create_map(F.lit(ALL_BANDS), F.col("hashes")),

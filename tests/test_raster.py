@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from rastermill.operators import indices, tiles
 from rastermill.plans import cube as plans
+from rastermill.session import pin
 
 KEYS = ["item_id", "band"]
 
@@ -202,20 +203,22 @@ def test_migration(spark):
     a, b, late = (np.arange(k, k + 25).reshape(5, 5) for k in (1, 100, 1000))
     coarse = np.arange(4).reshape(2, 2)
 
-    def legacy(item, band, array, seq, layout=tiles.BAND_LEVEL):
-        items, chunks = archive(spark, {band: array}, 2, layout)
+    def legacy(item, band, array, seq, layout=tiles.BAND_LEVEL, dtype="uint16"):
+        items, chunks = archive(spark, {band: array}, 2, layout, dtype)
         return items.withColumns({"item_id": F.lit(item), "chunk_format": F.lit(layout), "seq": F.lit(seq)}), chunks
 
     parts = [
-        legacy("S2_T32TPT_20240709_B04", "B04", a, 0), legacy("S2_T32TPT_20240709_B08", "B08", b, 1), legacy("S2_T32TPT_20240709_B04x", "B04", late, 2),
+        legacy("S2_T32TPT_20240709_B04", "B04", a, 0), legacy("S2_T32TPT_20240709_B08", "B08", b, 1, tiles.LEGACY, "uint8"), legacy("S2_T32TPT_20240709_B04x", "B04", late, 2),
         legacy("S2_T32TPT_20240709_B11", "B11", coarse, 3), legacy("alone", "B02", a, 4), legacy("done", "B02", a, 5, tiles.SPATIAL),
     ]
     items, chunks = parts[0]
     for more_items, more_chunks in parts[1:]:
         items, chunks = items.unionByName(more_items), chunks.unionByName(more_chunks)
-    chunks = chunks.dropDuplicates(["sha"])
+    items, chunks = pin(items), pin(chunks.dropDuplicates(["sha"]))
     after, fresh, moves = tiles.migrate_tiles(items, chunks, 3)
+    after, fresh = pin(after), pin(fresh)
     assert {r.item_id for r in after.collect()} == {"T32TPT_20240709_5x5", "S2_T32TPT_20240709_B11", "alone", "done"}
+    assert {r.item_id: r.dtype for r in after.collect()}["T32TPT_20240709_5x5"] == "uint16"
     assert {r.new_id for r in moves.collect()} == {"T32TPT_20240709_5x5", "S2_T32TPT_20240709_B11", "alone"}
     store = chunks.select("sha", "data").unionByName(fresh.select("sha", "data"))
     rebuilt = tiles.explode_pixels(tiles.reconstruct(after, store), KEYS)
