@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from rastermill.functions.geo import pixel_centre, pixel_middle
 from rastermill.functions.text import scene_key
 from rastermill.plans.pick import first_per_key, last_per_key
+from rastermill.session import pin
 from rastermill.sources.sinks import content_hash
 
 # Default tile edge and chunk layouts.
@@ -403,15 +404,18 @@ def migrate_tiles(items: DataFrame, chunks: DataFrame, tile_size: int = TILE_SIZ
     winners = named.select("new_id", "item_id", "seq", F.explode("band_names").alias("band"))
     winners = last_per_key(winners, ["new_id", "band"], "seq").select("new_id", "item_id", "band")
     read = winners.groupBy("item_id").agg(F.collect_set("band").alias("wanted_bands"))
-    planes = band_bytes(named.join(read, "item_id"), chunks, carry=("new_id", "new_type"))
+    # the decisions are item rows only; written once, they are read by every step below
+    named = pin(named.join(read, "item_id", "left"))
+    planes = band_bytes(named.filter(F.col("wanted_bands").isNotNull()), chunks, carry=("new_id", "new_type"))
     cut = retile_bytes(convert_bytes(planes, "new_type"), ["new_id", "new_type", "band"], "new_type", tile_size)
     stacked = cut.groupBy("new_id", "tile_row", "tile_col").agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY band)").alias("data"))
 
-    lead = first_per_key(named.drop("_scene", "_shape", "chunk_hashes", "band_names", "item_id"), ["new_id"], "seq")
+    lead = first_per_key(named.drop("_scene", "_shape", "chunk_hashes", "band_names", "item_id", "wanted_bands"), ["new_id"], "seq")
     tiles = stacked.join(lead.select("new_id", "width"), "new_id")
     fresh, lists = hash_tiles(tiles, ["new_id"], F.ceil(F.col("width") / tile_size).cast("int"))
     fresh = fresh.join(chunks.select("sha"), "sha", "left_anti")
-    names = winners.groupBy("new_id").agg(F.sort_array(F.collect_set("band")).alias("band_names"))
+    names = named.select("new_id", F.explode("wanted_bands").alias("band"))
+    names = names.groupBy("new_id").agg(F.sort_array(F.collect_set("band")).alias("band_names"))
     rebuilt = (
         lead.join(names, "new_id").join(lists, "new_id")
         .withColumns(
