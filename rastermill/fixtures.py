@@ -43,10 +43,10 @@ PORTABLE = {
         SELECT l_orderkey AS item_no, l_linenumber AS tile_no, MIN(l_partkey) AS chunk_no
         FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
     "stored": """
-        SELECT p_partkey AS chunk_no, CAST(p_size AS BIGINT)*1000 AS bytes FROM {part} WHERE p_partkey % 10 <> 0
+        SELECT p_partkey AS chunk_no, CAST(p_size AS BIGINT)*1000 AS bytes FROM {part} WHERE p_size > 5
         UNION ALL SELECT 10000000 + s_suppkey, CAST(500 AS BIGINT) FROM {supplier}""",
     "placements": """
-        SELECT DISTINCT l_partkey AS chunk_no, l_suppkey % 12 AS node_no FROM {lineitem} WHERE l_orderkey % 16 = 0""",
+        SELECT DISTINCT l_partkey AS chunk_no, (l_partkey + l_linenumber % (1 + l_partkey % 7)) % 12 AS node_no FROM {lineitem}""",
     "nodes": f"""
         SELECT s_suppkey AS node_id, s_name AS node_name, {NOW_SECONDS} - (s_suppkey*7) % 600 AS last_seen_s,
                CAST(floor(s_acctbal) AS BIGINT) AS chunks_bytes, s_suppkey % 5 AS item_count,
@@ -75,12 +75,12 @@ PORTABLE = {
         FROM {events}""",
     "users_local": """
         SELECT c_custkey AS user_id, c_name AS username, 1000 + c_custkey % 50 AS updated_at, TRUE AS active
-        FROM {customer} WHERE c_custkey % 3 <> 0""",
+        FROM {customer} WHERE c_mktsegment <> 'MACHINERY'""",
     "users_remote": """
         SELECT c_custkey AS user_id,
                CASE WHEN c_custkey % 60 = 0 THEN 'Customer#000000001' ELSE c_name END AS username,
                1010 + c_custkey % 35 AS updated_at, c_custkey % 4 <> 0 AS active
-        FROM {customer} WHERE c_custkey % 2 = 0""",
+        FROM {customer} WHERE c_acctbal >= 4000""",
     "products": """
         SELECT p_partkey AS product_id, p_type AS product_type, CAST(p_size*2 AS DOUBLE) AS cloud_cover,
                CAST(p_partkey % 340 - 170 AS DOUBLE) AS west, CAST((p_partkey*3) % 160 - 80 AS DOUBLE) AS south,

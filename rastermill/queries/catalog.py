@@ -10,14 +10,31 @@ from rastermill.functions.times import normalise_end
 from rastermill.operators import bands, coverage, search
 from rastermill.registry import query
 from rastermill.sources import sinks
+from rastermill.sources.readers import decode_items, decode_products
 
 ITEM_COLUMNS = ["id", "collection", "bbox_west", "bbox_south", "bbox_east", "bbox_north", "datetime", "width", "seq"]
 ITEM_SQL = ", ".join(ITEM_COLUMNS)
 
 
-@query("src_items", f"SELECT {ITEM_SQL} FROM items", ("items",))
+@query(
+    "src_items",
+    """SELECT id, collection, bbox_west, bbox_south, bbox_east, bbox_north, datetime, CAST(strptime(datetime, '%Y-%m-%dT%H:%M:%SZ') AS TIMESTAMP) AS dt,
+              width, ['B04'] AS band_names, CASE WHEN width = 1830 THEN '*' ELSE 'B04' END AS hash_band, sha256(id) AS sha FROM items""",
+    ("items",),
+)
 def _(i: Inputs):
-    return i.items.select(*ITEM_COLUMNS)
+    properties = F.struct("datetime", F.col("width").alias("grid:width"), F.array(F.lit("B04")).alias("grid:band_names"))
+    hashes = F.array(F.sha2("id", 256))
+    rows = i.items.select(
+        "id", "collection", "bbox_west", "bbox_south", "bbox_east", "bbox_north", "datetime", F.to_json(properties).alias("properties_json"),
+        F.when(F.col("width") == 1830, F.to_json(hashes)).otherwise(F.to_json(F.create_map(F.lit("B04"), hashes))).alias("chunk_hashes_json"),
+    )
+    decoded = decode_items(rows)
+    return decoded.select(
+        "id", "collection", "bbox_west", "bbox_south", "bbox_east", "bbox_north", "datetime", F.col("dt").cast("timestamp_ntz").alias("dt"),
+        "properties.width", "properties.band_names", F.get(F.map_keys("chunk_hashes"), F.lit(0)).alias("hash_band"),
+        F.get(F.flatten(F.map_values("chunk_hashes")), F.lit(0)).alias("sha"),
+    )
 
 
 @query(
@@ -223,8 +240,6 @@ def _(i: Inputs):
     ("products",),
 )
 def _(i: Inputs):
-    from rastermill.sources.readers import decode_products
-
     attribute = lambda name, value: F.struct(F.lit(name).alias("Name"), value.cast("string").alias("Value"))
     with_cloud = F.array(attribute("orbit", F.col("product_id")), attribute("cloudCover", F.col("cloud_cover")))
     listing = i.products.select(
@@ -501,13 +516,13 @@ def _(i: Inputs):
 
 @query(
     "sink_items_upsert",
-    f"""SELECT id, CASE WHEN seq % 3 = 0 AND seq < 9000 THEN 'reprocessed' ELSE collection END AS collection, datetime FROM items
+    f"""SELECT id, CASE WHEN width = 1830 THEN 'reprocessed' ELSE collection END AS collection, datetime FROM items
         UNION ALL SELECT concat('new-', CAST(c_custkey AS STRING)), 'fresh', '2024-01-01T00:00:00Z' FROM customer""",
     ("items",),
 )
 def _(i: Inputs):
     stored = i.items.select("id", "collection", "datetime").withColumn("version", F.lit(0).cast("bigint"))
-    changed = i.items.filter("seq % 3 = 0 AND seq < 9000")
+    changed = i.items.filter("width = 1830")
     updates = changed.select("id", F.lit("draft").alias("collection"), "datetime", F.lit(1).cast("bigint").alias("version"))
     updates = updates.unionByName(
         changed.select("id", F.lit("reprocessed").alias("collection"), "datetime", F.lit(2).cast("bigint").alias("version"))

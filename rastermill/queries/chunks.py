@@ -134,12 +134,12 @@ def _(i: Inputs):
 
 
 def _verify_inputs(i: Inputs):
-    held = i.chunks.filter("doc_id % 13 <> 0").select(F.col("claimed_sha").alias("sha"), "data").dropDuplicates(["sha"])
+    held = i.chunks.filter("source <> 'src7'").select(F.col("claimed_sha").alias("sha"), "data").dropDuplicates(["sha"])
     refs = i.chunks.select((F.col("doc_id") % 97).alias("item_id"), F.col("claimed_sha").alias("sha"))
     return refs, held
 
 
-VERIFY = """held AS (SELECT claimed_sha, bool_and(claimed_sha = sha) AS ok FROM chunks WHERE doc_id % 13 <> 0 GROUP BY claimed_sha),
+VERIFY = """held AS (SELECT claimed_sha, bool_and(claimed_sha = sha) AS ok FROM chunks WHERE source <> 'src7' GROUP BY claimed_sha),
    v AS (SELECT doc_id % 97 AS item_id, count(*) AS total, count(*) FILTER (ok) AS valid, count(*) FILTER (NOT ok) AS corrupted,
                 count(*) FILTER (ok IS NULL) AS missing FROM chunks c LEFT JOIN held h ON c.claimed_sha = h.claimed_sha GROUP BY 1)"""
 
@@ -187,14 +187,14 @@ def _(i: Inputs):
 
 
 def _sync_inputs(i: Inputs):
-    local = i.items.filter("seq % 4 <> 1 AND collection <> 'landsat-c2-l2'").select("id", "collection")
-    remote = i.items.filter("seq % 5 <> 2").select("id", "collection")
+    local = i.items.filter("width > 1830 AND collection <> 'landsat-c2-l2'").select("id", "collection")
+    remote = i.items.filter("datetime >= '1994'").select("id", "collection")
     refs = _refs(i).withColumn("item_id", F.concat(F.lit("item-"), F.col("item_id").cast("string")))
     return local, remote, refs.join(remote.select(F.col("id").alias("item_id")), "item_id", "left_semi")
 
 
-SYNC = """loc AS (SELECT id, collection FROM items WHERE seq % 4 <> 1 AND collection <> 'landsat-c2-l2'),
-   rem AS (SELECT id, collection FROM items WHERE seq % 5 <> 2),
+SYNC = """loc AS (SELECT id, collection FROM items WHERE width > 1830 AND collection <> 'landsat-c2-l2'),
+   rem AS (SELECT id, collection FROM items WHERE datetime >= '1994'),
    cnt AS (SELECT concat('item-', CAST(item_no AS STRING)) AS id, count(*) AS total, count(*) FILTER (s.chunk_no IS NULL) AS missing
            FROM item_chunks c LEFT JOIN stored s ON c.chunk_no = s.chunk_no GROUP BY 1),
    st AS (SELECT rem.id, rem.collection, coalesce(total,0) AS total, coalesce(missing,0) AS missing,
@@ -220,16 +220,16 @@ def _(i: Inputs):
 
 
 def _apply_inputs(i: Inputs):
-    local_chunks = i.chunks.filter("doc_id % 3 = 0").select(F.col("claimed_sha").alias("sha"), "data").dropDuplicates(["sha"])
-    remote_chunks = i.chunks.filter("doc_id % 7 <> 0").select(F.col("claimed_sha").alias("sha"), "data").dropDuplicates(["sha"])
+    local_chunks = i.chunks.filter("lang <> 'en'").select(F.col("claimed_sha").alias("sha"), "data").dropDuplicates(["sha"])
+    remote_chunks = i.chunks.filter("source <> 'src3'").select(F.col("claimed_sha").alias("sha"), "data").dropDuplicates(["sha"])
     refs = i.chunks.select((F.col("doc_id") % 97).alias("item_id"), F.col("claimed_sha").alias("sha"))
     remote_items = refs.select(F.col("item_id").alias("id")).distinct().withColumn("origin", F.lit("remote"))
-    local_items = remote_items.filter("id % 2 = 0").withColumn("origin", F.lit("local"))
+    local_items = i.chunks.filter("lang = 'es'").select((F.col("doc_id") % 97).alias("id"), F.lit("local").alias("origin")).distinct()
     return local_items, local_chunks, remote_items, refs, remote_chunks
 
 
-APPLY = """loc AS (SELECT DISTINCT claimed_sha AS c FROM chunks WHERE doc_id % 3 = 0),
-   rem AS (SELECT claimed_sha AS c, bool_and(claimed_sha = sha) AS ok FROM chunks WHERE doc_id % 7 <> 0 GROUP BY 1),
+APPLY = """loc AS (SELECT DISTINCT claimed_sha AS c FROM chunks WHERE lang <> 'en'),
+   rem AS (SELECT claimed_sha AS c, bool_and(claimed_sha = sha) AS ok FROM chunks WHERE source <> 'src3' GROUP BY 1),
    lacking AS (SELECT doc_id % 97 AS item, claimed_sha AS c FROM chunks WHERE claimed_sha NOT IN (SELECT c FROM loc)),
    wanted AS (SELECT DISTINCT c FROM lacking)"""
 
@@ -240,7 +240,7 @@ def _(i: Inputs):
 
 
 @query("sync_apply_items",
-    f"""WITH {APPLY} SELECT id, CASE WHEN id % 2 = 0 AND id NOT IN (SELECT item FROM lacking) THEN 'local' ELSE 'remote' END AS origin
+    f"""WITH {APPLY} SELECT id, CASE WHEN id IN (SELECT doc_id % 97 FROM documents WHERE lang = 'es') AND id NOT IN (SELECT item FROM lacking) THEN 'local' ELSE 'remote' END AS origin
         FROM (SELECT DISTINCT doc_id % 97 AS id FROM documents)""", ("chunks",))
 def _(i: Inputs):
     return chunks.sync_apply(*_apply_inputs(i))[0].select("id", "origin")

@@ -51,8 +51,8 @@ def _(i: Inputs):
 
 
 def _gossip(i: Inputs):
-    local = nodes_with_collections(i).filter("node_id % 3 <> 0")
-    remote = nodes_with_collections(i).filter("node_id % 2 = 0").withColumns(
+    local = nodes_with_collections(i).filter("url IS NOT NULL")
+    remote = nodes_with_collections(i).filter("chunks_bytes > 3000").withColumns(
         {
             "node_name": F.concat(F.lit("peer "), "node_name"),
             "item_count": F.when(F.col("node_id") % 4 == 0, None).otherwise(F.col("item_count") + 100),
@@ -64,9 +64,9 @@ def _gossip(i: Inputs):
 
 @query("gossip_merge",
     f"""WITH full_nodes AS (SELECT n.*, (SELECT list_sort(list(collection)) FROM node_collections c WHERE c.node_id = n.node_id) AS collections FROM nodes n),
-        l AS (SELECT * FROM full_nodes WHERE node_id % 3 <> 0),
+        l AS (SELECT * FROM full_nodes WHERE url IS NOT NULL),
         r AS (SELECT node_id, concat('peer ', node_name) AS node_name, url, CASE WHEN node_id % 8 = 0 THEN NULL ELSE ['landsat-c2-l2'] END AS collections,
-                     CASE WHEN node_id % 4 = 0 THEN NULL ELSE item_count + 100 END AS item_count, chunk_count, chunks_bytes FROM full_nodes WHERE node_id % 2 = 0)
+                     CASE WHEN node_id % 4 = 0 THEN NULL ELSE item_count + 100 END AS item_count, chunk_count, chunks_bytes FROM full_nodes WHERE chunks_bytes > 3000)
         SELECT coalesce(l.node_id, r.node_id) AS node_id, CASE WHEN l.node_id IS NULL THEN r.node_name ELSE l.node_name END AS node_name,
                CASE WHEN l.node_id IS NULL THEN r.url ELSE l.url END AS url, CASE WHEN l.node_id IS NULL THEN coalesce(r.collections, []) ELSE coalesce(r.collections, l.collections) END AS collections,
                CASE WHEN l.node_id IS NULL THEN coalesce(r.item_count, 0) ELSE coalesce(r.item_count, l.item_count) END AS item_count, coalesce(r.chunk_count, l.chunk_count) AS chunk_count,
@@ -77,14 +77,14 @@ def _(i: Inputs):
     return network.gossip_merge(*_gossip(i), NOW_SECONDS)
 
 
-@query("gossip_merge_count", "SELECT count(*) AS merged FROM nodes WHERE node_id % 2 = 0 AND node_id % 3 = 0", ("nodes",))
+@query("gossip_merge_count", "SELECT count(*) AS merged FROM nodes WHERE chunks_bytes > 3000 AND url IS NULL", ("nodes",))
 def _(i: Inputs):
     return network.gossip_merge(*_gossip(i), NOW_SECONDS).agg(F.count_if(F.col("merged")).alias("merged"))
 
 
-@query("discover_peers", "SELECT DISTINCT url FROM nodes WHERE url IS NOT NULL AND node_id % 3 <> 0 AND url <> 'n7'", ("nodes",))
+@query("discover_peers", "SELECT DISTINCT url FROM nodes WHERE url IS NOT NULL AND item_count <> 0 AND url <> 'n7'", ("nodes",))
 def _(i: Inputs):
-    known = i.nodes.filter("node_id % 3 = 0").select("url")
+    known = i.nodes.filter("item_count = 0").select("url")
     remote = i.nodes.select(F.concat("url", F.lit("/")).alias("url"))
     return network.discover_peers(known, remote, "n7")
 

@@ -86,11 +86,11 @@ def _(i: Inputs):
 
 
 @query("st_new_items_sync",
-    """SELECT DISTINCT claimed_sha AS sha FROM chunks WHERE claimed_sha = sha AND doc_id % 7 <> 3
+    """SELECT DISTINCT claimed_sha AS sha FROM chunks WHERE claimed_sha = sha AND source <> 'src3'
        AND claimed_sha IN (SELECT claimed_sha FROM chunks WHERE lang = 'en')""", ("chunks",))
 def _(i: Inputs):
     refs = i.chunks.select(F.col("doc_id").alias("item_id"), F.col("claimed_sha").alias("sha"))
-    remote = i.chunks.filter("doc_id % 7 <> 3").select(F.col("claimed_sha").alias("sha"), "data")
+    remote = i.chunks.filter("source <> 'src3'").select(F.col("claimed_sha").alias("sha"), "data")
     notices = document_stream(i).filter("lang = 'en'").select(F.col("doc_id").alias("item_id"))
     folder = run.work_folder(i.spark)
     run.finish(merges.st_new_items_sync(notices, refs, remote, f"{folder}/chunks", f"{folder}/progress", available_now=True))
