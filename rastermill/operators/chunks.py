@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastermill.functions.times import moment
-from rastermill.operators.search import batch_bbox_search
+from rastermill.operators.search import batch_bbox_search, open_period
 from rastermill.plans.lookup import lookup_join
 from rastermill.plans.ordered import running_sum
 from rastermill.plans.pick import first_per_key
@@ -218,6 +218,7 @@ def validate_report(requests: DataFrame, items: DataFrame, refs: DataFrame, stor
     Chunk counts are made once per item and travel with the item through the
     area join, so a popular item is never looked up again.
     """
+    requests = open_period(requests)
     per_item = chunk_availability(refs, store).groupBy("item_id").agg(
         F.count_if(F.col("local")).alias("l"), F.count_if(~F.col("local")).alias("m")
     )

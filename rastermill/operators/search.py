@@ -195,6 +195,20 @@ def batch_bbox_search(
     return pairs.select("request_id", "item_id", "datetime", *extra, *carry)
 
 
+def open_period(requests: DataFrame) -> DataFrame:
+    """Fill open ends (null, empty or ``..``) of date_from and date_to; a date-only end covers its day."""
+
+    def given(name: str):
+        return F.when(~F.col(name).isin("", ".."), F.col(name))
+
+    return requests.withColumns(
+        {
+            "date_from": F.coalesce(given("date_from"), F.lit("")),
+            "date_to": F.coalesce(normalise_end(given("date_to")), F.lit("9999-12-31T23:59:59.999999Z")),
+        }
+    )
+
+
 def search_fallback(requests: DataFrame, items: DataFrame, limit: int = FALLBACK_LIMIT) -> DataFrame:
     """Per request (request_id, item_id, step): step 0 box and period, 1 period only, 2 collection only.
 
@@ -203,13 +217,14 @@ def search_fallback(requests: DataFrame, items: DataFrame, limit: int = FALLBACK
     collection: step 2 reads one ranked list per collection, step 1 first works
     out from daily counts which days can reach the list.
     """
-    requests = requests.withColumn("date_to", normalise_end("date_to"))
+    requests = open_period(requests)
     in_period = (F.col("datetime") >= F.col("date_from")) & (F.col("datetime") <= F.col("date_to"))
     exact = batch_bbox_search(requests, items, same_collection=True).filter(in_period)
-    # the left join feeds both the answer and the open requests from one shuffle
-    exact = requests.join(exact.select("request_id", "item_id"), "request_id", "left")
-    answered = exact.filter(F.col("item_id").isNotNull()).select("request_id", "item_id", F.lit(0).alias("step"))
-    open_requests = exact.filter(F.col("item_id").isNull()).select("request_id", "collection", "date_from", "date_to")
+    answered = exact.select("request_id", "item_id", F.lit(0).alias("step"))
+    # one row per answered request, combined on the map side: a request may match most items
+    hits = exact.groupBy("request_id").agg(F.max("item_id").alias("_hit"))
+    open_requests = requests.join(hits, "request_id", "left").filter(F.col("_hit").isNull())
+    open_requests = open_requests.select("request_id", "collection", "date_from", "date_to")
 
     slim = items.select(F.col("id").alias("item_id"), "collection", "datetime", F.substring("datetime", 1, 10).alias("day"))
     days = slim.groupBy("collection", "day").agg(F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rastermill.fixtures import NOW, Inputs
-from rastermill.functions.times import normalise_end
 from rastermill.operators import chunks, search
 from rastermill.registry import query
 from rastermill.sources import readers, sinks
@@ -272,4 +271,4 @@ def _(i: Inputs):
               coalesce(m,0) > 0 AS needs_download FROM aois LEFT JOIN s USING (request_id)""", ("aois", "items", "item_chunks", "stored"))
 def _(i: Inputs):
     refs = _refs(i).withColumn("item_id", F.concat(F.lit("item-"), F.col("item_id").cast("string")))
-    return chunks.validate_report(i.aois.withColumn("date_to", normalise_end("date_to")), i.items, refs, _store(i))
+    return chunks.validate_report(i.aois, i.items, refs, _store(i))

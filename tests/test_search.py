@@ -85,6 +85,8 @@ def test_fallback_steps(spark):
     )
     got = {tuple(r) for r in search.search_fallback(requests, df).collect()}
     assert got == {(1, "near", 0), (2, "near", 1), (2, "far", 1), (3, "near", 2), (3, "far", 2), (3, "old", 2)}
+    ends = requests.filter("request_id = 1").withColumns({"date_from": F.lit(None).cast("string"), "date_to": F.lit("..")})
+    assert [tuple(r) for r in search.search_fallback(ends, df).collect()] == [(1, "near", 0)]
     limited = {tuple(r) for r in search.search_fallback(requests, df, limit=1).collect()}
     assert limited == {(1, "near", 0), (2, "far", 1), (3, "far", 2)}
 
