@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from rastermill.operators import flow
+from rastermill.operators.flow import BURST, BURST_S, EXEMPT_PATHS, MAX_CONSECUTIVE_FAILS, MINUTE_S, REQUESTS_PER_MINUTE, admit
 from rastermill.streaming.run import timed
 
 WATERMARK = "10 minutes"
@@ -21,8 +21,8 @@ def _in_order(chunks: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
 
 
 def st_rate_limit(
-    stream: DataFrame, rpm: int = flow.REQUESTS_PER_MINUTE, burst: int = flow.BURST,
-    minute_s: int = flow.MINUTE_S, burst_s: int = flow.BURST_S, watermark: str = WATERMARK,
+    stream: DataFrame, rpm: int = REQUESTS_PER_MINUTE, burst: int = BURST,
+    minute_s: int = MINUTE_S, burst_s: int = BURST_S, watermark: str = WATERMARK,
 ) -> DataFrame:
     """(client, seq, admitted) per request; the state is at most ``rpm`` admitted times and expires with the window."""
     minute_us, burst_us = minute_s * 1_000_000, burst_s * 1_000_000
@@ -33,14 +33,14 @@ def st_rate_limit(
             return
         admitted = list(state.get[0]) if state.exists else []
         rows = _in_order(chunks, ["us", "seq"])
-        verdicts = flow.admit(rows["us"].to_numpy(), admitted, rpm, burst, minute_us, burst_us)
+        verdicts = admit(rows["us"].to_numpy(), admitted, rpm, burst, minute_us, burst_us)
         state.update((admitted,))
         if admitted:
             expiry = admitted[-1] // 1000 + max(minute_s, burst_s) * 1000 + 1
             state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"client": [key[0]] * len(rows), "seq": rows["seq"].to_numpy(), "admitted": verdicts})
 
-    limited = timed(stream, watermark).filter(~F.col("path").isin(*flow.EXEMPT_PATHS))
+    limited = timed(stream, watermark).filter(~F.col("path").isin(*EXEMPT_PATHS))
     return (
         limited.select("client", "seq", "ts", F.unix_micros("ts").alias("us")).groupBy("client")
         .applyInPandasWithState(
@@ -49,7 +49,7 @@ def st_rate_limit(
     )
 
 
-def st_fail_breaker(stream: DataFrame, limit: int = flow.MAX_CONSECUTIVE_FAILS) -> DataFrame:
+def st_fail_breaker(stream: DataFrame, limit: int = MAX_CONSECUTIVE_FAILS) -> DataFrame:
     """(account_id, seq) of the failure that disables an account: the ``limit``-th in a row, once per account."""
 
     def watch(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

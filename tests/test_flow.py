@@ -129,3 +129,16 @@ def test_effective_rate(spark):
         own = max(-10, min(19, r.nice))
         active = max(1, sum(n <= own for n in nices))
         assert r.active == active and r.rate == pytest.approx(1000 * flow.NICE_MULTIPLIERS[own] / active)
+
+
+def test_functions_travel_without_the_package(tmp_path):
+    """Executors need not have the package: task functions are pickled by value."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    payload = cloudpickle.dumps(flow._replayer(1, 1, 60, 2))
+    code = "import pickle, sys; f = pickle.loads(sys.stdin.buffer.read()); print(callable(f), 'rastermill' in sys.modules)"
+    done = subprocess.run([sys.executable, "-I", "-c", code], input=payload, capture_output=True, cwd=tmp_path, check=True)
+    assert done.stdout.split() == [b"True", b"False"]
