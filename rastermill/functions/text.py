@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,7 +85,3 @@ def sensor_label(collection: str | Column) -> Column:
         .when(part(landsat, 2) != "", F.concat(part(landsat, 1), F.lit("Landsat "), F.upper(part(landsat, 2))))
         .otherwise(base)
     )
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

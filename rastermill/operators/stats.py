@@ -19,7 +19,7 @@ COLD_DAYS = 30
 DEFAULT_REPLICAS = 3
 MAX_REPLICAS = 6
 COLD_REPLICAS = 2
-SCHEDULE_HISTORY_DAYS = 90
+HISTORY_DAYS = 90
 GIB = 1024**3
 
 
@@ -139,7 +139,7 @@ def retention_cleanup(log: DataFrame, now: str, retain_days: int = 90) -> DataFr
     return log.filter(F.col("ts") >= moment(now, retain_days * 24))
 
 
-def serve_history(log: DataFrame, days: int = SCHEDULE_HISTORY_DAYS) -> DataFrame:
+def serve_history(log: DataFrame, days: int = HISTORY_DAYS) -> DataFrame:
     """Served, bytes and requests per day for the latest ``days`` days that have traffic."""
     daily = log.groupBy(F.to_date("ts").cast("string").alias("day")).agg(
         F.count(F.lit(1)).alias("served"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("requests")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from rastermill.functions.text import band_from_item_id
 from rastermill.operators import indices
-from rastermill.operators.bands import OPERATION_BANDS
 from rastermill.operators.search import WORLD, search_bbox, search_collections, search_datetime
 from rastermill.plans.pick import last_per_key
 
@@ -22,12 +21,6 @@ GRAPH_NODE = (
 )
 
 
-def needed_bands(operation: str) -> list[str] | None:
-    """Every band name an operation could use; None means all."""
-    groups = OPERATION_BANDS.get(operation)
-    return None if groups is None else list(dict.fromkeys(name for group in groups for name in group))
-
-
 def cube_query(
     items: DataFrame, tiles: DataFrame, operation: str, bands: list[str], key: str = "item_id",
     collections: list[str] | None = None, bbox: list[float] | None = None, datetime_range: str | None = None, **arguments,
