@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,20 @@ def pin(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rastermill-checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark, "checkpoint"))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where it is unset, a temporary folder serves a session that runs in one
+    process (tests, trial runs); on a cluster that is an error, because each
+    executor would write to a disk of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix=f"rastermill-{purpose}-")

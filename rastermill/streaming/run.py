@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from rastermill.session import shared_folder
+
 
 def work_folder(spark: SparkSession) -> str:
     """A fresh folder below the shared checkpoint folder of the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{root or tempfile.mkdtemp(prefix='rastermill-stream-')}/rastermill-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark, 'stream')}/rastermill-{uuid.uuid4().hex}"
 
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType, pattern: str | None = None, files_per_batch: int | None = None) -> DataFrame:
