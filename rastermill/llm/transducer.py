@@ -17,7 +17,7 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastermill.llm.words import most_frequent, word_counts
+from rastermill.llm.words import frequent_words
 
 FREQUENT = 1 << 16
 HELD = 300_000  # distinct words whose ids a task holds
@@ -264,8 +264,8 @@ class _Encoder:
 def frequent_lexicon(items: DataFrame, path: str, text: str = "json", frequent: int = FREQUENT) -> bytes:
     """The compiled lexicon of the ``frequent`` most frequent words of all texts."""
     vocabulary = Vocabulary(path)
-    counts = word_counts(items.select(F.col(text).cast("string").alias("_text")), "_text", lambda: Vocabulary(path).split)
-    return compile_lexicon([r.word for r in most_frequent(counts, frequent)], vocabulary.encode)
+    source = items.select(F.col(text).cast("string").alias("_text"))
+    return compile_lexicon(frequent_words(source, "_text", lambda: Vocabulary(path).split, frequent), vocabulary.encode)
 
 
 def encode(items: DataFrame, path: str, id: str = "id", text: str = "json", block: bytes | None = None, rows: int = 200) -> DataFrame:
