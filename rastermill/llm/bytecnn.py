@@ -76,8 +76,11 @@ def probabilities(texts: list[bytes], net: Network, tables: np.ndarray) -> np.nd
     return 1 / (1 + np.exp(-np.clip(_features(chunks, starts, steps) @ net.weights + net.offset, -30, 30)))
 
 
-def fit(sample: list[tuple[bytes, int]], epochs: int = 12, rate: float = 0.01, seed: int = 3) -> Network:
-    """Train on ``(text, class)`` by Adam with class-balanced weights; one class or none gives a constant network."""
+def fit(sample: list[tuple[bytes, int]], epochs: int = 8, rate: float = 0.01, seed: int = 3, favour: float = 2.0) -> Network:
+    """Train on ``(text, class)`` by Adam; one class or none gives a constant network.
+
+    The two classes weigh alike, but for ``favour``: to take a good text for a bad one costs that much more.
+    """
     r = np.random.default_rng(seed)
     net = Network(
         r.normal(0, 0.5, (256, EMBED)), r.normal(0, 0.3, (WIDTH, EMBED, FILTERS)), np.zeros(FILTERS), r.normal(0, 0.1, 2 * FILTERS), 0.0
@@ -85,7 +88,7 @@ def fit(sample: list[tuple[bytes, int]], epochs: int = 12, rate: float = 0.01, s
     y = np.array([c for _, c in sample], np.float64)
     if not 0 < y.sum() < len(y):
         return net._replace(weights=np.zeros(2 * FILTERS), offset=4.0 if not len(y) or y[0] else -4.0)
-    balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    balance = np.where(y == 1, favour / (1 + favour) / y.mean(), 1 / (1 + favour) / (1 - y.mean()))
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in map(np.asarray, net)]
     turn = 0
     for _ in range(epochs):
@@ -131,7 +134,7 @@ def _gradient(texts: list[bytes], y: np.ndarray, weight: np.ndarray, net: Networ
 
 
 def fit_quality(
-    items: DataFrame, labels: DataFrame, id: str = "id", text: str = "description", label: str = "quality", per_class: int = 600, letters: int = 12_000
+    items: DataFrame, labels: DataFrame, id: str = "id", text: str = "description", label: str = "quality", per_class: int = 1500, letters: int = 12_000
 ) -> Network:
     """Fit on at most ``per_class`` labelled texts of each class, of at most ``letters`` characters each."""
     return fit(labelled_sample(items, labels, id, text, label, per_class, letters))

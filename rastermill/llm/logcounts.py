@@ -29,8 +29,13 @@ def features(text: bytes) -> np.ndarray:
                     code = code << np.uint64(8) | part[j : j + len(code)]
                 code = (code ^ np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15)
                 found.append((code >> np.uint64(64 - BITS)).astype(np.int32))
-        seen.append(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32))
-    return seen[0] if len(seen) == 1 else np.unique(np.concatenate(seen))
+        seen.append(_distinct(np.concatenate(found)) if found else np.zeros(0, np.int32))
+    return seen[0] if len(seen) == 1 else _distinct(np.concatenate(seen))
+
+
+def _distinct(codes: np.ndarray) -> np.ndarray:
+    codes = np.sort(codes)
+    return codes[np.concatenate([[True], codes[1:] != codes[:-1]])] if len(codes) else codes
 
 
 class Model:
@@ -44,8 +49,11 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 
 
-def fit(sample: list[tuple[bytes, int]], smooth: float = 1.0, penalty: float = 2e-4, rounds: int = 120) -> Model:
-    """Logistic regression on features scaled by their log-count ratio, classes weighted alike; momentum descent."""
+def fit(sample: list[tuple[bytes, int]], smooth: float = 1.0, least: float = 0.7, penalty: float = 1e-5, rounds: int = 400) -> Model:
+    """Logistic regression on features scaled by their log-count ratio, classes weighted alike; momentum descent.
+
+    Features in fewer than four texts, or with a ratio below ``least`` either way, have no weight.
+    """
     y = np.array([c for _, c in sample], np.float64)
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(1 << BITS, np.float32), 4.0 if len(y) and y[0] else -4.0)
@@ -57,23 +65,26 @@ def fit(sample: list[tuple[bytes, int]], smooth: float = 1.0, penalty: float = 2
     p = (with_one + smooth) / (y.sum() + 2 * smooth)
     q = (total - with_one + smooth) / ((1 - y).sum() + 2 * smooth)
     ratio = np.log(p / q)
-    ratio[total < 2] = 0
+    ratio[(total < 4) | (np.abs(ratio) < least)] = 0
     keep = ratio[cols] != 0
     cols, doc = cols[keep], doc[keep]
     value = ratio[cols]
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     w, offset = np.zeros(1 << BITS), 0.0
-    # a step that no direction overshoots: the curvature is bounded by the largest row norm
-    rate = 4.0 / (np.bincount(doc, value * value, len(rows)).max() + 1)
+    norms = np.bincount(doc, value * value, len(rows))
+    # the offset is a feature as large as a row, else it would lag behind; no direction overshoots at this rate
+    one = np.sqrt(norms.mean() + 1)
+    rate = 4.0 / (norms.max() + one * one)
     speed, speed_offset = np.zeros(1 << BITS), 0.0
     for _ in range(rounds):
-        ahead = w + 0.9 * speed
-        margin = np.bincount(doc, ahead[cols] * value, len(rows)) + offset + 0.9 * speed_offset
+        ahead, ahead_offset = w + 0.95 * speed, offset + 0.95 * speed_offset
+        margin = np.bincount(doc, ahead[cols] * value, len(rows)) + one * ahead_offset
         slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) * weight
         grad = np.bincount(cols, slope[doc] * value, 1 << BITS) + penalty * ahead
-        speed = 0.9 * speed - rate * grad
-        speed_offset = 0.9 * speed_offset - rate * slope.sum()
+        speed = 0.95 * speed - rate * grad
+        speed_offset = 0.95 * speed_offset - rate * one * slope.sum()
         w, offset = w + speed, offset + speed_offset
+    offset *= one
     return Model((w * ratio).astype(np.float32), float(offset))
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastermill.llm import bytecnn, logcounts, markov, mixing, polyhash, simhash, token_counts, transducer
+from rastermill.llm import bytecnn, itq, logcounts, markov, mixing, polyhash, simhash, spans, token_counts, transducer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,15 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans")
     )
+
+
+@query
+def op2_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return spans.remove_repeated_passages(docs, id="doc_id", text="text")
+
+
+@query
+def op4_itq(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    return itq.near_duplicate_vectors(vectors, id="vec_id", vector="embedding", label="label", least=0.98)
