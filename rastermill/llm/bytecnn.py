@@ -29,9 +29,12 @@ class Network(NamedTuple):
 
 
 def _padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one array, each filled up with zero bytes to whole steps, and the steps of each."""
-    steps = np.array([(len(t) + WIDTH) // STEP + 1 for t in texts], np.int64)
-    data = b"".join(t + bytes(n * STEP - len(t)) for t, n in zip(texts, steps.tolist()))
+    """All texts in one array, each filled up with zero bytes to whole steps, and the steps of each.
+
+    Zero bytes go before a text too, so that no filter at the end of one text sees the next.
+    """
+    steps = np.array([(len(t) + 2 * WIDTH) // STEP + 1 for t in texts], np.int64)
+    data = b"".join(bytes(WIDTH) + t + bytes(n * STEP - len(t) - WIDTH) for t, n in zip(texts, steps.tolist()))
     return np.frombuffer(data + bytes(WIDTH), np.uint8), steps
 
 

@@ -95,7 +95,7 @@ def secret_spans(text: str, model: np.ndarray, least: float) -> list[tuple[int,
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def find_secrets(entries: DataFrame, id: str = "id", text: str = "detail", least: float = 0.8, model: np.ndarray | None = None) -> DataFrame:
+def find_secrets(entries: DataFrame, id: str = "id", text: str = "detail", least: float = 0.5, model: np.ndarray | None = None) -> DataFrame:
     """``(id, spans)`` per audit entry: secrets in its ``detail``, as ``array<struct<kind,start,end>>`` in code points.
 
     ``assign``, ``access`` and ``hex`` are the fixed patterns. ``random`` marks
