@@ -7,27 +7,31 @@ from pyspark.sql import functions as F
 
 
 def labelled_sample(items: DataFrame, labels: DataFrame, id: str, text: str, label: str, per_class: int, letters: int) -> list[tuple[bytes, int]]:
-    """At most ``per_class`` distinct labelled texts of each class, of at most ``letters`` characters: the first by hash.
+    """At most ``per_class`` labelled rows of each class, the first by a hash of the id, with texts of at most ``letters`` characters.
 
-    Null ids, labels and texts give no sample. Texts are drawn by a hash of their
-    content, so copies count once and the sample does not depend on the partitions.
+    Rows are drawn from the labels alone, so only the drawn texts leave their
+    place; the list of drawn ids is bounded by ``per_class``. Null ids, labels and
+    texts give no sample. The sample does not depend on the partitions.
     """
     known = labels.select(F.col(id).alias("_k"), F.col(label).alias("_y")).filter("_k IS NOT NULL AND _y IN (0, 1)").distinct()
+    hashed = known.withColumn("_h", F.xxhash64("_k"))
+    drawn = []
+    for r in known.groupBy("_y").count().collect():
+        # a hash below this share of its range is drawn; a quarter more than needed makes up for chance
+        share = min(1.0, 1.25 * per_class / r["count"])
+        rows = hashed.filter((F.col("_y") == r._y) & (F.shiftrightunsigned("_h", 11) < F.lit(int(share * 2**53)))).collect()
+        drawn += sorted(((x._h, x._k, x._y) for x in rows))[:per_class]
+    if not drawn:
+        return []
+    schema = f"_h bigint, _k {known.schema['_k'].dataType.simpleString()}, _y int"
+    picked = F.broadcast(items.sparkSession.createDataFrame(drawn, schema))  # at most per_class rows of each class
     texts = items.select(F.col(id).alias("_k"), F.col(text).cast("string").alias("_text")).filter(
         F.col("_text").isNotNull() & (F.char_length("_text") <= letters)
     )
-    # ranks need no texts: the hashes up to the bound are found first, class by class
-    hashed = texts.select("_k", F.xxhash64("_text").alias("_h")).join(known, "_k").select("_y", "_h").distinct()
-    counts = {r._y: r["count"] for r in hashed.groupBy("_y").count().collect()}
-    drawn = F.lit(False)
-    for y, n in counts.items():
-        # a hash below this share of its range is drawn; a quarter more than needed makes up for chance
-        share = min(1.0, 1.25 * per_class / n)
-        drawn = drawn | ((F.col("_y") == y) & (F.shiftrightunsigned("_h", 11) < F.lit(int(share * 2**53))))
-    picked = hashed.filter(drawn)
-    rows = texts.withColumn("_h", F.xxhash64("_text")).join(known, "_k").join(picked, ["_y", "_h"]).select("_y", "_h", "_text").distinct()
-    out: list[tuple[bytes, int]] = []
-    for y in counts:
-        mine = sorted((r._h, r._text) for r in rows.filter(F.col("_y") == y).collect())
-        out += [(t.encode(), y) for _, t in mine[:per_class]]
+    found = sorted((r._h, r._k, r._y, r._text) for r in texts.join(picked, "_k").select("_h", "_k", "_y", "_text").collect())
+    counts, out = {0: 0, 1: 0}, []
+    for _, _, y, t in found:  # an id may have several rows
+        counts[y] += 1
+        if counts[y] <= per_class:
+            out.append((t.encode(), y))
     return out
