@@ -58,8 +58,9 @@ def fit(sample: list[tuple[bytes, int]], smooth: float = 1.0, least: float = 0.7
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(1 << BITS, np.float32), 4.0 if len(y) and y[0] else -4.0)
     rows = [features(t) for t, _ in sample]
-    sizes = np.array([len(f) for f in rows])
-    cols, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
+    count, sizes = len(rows), np.array([len(f) for f in rows])
+    cols, doc = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    del rows[:]
     with_one = np.bincount(cols, y[doc], 1 << BITS)
     total = np.bincount(cols, minlength=1 << BITS)
     p = (with_one + smooth) / (y.sum() + 2 * smooth)
@@ -71,14 +72,14 @@ def fit(sample: list[tuple[bytes, int]], smooth: float = 1.0, least: float = 0.7
     value = ratio[cols]
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     w, offset = np.zeros(1 << BITS), 0.0
-    norms = np.bincount(doc, value * value, len(rows))
+    norms = np.bincount(doc, value * value, count)
     # the offset is a feature as large as a row, else it would lag behind; no direction overshoots at this rate
     one = np.sqrt(norms.mean() + 1)
     rate = 4.0 / (norms.max() + one * one)
     speed, speed_offset = np.zeros(1 << BITS), 0.0
     for _ in range(rounds):
         ahead, ahead_offset = w + 0.95 * speed, offset + 0.95 * speed_offset
-        margin = np.bincount(doc, ahead[cols] * value, len(rows)) + one * ahead_offset
+        margin = np.bincount(doc, ahead[cols] * value, count) + one * ahead_offset
         slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) * weight
         grad = np.bincount(cols, slope[doc] * value, 1 << BITS) + penalty * ahead
         speed = 0.95 * speed - rate * grad
@@ -89,7 +90,7 @@ def fit(sample: list[tuple[bytes, int]], smooth: float = 1.0, least: float = 0.7
 
 
 def fit_toxicity(
-    entries: DataFrame, labels: DataFrame, id: str = "id", text: str = "detail", label: str = "toxic", per_class: int = 1500, letters: int = 12_000
+    entries: DataFrame, labels: DataFrame, id: str = "id", text: str = "detail", label: str = "toxic", per_class: int = 1000, letters: int = 12_000
 ) -> Model:
     """Fit on at most ``per_class`` labelled texts of each class, of at most ``letters`` characters each."""
     return fit(labelled_sample(entries, labels, id, text, label, per_class, letters))
