@@ -162,4 +162,4 @@ def quality_scores(items: DataFrame, net: Network, text: str = "description", ou
         score = probabilities(text_bytes(batch, text), net, tables)
         return pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(score)], names=[*(f.name for f in kept), out])
 
-    return map_rows(items, run, schema, rows=100)
+    return map_rows(items, run, schema, rows=50)

@@ -65,7 +65,7 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs, path = table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")
-    decoded = transducer.decode(transducer.encode(docs, path, id="doc_id", text="text"), path)
+    decoded = transducer.encode(docs, path, id="doc_id", text="text", decoded="decoded")
     return decoded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from rastermill.llm.words import frequent_words
 
 FREQUENT = 1 << 16
-HELD = 300_000  # distinct words whose ids a task holds
+HELD = 100_000  # distinct words whose ids a task holds
 _PLAIN = 0x250  # below this, the splitting rules need no Unicode tables beyond those of Python
 
 
@@ -268,8 +268,11 @@ def frequent_lexicon(items: DataFrame, path: str, text: str = "json", frequent:
     return compile_lexicon(frequent_words(source, "_text", lambda: Vocabulary(path).split, frequent), vocabulary.encode)
 
 
-def encode(items: DataFrame, path: str, id: str = "id", text: str = "json", block: bytes | None = None, rows: int = 200) -> DataFrame:
-    """``(id, ids)``: the whole texts of STAC documents under the word-level BPE file at ``path``.
+def encode(
+    items: DataFrame, path: str, id: str = "id", text: str = "json", block: bytes | None = None, rows: int = 200,
+    decoded: str | None = None,
+) -> DataFrame:
+    """``(id, ids)``, and the text ``decoded`` from the ids if it has a name: the whole texts of STAC documents under the word-level BPE file at ``path``.
 
     Ids are those of the tokenizers library without added special tokens; the
     strings of special tokens inside a text are special tokens. Frequent words,
@@ -286,14 +289,22 @@ def encode(items: DataFrame, path: str, id: str = "id", text: str = "json", bloc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(path, shared.value)
+        names = pa.array(encoder.vocabulary.names(), pa.string())
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
-                texts = [t or "" for t in part.column("_text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("_id"), encoder(texts)], names=["_id", "ids"])
+                ids = encoder([t or "" for t in part.column("_text").to_pylist()])
+                columns = {"_id": part.column("_id"), "ids": ids} | ({decoded: _joined(ids, names)} if decoded else {})
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kind = source.schema["_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id)
+    schema = f"_id {kind}, ids array<int>" + (f", `{decoded}` string" if decoded else "")
+    return source.mapInArrow(run, schema).withColumnRenamed("_id", id)
+
+
+def _joined(ids: pa.ListArray, names: pa.Array) -> pa.Array:
+    offsets = pc.subtract(ids.offsets, ids.offsets[0])
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, names.take(ids.flatten())), " ")
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded", rows: int = 200) -> DataFrame:
@@ -305,9 +316,6 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
-                column = part.column(ids)
-                offsets = pc.subtract(column.offsets, column.offsets[0])
-                text = pc.binary_join(pa.ListArray.from_arrays(offsets, names.take(column.flatten())), " ")
-                yield pa.RecordBatch.from_arrays([*part.columns, text], names=[*batch.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, _joined(part.column(ids), names)], names=[*batch.schema.names, out])
 
     return encoded.mapInArrow(run, f"{kinds}, `{out}` string")

@@ -45,6 +45,8 @@ def test_encoding_and_decoding(items, prose):
     for block in (None, transducer.compile_lexicon([], None), transducer.compile_lexicon(["band", "tile"], transducer.Vocabulary(WORDS).encode)):
         got = transducer.decode(transducer.encode(items(rows, "json"), WORDS, block=block), WORDS).collect()
         assert sorted(((r.id, list(r.ids), r.decoded) for r in got), key=repr) == sorted(expected, key=repr)
+    at_once = transducer.encode(items(rows, "json"), WORDS, decoded="text").collect()
+    assert sorted(((r.id, list(r.ids), r.text) for r in at_once), key=repr) == sorted(expected, key=repr)
 
 
 def test_empty_tables(items):
