@@ -129,3 +129,12 @@ def test_lookup_join_keeps_crowded_and_null_keys(spark):
         return 2 * k if k in known else None
 
     assert got == [(i, value(i)) for i in range(9000)]
+
+
+def test_boxes_in_metres_touch_four_cells_at_most(spark):
+    from rastermill.plans import gridjoin
+
+    boxes = spark.createDataFrame([(0.0, 0.0, 109_800.0, 109_800.0), (499_980.0, 5_190_240.0, 609_780.0, 5_300_040.0)], "iw double, `is` double, ie double, `in` double")
+    home = gridjoin._home(F.greatest(F.col("ie") - F.col("iw"), F.col("in") - F.col("is")), 1.0)
+    filed = gridjoin._cells(boxes.withColumn("_g", home), "i", 1.0)
+    assert max(r["count"] for r in filed.groupBy("iw").count().collect()) <= 4
