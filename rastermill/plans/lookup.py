@@ -1,11 +1,10 @@
 """Join a large frame with a one-row-per-key lookup when few keys may own most rows.
 
 Adaptive execution splits a crowded partition only when both join sides come
-straight from a shuffle. A lookup that was itself grouped by the key does not,
-so the crowded keys are taken out first: a key counts as crowded when it owns
-more than one in ``CROWDED`` rows, hence there are fewer than ``CROWDED`` such
-keys, and their lookup rows are broadcast. Everything else is joined by a
-shuffle in which no key is large. Both parts are kept, so the result is exact.
+straight from a shuffle. A lookup that was itself grouped by the key does not:
+it is already dealt by it. Such a lookup is therefore dealt out evenly first,
+so that the join deals it by the key once more and may then split the crowded
+keys of the large side.
 """
 
 from __future__ import annotations
@@ -13,22 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CROWDED = 1000
 SALTS = 64
 
 
 def lookup_join(left: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """Left join of ``left`` with ``lookup`` (unique ``key``); rows with a null key find nothing."""
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    crowded = counts.filter(F.col(key).isNotNull() & (F.col("_n") * CROWDED > total)).select(key)
-    marked = left.join(F.broadcast(crowded.withColumn("_crowded", F.lit(True))), key, "left")
-    # rows without a key match nothing and would all meet in one shuffle partition
-    alone = F.col("_crowded") | F.col(key).isNull()
-    few = F.broadcast(lookup.join(F.broadcast(crowded), key, "left_semi"))
-    by_broadcast = marked.filter(alone).drop("_crowded").join(few, key, "left")
-    by_shuffle = marked.filter(~F.coalesce(alone, F.lit(False))).drop("_crowded").join(lookup, key, "left")
-    return by_shuffle.unionByName(by_broadcast)
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.join(lookup.repartition(parts), key, "left")
 
 
 def salted_join(left: DataFrame, lookup: DataFrame, key: str, spread: str) -> DataFrame:

@@ -109,6 +109,11 @@ def test_hot_hash_is_split_by_adaptive_execution(spark, tmp_path):
         assert len(rows) == refs.filter("sha >= '8'").count()
         lacking.collect()
         assert "skew=true" in lacking._jdf.queryExecution().executedPlan().toString()
+        # the same for a lookup that was grouped by the key
+        grouped = store.groupBy("sha").agg(F.count(F.lit(1)).alias("n"))
+        found = lookup_join(refs, grouped, "sha")
+        assert len(found.collect()) == 60_000
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
