@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PROPERTIES = (
-    "struct<datetime:string,crs:string,width:int,height:int,bands:int,band_names:array<string>,dtype:string,"
-    "tile_size:int,tile_cols:int,tile_rows:int,source_file:string,chunk_format:string>"
-)
+PROPERTIES = {
+    "datetime": "string", "crs": "string", "width": "int", "height": "int", "bands": "int", "band_names": "array<string>",
+    "dtype": "string", "tile_size": "int", "tile_cols": "int", "tile_rows": "int", "source_file": "string", "chunk_format": "string",
+}
 AUDIT = "ts string, action string, detail string, ip string, ok boolean, _bad string"
 PRODUCT = (
     "struct<Id:string,Name:string,ContentDate:struct<Start:string>,ContentLength:bigint,Online:boolean,"
@@ -25,15 +25,25 @@ def chunk_hashes(json: str | Column) -> Column:
     )
 
 
-def _strip_prefix(json: Column, prefix: str) -> Column:
-    return F.replace(json, F.lit(f'"{prefix}'), F.lit('"'))
+def _properties(json: Column, prefix: str) -> tuple[Column, Column]:
+    """Typed properties, with or without ``prefix`` before their names, and the others as name -> variant."""
+    named = F.from_json(json, "map<string,string>")
+    fields = []
+    for name, kind in PROPERTIES.items():
+        text = F.coalesce(named[prefix + name], named[name])
+        fields.append((F.from_json(text, kind) if kind.startswith("array") else text.try_cast(kind)).alias(name))
+    known = [*PROPERTIES, *(prefix + name for name in PROPERTIES), "chunk_hashes", prefix + "chunk_hashes"]
+    others = F.map_filter(F.from_json(json, "map<string,variant>"), lambda k, _: ~k.isin(*known))
+    return F.when(json.isNotNull(), F.struct(*fields)), others
 
 
 def decode_items(rows: DataFrame, prefix: str = "grid:") -> DataFrame:
-    """Catalogue rows with JSON text columns as typed rows."""
+    """Catalogue rows with JSON text columns as typed rows; unlisted properties are kept in ``other_properties``."""
+    properties, others = _properties(F.col("properties_json"), prefix)
     return rows.withColumns(
         {
-            "properties": F.from_json(_strip_prefix(F.col("properties_json"), prefix), PROPERTIES),
+            "properties": properties,
+            "other_properties": others,
             "chunk_hashes": chunk_hashes("chunk_hashes_json"),
             "dt": F.try_to_timestamp("datetime"),
         }
@@ -45,18 +55,30 @@ def src_items(spark: SparkSession, path: str, prefix: str = "grid:") -> DataFram
 
 
 def decode_stac(features: DataFrame, prefix: str = "grid:") -> DataFrame:
-    """STAC Feature JSON (column ``value``) as item rows; hashes may sit on top or in the properties."""
+    """STAC Feature JSON (column ``value``) as item rows; hashes may sit on top or in the properties.
+
+    ``geometry`` and ``assets`` stay JSON text; ``other_properties`` holds what ``properties`` has no field for.
+    """
     # nested objects typed as string keep their JSON text
+    hashes = "chunk_hashes string" + f", `{prefix}chunk_hashes` string" * bool(prefix)
     top = F.from_json(
-        _strip_prefix(F.col("value"), prefix), "id string, collection string, bbox array<double>, properties string, chunk_hashes string"
+        F.col("value"), f"id string, collection string, bbox array<double>, properties string, geometry string, assets string, {hashes}"
     )
-    parsed = features.select(top.alias("t")).select(
-        "t.*", F.from_json("t.properties", PROPERTIES).alias("p"), F.from_json("t.properties", "chunk_hashes string")["chunk_hashes"].alias("inner")
+
+    def held(found: str) -> Column:
+        return F.coalesce(F.col(f"{found}.`{prefix}chunk_hashes`"), F.col(f"{found}.chunk_hashes"))
+
+    opened = features.select(top.alias("t")).withColumn("i", F.from_json("t.properties", hashes))
+    properties, others = _properties(F.col("t.properties"), prefix)
+    parsed = opened.select(
+        "t.id", "t.collection", "t.bbox", "t.geometry", "t.assets", held("t").alias("chunk_hashes"), held("i").alias("inner"),
+        properties.alias("p"), others.alias("other_properties"),
     )
     corners = [F.get("bbox", F.lit(k)).alias(f"bbox_{name}") for k, name in enumerate(("west", "south", "east", "north"))]
     return parsed.select(
         "id", "collection", *corners, F.coalesce("p.datetime", F.lit("")).alias("datetime"), F.col("p").alias("properties"),
         F.coalesce(chunk_hashes(F.coalesce("chunk_hashes", "inner")), F.create_map().cast("map<string,array<string>>")).alias("chunk_hashes"),
+        "geometry", "assets", "other_properties",
     )
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rastermill.plans.ordered import running_sum
 from rastermill.plans.pick import first_per_key, last_per_key
 
 GIB = 1024**3
+LICENCE = "EUPL-1.2"  # fixed value: licence of a collection that names none
 
 
 def sink_items_upsert(
@@ -79,20 +81,31 @@ def sink_volume_gate(store: DataFrame, incoming: DataFrame, max_gb: float) -> Da
 
 
 def to_stac(items: DataFrame, include_chunks: bool = False, prefix: str = "grid:") -> Column:
-    """STAC Feature of an item row as JSON text."""
+    """STAC Feature of an item row as JSON text.
+
+    A stored ``geometry`` (JSON text or a struct) is kept; the box stands in where there is none.
+    """
     have = set(items.columns)
     bbox = F.array("bbox_west", "bbox_south", "bbox_east", "bbox_north")
     ring = [("west", "south"), ("east", "south"), ("east", "north"), ("west", "north"), ("west", "south")]
     corners = F.array(*[F.array(F.col(f"bbox_{x}"), F.col(f"bbox_{y}")) for x, y in ring])
     polygon = F.struct(F.lit("Polygon").alias("type"), F.array(corners).alias("coordinates"))
+    geometry = _stored_geometry(items, polygon)
     properties = F.col("properties") if "properties" in have else F.struct(F.col("datetime"))
+    if "other_properties" in have:  # as the readers decode them
+        named = [(f if f == "datetime" else prefix + f, F.col(f"properties.{f}")) for f in items.schema["properties"].dataType.names]
+        typed = F.create_map(*[c for name, value in named for c in (F.lit(name), value.cast("variant"))])
+        others = F.coalesce("other_properties", F.create_map().cast("map<string,variant>"))
+        properties = F.map_concat(F.map_filter(typed, lambda _, v: v.isNotNull()), others)
     assets = F.col("assets") if "assets" in have else F.create_map().cast("map<string,string>")
+    if "assets" in have and isinstance(items.schema["assets"].dataType, T.StringType):
+        assets = F.coalesce(F.try_parse_json("assets"), F.parse_json(F.lit("{}")))
     fields = [
         F.lit("Feature").alias("type"),
         F.lit("1.0.0").alias("stac_version"),
         F.col("id"),
         F.col("collection"),
-        polygon.alias("geometry"),
+        geometry.alias("geometry"),
         bbox.alias("bbox"),
         properties.alias("properties"),
         assets.alias("assets"),
@@ -103,6 +116,14 @@ def to_stac(items: DataFrame, include_chunks: bool = False, prefix: str = "grid:
     return F.to_json(F.struct(*fields))
 
 
+def _stored_geometry(items: DataFrame, polygon: Column) -> Column:
+    if "geometry" not in items.columns:
+        return polygon
+    box = F.parse_json(F.to_json(polygon))
+    text = F.col("geometry") if isinstance(items.schema["geometry"].dataType, T.StringType) else F.to_json("geometry")
+    return F.coalesce(F.try_parse_json(text), box)
+
+
 def sink_stac_json(items: DataFrame, include_chunks: bool = False, prefix: str = "grid:") -> DataFrame:
     return items.select("id", to_stac(items, include_chunks, prefix).alias("json"))
 
@@ -117,6 +138,7 @@ def collection_json(collections: DataFrame) -> DataFrame:
         F.lit("Collection").alias("type"), F.lit("1.0.0").alias("stac_version"), F.col("id"), title.alias("title"),
         text.alias("description"), F.parse_json(F.col("extent") if "extent" in have else world).alias("extent"),
         F.array().cast("array<string>").alias("links"),
+        (F.coalesce("license", F.lit(LICENCE)) if "license" in have else F.lit(LICENCE)).alias("license"),
     )
     return collections.select("id", F.to_json(doc).alias("json"))
 
