@@ -42,6 +42,11 @@ PORTABLE = {
     "item_chunks": """
         SELECT l_orderkey AS item_no, l_linenumber AS tile_no, MIN(l_partkey) AS chunk_no
         FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
+    # collections may be announced before they have an item
+    "collections": f"""
+        SELECT id, concat('Title of ', id) AS title FROM (
+            SELECT DISTINCT {_collection('o_custkey')} AS id FROM {{orders}}
+            UNION ALL SELECT concat('planned-', CAST(n_nationkey AS STRING)) AS id FROM {{nation}} WHERE n_regionkey = 0) AS c""",
     "stored": """
         SELECT p_partkey AS chunk_no, CAST(p_size AS BIGINT)*1000 AS bytes FROM {part} WHERE p_size > 5
         UNION ALL SELECT 10000000 + s_suppkey, CAST(500 AS BIGINT) FROM {supplier}""",

@@ -3,8 +3,7 @@
 Chunk references may be very uneven (one empty tile can be referenced by a
 large share of all items). References are therefore joined to one narrow row
 per hash, computed before the join, and no reference list is gathered per
-hash. ``lookup_join`` keeps crowded hashes out of the shuffle; plain semi and
-anti joins come straight from a shuffle on both sides, where adaptive
+hash. All joins come straight from a shuffle on both sides, where adaptive
 execution splits the crowded partition.
 """
 
@@ -17,9 +16,10 @@ from rastermill.functions.times import moment
 from rastermill.operators.search import batch_bbox_search, open_period
 from rastermill.plans.lookup import lookup_join
 from rastermill.plans.ordered import running_sum
-from rastermill.plans.pick import first_per_key
 from rastermill.sources.sinks import content_hash
 
+# Band name of all-band chunks, layout and tile edge where an item names none.
+ALL_BANDS, LEGACY, TILE_SIZE = "*", "legacy", 512
 MIB = 1024 * 1024
 GIB = 1024**3
 
@@ -184,15 +184,16 @@ def sync_apply(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Items, chunks and errors after pulling everything the remote side has.
 
-    A chunk is copied only if its recomputed hash matches; an incomplete or
-    unknown item replaces the local one.
+    A chunk is copied only if the recomputed hash of one of its copies matches;
+    it is an error only if none does. An incomplete or unknown item replaces the
+    local one. Copies that nobody asked for are left out before they are hashed.
     """
     lacking = missing_chunks(remote_refs, local_chunks)
     wanted = lacking.select("sha").distinct()
-    offered = first_per_key(remote_chunks.select("sha", "data"), ["sha"], "sha")
-    offered = offered.join(wanted, "sha", "left_semi").withColumn("valid", content_hash() == F.col("sha"))
-    chunks = local_chunks.select("sha", "data").unionByName(offered.filter("valid").drop("valid"))
-    answered = wanted.join(offered.select("sha", "valid"), "sha", "left")
+    offered = remote_chunks.select("sha", "data").join(wanted, "sha", "left_semi").withColumn("valid", content_hash() == F.col("sha"))
+    chunks = local_chunks.select("sha", "data").unionByName(offered.filter("valid").drop("valid").dropDuplicates(["sha"]))
+    verdicts = offered.groupBy("sha").agg(F.bool_or("valid").alias("valid"))
+    answered = wanted.join(verdicts, "sha", "left")
     errors = answered.filter(~F.coalesce("valid", F.lit(False))).select(
         "sha", F.when(F.col("valid").isNull(), "not found").otherwise("hash mismatch").alias("error")
     )
@@ -205,13 +206,36 @@ def sync_apply(
 
 
 def chunk_map(refs: DataFrame, placements: DataFrame, bands: list[str] | None = None) -> DataFrame:
-    """References with the nodes that hold each chunk (at most one entry per node of the network)."""
+    """References with the nodes that hold each chunk (at most one entry per node of the network).
+
+    ``bands`` chooses among per-band chunks; chunks of all bands (``*``) always stay.
+    """
     if bands:
-        refs = refs.filter(F.col("band").isin(list(bands)))
+        refs = refs.filter(F.col("band").isin(ALL_BANDS, *bands))
     holders = placements.groupBy("sha").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
     return lookup_join(refs, holders, "sha").withColumn("nodes", F.coalesce("nodes", F.array().cast("array<bigint>")))
 
 
+def chunk_grid(items: DataFrame, bands: list[str] | None = None) -> DataFrame:
+    """What a client needs to put an item's chunks together again, one row per item.
+
+    ``items``: item_id, collection, ``properties`` as the readers decode them, and
+    ``chunk_hashes``. ``total_chunks`` counts what ``chunk_map`` lists for the same ``bands``.
+    """
+    chosen = F.col("chunk_hashes")
+    if bands:
+        chosen = F.map_filter(chosen, lambda band, _: band.isin(ALL_BANDS, *bands))
+    total = F.aggregate(F.map_values(chosen), F.lit(0), lambda n, hashes: n + F.size(hashes))
+    p = F.col("properties")
+    return items.select(
+        "item_id", "collection", F.coalesce(p["chunk_format"], F.lit(LEGACY)).alias("format"),
+        F.coalesce(p["tile_size"], F.lit(TILE_SIZE)).alias("tile_size"), F.coalesce(p["tile_cols"], F.lit(1)).alias("tile_cols"),
+        F.coalesce(p["tile_rows"], F.lit(1)).alias("tile_rows"), p["width"].alias("width"), p["height"].alias("height"),
+        p["dtype"].alias("dtype"), p["crs"].alias("crs"),
+        F.coalesce(p["band_names"], F.array().cast("array<string>")).alias("bands"), F.coalesce(total, F.lit(0)).alias("total_chunks"),
+    )
+
+
 def validate_report(requests: DataFrame, items: DataFrame, refs: DataFrame, store: DataFrame) -> DataFrame:
     """Dry run: stored and missing chunks per request.
 

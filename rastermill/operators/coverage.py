@@ -47,13 +47,15 @@ def item_count(items: DataFrame, by_collection: bool = False) -> DataFrame:
     return items.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
 
 
-def catalog_summary(items: DataFrame) -> DataFrame:
-    """One row: collection ids, number of items, total km²."""
-    return coverage_by_collection(items).agg(
-        F.sort_array(F.collect_list("collection")).alias("collections"),
-        F.sum("items").alias("item_count"),
-        F.sum("area_km2").alias("total_area_km2"),
+def catalog_summary(items: DataFrame, collections: DataFrame) -> DataFrame:
+    """One row: ids of the collections table, number of items, total km², coverage per collection that has items."""
+    covered = coverage_by_collection(items).agg(
+        F.coalesce(F.sum("items"), F.lit(0)).alias("item_count"),
+        F.coalesce(F.sum("area_km2"), F.lit(0)).alias("total_area_km2"),
+        F.sort_array(F.collect_list(F.struct("collection", "items", "tiles", "area_km2"))).alias("coverage"),
     )
+    ids = collections.agg(F.sort_array(F.collect_list("id")).alias("x")).scalar()
+    return covered.select(ids.alias("collections"), "item_count", "total_area_km2", "coverage")
 
 
 def km2_queried(access: DataFrame) -> DataFrame:

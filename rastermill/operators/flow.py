@@ -131,12 +131,23 @@ def _replayer(rpm: int, burst: int, minute_us: int, burst_us: int):
     return replay
 
 
-def fail_streaks(log: DataFrame, limit: int = MAX_CONSECUTIVE_FAILS, slice_rows: int = 1_000_000) -> DataFrame:
-    """Longest run of failures per account; ``limit`` in a row make it unhealthy for good.
+def fail_streaks(
+    log: DataFrame, limit: int = MAX_CONSECUTIVE_FAILS, slice_rows: int = 1_000_000, resets: DataFrame | None = None
+) -> DataFrame:
+    """Longest run of failures per account; ``limit`` in a row make it unhealthy until it is reset.
 
     A run is named by the last success before it. An account's history is cut
     into slices of ``slice_rows`` sequence numbers so a busy account spreads.
+    ``resets`` (account_id, seq) names what an administrator reset: log rows up
+    to an account's last reset no longer count, and it is healthy after it.
     """
+    if resets is not None:
+        last = resets.groupBy("account_id").agg(F.max("seq").alias("_reset"))
+        told = log.select("account_id", "seq", "success").join(last, "account_id", "left")
+        counted = told.filter(F.col("_reset").isNull() | (F.col("seq") > F.col("_reset"))).drop("_reset")
+        streaks = fail_streaks(counted, limit, slice_rows)
+        quiet = last.join(streaks, "account_id", "left_anti")
+        return streaks.unionByName(quiet.select("account_id", F.lit(0).cast("bigint").alias("longest"), F.lit(True).alias("healthy")))
     sliced = log.select("account_id", "seq", "success").withColumn("_slice", floor_div("seq", slice_rows))
     succeeded = F.when(F.col("success"), F.col("seq"))
     named = carried_max(sliced, ["account_id"], "_slice", ["seq"], succeeded, "_run")
@@ -161,18 +172,20 @@ def account_downloads(log: DataFrame, now: str, hours: float = 24, account: int
     return rows.orderBy(F.col("ts").desc(), F.col("seq").desc())
 
 
-def account_select(accounts: DataFrame, log: DataFrame, now: str, limit: int = MAX_CONSECUTIVE_FAILS) -> DataFrame:
+def account_select(
+    accounts: DataFrame, log: DataFrame, now: str, limit: int = MAX_CONSECUTIVE_FAILS, resets: DataFrame | None = None
+) -> DataFrame:
     """Per provider the usable account that was used least recently.
 
     ``accounts``: account_id, provider, enabled, max_requests_hour,
-    max_bytes (0 = no quota). Use so far comes from the log.
+    max_bytes (0 = no quota). Use so far comes from the log; ``resets`` as in ``fail_streaks``.
     """
     use = log.groupBy("account_id").agg(
         F.count_if(F.col("ts") > moment(now, 1)).alias("_hour"),
         F.coalesce(F.sum(F.when(F.col("success"), F.col("bytes"))), F.lit(0)).alias("_bytes"),
         F.max("ts").alias("last_used"),
     )
-    health = fail_streaks(log, limit).select("account_id", "healthy")
+    health = fail_streaks(log, limit, resets=resets).select("account_id", "healthy")
     usable = (
         accounts.filter("enabled").join(use, "account_id", "left").join(health, "account_id", "left")
         .filter(F.coalesce("healthy", F.lit(True)))

@@ -93,6 +93,14 @@ def ndvi(cube: DataFrame, nir: str | None = None, red: str | None = None, target
     return _result(cube, normalized_difference(n, r), "ndvi", target_band)
 
 
+def ndvi_gateway(cube: DataFrame, nir: str | None = None, red: str | None = None) -> DataFrame:
+    """Vegetation index without gaps, as result rasters carry it: nan becomes 0, an infinite value 1 or -1."""
+    index = ndvi(cube, nir, red)
+    v, inf = F.col("ndvi"), float("inf")
+    finite = F.when(F.isnan(v), _float(0.0)).when(v == F.lit(inf), _float(1.0)).when(v == F.lit(-inf), _float(-1.0)).otherwise(v)
+    return index.withColumn("ndvi", finite)
+
+
 def ndwi(cube: DataFrame) -> DataFrame:
     value = normalized_difference(find_band(cube, ROLE_NAMES["green"]), find_band(cube, ROLE_NAMES["nir"]))
     return _result(cube, value, "ndwi")

@@ -95,7 +95,9 @@ def user_merge(local: DataFrame, remote: DataFrame) -> DataFrame:
     Both sides have user_id, username, updated_at and the same further columns.
     A newer remote row updates role, active and updated_at of a known user; an
     unknown user is added unless its name is taken, by a local user or by an
-    earlier added one.
+    earlier added one. Where users have an ``api_key`` it must be free as well; of
+    remote users that claim the same name and those that claim the same key only
+    the first by user_id may pass each test.
     """
     fields = [c for c in local.columns if c != "user_id"]
     mine = local.select("user_id", F.struct(*fields).alias("l"))
@@ -114,8 +116,14 @@ def user_merge(local: DataFrame, remote: DataFrame) -> DataFrame:
         F.when(newer, "updated").when(F.col("r").isNotNull(), "skipped").otherwise("kept").alias("action"),
     )
     unknown = both.filter(F.col("l").isNull()).select("user_id", "r.*")
-    free = unknown.join(local.select("username"), "username", "left_anti")
-    added = first_per_key(free, ["username"], "user_id")
+    uniques = [c for c in ("username", "api_key") if c in fields]
+    added = unknown
+    for unique in uniques:
+        added = added.join(local.select(unique), unique, "left_anti").select(*unknown.columns)
+    for unique in uniques:
+        claimed = added.filter(F.col(unique).isNotNull())
+        # keys that are null collide with nothing
+        added = first_per_key(claimed, [unique], "user_id").unionByName(added.filter(F.col(unique).isNull()))
     refused = unknown.join(added.select("user_id"), "user_id", "left_anti")
     return settled.unionByName(added.withColumn("action", F.lit("added"))).unionByName(
         refused.withColumn("action", F.lit("refused"))
@@ -135,9 +143,11 @@ def user_merge_counts(merge: DataFrame) -> DataFrame:
     )
 
 
-def _search_each(rows: DataFrame, rank: str, collections, bbox, datetime_range, limit: int) -> DataFrame:
-    """Newest ``limit`` matches per source, one row per id from the first source, newest first within a source."""
+def _search_each(rows: DataFrame, rank: str, collections, bbox, datetime_range, limit: int | None) -> DataFrame:
+    """One row per id from the first source; with ``limit`` the newest per source, newest first within a source."""
     found = search_datetime(search_bbox(search_collections(rows, collections), bbox), datetime_range)
+    if limit is None:
+        return first_per_key(found, ["id"], rank, F.col("datetime"))
     newest = Window.partitionBy(rank).orderBy(F.col("datetime").desc(), "id")
     listed = found.withColumn("_place", F.row_number().over(newest)).filter(F.col("_place") <= limit)
     unique = first_per_key(listed, ["id"], rank, "_place")
@@ -146,7 +156,7 @@ def _search_each(rows: DataFrame, rank: str, collections, bbox, datetime_range,
 
 def routed_search(
     node_items: DataFrame, nodes: DataFrame, now_s: int, collections: list[str] | None = None,
-    bbox: list[float] | None = None, datetime_range: str | None = None, limit: int = 100,
+    bbox: list[float] | None = None, datetime_range: str | None = None, limit: int | None = None,
 ) -> DataFrame:
     """Search on the alive, reachable nodes that hold one of the collections."""
     chosen = alive_nodes(nodes, now_s).filter(F.coalesce("url", F.lit("")) != "")
@@ -160,7 +170,7 @@ def routed_search(
 
 def federated_search(
     peer_items: DataFrame, collections: list[str] | None = None, bbox: list[float] | None = None,
-    datetime_range: str | None = None, limit: int = 100,
+    datetime_range: str | None = None, limit: int | None = None,
 ) -> DataFrame:
     """Search on every peer (column ``peer`` gives their order)."""
     return _search_each(peer_items, "peer", collections, bbox, datetime_range, limit)

@@ -20,7 +20,6 @@ UPSTREAM_COLLECTIONS = {
     "sentinel-5p": "SENTINEL-5P",
 }
 UPSTREAM_DEFAULT = "SENTINEL-2"
-FALLBACK_LIMIT = 500
 WORLD = (-180.0, -90.0, 180.0, 90.0)
 
 
@@ -70,10 +69,11 @@ def search_items(
     collections: list[str] | None = None,
     bbox: list[float] | None = None,
     datetime_range: str | None = None,
-    limit: int = 100,
+    limit: int | None = None,
 ) -> DataFrame:
+    """Matching items; with ``limit`` only the newest."""
     found = search_datetime(search_bbox(search_collections(items, collections), bbox), datetime_range)
-    return latest_items(found, limit)
+    return found if limit is None else latest_items(found, limit)
 
 
 def get_item(items: DataFrame, item_id: str) -> DataFrame:
@@ -84,8 +84,15 @@ def get_collection(collections: DataFrame, collection_id: str) -> DataFrame:
     return collections.filter(F.col("id") == collection_id)
 
 
-def list_collections(items: DataFrame) -> DataFrame:
-    return items.select("collection").distinct()
+def list_collections(collections: DataFrame) -> DataFrame:
+    """The collections table, whether or not a collection has items."""
+    known = [c for c in ("id", "title", "description", "extent", "license") if c in collections.columns]
+    return collections.select(*known)
+
+
+def collections_of(items: DataFrame) -> DataFrame:
+    """Ids of the collections that ``items`` name, for a catalogue without a collections table."""
+    return items.select(F.col("collection").alias("id")).distinct()
 
 
 def list_collection_items(items: DataFrame, collection_id: str) -> DataFrame:
@@ -153,10 +160,16 @@ def product_search(
     start_date: str | None = None,
     end_date: str | None = None,
     cloud_cover: float | None = 30.0,
-    limit: int = 10,
+    limit: int | None = None,
+    collection: str | None = None,
 ) -> DataFrame:
-    """Newest matching products that are not in ``known`` (column ``product_id``)."""
+    """Matching products that are not in ``known`` (column ``product_id``); with ``limit`` only the newest.
+
+    ``collection`` is a logical collection; products carry the upstream one it maps to.
+    """
     found = products
+    if collection:
+        found = found.filter(F.col("collection") == UPSTREAM_COLLECTIONS.get(collection.lower(), UPSTREAM_DEFAULT))
     if product_type:
         found = found.filter(F.col("product_type") == product_type)
     if bbox:
@@ -171,7 +184,7 @@ def product_search(
     if cloud_cover is not None:
         found = found.filter(F.col("cloud_cover") <= cloud_cover)
     found = found.join(known.select("product_id"), "product_id", "left_anti")
-    return found.orderBy(F.col("date").desc(), "product_id").limit(limit)
+    return found if limit is None else found.orderBy(F.col("date").desc(), "product_id").limit(limit)
 
 
 def batch_bbox_search(
@@ -209,7 +222,7 @@ def open_period(requests: DataFrame) -> DataFrame:
     )
 
 
-def search_fallback(requests: DataFrame, items: DataFrame, limit: int = FALLBACK_LIMIT) -> DataFrame:
+def search_fallback(requests: DataFrame, items: DataFrame, limit: int) -> DataFrame:
     """Per request (request_id, item_id, step): step 0 box and period, 1 period only, 2 collection only.
 
     A later step is used only when the earlier one finds nothing; steps 1 and 2

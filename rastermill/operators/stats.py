@@ -38,12 +38,17 @@ def chunk_heat_map(log: DataFrame, now: str, hours: float = 168, limit: int = 50
     """Most used chunks, with the collection of their latest access."""
     counted = recent_window(log, now, hours).groupBy(key).agg(
         F.count(F.lit(1)).alias("access_count"),
-        F.max_by("collection_id", "ts").alias("collection_id"),
+        _latest_collection(),
         F.max("ts").alias("last_access"),
     )
     return counted.orderBy(F.col("access_count").desc(), key).limit(limit)
 
 
+def _latest_collection() -> Column:
+    """Collection of the latest access; of accesses at the same time the last by name."""
+    return F.max_by("collection_id", F.struct("ts", "collection_id")).alias("collection_id")
+
+
 def _replicas(count: Column, hot: int) -> Column:
     return F.least(F.lit(MAX_REPLICAS), F.lit(DEFAULT_REPLICAS) + F.floor(count / hot)).cast("bigint")
 
@@ -54,6 +59,7 @@ def replication_advice(log: DataFrame, now: str, hot: int = HOT_PER_WEEK, cold_d
         F.count_if(F.col("ts") > moment(now, 7 * 24)).alias("weekly"),
         F.max("ts").alias("last_access"),
         F.count(F.lit(1)).alias("total"),
+        _latest_collection(),
     )
     advice = (
         F.when(F.col("weekly") >= hot, "promote").when(F.col("last_access") < moment(now, cold_days * 24), "demote").otherwise("ok")
@@ -67,12 +73,14 @@ def replication_advice(log: DataFrame, now: str, hot: int = HOT_PER_WEEK, cold_d
 
 
 def replication_promote(log: DataFrame, now: str, hot: int = HOT_PER_WEEK, key: str = "sha") -> DataFrame:
-    weekly = recent_window(log, now, 7 * 24).groupBy(key).agg(F.count(F.lit(1)).alias("weekly_accesses"))
+    weekly = recent_window(log, now, 7 * 24).groupBy(key).agg(
+        F.count(F.lit(1)).alias("weekly_accesses"), _latest_collection()
+    )
     return weekly.filter(F.col("weekly_accesses") >= hot).withColumn("replicas", _replicas(F.col("weekly_accesses"), hot))
 
 
 def replication_demote(log: DataFrame, now: str, cold_days: int = COLD_DAYS, key: str = "sha") -> DataFrame:
-    last = log.groupBy(key).agg(F.max("ts").alias("last_access"), F.count(F.lit(1)).alias("total_accesses"))
+    last = log.groupBy(key).agg(F.max("ts").alias("last_access"), F.count(F.lit(1)).alias("total_accesses"), _latest_collection())
     cold = last.filter(F.col("last_access") < moment(now, cold_days * 24))
     return cold.withColumn("replicas", F.lit(COLD_REPLICAS).cast("bigint"))
 
@@ -122,12 +130,12 @@ def downloads_daily(log: DataFrame, now: str, hours: float = 720) -> DataFrame:
     return _download_groups(recent, [F.to_date("ts").cast("string").alias("day"), "origin"]).orderBy("day", "origin")
 
 
-def access_overview(access: DataFrame, bandwidth: DataFrame, now: str, key: str = "sha") -> dict[str, DataFrame]:
-    """The dashboard's tables by name; each stays lazy."""
+def access_overview(access: DataFrame, bandwidth: DataFrame, now: str, key: str = "sha", top: int = 10, hottest: int = 20) -> dict[str, DataFrame]:
+    """The dashboard's tables by name; each stays lazy. ``top`` and ``hottest`` are the lengths of its lists."""
     return {
-        "top_collections_7d": top_collections(access, now, 168, 10),
-        "top_collections_24h": top_collections(access, now, 24, 10),
-        "chunk_heat_map_7d": chunk_heat_map(access, now, 168, 20, key),
+        "top_collections_7d": top_collections(access, now, 168, top),
+        "top_collections_24h": top_collections(access, now, 24, top),
+        "chunk_heat_map_7d": chunk_heat_map(access, now, 168, hottest, key),
         "replication_advice": replication_advice(access, now, key=key),
         "bandwidth_24h": bandwidth_summary(bandwidth, now, 24),
         "bandwidth_7d": bandwidth_summary(bandwidth, now, 168),

@@ -98,14 +98,19 @@ def _(i: Inputs):
     return search.get_item(i.items.select(*ITEM_COLUMNS), "item-77")
 
 
-@query("get_collection", "SELECT DISTINCT collection AS id FROM items WHERE collection = 'landsat-c2-l2'", ("items",))
+@query("get_collection", "SELECT id FROM collections WHERE id = 'landsat-c2-l2'", ("collections",))
 def _(i: Inputs):
-    return search.get_collection(search.list_collections(i.items).withColumnRenamed("collection", "id"), "landsat-c2-l2")
+    return search.get_collection(search.list_collections(i.collections), "landsat-c2-l2").select("id")
 
 
-@query("list_collections", "SELECT DISTINCT collection FROM items", ("items",))
+@query("list_collections", "SELECT id, title FROM collections", ("collections",))
 def _(i: Inputs):
-    return search.list_collections(i.items)
+    return search.list_collections(i.collections)
+
+
+@query("collections_of", "SELECT DISTINCT collection AS id FROM items", ("items",))
+def _(i: Inputs):
+    return search.collections_of(i.items)
 
 
 @query("list_collection_items", "SELECT id, datetime FROM items WHERE collection = 'landsat-c2-l2'", ("items",))
@@ -285,7 +290,7 @@ def _(i: Inputs):
     ("aois", "items"),
 )
 def _(i: Inputs):
-    return search.search_fallback(i.aois, i.items)
+    return search.search_fallback(i.aois, i.items, limit=500)
 
 
 METRES = "west_m AS w, south_m AS s, west_m + 109800 AS e, south_m + 109800 AS n"
@@ -331,12 +336,15 @@ def _(i: Inputs):
 
 @query(
     "catalog_summary",
-    f"""WITH {METRIC_CTE} SELECT (SELECT list(collection ORDER BY collection) FROM cov) AS collections,
-           (SELECT count(*) FROM items) AS item_count, CAST(sum(area_km2) AS BIGINT) AS total_area_km2 FROM cov""",
-    ("items",),
+    f"""WITH {METRIC_CTE} SELECT (SELECT string_agg(id, ',' ORDER BY id) FROM collections) AS collections,
+           (SELECT count(*) FROM items) AS item_count, CAST(sum(area_km2) AS BIGINT) AS total_area_km2,
+           string_agg(concat(collection, ':', CAST(items AS VARCHAR), ':', CAST(tiles AS VARCHAR), ':', CAST(area_km2 AS VARCHAR)), ',' ORDER BY collection) AS coverage FROM cov""",
+    ("items", "collections"),
 )
 def _(i: Inputs):
-    return coverage.catalog_summary(_metric_items(i))
+    summary = coverage.catalog_summary(_metric_items(i), i.collections)
+    covered = F.transform("coverage", lambda c: F.concat_ws(":", c["collection"], c["items"], c["tiles"], c["area_km2"]))
+    return summary.select(F.array_join("collections", ",").alias("collections"), "item_count", "total_area_km2", F.array_join(covered, ",").alias("coverage"))
 
 
 @query(
@@ -532,5 +540,14 @@ def _(i: Inputs):
             F.lit("2024-01-01T00:00:00Z").alias("datetime"), F.lit(1).cast("bigint").alias("version"),
         )
     )
-    items, _ = sinks.sink_items_upsert(stored, updates, search.list_collections(i.items).withColumnRenamed("collection", "id"))
+    items, _ = sinks.sink_items_upsert(stored, updates)
     return items.drop("version")
+
+
+@query("sink_items_upsert_collections", "SELECT id FROM collections UNION SELECT 'fresh'", ("collections",))
+def _(i: Inputs):
+    stored = i.items.select("id", "collection").withColumn("version", F.lit(0).cast("bigint"))
+    updates = i.customer.select(
+        F.concat(F.lit("new-"), F.col("c_custkey").cast("string")).alias("id"), F.lit("fresh").alias("collection"), F.lit(1).cast("bigint").alias("version")
+    )
+    return sinks.sink_items_upsert(stored, updates, i.collections)[1]

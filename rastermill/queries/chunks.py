@@ -220,7 +220,10 @@ def _(i: Inputs):
 
 def _apply_inputs(i: Inputs):
     local_chunks = i.chunks.filter("lang <> 'en'").select(F.col("claimed_sha").alias("sha"), "data").dropDuplicates(["sha"])
-    remote_chunks = i.chunks.filter("source <> 'src3'").select(F.col("claimed_sha").alias("sha"), "data").dropDuplicates(["sha"])
+    remote_chunks = i.chunks.filter("source <> 'src3'").select(F.col("claimed_sha").alias("sha"), "data")
+    # a broken copy beside each chunk of every third document
+    broken = i.chunks.filter("source <> 'src3' AND doc_id % 3 = 0").select(F.col("claimed_sha").alias("sha"), F.lit(b"broken").alias("data"))
+    remote_chunks = broken.unionByName(remote_chunks)
     refs = i.chunks.select((F.col("doc_id") % 97).alias("item_id"), F.col("claimed_sha").alias("sha"))
     remote_items = refs.select(F.col("item_id").alias("id")).distinct().withColumn("origin", F.lit("remote"))
     local_items = i.chunks.filter("lang = 'es'").select((F.col("doc_id") % 97).alias("id"), F.lit("local").alias("origin")).distinct()
@@ -228,7 +231,7 @@ def _apply_inputs(i: Inputs):
 
 
 APPLY = """loc AS (SELECT DISTINCT claimed_sha AS c FROM chunks WHERE lang <> 'en'),
-   rem AS (SELECT claimed_sha AS c, bool_and(claimed_sha = sha) AS ok FROM chunks WHERE source <> 'src3' GROUP BY 1),
+   rem AS (SELECT claimed_sha AS c, bool_or(claimed_sha = sha) AS ok FROM chunks WHERE source <> 'src3' GROUP BY 1),
    lacking AS (SELECT doc_id % 97 AS item, claimed_sha AS c FROM chunks WHERE claimed_sha NOT IN (SELECT c FROM loc)),
    wanted AS (SELECT DISTINCT c FROM lacking)"""
 
@@ -261,6 +264,35 @@ def _(i: Inputs):
     return chunks.chunk_map(_refs(i), placements)
 
 
+BAND_OF = "CASE WHEN item_no % 3 = 0 THEN '*' WHEN tile_no % 2 = 0 THEN 'B04' ELSE 'B08' END"
+
+
+@query("chunk_map_bands",
+    f"""WITH holders AS (SELECT chunk_no, list_sort(list(DISTINCT node_no)) AS nodes FROM placements GROUP BY 1)
+       SELECT item_no AS item_id, tile_no AS idx, {BAND_OF} AS band, r.chunk_no AS sha, coalesce(nodes, []) AS nodes
+       FROM item_chunks r LEFT JOIN holders h ON r.chunk_no = h.chunk_no WHERE {BAND_OF} IN ('*', 'B04')""", ("item_chunks", "placements"))
+def _(i: Inputs):
+    placements = i.placements.select(F.col("chunk_no").alias("sha"), F.col("node_no").alias("node"))
+    refs = i.item_chunks.selectExpr("item_no AS item_id", "tile_no AS idx", f"{BAND_OF} AS band", "chunk_no AS sha")
+    return chunks.chunk_map(refs, placements, ["B04"])
+
+
+@query("chunk_grid",
+    """SELECT id AS item_id, collection, CASE WHEN seq % 3 = 0 THEN 'legacy' ELSE 'band-level' END AS format,
+              CASE WHEN seq % 3 = 0 THEN 512 ELSE 256 END AS tile_size, 1 AS tile_cols, CAST(1 + seq % 4 AS INT) AS tile_rows, width,
+              CASE WHEN seq % 3 = 0 THEN 3 ELSE 2 END AS total_chunks FROM items""", ("items",))
+def _(i: Inputs):
+    other = F.col("seq") % 3 != 0
+    properties = F.to_json(F.struct(
+        F.when(other, "band-level").alias("grid:chunk_format"), F.when(other, 256).alias("grid:tile_size"),
+        (1 + F.col("seq") % 4).alias("grid:tile_rows"), F.col("width").alias("grid:width"),
+    ))
+    hashes = F.when(other, F.lit('{"B04":["a","b"],"B08":["c"]}')).otherwise(F.lit('["a","b","c"]'))
+    rows = i.items.select(F.col("id").alias("item_id"), "collection", "datetime", properties.alias("properties_json"), hashes.alias("chunk_hashes_json"))
+    grid = chunks.chunk_grid(readers.decode_items(rows), ["B04"])
+    return grid.select("item_id", "collection", "format", "tile_size", "tile_cols", "tile_rows", "width", "total_chunks")
+
+
 @query("validate_report",
     """WITH per AS (SELECT concat('item-', CAST(item_no AS STRING)) AS id, count(s.chunk_no) AS l, count(*) FILTER (s.chunk_no IS NULL) AS m
                     FROM item_chunks c LEFT JOIN stored s ON c.chunk_no = s.chunk_no GROUP BY 1),

@@ -56,6 +56,20 @@ def _(i: Inputs):
     return flow.fail_streaks(i.account_log, slice_rows=1000)
 
 
+RESET_STREAKS = """resets AS (SELECT account_id, max(seq) AS at FROM account_log WHERE account_id % 2 = 0 AND seq % 50 = 0 GROUP BY 1),
+   counted AS (SELECT l.* FROM account_log l LEFT JOIN resets r ON l.account_id = r.account_id WHERE r.at IS NULL OR seq > r.at),
+   marked AS (SELECT *, sum(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY account_id ORDER BY seq) AS isl FROM counted),
+   runs AS (SELECT account_id, isl, count(*) FILTER (NOT success) AS n FROM marked GROUP BY 1, 2)"""
+
+
+@query("fail_streaks_reset",
+    f"""WITH {RESET_STREAKS} SELECT account_id, max(n) AS longest, max(n) < 2 AS healthy FROM runs GROUP BY 1
+        UNION ALL SELECT account_id, 0, TRUE FROM resets WHERE account_id NOT IN (SELECT account_id FROM runs)""", ("account_log",))
+def _(i: Inputs):
+    resets = i.account_log.filter("account_id % 2 = 0 AND seq % 50 = 0").select("account_id", "seq")
+    return flow.fail_streaks(i.account_log, limit=2, slice_rows=1000, resets=resets)
+
+
 @query("account_health",
     """SELECT account_id, count(*) FILTER (success) AS success_count, count(*) FILTER (NOT success) AS fail_count,
               CAST(coalesce(sum(bytes) FILTER (success), 0) AS BIGINT) AS total_bytes, max(ts) AS last_used FROM account_log GROUP BY 1""", ("account_log",))

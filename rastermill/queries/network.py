@@ -103,6 +103,19 @@ def _(i: Inputs):
     return network.merged_users(network.user_merge(i.users_local, i.users_remote))
 
 
+@query("user_merge_api_key",
+    """WITH l AS (SELECT user_id, username, concat('key-', CAST(user_id % 97 AS VARCHAR)) AS api_key FROM users_local WHERE user_id % 97 < 40),
+        r AS (SELECT user_id, concat('r', CAST(user_id AS VARCHAR)) AS username, concat('key-', CAST(user_id % 97 AS VARCHAR)) AS api_key FROM users_remote),
+        fresh AS (SELECT *, row_number() OVER (PARTITION BY api_key ORDER BY user_id) AS rn FROM r
+                  WHERE user_id NOT IN (SELECT user_id FROM l) AND api_key NOT IN (SELECT api_key FROM l))
+       SELECT user_id, username, api_key FROM l UNION ALL SELECT user_id, username, api_key FROM fresh WHERE rn = 1""", ("users_local", "users_remote"))
+def _(i: Inputs):
+    key = F.concat(F.lit("key-"), (F.col("user_id") % 97).cast("string"))
+    local = i.users_local.filter("user_id % 97 < 40").withColumn("api_key", key)
+    remote = i.users_remote.withColumns({"username": F.concat(F.lit("r"), F.col("user_id").cast("string")), "api_key": key})
+    return network.merged_users(network.user_merge(local, remote)).select("user_id", "username", "api_key")
+
+
 @query("user_merge_counts",
     f"""WITH {USERS} SELECT count(*) FILTER (action='added') AS added, count(*) FILTER (action='updated') AS updated,
             count(*) FILTER (action IN ('skipped','refused')) AS skipped FROM merged""", ("users_local", "users_remote"))

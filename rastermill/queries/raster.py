@@ -55,6 +55,18 @@ def _(i: Inputs):
     return indices.pair_bands(ranked, ["scene", "y", "x"], ["b04", "b08"], value="value", order="rank")
 
 
+GATEWAY = "CASE WHEN isnan(v) THEN 0 WHEN isinf(v) THEN sign(v) ELSE v END"
+
+
+@query("ndvi_gateway",
+    f"""SELECT scene, y, x, round(CAST({GATEWAY} AS DOUBLE), 6) AS ndvi FROM (
+            SELECT scene, y, x, CASE WHEN band = 0 THEN 'nan'::FLOAT WHEN n + r = 0 THEN 0::FLOAT ELSE CAST((n - r) / (n + r) AS FLOAT) END AS v FROM (
+                SELECT scene, y, x, (y + x) % 5 AS band, CAST(b08 AS FLOAT) AS n, CAST(b04 AS FLOAT) AS r FROM cube))""", ("cube",))
+def _(i: Inputs):
+    cube = scene_cube(i, ["B04", "B08"]).withColumn("B08", F.when((F.col("y") + F.col("x")) % 5 == 0, F.lit(float("nan"))).otherwise(F.col("B08")))
+    return indices.ndvi_gateway(cube).select("scene", "y", "x", six("ndvi"))
+
+
 @query("ndvi", _index_sql(NDVI, "ndvi"), CUBE)
 def _(i: Inputs):
     return indices.ndvi(scene_cube(i, ["B04", "B08"])).select("scene", "y", "x", six("ndvi"))
@@ -405,6 +417,30 @@ def _(i: Inputs):
     return documents.select("id", get("$.type").alias("type"), get("$.bbox[2]").cast("double").alias("east"), get("$.properties.datetime").alias("datetime"))
 
 
+@query("stac_round_trip",
+    """SELECT id, collection, bbox_west, bbox_north, datetime, width, 'Point' AS shape, bbox_west AS lon, seq % 100 AS cover,
+              concat('grid:', id) AS note, concat('s3://', id) AS href FROM items""", ("items",))
+def _(i: Inputs):
+    from rastermill.sources.readers import decode_items, decode_stac
+
+    point = F.to_json(F.struct(F.lit("Point").alias("type"), F.array("bbox_west", "bbox_south").alias("coordinates")))
+    properties = F.to_json(F.struct(
+        "datetime", F.col("width").alias("grid:width"), (F.col("seq") % 100).alias("eo:cloud_cover"), F.concat(F.lit("grid:"), "id").alias("note")
+    ))
+    assets = F.to_json(F.struct(F.struct(F.concat(F.lit("s3://"), "id").alias("href")).alias("B04")))
+    stored = i.items.select(
+        "id", "collection", "datetime", "bbox_west", "bbox_south", "bbox_east", "bbox_north", point.alias("geometry"), assets.alias("assets"),
+        properties.alias("properties_json"), F.lit('{"B04":["a"]}').alias("chunk_hashes_json"),
+    )
+    back = decode_stac(sinks.sink_replica_export(decode_items(stored)).select(F.col("json").alias("value")))
+    return back.select(
+        "id", "collection", "bbox_west", "bbox_north", "datetime", "properties.width", F.get_json_object("geometry", "$.type").alias("shape"),
+        F.get_json_object("geometry", "$.coordinates[0]").cast("double").alias("lon"),
+        F.col("other_properties")["eo:cloud_cover"].cast("bigint").alias("cover"), F.col("other_properties")["note"].cast("string").alias("note"),
+        F.get_json_object("assets", "$.B04.href").alias("href"),
+    )
+
+
 @query("sink_replica_export",
     """SELECT id, sha256(id) AS sha FROM items WHERE collection = 'landsat-c2-l2'""", ("items",))
 def _(i: Inputs):

@@ -27,30 +27,30 @@ def _(i: Inputs):
 
 
 @query("chunk_heat_map",
-    f"""SELECT chunk_no AS sha, count(*) AS access_count, arg_max(collection_id, ts) AS collection_id, max(ts) AS last_access
+    f"""SELECT chunk_no AS sha, count(*) AS access_count, arg_max(collection_id, (ts, collection_id)) AS collection_id, max(ts) AS last_access
         FROM access_log WHERE {SINCE_WEEK} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""", ("access_log",))
 def _(i: Inputs):
     return stats.chunk_heat_map(_access(i), NOW)
 
 
 @query("replication_promote",
-    f"""SELECT chunk_no AS sha, count(*) AS weekly_accesses, CAST(least(6, 3 + count(*) // 15) AS BIGINT) AS replicas
+    f"""SELECT chunk_no AS sha, count(*) AS weekly_accesses, CAST(least(6, 3 + count(*) // 15) AS BIGINT) AS replicas, arg_max(collection_id, (ts, collection_id)) AS collection_id
         FROM access_log WHERE {SINCE_WEEK} GROUP BY 1 HAVING count(*) >= 15""", ("access_log",))
 def _(i: Inputs):
     return stats.replication_promote(_access(i), NOW, hot=15)
 
 
 @query("replication_demote",
-    """SELECT chunk_no AS sha, max(ts) AS last_access, count(*) AS total_accesses, CAST(2 AS BIGINT) AS replicas
+    """SELECT chunk_no AS sha, max(ts) AS last_access, count(*) AS total_accesses, CAST(2 AS BIGINT) AS replicas, arg_max(collection_id, (ts, collection_id)) AS collection_id
        FROM access_log GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-30'""", ("access_log",))
 def _(i: Inputs):
     return stats.replication_demote(_access(i), NOW, cold_days=1)
 
 
 @query("replication_advice",
-    f"""SELECT sha, weekly, last_access, total, advice, CAST(CASE advice WHEN 'promote' THEN least(6, 3 + weekly // 15) WHEN 'demote' THEN 2 ELSE 3 END AS BIGINT) AS replicas
+    f"""SELECT sha, weekly, last_access, total, collection_id, advice, CAST(CASE advice WHEN 'promote' THEN least(6, 3 + weekly // 15) WHEN 'demote' THEN 2 ELSE 3 END AS BIGINT) AS replicas
         FROM (SELECT *, CASE WHEN weekly >= 15 THEN 'promote' WHEN last_access < TIMESTAMP '2024-01-30' THEN 'demote' ELSE 'ok' END AS advice
-              FROM (SELECT chunk_no AS sha, count(*) FILTER ({SINCE_WEEK}) AS weekly, max(ts) AS last_access, count(*) AS total FROM access_log GROUP BY 1))""",
+              FROM (SELECT chunk_no AS sha, count(*) FILTER ({SINCE_WEEK}) AS weekly, max(ts) AS last_access, count(*) AS total, arg_max(collection_id, (ts, collection_id)) AS collection_id FROM access_log GROUP BY 1))""",
     ("access_log",))
 def _(i: Inputs):
     return stats.replication_advice(_access(i), NOW, hot=15, cold_days=1)
@@ -99,6 +99,7 @@ def _(i: Inputs):
     f"""SELECT 'top_24h' AS part, collection_id AS what, n FROM (SELECT collection_id, count(*) AS n FROM access_log WHERE {SINCE_DAY} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
         UNION ALL SELECT 'top_7d', collection_id, n FROM (SELECT collection_id, count(*) AS n FROM access_log WHERE {SINCE_WEEK} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
         UNION ALL SELECT 'heat_7d', CAST(chunk_no AS VARCHAR), n FROM (SELECT chunk_no, count(*) AS n FROM access_log WHERE {SINCE_WEEK} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20)
+        UNION ALL SELECT 'advice', CAST(chunk_no AS VARCHAR), count(*) FROM access_log GROUP BY chunk_no
         UNION ALL SELECT 'bandwidth_24h', 'transfers', count(*) FROM bandwidth_log WHERE {SINCE_DAY}
         UNION ALL SELECT 'bandwidth_7d', 'transfers', count(*) FROM bandwidth_log WHERE {SINCE_WEEK}""", ("access_log", "bandwidth_log"))
 def _(i: Inputs):
@@ -111,6 +112,7 @@ def _(i: Inputs):
         row("top_collections_24h", "top_24h", F.col("collection_id"), "access_count")
         .unionByName(row("top_collections_7d", "top_7d", F.col("collection_id"), "access_count"))
         .unionByName(row("chunk_heat_map_7d", "heat_7d", F.col("sha"), "access_count"))
+        .unionByName(row("replication_advice", "advice", F.col("sha"), "total"))
         .unionByName(row("bandwidth_24h", "bandwidth_24h", F.lit("transfers"), "total_transfers"))
         .unionByName(row("bandwidth_7d", "bandwidth_7d", F.lit("transfers"), "total_transfers"))
     )

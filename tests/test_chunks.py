@@ -1,6 +1,7 @@
 """Chunk store operators on small hand-made chunks."""
 
 import hashlib
+import json
 
 from pyspark.sql import functions as F
 
@@ -118,6 +119,11 @@ def test_sync_is_complete_after_one_run(spark):
     first = chunks.sync_plan(local_items, local_chunks, items, refs, max_items=1).collect()
     assert [tuple(r) for r in first] == [("new", True, 1, 2, 0)]
 
+    # a broken copy beside a good one, on either side of it, loses nothing
+    bad = spark.createDataFrame([(sha(b"3"), bytearray(b"broken"))], "sha string, data binary")
+    for offered in (bad.unionByName(remote_chunks), remote_chunks.unionByName(bad)):
+        _, kept, wrong = chunks.sync_apply(local_items, local_chunks, items, refs, offered)
+        assert shas(kept) == sorted([sha(b"1"), sha(b"2"), sha(b"3")]) and sha(b"3") not in shas(wrong)
     after_items, after_chunks, errors = chunks.sync_apply(local_items, local_chunks, items, refs, remote_chunks)
     assert shas(after_chunks) == sorted([sha(b"1"), sha(b"2"), sha(b"3")])
     assert {r.sha: r.error for r in errors.collect()} == {sha(b"4"): "hash mismatch", sha(b"5"): "not found"}
@@ -141,6 +147,8 @@ def test_chunk_refs_and_map(spark):
     placements = spark.createDataFrame([("s1", 2), ("s1", 1), ("s1", 2)], "sha string, node bigint")
     got = {(r.band, r.idx): (r.sha, r.nodes) for r in chunks.chunk_map(chunks.chunk_refs(items), placements, ["B04"]).collect()}
     assert got == {("B04", 0): ("s1", [1, 2]), ("B04", 1): ("s2", [])}
+    whole = spark.createDataFrame([("i", {"*": ["s1", "s3"]})], "item_id string, chunk_hashes map<string,array<string>>")
+    assert shas(chunks.chunk_map(chunks.chunk_refs(whole), placements, ["B04"])) == ["s1", "s3"]
 
 
 def test_upsert_last_write_wins(spark):
@@ -161,6 +169,20 @@ def test_catalogue_row_decoding(spark):
     assert b.chunk_hashes == {"B04": ["h3"]} and b.dt is None and a.dt is not None
 
 
+def test_stored_geometry_assets_and_other_properties_come_back(spark):
+    stored = spark.createDataFrame(
+        [("a", "c", 1.0, 2.0, 3.0, 4.0, "2024", '{"type":"Point","coordinates":[1.5,2.5]}', '{"B04":{"href":"x"}}', '{"datetime":"2024","grid:width":10,"eo:cloud_cover":7.5,"note":"grid:5"}', "[]"),
+         ("b", "c", 1.0, 2.0, 3.0, 4.0, "2024", None, None, None, None)],
+        "id string, collection string, bbox_west double, bbox_south double, bbox_east double, bbox_north double, datetime string, geometry string, assets string, properties_json string, chunk_hashes_json string",
+    )
+    documents = sinks.sink_stac_json(readers.decode_items(stored)).select(F.col("json").alias("value"))
+    a, b = readers.decode_stac(documents).orderBy("id").collect()
+    assert json.loads(a.geometry) == {"type": "Point", "coordinates": [1.5, 2.5]} and json.loads(a.assets) == {"B04": {"href": "x"}}
+    assert a.properties.width == 10 and {k: v.toPython() for k, v in a.other_properties.items()} == {"eo:cloud_cover": 7.5, "note": "grid:5"}
+    assert json.loads(b.geometry)["type"] == "Polygon" and json.loads(b.assets) == {}
+    assert '"license":' in sinks.collection_json(spark.createDataFrame([("c",)], "id string")).first().json
+
+
 def test_stac_round_trip(spark, tmp_path):
     items = spark.createDataFrame(
         [("a", "c", 1.0, 2.0, 3.0, 4.0, "2024", {"B04": ["h"]})],

@@ -102,6 +102,13 @@ def test_fail_streaks(spark, slice_rows):
     assert got == {a: (n, n < 5) for a, n in best.items()}
 
 
+def test_a_reset_makes_an_account_healthy_again(spark):
+    log = spark.createDataFrame([(a, s, False) for a in (1, 2, 3) for s in range(6)], "account_id int, seq bigint, success boolean")
+    resets = spark.createDataFrame([(1, 3), (2, 5)], "account_id int, seq bigint")
+    got = {r.account_id: (r.longest, r.healthy) for r in flow.fail_streaks(log, 5, resets=resets).collect()}
+    assert got == {1: (2, True), 2: (0, True), 3: (6, False)}
+
+
 def test_account_select(spark):
     log = account_log(spark, [(1, True), (2, True), (3, False), (3, False), (4, True), (4, True)])
     accounts = spark.createDataFrame(

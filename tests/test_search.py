@@ -67,7 +67,7 @@ def test_filter_reaches_the_scan(spark, tmp_path):
     items(spark, ("a", "x", 0.0, 0.0, 1.0, 1.0, "2024")).write.parquet(str(tmp_path / "items"))
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     stored = spark.read.parquet(str(tmp_path / "items"))
-    found = search.search_items(stored, ["x"], [0.0, 0.0, 1.0, 1.0], "2024/..").select("id", "datetime")
+    found = search.search_items(stored, ["x"], [0.0, 0.0, 1.0, 1.0], "2024/..", limit=100).select("id", "datetime")
     plan = found._jdf.queryExecution().executedPlan().toString()
     for needed in ("GreaterThanOrEqual(bbox_east", "LessThanOrEqual(bbox_west", "GreaterThanOrEqual(datetime", "TakeOrderedAndProject"):
         assert needed in plan
@@ -83,10 +83,10 @@ def test_fallback_steps(spark):
          (3, "c", -9.0, -9.0, -8.0, -8.0, "2030-01-01", "2030-02-01"), (4, "none", 0.0, 0.0, 1.0, 1.0, "2024-01-01", "2024-02-01")],
         "request_id bigint, collection string, west double, south double, east double, north double, date_from string, date_to string",
     )
-    got = {tuple(r) for r in search.search_fallback(requests, df).collect()}
+    got = {tuple(r) for r in search.search_fallback(requests, df, limit=500).collect()}
     assert got == {(1, "near", 0), (2, "near", 1), (2, "far", 1), (3, "near", 2), (3, "far", 2), (3, "old", 2)}
     ends = requests.filter("request_id = 1").withColumns({"date_from": F.lit(None).cast("string"), "date_to": F.lit("..")})
-    assert [tuple(r) for r in search.search_fallback(ends, df).collect()] == [(1, "near", 0)]
+    assert [tuple(r) for r in search.search_fallback(ends, df, limit=500).collect()] == [(1, "near", 0)]
     limited = {tuple(r) for r in search.search_fallback(requests, df, limit=1).collect()}
     assert limited == {(1, "near", 0), (2, "far", 1), (3, "far", 2)}
 
