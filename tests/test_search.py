@@ -155,3 +155,12 @@ def test_needed_bands(spark):
 def test_product_bands_keys(spark):
     df = spark.createDataFrame([("B02",), ("B8A",), ("XYZ",)], "band string")
     assert [r[0] for r in df.select(bands.asset_key("band")).collect()] == ["blue", "nir08", "xyz"]
+
+
+def test_product_search_by_collection_without_a_limit(spark):
+    products = spark.createDataFrame(
+        [(k, "SENTINEL-1" if k % 2 else "SENTINEL-2", "2024-01-01", 5.0) for k in range(30)], "product_id int, collection string, date string, cloud_cover double"
+    )
+    known = spark.createDataFrame([(1,)], "product_id int")
+    got = sorted(r.product_id for r in search.product_search(products, known, collection="sentinel-1-grd").collect())
+    assert got == list(range(3, 30, 2))
