@@ -321,6 +321,56 @@ def resample_nearest(pixels: DataFrame, height: int, width: int, target_height:
     ).select(*pixels.columns)
 
 
+def to_finest_grid(tiles: DataFrame, keys: list[str], tile_size: int = TILE_SIZE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Tiles of all bands of a key on the grid of its finest band, nearest neighbour.
+
+    Tiles carry ``band`` and their raster's ``width`` and ``height``; the shape
+    aimed at is the largest of either over the key's bands. Tiles of that shape
+    pass as they are. A coarser tile yields its part of every target tile it
+    reaches, as in ``resample_nearest``; only parts that do not fill their
+    target tile (shapes that are no multiples) are joined by a shuffle of lines.
+    ``carry`` names columns that stay with a tile and do not differ within a band.
+    """
+    shape = tiles.groupBy(*keys).agg(F.max("width").alias("_tw"), F.max("height").alias("_th"))
+    placed = tiles.join(shape, keys)
+    fits = (F.col("width") == F.col("_tw")) & (F.col("height") == F.col("_th"))
+    kept = [*keys, "band", *carry]
+
+    def reach(off: str, size: str, src: str, dst: str) -> tuple[Column, Column]:
+        """Target positions that read a source position of the tile; position i reads floor((2i + 1) * src / (2 * dst))."""
+        first = lambda p: F.greatest(F.lit(0), F.ceil((2 * F.col(dst) * p - F.col(src)) / (2 * F.col(src)))).cast("int")
+        return first(F.col(off)), F.least(first(F.col(off) + F.col(size)), F.col(dst)).cast("int")
+
+    coarse = placed.filter(~fits).drop("tile_row", "tile_col")
+    for axis, off, size, src, dst, at in (("y", "y_off", "h", "height", "_th", "tile_row"), ("x", "x_off", "w", "width", "_tw", "tile_col")):
+        begin, end = reach(off, size, src, dst)
+        coarse = coarse.withColumns({"_b": begin, "_e": end}).filter("_e > _b")
+        coarse = coarse.withColumn(at, F.explode(F.sequence(_div("_b", tile_size), _div(F.col("_e") - 1, tile_size))))
+        start, stop = F.greatest("_b", F.col(at) * tile_size), F.least(F.col("_e"), (F.col(at) + 1) * tile_size)
+        coarse = coarse.withColumns({f"_{axis}0": start, f"_{axis}1": stop})
+
+    def read(at: Column, src: str, dst: str, off: str) -> Column:
+        return (F.floor((2 * at + 1) * F.col(src) / (2 * F.col(dst))) - F.col(off)).cast("int")
+
+    columns = F.transform(F.sequence("_x0", F.col("_x1") - 1), lambda x: read(x, "width", "_tw", "x_off"))
+    lines = F.transform(F.sequence("_y0", F.col("_y1") - 1), lambda y: read(y, "height", "_th", "y_off"))
+    parts = coarse.withColumns({"_columns": columns, "_lines": lines}).withColumn(
+        "_pixels", F.flatten(F.transform("_lines", lambda y: F.transform("_columns", lambda x: F.get("pixels", y * F.col("w") + x))))
+    )
+    parts = parts.select(
+        *kept, "tile_row", "tile_col", F.col("_y0").alias("y_off"), F.col("_x0").alias("x_off"),
+        (F.col("_y1") - F.col("_y0")).alias("h"), (F.col("_x1") - F.col("_x0")).alias("w"), F.col("_pixels").alias("pixels"),
+        (
+            (F.col("_y1") - F.col("_y0") == F.least(F.lit(tile_size), F.col("_th") - F.col("tile_row") * tile_size))
+            & (F.col("_x1") - F.col("_x0") == F.least(F.lit(tile_size), F.col("_tw") - F.col("tile_col") * tile_size))
+        ).alias("_fills"),
+    )
+    out = [*kept, "tile_row", "tile_col", "y_off", "x_off", "h", "w", "pixels"]
+    as_they_are = placed.filter(fits).withColumns({"tile_row": _div("y_off", tile_size), "tile_col": _div("x_off", tile_size)})
+    joined = retile(parts.filter(~F.col("_fills")).drop("tile_row", "tile_col", "_fills"), kept, tile_size)
+    return as_they_are.select(*out).unionByName(parts.filter("_fills").select(*out)).unionByName(joined.select(*out))
+
+
 # Bytes per pixel of the numpy types rasters come in.
 PIXEL_BYTES = {
     "uint8": 1, "int8": 1, "uint16": 2, "int16": 2, "uint32": 4, "int32": 4, "float32": 4, "uint64": 8, "int64": 8, "float64": 8,

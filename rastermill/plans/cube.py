@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from rastermill.functions.text import band_from_item_id
 from rastermill.operators import indices
+from rastermill.operators.bands import OPERATION_BANDS, resolve_needed_bands
 from rastermill.operators.search import WORLD, search_bbox, search_collections, search_datetime
+from rastermill.operators.tiles import TILE_SIZE, to_finest_grid
 from rastermill.plans.pick import last_per_key
 
 # Bands and format used when a graph does not name them.
@@ -22,38 +24,79 @@ GRAPH_NODE = (
 
 
 def cube_query(
-    items: DataFrame, tiles: DataFrame, operation: str, bands: list[str], key: str = "item_id",
-    collections: list[str] | None = None, bbox: list[float] | None = None, datetime_range: str | None = None, **arguments,
+    items: DataFrame, tiles: DataFrame, operation: str, bands: list[str] | None = None, key: str = "item_id",
+    collections: list[str] | None = None, bbox: list[float] | None = None, datetime_range: str | None = None,
+    tile_size: int = TILE_SIZE, **arguments,
 ) -> DataFrame:
-    """load -> filter -> pair bands -> operation, as one lazy plan.
+    """load -> filter -> align -> pair bands -> operation, as one lazy plan.
 
     ``tiles``: key, band, y_off, x_off, w, pixels. The catalogue filter reaches
     the tile table as a semi-join, the band filter reaches its scan, and one
-    shuffle of tile rows pairs the bands.
+    shuffle of tile rows pairs the bands. Without ``bands`` each item's bands
+    (its column ``bands``) decide which of them fills a role of the operation.
+
+    Tiles that also carry h and their raster's ``width`` and ``height`` are
+    brought to the item's finest grid of ``tile_size`` first. Of several tiles
+    of one band and place the one with the highest ``seq``, if there is such a
+    column, wins.
     """
     chosen = search_datetime(search_bbox(search_collections(items, collections), bbox), datetime_range)
-    loaded = tiles.filter(F.col("band").isin(list(bands))).join(chosen.select(key), key, "left_semi")
-    place = [c for c in ("y_off", "x_off", "w") if c in loaded.columns]
-    paired = indices.pair_bands(loaded, [key, *place], bands)
-    cube = indices.cube_from_tiles(paired, [key], bands)
+    if bands is None:
+        loaded, bands = _offered(tiles, chosen, key, operation)
+    else:
+        loaded = tiles.filter(F.col("band").isin(list(bands))).join(chosen.select(key), key, "left_semi")
+    order = "seq" if "seq" in loaded.columns else None
+    cube = _cube(loaded, key, bands, order, tile_size)
     if operation == "stack":
         return indices.stack_passthrough(cube, bands)
     return indices.apply_op(cube, operation, **arguments)
 
 
-def process_items(requests: DataFrame, tiles: DataFrame, operation: str, bands: list[str], **arguments) -> DataFrame:
+def process_items(
+    requests: DataFrame, tiles: DataFrame, operation: str, bands: list[str] | None = None, tile_size: int = TILE_SIZE, **arguments
+) -> DataFrame:
     """Run an operation for many requests at once.
 
-    ``requests``: request_id, item_id, position. When several items of a
-    request carry a band, the one with the highest position wins.
+    ``requests``: request_id, item_id, position and, if no ``bands`` are named,
+    the ``bands`` each item offers. When several items of a request carry a
+    band, the one with the highest position wins. Tiles are those of
+    ``cube_query``; where they carry their raster's shape, the winners of a
+    request are brought to the finest grid among them.
     """
-    loaded = tiles.filter(F.col("band").isin(list(bands))).join(requests, "item_id")
-    place = [c for c in ("y_off", "x_off", "w") if c in loaded.columns]
-    paired = indices.pair_bands(loaded, ["request_id", *place], bands, order="position")
-    cube = indices.cube_from_tiles(paired, ["request_id"], bands)
+    if bands is None:
+        offered = requests.select("item_id", "bands").dropDuplicates(["item_id"])
+        tiles, bands = _offered(tiles, offered, "item_id", operation)
+    loaded = tiles.filter(F.col("band").isin(list(bands))).join(requests.select("request_id", "item_id", "position"), "item_id")
+    if _has_shape(loaded):
+        # the shape of an item that loses all its bands must not count
+        last = loaded.groupBy("request_id", "band").agg(F.max("position").alias("position"))
+        loaded = loaded.join(last, ["request_id", "band", "position"])
+    cube = _cube(loaded, "request_id", bands, "position", tile_size)
     return indices.apply_op(cube, operation, **arguments)
 
 
+def _has_shape(tiles: DataFrame) -> bool:
+    return {"width", "height", "h"} <= set(tiles.columns)
+
+
+def _offered(tiles: DataFrame, items: DataFrame, key: str, operation: str) -> tuple[DataFrame, list[str]]:
+    """Tiles of the bands that each item offers for the operation, named after the first choice for their role."""
+    roles = OPERATION_BANDS.get(operation)
+    if roles is None:
+        raise ValueError(f"name the bands that {operation} works on")
+    names = [choices[0] for choices in roles]
+    picks = resolve_needed_bands(items.select(F.col(key).alias("item_id"), "bands"), operation).filter("role IS NOT NULL")
+    picks = picks.select(F.col("item_id").alias(key), "band", F.get(F.array(*map(F.lit, names)), F.col("role")).alias("_name"))
+    return tiles.join(picks, [key, "band"]).drop("band").withColumnRenamed("_name", "band"), names
+
+
+def _cube(loaded: DataFrame, key: str, bands: list[str], order: str | None, tile_size: int) -> DataFrame:
+    if _has_shape(loaded):
+        loaded = to_finest_grid(loaded, [key], tile_size, (order,) if order else ())
+    place = [c for c in ("y_off", "x_off", "w") if c in loaded.columns]
+    return indices.cube_from_tiles(indices.pair_bands(loaded, [key, *place], bands, order=order), [key], bands)
+
+
 def best_item_per_band(items: DataFrame) -> DataFrame:
     """Per collection and band the widest item, the first (``seq``) on ties."""
     named = items.withColumn("band", band_from_item_id("id")) if "band" not in items.columns else items

@@ -169,6 +169,32 @@ def _(i: Inputs):
     return result.select("scene", "y", "x", six("ndvi"))
 
 
+@query("cube_query_offered_bands",
+    f"""WITH f AS (SELECT scene, y, x, CAST(b04 AS FLOAT) AS r, CAST(CASE WHEN scene % 2 = 0 THEN b08 ELSE b8a END AS FLOAT) AS n FROM cube
+                   WHERE scene IN (SELECT seq FROM items))
+        SELECT scene, y, x, round(CAST({NDVI} AS DOUBLE), 6) AS ndvi FROM f""", ("cube", "items"))
+def _(i: Inputs):
+    offered = F.when(F.col("scene") % 2 == 0, F.array(F.lit("B04"), F.lit("B08"), F.lit("B8A"))).otherwise(F.array(F.lit("B04"), F.lit("B8A")))
+    result = plans.cube_query(scene_items(i).withColumn("bands", offered), scene_tiles(i), "ndvi", key="scene")
+    return result.select("scene", "y", "x", six("ndvi"))
+
+
+@query("cube_query_mixed_resolution",
+    f"""WITH f AS (SELECT a.scene, a.y, a.x, CAST(a.b03 AS FLOAT) AS g, CAST(c.b11 AS FLOAT) AS w
+                   FROM cube a LEFT JOIN cube c ON a.scene = c.scene AND c.y = a.y // 2 * 2 AND c.x = a.x // 2 * 2
+                   WHERE a.b03 IS NOT NULL AND a.scene IN (SELECT seq FROM items))
+        SELECT scene, y, x, round(CAST({ND.format(a='g', b='w')} AS DOUBLE), 6) AS ndsi FROM f""", ("cube", "items"))
+def _(i: Inputs):
+    """The green band in four tiles, the infrared band at half the resolution in one."""
+    bands = scene_tiles(i)
+    fine = tiles.retile(bands.filter("band = 'B03'"), ["scene", "band"], 4).withColumns({"width": F.lit(EDGE), "height": F.lit(EDGE)})
+    half = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda p: F.get("pixels", (F.floor(p / 4) * 2 * EDGE + p % 4 * 2).cast("int")))
+    coarse = bands.filter("band = 'B11'").withColumn("pixels", half).withColumns({c: F.lit(4) for c in ("h", "w", "width", "height")})
+    both = fine.unionByName(coarse, allowMissingColumns=True)
+    result = plans.cube_query(scene_items(i), both, "ndsi", ["B03", "B11"], key="scene", tile_size=4)
+    return result.select("scene", "y", "x", six("ndsi"))
+
+
 @query("process_items",
     f"""WITH p AS (SELECT scene // 2 AS request_id, y, x, band, arg_max(dn, scene) AS dn FROM pixels GROUP BY 1,2,3,4),
         w AS (SELECT request_id, y, x, CAST(max(CASE WHEN band='B08' THEN dn END) AS FLOAT) AS n, CAST(max(CASE WHEN band='B03' THEN dn END) AS FLOAT) AS g FROM p GROUP BY 1,2,3)

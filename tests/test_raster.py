@@ -244,3 +244,32 @@ def test_graph_requirements(spark):
 def test_best_item_per_band(spark):
     df = spark.createDataFrame([("a_B04", "c", 10, 1), ("b_B04", "c", 20, 2), ("d_B04", "c", 20, 3), ("plain", "c", 99, 4)], "id string, collection string, width int, seq int")
     assert [r.id for r in plans.best_item_per_band(df).collect()] == ["b_B04"]
+
+
+@pytest.mark.parametrize("coarse, fine, size", [((4, 4), (8, 8), 4), ((3, 5), (7, 11), 4), ((2, 2), (12, 12), 5), ((5, 4), (5, 9), 3)])
+def test_finest_grid_is_nearest_neighbour(spark, coarse, fine, size):
+    a, b = (np.arange(s[0] * s[1]).reshape(s) for s in (coarse, fine))
+    shaped = [
+        tiles.retile(whole(spark, {name: v}), KEYS, size).withColumns({"width": F.lit(v.shape[1]), "height": F.lit(v.shape[0])})
+        for name, v in (("C", a), ("F", b))
+    ]
+    aligned = pin(tiles.to_finest_grid(shaped[0].unionByName(shaped[1]), ["item_id"], size))
+    lines = (2 * np.arange(fine[0]) + 1) * coarse[0] // (2 * fine[0])
+    columns = (2 * np.arange(fine[1]) + 1) * coarse[1] // (2 * fine[1])
+    for name, want in (("C", a[np.ix_(lines, columns)]), ("F", b)):
+        mine = aligned.filter(F.col("band") == name)
+        assert np.array_equal(image(tiles.explode_pixels(mine, KEYS), shape=fine), want)
+        grid = tiles.tile_grid(spark.createDataFrame([("r", fine[1], fine[0])], "item_id string, width int, height int"), size).collect()
+        assert {(r.tile_row, r.tile_col): (r.h, r.w) for r in mine.collect()} == {(g.tile_row, g.tile_col): (g.h, g.w) for g in grid}
+        assert mine.count() == len(grid)
+
+
+def test_process_items_aligns_the_winning_bands(spark):
+    rows = [
+        ("old", "B03", 0, 0, 4, 4, 4, 4, list(range(16))), ("new", "B03", 0, 0, 2, 2, 2, 2, [1, 2, 3, 4]), ("new", "B11", 0, 0, 2, 2, 2, 2, [1, 1, 1, 1]),
+    ]
+    band_tiles = spark.createDataFrame(rows, "item_id string, band string, y_off int, x_off int, h int, w int, width int, height int, pixels array<int>")
+    offers = [("q", "old", 0, ["B03"]), ("q", "new", 1, ["B03", "B11"])]
+    requests = spark.createDataFrame(offers, "request_id string, item_id string, position int, bands array<string>")
+    got = {(r.y, r.x): r.ndsi for r in plans.process_items(requests, band_tiles, "ndsi").collect()}
+    assert got == {k: pytest.approx((v - 1) / (v + 1)) for k, v in {(0, 0): 1, (0, 1): 2, (1, 0): 3, (1, 1): 4}.items()}
