@@ -59,6 +59,8 @@ def rate_admission(
     The cells come from two counts that combine on the map side. Only runs of
     crowded cells are replayed in order, each with the quiet cell in front of
     it, whose requests are exactly what the limiter remembers at that point.
+    Requests of one instant are replayed as their number and told apart by
+    ``seq``, which is unique.
     """
     long_us, short_us = minute_s * 1_000_000, burst_s * 1_000_000
     who = F.coalesce(F.col("client").cast("string"), F.lit("unknown"))
@@ -76,14 +78,21 @@ def rate_admission(
     before = runs.groupBy("_who", "_run").agg((F.min("_cell") - 1).alias("_cell"))
     replayed_cells = runs.select("_who", "_cell", "_run").unionByName(before.select("_who", "_cell", "_run"))
 
-    quiet = timed.join(replayed_cells, ["_who", "_cell"], "left_anti").withColumn("admitted", F.lit(True))
-    columns = [*requests.columns, "_us", "_who", "_run"]
-    busy = timed.join(replayed_cells, ["_who", "_cell"]).select(*columns)
-    ordered = busy.repartition("_who", "_run").sortWithinPartitions("_who", "_run", "_us", "seq")
-    schema = T.StructType([*ordered.schema.fields, T.StructField("admitted", T.BooleanType())])
-    decided = ordered.mapInPandas(_replayer(rpm, burst, long_us, short_us), schema)
-    names = [*requests.columns, "admitted"]
-    return quiet.select(*names).unionByName(decided.select(*names))
+    # Python sees one row per instant with requests in a replayed cell, whatever their number and columns
+    instants = timed.groupBy("_who", "_cell", "_us").agg(F.count(F.lit(1)).alias("_n")).join(replayed_cells, ["_who", "_cell"])
+    ordered = instants.select("_who", "_run", "_us", "_n").repartition("_who", "_run").sortWithinPartitions("_who", "_run", "_us")
+    decided = ordered.mapInPandas(
+        _replayer(rpm, burst, long_us, short_us), "_who string, _us bigint, _n bigint, _admitted bigint"
+    )
+    # of an instant admitted in part, the first requests are; at most ``limit`` of them are looked at
+    limit = min(rpm, burst)
+    divided = decided.filter("_admitted > 0 AND _admitted < _n").select("_who", "_us", "_admitted")
+    place = F.row_number().over(Window.partitionBy("_who", "_us").orderBy("seq"))
+    ranked = timed.select("_who", "_us", "seq").join(divided, ["_who", "_us"]).withColumn("_place", place).filter(F.col("_place") <= limit)
+    last = ranked.filter("_place = _admitted").select("_who", "_us", F.col("seq").alias("_last"))
+    verdicts = decided.join(last, ["_who", "_us"], "left")
+    admitted = F.when(F.col("_n").isNull() | (F.col("_admitted") >= F.col("_n")), True).otherwise(F.coalesce(F.col("seq") <= F.col("_last"), F.lit(False)))
+    return timed.join(verdicts, ["_who", "_us"], "left").select(*requests.columns, admitted.alias("admitted"))
 
 
 def admit(times: np.ndarray, admitted: list[int], rpm: int, burst: int, minute_us: int, burst_us: int) -> np.ndarray:
@@ -119,14 +128,20 @@ def _replayer(rpm: int, burst: int, minute_us: int, burst_us: int):
         for pdf in batches:
             if pdf.empty:
                 continue
-            whos, runs, times = (pdf[c].to_numpy() for c in ("_who", "_run", "_us"))
+            whos, runs = pdf["_who"].to_numpy(), pdf["_run"].to_numpy()
+            # no instant admits more requests than the smaller limit
+            copies = np.clip(pdf["_n"].to_numpy(), 1, max(1, min(rpm, burst)))
+            starts = np.cumsum(copies) - copies
+            times = np.repeat(pdf["_us"].to_numpy(), copies)
             borders = np.flatnonzero((whos[1:] != whos[:-1]) | (runs[1:] != runs[:-1])) + 1
             verdicts = []
             for first, last in zip([0, *borders], [*borders, len(pdf)]):
                 if (whos[first], runs[first]) != current:
                     current, admitted = (whos[first], runs[first]), []
-                verdicts.append(admit(times[first:last], admitted, rpm, burst, minute_us, burst_us))
-            yield pdf.assign(admitted=np.concatenate(verdicts))
+                end = starts[last] if last < len(pdf) else len(times)
+                verdicts.append(admit(times[starts[first] : end], admitted, rpm, burst, minute_us, burst_us))
+            counts = np.add.reduceat(np.concatenate(verdicts), starts, dtype=np.int64)
+            yield pdf[["_who", "_us", "_n"]].assign(_admitted=counts)
 
     return replay
 

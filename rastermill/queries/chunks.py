@@ -187,13 +187,13 @@ def _(i: Inputs):
 
 def _sync_inputs(i: Inputs):
     local = i.items.filter("width > 1830 AND collection <> 'landsat-c2-l2'").select("id", "collection")
-    remote = i.items.filter("datetime >= '1994'").select("id", "collection")
+    remote = i.items.select("id", "collection")
     refs = _refs(i).withColumn("item_id", F.concat(F.lit("item-"), F.col("item_id").cast("string")))
     return local, remote, refs.join(remote.select(F.col("id").alias("item_id")), "item_id", "left_semi")
 
 
 SYNC = """loc AS (SELECT id, collection FROM items WHERE width > 1830 AND collection <> 'landsat-c2-l2'),
-   rem AS (SELECT id, collection FROM items WHERE datetime >= '1994'),
+   rem AS (SELECT id, collection FROM items),
    cnt AS (SELECT concat('item-', CAST(item_no AS STRING)) AS id, count(*) AS total, count(*) FILTER (s.chunk_no IS NULL) AS missing
            FROM item_chunks c LEFT JOIN stored s ON c.chunk_no = s.chunk_no GROUP BY 1),
    st AS (SELECT rem.id, rem.collection, coalesce(total,0) AS total, coalesce(missing,0) AS missing,

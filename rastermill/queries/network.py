@@ -175,7 +175,7 @@ def _(i: Inputs):
 
 
 @query("notify_targets",
-    """SELECT node_id, url, (SELECT count(*) FROM items WHERE datetime >= '1998') AS items, (SELECT min(id) FROM items WHERE datetime >= '1998') AS first_id,
-              (SELECT max(id) FROM items WHERE datetime >= '1998') AS last_id FROM nodes WHERE url IS NOT NULL""", ("items", "nodes"))
+    """SELECT node_id, url, (SELECT count(*) FROM items) AS items, (SELECT min(id) FROM items) AS first_id,
+              (SELECT max(id) FROM items) AS last_id FROM nodes WHERE url IS NOT NULL""", ("items", "nodes"))
 def _(i: Inputs):
-    return network.notify_targets(i.items.filter("datetime >= '1998'"), i.nodes)
+    return network.notify_targets(i.items, i.nodes)

@@ -190,9 +190,8 @@ CLASSIFY = """SELECT * FROM (
     UNION ALL SELECT 'download', ts, concat('item-', CAST(event_id AS VARCHAR)), concat('ip', CAST(user_id AS VARCHAR)), CAST(floor(value*100) AS BIGINT) FROM ok WHERE k = 2)"""
 
 
-@query("log_classify", f"WITH ok AS (SELECT *, event_id % 5 AS k FROM events WHERE event_type <> 'error') {CLASSIFY}")
-def _(i: Inputs):
-    chunk, collection, download = stats.log_classify(raw_requests(i.events))
+def classified(chunk, collection, download):
+    """The three kinds of events in one frame."""
     zero = F.lit(0).cast("bigint").alias("bytes")
     return (
         chunk.select(F.lit("chunk").alias("kind"), "ts", F.col("sha").alias("what"), F.col("access_type").alias("how"), zero)
@@ -201,6 +200,11 @@ def _(i: Inputs):
     )
 
 
+@query("log_classify", f"WITH ok AS (SELECT *, event_id % 5 AS k FROM events WHERE event_type <> 'error') {CLASSIFY}")
+def _(i: Inputs):
+    return classified(*stats.log_classify(raw_requests(i.events)))
+
+
 @query("sink_audit_append",
     """SELECT event_type AS action, event_type <> 'error' AS ok, count(*) AS n FROM events WHERE event_id % 19 <> 0 GROUP BY 1, 2
        UNION ALL SELECT 'again', TRUE, count(*) FROM events WHERE event_id % 19 <> 0 AND event_type = 'click' HAVING count(*) > 0""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rastermill.fixtures import Inputs
 from rastermill.queries.flow import REPLAY, REPLAY_TABLES
-from rastermill.queries.stats import CLASSIFY, raw_requests
+from rastermill.queries.stats import CLASSIFY, classified, raw_requests
 from rastermill.registry import query
 from rastermill.streaming import merges, run, stateful, windows
 
@@ -58,10 +58,9 @@ def _(i: Inputs):
     return up.select("node_id", _plain("up_from"), _plain("last_seen"), _plain("gone_at"), "heartbeats")
 
 
-@query("st_log_classify", f"WITH ok AS (SELECT *, event_id % 5 AS k FROM events WHERE event_type <> 'error') SELECT ts, what AS item_id, bytes FROM ({CLASSIFY}) WHERE kind = 'download'")
+@query("st_log_classify", f"WITH ok AS (SELECT *, event_id % 5 AS k FROM events WHERE event_type <> 'error') {CLASSIFY}")
 def _(i: Inputs):
-    _, _, downloads = windows.st_log_classify(raw_requests(event_stream(i)))
-    return run.drain(downloads).select("ts", "item_id", "bytes")
+    return classified(*map(run.drain, windows.st_log_classify(raw_requests(event_stream(i)))))
 
 
 @query("st_heartbeat_registry",
