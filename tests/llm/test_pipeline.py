@@ -64,6 +64,16 @@ def test_repeated_and_missing_rows(spark, documents, prose):
         assert stage(spark, empty, "").count() == 0
 
 
+def test_near_texts_under_one_or_no_id(spark, documents, prose):
+    unlike = [prose(300 + k, 120) for k in range(9)]
+    near = unlike[0].replace(unlike[0].split()[60], "changed", 1)
+    rows = [*((None, t, "a") for t in unlike[:4]), *((5, t, "a") for t in unlike[4:8]), (6, unlike[8], "a"), (7, near, "a"), (7, unlike[8], "a")]
+    kept = stages.one_of_near_texts(spark, documents(rows), "").collect()
+    # the near copy has an id, so it stays for the text without one
+    expected = [*((None, t) for t in unlike[1:4]), *((5, t) for t in unlike[4:8]), (6, unlike[8]), (7, near)]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(expected, key=repr)
+
+
 def test_similar_texts_against_all_pairs(items, prose):
     rows = []
     for k in range(40):
