@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,26 +31,42 @@ def _more(hashes: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def majority(text: bytes, shingle: int, width: int) -> bytes:
-    """Majority bits of ``width`` 64-bit hash words of all word shingles; the first word is XXH64."""
+def _shingles(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 hashes of all word shingles in order, a slice at a time; a text of fewer words is one shingle."""
     words = text.translate(_FOLD).split()
     if not words:
-        return bytes(8 * width)
+        return
     joined = b" ".join(words)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts = np.concatenate([[0], gaps + 1])
     ends = np.append(gaps, len(joined))
     last = max(len(words) - shingle + 1, 1)
     starts, ends = starts[:last], ends[min(shingle, len(words)) - 1 :]
-    digest, counts = xxhash.xxh64_digest, np.zeros((width, 64), np.int64)
+    digest = xxhash.xxh64_digest
     for at in range(0, last, _SLICE):
         spans = zip(starts[at : at + _SLICE].tolist(), ends[at : at + _SLICE].tolist())
         hashes = b"".join([digest(joined[a:b], SEED) for a, b in spans])
-        own = np.frombuffer(hashes, ">u8").astype(np.uint64)
+        yield np.frombuffer(hashes, ">u8").astype(np.uint64)
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct hashes of all word shingles, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingles(text, shingle)]))
+
+
+def majority(text: bytes, shingle: int, width: int) -> bytes:
+    """Majority bits of ``width`` 64-bit hash words of all word shingles; the first word is XXH64."""
+    return _majority(_shingles(text, shingle), width)
+
+
+def _majority(slices: Iterable[np.ndarray], width: int) -> bytes:
+    total, counts = 0, np.zeros((width, 64), np.int64)
+    for own in slices:
+        total += len(own)
         for k in range(width):
             bits = (_more(own, k) if k else own).astype(">u8").view(np.uint8).reshape(-1, 8)
             counts[k] += np.unpackbits(bits, axis=1).sum(0, dtype=np.int64)
-    return np.packbits(counts * 2 > last).tobytes()
+    return np.packbits(counts * 2 > total).tobytes()
 
 
 def fingerprints(items: DataFrame, text: str = "description", shingle: int = 5, out: str = "fingerprint") -> DataFrame:
@@ -177,69 +193,143 @@ def near_duplicate_groups(
 
 
 WIDE = 4  # words of a wide fingerprint
-_LEAD = 3  # hexadecimal digits of a leading node
+BANDS, BAND = 20, 5  # tables, and smallest hashes that lead a text to its node in one
+_TURNS = np.random.default_rng(SEED).integers(1, 2**63, (2, BANDS * BAND, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+_LONG = 512  # shingles that weigh as much as a row when tasks are dealt
+_FEW = 4096  # pairs compared before groups are looked at again
 
 
-def similar_errors(similarity: float, slack: float = 1.2) -> int:
+def similar_errors(similarity: float, slack: float = 3.5) -> int:
     """Differing bits of wide fingerprints to allow for texts whose shingle sets have this Jaccard similarity.
 
     The share of differing bits is the angle between the shingle vectors over
-    pi; ``slack`` standard deviations are added, so that few such pairs are missed.
+    pi; ``slack`` standard deviations are added, so that hardly any such pair is missed.
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return int(64 * WIDE * share + slack * np.sqrt(64 * WIDE * share * (1 - share)))
 
 
+def band_marks(shingles: np.ndarray) -> np.ndarray:
+    """A 32-bit mark per table, of the smallest of the shingles' hashes under ``BAND`` orders."""
+    least = np.full(BANDS * BAND, 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        least = np.minimum(least, ((shingles[at : at + 4096] ^ _TURNS[0]) * _TURNS[1]).min(1))
+    marks = np.zeros(BANDS, np.uint64)
+    for k in range(BAND):
+        marks = _more(marks ^ least[k::BAND], k + 1)
+    return (marks >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def similar_text_groups(
     items: DataFrame, id: str = "id", text: str = "description", shingle: int = 5, similarity: float = 0.8, leaves: int = 2048
 ) -> DataFrame:
-    """``(id, component_id)`` per catalogue row, grouping descriptions whose shingle sets are similar.
-
-    64 bits tell apart little at a similarity of 0.8, where one bit in seven
-    differs, so the fingerprints here have ``WIDE`` words. Each enters a trie per
-    run of twelve bits, which leads its fingerprint there; the join goes on from
-    leading nodes without an error and links leaves within ``similar_errors``.
-    Two texts of just the similarity meet in one of the 21 tries with a chance of
-    96 in 100, more similar ones with more. ``component_id`` and edge cases are
-    those of ``near_duplicate_groups``.
+    """``(id, component_id)`` per catalogue row, grouping descriptions whose shingle sets have Jaccard ``similarity`` or more.
+
+    Texts of one shingle set are one node. Candidates are pairs that share a node
+    in one of ``BANDS`` tables (the smallest hashes of their shingles under
+    ``BAND`` orders; two texts of similarity 0.8 share one with a chance of 99.96
+    in 100) and whose fingerprints of ``WIDE`` words over distinct shingles differ
+    in ``similar_errors`` bits at most. There is no walk of tries here: a table's
+    nodes are as many as the texts need, so unlike texts do not meet, however
+    many there are. Candidates are linked if their whole shingle sets (64-bit
+    hashes) are as similar as wanted, so no link is false. Each pair is compared
+    in the first table it shares, unless links of its task join it already; sets
+    are sent only to tasks where their text has a candidate. ``component_id`` and
+    edge cases are those of ``near_duplicate_groups``.
     """
     errors = similar_errors(similarity)
-    source = items.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text"))
+    source = items.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text")).withColumn("_row", F.xxhash64("_text"))
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [majority(t, shingle, WIDE) for t in text_bytes(batch, "_text")]
-        return pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found, pa.binary())], names=["_id", "bits"])
+        sets = [shingle_set(t, shingle) for t in text_bytes(batch, "_text")]
+        columns = {
+            "_id": batch.column("_id"), "_row": batch.column("_row"), "fingerprint": pa.array([_set_hash(x) for x in sets], pa.int64()),
+            "bits": pa.array([_majority([x], WIDE) for x in sets], pa.binary()), "marks": pa.array([band_marks(x) for x in sets], pa.list_(pa.int32())),
+            "size": pa.array([len(x) for x in sets], pa.int64()),
+        }
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kind = source.schema["_id"].dataType.simpleString()
-    prints = pin(map_rows(source, hashed, f"_id {kind}, bits binary").withColumn("fingerprint", F.xxhash64("bits")))
-    values = pin(prints.groupBy("fingerprint", "bits").agg(F.min("_id").alias("_first")))
-    digits = 16 * WIDE // _LEAD
-    tries = F.transform(F.sequence(F.lit(0), F.lit(digits - 1)), lambda t: F.struct(t.alias("turn"), F.substring(F.hex("bits"), t * _LEAD + 1, F.lit(_LEAD)).alias("node")))
-    rows = values.select("fingerprint", "bits", F.explode(tries).alias("t")).select("fingerprint", "bits", "t.*")
-    # at most 2^12 leading nodes per trie, whatever the input
-    sizes = F.broadcast(rows.groupBy("turn", "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    dealt = dealt_pairs(rows.join(sizes, ["turn", "node"]), ["turn", "node"], "n", F.xxhash64("fingerprint", F.lit(SEED)), leaves)
-    tasks = dealt.select("task", "side", "fingerprint", "bits").repartition("task").sortWithinPartitions("task")
+    prints = map_rows(source, hashed, f"_id {kind}, _row bigint, fingerprint bigint, bits binary, marks array<int>, size bigint")
+    prints = pin(prints)
+    values = pin(prints.groupBy("fingerprint").agg(
+        F.min("_id").alias("_first"), F.first("_row").alias("_row"), F.first("bits").alias("bits"), F.first("marks").alias("marks"), F.first("size").alias("size")
+    ))
+    entries = values.select("fingerprint", "size", F.posexplode("marks").alias("turn", "mark"))
+    node = ["turn", "mark"]
+    weight = F.greatest(F.col("n"), F.floor(F.col("shingles") / _LONG))
+    counts = entries.groupBy(*node).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).filter("n > 1")
+    counts = pin(counts.select(*node, weight.alias("n")))
+    met = entries.select("fingerprint", *node).join(counts, node)
+    dealt = dealt_pairs(met, node, "n", F.xxhash64("fingerprint", F.lit(SEED)), leaves).select("task", "side", "turn", "fingerprint")
+    rows = dealt.join(values.select("fingerprint", "bits", "marks", "size"), "fingerprint")
+
+    def candidates(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        task, side, turn, size = (table.column(c).to_numpy() for c in ("task", "side", "turn", "size"))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, WIDE)
+        marks = table.column("marks").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        first, second = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        names = np.unique(task)
+        ranges = [np.searchsorted(task[s], names, edge) for s in (first, second) for edge in ("left", "right")]
+        for _, a, b in meetings(*ranges, most=1 << 18):
+            a, b = first[a], second[b]
+            on = (side[a] != 2) | (a < b)
+            on &= np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
+            a, b = a[on], b[on]
+            apart = sum(np.bitwise_count(bits[a, k] ^ bits[b, k]).astype(np.int16) for k in range(WIDE))
+            a, b = a[apart <= errors], b[apart <= errors]
+            mine = np.argmax(marks[a] == marks[b], axis=1) == turn[a]
+            yield a[mine], b[mine]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_tasks(batches):
+            near = np.zeros(table.num_rows, bool)
+            for a, b in candidates(table):
+                near[a] = near[b] = True
+            yield from table.select(["task", "side", "turn", "fingerprint"]).filter(pa.array(near)).combine_chunks().to_batches()
+
+    sorted_rows = rows.repartition("task").sortWithinPartitions("task")
+    near = pin(sorted_rows.mapInArrow(meet, "task bigint, side int, turn int, fingerprint bigint"))
+    wanted = near.select("fingerprint").distinct().join(values.select("fingerprint", "_row"), "fingerprint")
+    # a text per class, to be hashed once more: kept sets would take more room than the texts
+    texts = source.select("_row", "_text").join(wanted, "_row").groupBy("fingerprint").agg(F.first("_text").alias("_text"))
+
+    def listed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, shingle).tobytes() for t in text_bytes(batch, "_text")]
+        return pa.RecordBatch.from_arrays([batch.column("fingerprint"), pa.array(sets, pa.binary())], names=["fingerprint", "shingles"])
+
+    sets = pin(map_rows(texts, listed, "fingerprint bigint, shingles binary"))
+    compared = near.join(values.select("fingerprint", "bits", "marks", "size"), "fingerprint").join(sets, "fingerprint")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_tasks(batches):
-            task, side, value = (table.column(c).to_numpy() for c in ("task", "side", "fingerprint"))
-            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, WIDE)
-            first, second = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-            names = np.unique(task)
-            ranges = [np.searchsorted(task[s], names, edge) for s in (first, second) for edge in ("left", "right")]
-            labels = np.arange(len(task))
-            for _, a, b in meetings(*ranges):
-                a, b = first[a], second[b]
-                on = (side[a] != 2) | (a < b)
-                a, b = a[on], b[on]
-                apart = sum(np.bitwise_count(bits[a, k] ^ bits[b, k]).astype(np.int16) for k in range(WIDE))
-                labels = merge_labels(labels, a[apart <= errors], b[apart <= errors])
+            value, raw = table.column("fingerprint").to_numpy(), table.column("shingles").to_pylist()
+            labels, held = np.arange(len(value)), {}
+
+            def shingles(k: int) -> set:
+                if k not in held:
+                    held[k] = set(np.frombuffer(raw[k], np.uint64).tolist())
+                return held[k]
+
+            for pairs in candidates(table):
+                for at in range(0, len(pairs[0]), _FEW):
+                    a, b = (x[at : at + _FEW] for x in pairs)
+                    apart = labels[a] != labels[b]
+                    a, b = a[apart], b[apart]
+                    both = np.array([len(shingles(x) & shingles(y)) for x, y in zip(a.tolist(), b.tolist())], np.int64)
+                    either = np.array([len(shingles(x)) + len(shingles(y)) for x, y in zip(a.tolist(), b.tolist())], np.int64) - both
+                    like = both >= similarity * either
+                    labels = merge_labels(labels, a[like], b[like])
             moved = np.flatnonzero(labels != np.arange(len(labels)))
             yield pa.RecordBatch.from_arrays([pa.array(value[moved]), pa.array(value[labels[moved]])], names=["u", "v"])
 
+    tasks = compared.repartition("task").sortWithinPartitions("task")
     groups = linked_groups(tasks.mapInArrow(link, "u bigint, v bigint"))
-    return _named(prints, values, groups).select(F.col("_id").alias(id), "component_id")
+    return _named(prints.select("_id", "fingerprint"), values.select("fingerprint", "_first"), groups).select(F.col("_id").alias(id), "component_id")
+
+
+def _set_hash(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
 def _named(prints: DataFrame, values: DataFrame, groups: DataFrame) -> DataFrame:

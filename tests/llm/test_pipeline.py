@@ -89,3 +89,30 @@ def test_similar_texts_against_all_pairs(items, prose):
     got = {r.id: r.component_id for r in simhash.similar_text_groups(items(rows)).collect()}
     part = components(len(rows), links)
     assert sum(got[k] == part[k] for k in range(len(rows))) >= 0.97 * len(rows)
+
+
+def _jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_texts_at_the_threshold(items, prose):
+    """Pairs a little below the similarity stay apart, pairs a little above it are joined."""
+    rows, similarity = [], []
+    for k in range(160):
+        words = prose(1000 + k, 150).split()
+        changed = list(words)
+        for at in range(3 + k % 5 if k % 2 else 3):
+            changed[9 + 17 * at] = f"other{at}"
+        texts = [" ".join(words), " ".join(changed)]
+        similarity.append(_jaccard(*texts))
+        rows += [(2 * k + n, t) for n, t in enumerate(texts)]
+    # shingles count once, however often a text repeats them
+    rows += [(1000, prose(1, 40)), (1001, " ".join([prose(1, 40), *[" ".join(prose(1, 40).split()[:30])] * 6]))]
+    similarity_last = _jaccard(rows[-2][1], rows[-1][1])
+    got = {r.id: r.component_id for r in simhash.similar_text_groups(items(rows)).collect()}
+    joined = [got[2 * k] == got[2 * k + 1] for k in range(160)]
+    assert sum(0.6 <= j < 0.8 for j in similarity) >= 30 and sum(0.8 <= j < 0.85 for j in similarity) >= 30
+    assert not any(on for on, j in zip(joined, similarity) if j < 0.8)
+    assert sum(on for on, j in zip(joined, similarity) if j >= 0.8) >= 0.99 * sum(j >= 0.8 for j in similarity)
+    assert similarity_last >= 0.8 and got[1000] == got[1001]
