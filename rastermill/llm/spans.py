@@ -1,4 +1,4 @@
-"""Removal of passages that repeat across texts, by runs of consecutive sentences."""
+"""Removal of passages that repeat across texts, by runs of words."""
 
 from __future__ import annotations
 
@@ -11,41 +11,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastermill.llm.frames import map_rows
+from rastermill.plans.ordered import global_row_number
 from rastermill.session import pin
 
-_END = re.compile(r"(?<=[.!?][ \t])(?=\S)|(?<=\n)")
+# behind the blanks that follow a sentence mark with its closing quotes and brackets, and behind line ends
+_END = re.compile(r"""(?<=\n)|[.!?]["'\u00bb\u201d\u2019)\]}]*[ \t]+(?=\S)""")
+_WORD = re.compile(r"\S+")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_PLACE = 28  # bits of a place in a text
 
 
 def sentences(text: str) -> list[str]:
     """Cut behind sentence marks and line ends; the parts make up the text again."""
-    return [s for s in _END.split(text) if s]
-
-
-def runs(parts: list[str], least: int) -> list[tuple[int, int, int]]:
-    """``(first, last, hash)`` of the shortest runs of ``least`` or more words that begin or end at each sentence."""
-    words = [p.lower().split() for p in parts]
-    sums = np.cumsum([0, *map(len, words)])
-    joined = [(" ".join(w) + "\n").encode() for w in words]
-    edges = np.cumsum([0, *map(len, joined)])
-    whole, n = b"".join(joined), len(parts)
-    first = np.arange(n)
-    ahead = np.searchsorted(sums, sums[:-1] + least) - 1  # last sentence of the run that begins here
-    back = np.searchsorted(sums, sums[1:] - least, "right") - 1  # first sentence of the run that ends here
-    found = {(a, b) for a, b in zip(first.tolist(), ahead.tolist()) if b < n}
-    found |= {(a, b) for a, b in zip(back.tolist(), first.tolist()) if a >= 0}
-    digest, at = xxhash.xxh3_64_intdigest, edges.tolist()
-    return [(a, b, digest(whole[at[a] : at[b + 1]]) - (1 << 63)) for a, b in found if words[a] and words[b]]
+    edges = [0, *(m.end() for m in _END.finditer(text)), len(text)]
+    return [text[a:b] for a, b in zip(edges, edges[1:]) if a < b]
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash per word, without regard to case."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(w.encode("utf-8", "surrogatepass")) for w in text.lower().split()], np.uint64)
+
+
+def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """A hash of every run of ``length`` words."""
+    n = len(words) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    found = np.zeros(n, np.uint64)
+    for k in range(length):
+        found = found * _MIX + words[k : k + n]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        found = (found ^ (found >> np.uint64(shift))) * np.uint64(factor)
+    return found ^ (found >> np.uint64(31))
+
+
+def seeds(words: np.ndarray, least: int) -> np.ndarray:
+    """For every run of ``least`` words, the smallest hash of its runs of half as many: equal runs have equal seeds."""
+    short = max(least // 2, 1)
+    found = run_hashes(words, short)
+    width = least - short + 1
+    if len(found) < width:
+        return np.zeros(0, np.int64)
+    low, step = found, 1
+    while step < width:  # minima over twice as many runs each time
+        ahead = min(step, width - step)
+        low, step = np.minimum(low[:-ahead], low[ahead:]), step + ahead
+    return low.view(np.int64)
 
 
 def remove_repeated_passages(items: DataFrame, id: str = "id", text: str = "description", least: int = 40) -> DataFrame:
     """``(id, text, n_sentences, n_removed)``: collection descriptions without passages that stand elsewhere before.
 
-    From every sentence the shortest run of consecutive sentences with ``least``
-    or more words is hashed, forwards and backwards, without regard to case and
-    blanks. Of the runs with one hash the first stays, by id (null last), then
-    place; all sentences that another one covers go. A repeated passage of
-    ``least`` words or more that holds whole sentences is found whatever stands
-    around it, and shorter repeats (a licence line, a title) stay.
+    Of all equal runs of ``least`` words, without regard to case and blanks, the
+    first stays, by id (null last), then place; the words that the others cover go
+    with the blanks behind them. So a repeated stretch of ``least`` words or more
+    is found whole wherever it begins and ends, also inside sentences, and
+    shorter repeats (a licence line, a title) stay. ``n_removed`` counts sentences
+    of which no word is left.
+
+    Runs are not all moved: of the half as long runs in each the one with the
+    smallest hash is its seed. Seeds are counted first, a row per seed and
+    document, and only runs whose seed occurs more than once are joined.
 
     A null or empty text stays as it is. Rows with one id and text are one
     document with one result, a row each. Other columns are ignored, whatever
@@ -54,40 +81,64 @@ def remove_repeated_passages(items: DataFrame, id: str = "id", text: str = "desc
     source = items.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text")).withColumn("_key", F.xxhash64("_id", "_text"))
     kind = source.schema["_id"].dataType.simpleString()
 
+    def seeded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, codes, times = [], [], []
+        for key, value in zip(batch.column("_key").to_pylist(), batch.column("_text")):
+            words = word_hashes(value.as_py() or "")
+            code = np.unique(seeds(words, least))
+            runs, n = np.unique(run_hashes(words, max(least // 2, 1)).view(np.int64), return_counts=True)
+            codes.append(code)
+            times.append(n[np.searchsorted(runs, code)])
+            keys.append(np.full(len(code), key, np.int64))
+        columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in (keys, codes, times)]
+        return pa.RecordBatch.from_arrays(columns, names=["_key", "seed", "times"])
+
+    starts = map_rows(source, seeded, "_key bigint, seed bigint, times bigint")
+    # rows of one document have one key, and are no repeats of each other
+    often = starts.groupBy("seed").agg(F.min("_key").alias("a"), F.max("_key").alias("b"), F.max("times").alias("n")).filter("a <> b OR n > 1")
+    often = pin(often.select("seed"))
+    known = starts.select("_key", "seed").join(often, "seed").groupBy("_key").agg(F.collect_set("seed").alias("_seeds"))
+    # documents in order get numbers, so that a place is one number and minima combine before the shuffle
+    ranked = source.select("_id", "_key").distinct()
+    ranked = global_row_number(ranked, [F.col("_id").asc_nulls_last(), F.col("_key").asc()], "_nth").select("_key", "_nth")
+    hot = pin(source.join(known, "_key").groupBy("_key").agg(F.first("_text").alias("_text"), F.first("_seeds").alias("_seeds")).join(ranked, "_key"))
+
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at, first, last, codes = [], [], [], []
-        for k, value in enumerate(batch.column("_text")):
-            for a, b, code in runs(sentences(value.as_py() or ""), least):
-                at.append(k)
-                first.append(a)
-                last.append(b)
-                codes.append(code)
-        rows = pa.array(at, pa.int64())
-        columns = [batch.column("_id").take(rows), batch.column("_key").take(rows), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(codes, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["_id", "_key", "first", "last", "code"])
-
-    spans = map_rows(source, hashed, f"_id {kind}, _key bigint, first int, last int, code bigint")
-    place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("key"), "first")
-    # the order is a row of plain columns, so minima combine before the shuffle
-    repeated = spans.groupBy("code").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least <> most")
-    repeated = pin(repeated.select("code", F.col("least.key").alias("_k"), F.col("least.first").alias("_f")))
-    again = spans.select("code", "_key", "first", "last").join(repeated, "code").filter("_key <> _k OR first <> _f")
-    covered = again.select("_key", "first", "last").distinct().groupBy("_key").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
+        codes, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for value, nth, repeated in zip(batch.column("_text"), batch.column("_nth").to_pylist(), batch.column("_seeds")):
+            words = word_hashes(value.as_py() or "")
+            at = np.flatnonzero(np.isin(seeds(words, least), repeated.values.to_numpy()))
+            codes.append(run_hashes(words, least).view(np.int64)[at])
+            places.append((nth << _PLACE) + at)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes)), pa.array(np.concatenate(places))], names=["code", "place"])
+
+    spans = map_rows(hot, hashed, "code bigint, place bigint")
+    repeated = pin(spans.groupBy("code").agg(F.min("place").alias("least"), F.max("place").alias("most")).filter("least <> most").select("code", "least"))
+    again = spans.join(repeated, "code").filter("place <> least").select(F.shiftright("place", _PLACE).alias("_nth"), F.col("place").bitwiseAND((1 << _PLACE) - 1).cast("int").alias("at"))
+    covered = again.groupBy("_nth").agg(F.collect_list("at").alias("_spans")).join(hot.select("_nth", "_key"), "_nth").drop("_nth")
     joined = source.join(covered, "_key", "left").select("_id", "_text", "_spans")
 
     def cleaned(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, total, removed = [], [], []
-        for value, ranges in zip(batch.column("_text"), batch.column("_spans")):
-            value, ranges = value.as_py(), ranges.as_py()
+        for value, found in zip(batch.column("_text"), batch.column("_spans")):
+            value = value.as_py()
             parts = sentences(value or "")
-            change = np.zeros(len(parts) + 1, np.int64)
-            for r in ranges or []:
-                change[r["first"]] += 1
-                change[r["last"] + 1] -= 1
-            stays = np.cumsum(change)[:-1] == 0
-            texts.append("".join(p for p, s in zip(parts, stays.tolist()) if s) if ranges else value)
             total.append(len(parts))
-            removed.append(len(parts) - int(stays.sum()))
+            if not found.is_valid:
+                texts.append(value)
+                removed.append(0)
+                continue
+            at = found.values.to_numpy()
+            begins = [m.start() for m in _WORD.finditer(value)]
+            change = np.zeros(len(begins) + 1, np.int64)
+            np.add.at(change, at, 1)
+            np.add.at(change, at + least, -1)
+            stays = np.cumsum(change)[:-1] == 0
+            edges = [*begins, len(value)]
+            texts.append(value[: begins[0]] + "".join(value[a:b] for a, b, s in zip(edges, edges[1:], stays.tolist()) if s))
+            first = np.searchsorted(begins, np.cumsum([0, *map(len, parts)]))
+            left = np.concatenate([[0], np.cumsum(stays)])[first]
+            removed.append(int(((np.diff(left) == 0) & (np.diff(first) > 0)).sum()))
         columns = [batch.column("_id"), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=["_id", "_out", "n_sentences", "n_removed"])
 

@@ -44,6 +44,36 @@ def test_repeated_passages(items, prose):
     assert passage.strip() in texts[0] and all(passage.strip() not in texts[k] for k in (3, 6, 9, 20)) and texts[1] == rows[1][1]
 
 
+def slow_words(rows, least):
+    """Texts, as words, without every run of ``least`` words that stands before."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        words = text.split()
+        low = [w.lower() for w in words]
+        gone = set()
+        for k in range(len(words) - least + 1):
+            run = tuple(low[k : k + least])
+            gone |= set(range(k, k + least)) if run in seen else set()
+            seen.add(run)
+        out[i] = [w for k, w in enumerate(words) if k not in gone]
+    return out
+
+
+def test_passages_inside_sentences(items, prose):
+    plain = lambda seed, n: prose(seed, n).replace(".", "")
+    shared = plain(900, 20) + ". " + plain(901, 15) + ". " + plain(902, 20)
+    rows = [(k, f"{plain(910 + k, 30)} {shared} {plain(920 + k, 30)}.") for k in range(4)]
+    rows += [(4, plain(930, 12) + "\n" + shared.replace(" ", "  \n").upper() + "\n"), (5, plain(940, 50) + " " + " ".join(shared.split()[:39])), (6, "word " * 90)]
+    rows += [(7, plain(950, 9) + " " + " ".join(shared.split()[3:43]) + " " + plain(951, 9)), (8, "a b " * 50), (9, "c d e " * 15)]
+    got = {r.id: r.description for r in spans.remove_repeated_passages(items(rows)).collect()}
+    assert {i: t.split() for i, t in got.items()} == slow_words(rows, 40)
+    assert len(got[1].split()) == 60 and got[5] == rows[5][1]
+
+
+def test_sentences_end_behind_quotes_and_blanks():
+    assert spans.sentences('A b.  C "d." E (f!)\tG.') == ["A b.  ", 'C "d." ', "E (f!)\t", "G."]
+
+
 def test_sentences_make_up_the_text(prose):
     for text in ["", "a", "A. B.\nC\n\nD!  E?", prose(1, 300), "\n", ". . .\n."]:
         assert "".join(spans.sentences(text)) == text
