@@ -154,6 +154,20 @@ def _(i: Inputs):
     return found.select("id", "node_id", "source_node", "source_name", "datetime")
 
 
+@query("routed_search_all",
+    f"""WITH {NODE_ITEMS}, good AS (SELECT node_id, url, node_name FROM nodes WHERE {NOW_SECONDS} - last_seen_s < 300 AND url IS NOT NULL
+           AND node_id IN (SELECT node_id FROM node_collections WHERE collection IN ('sentinel-2-l2a'))),
+        f AS (SELECT id, node_id, datetime FROM ni
+              WHERE node_id IN (SELECT node_id FROM good) AND collection IN ('sentinel-2-l2a') AND bbox_east >= -100 AND bbox_west <= 100
+              AND bbox_north >= -60 AND bbox_south <= 60 AND datetime >= '1995'),
+        u AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY node_id) AS rn FROM f)
+        SELECT id, u.node_id, good.url AS source_node, good.node_name AS source_name, datetime FROM u JOIN good ON u.node_id = good.node_id
+        WHERE rn = 1""", ("items", "nodes", "node_collections"))
+def _(i: Inputs):
+    found = network.routed_search(_node_items(i), nodes_with_collections(i), NOW_SECONDS, ["sentinel-2-l2a"], [-100.0, -60.0, 100.0, 60.0], "1995/..")
+    return found.select("id", "node_id", "source_node", "source_name", "datetime")
+
+
 @query("federated_search",
     f"""WITH {NODE_ITEMS}, f AS (SELECT id, node_id % 3 AS peer, datetime, row_number() OVER (PARTITION BY node_id % 3 ORDER BY datetime DESC, id) AS p FROM
               (SELECT DISTINCT id, node_id % 3 AS node_id, datetime, collection FROM ni) WHERE collection = 'landsat-c2-l2'),
@@ -164,6 +178,15 @@ def _(i: Inputs):
     return network.federated_search(peers, ["landsat-c2-l2"], limit=200).select("id", "peer", "datetime")
 
 
+@query("federated_search_all",
+    f"""WITH {NODE_ITEMS}, f AS (SELECT DISTINCT id, node_id % 3 AS peer, datetime FROM ni WHERE collection = 'landsat-c2-l2'),
+        u AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY peer, datetime DESC) AS rn FROM f)
+        SELECT id, peer, datetime FROM u WHERE rn = 1""", ("items",))
+def _(i: Inputs):
+    peers = _node_items(i).withColumn("peer", F.col("node_id") % 3).drop("node_id").distinct()
+    return network.federated_search(peers, ["landsat-c2-l2"]).select("id", "peer", "datetime")
+
+
 @query("swarm_assign",
     """WITH n AS (SELECT s_suppkey AS node_id, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) - 1 AS slot FROM supplier),
        b AS (SELECT concat('band-', CAST(p_partkey AS VARCHAR)) AS band, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part)
