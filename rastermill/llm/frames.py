@@ -133,6 +133,23 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.T
     return df.mapInArrow(run, schema)
 
 
+def map_tasks(df: DataFrame, fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` over rows sorted by ``task``, whose rows ``fn`` gets together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_tasks(batches):
+            yield from fn(part)
+
+    return df.mapInArrow(run, schema)
+
+
+def spread_join(left: DataFrame, lookup: DataFrame, keys: list[str], spread: str, salts: int = 64) -> DataFrame:
+    """Inner join with a lookup of few keys, each of which may own a large share of ``left``: its rows are spread by ``spread``."""
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """UTF-8 bytes per row, null as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.large_binary()).to_pylist()]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastermill.llm import bytecnn, itq, logcounts, markov, mixing, polyhash, simhash, spans, token_counts, transducer
+from rastermill.llm import bytecnn, divergence, itq, logcounts, markov, mixing, polyhash, simhash, spans, token_counts, transducer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,46 @@ def op2_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
 def op4_itq(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
     return itq.near_duplicate_vectors(vectors, id="vec_id", vector="embedding", label="label", least=0.98)
+
+
+@query
+def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("lang", "source", "text")
+    return divergence.node_divergence(docs, collection="lang", node="source", text="text", least=10, top=10)
+
+
+ORACLES["op11_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS nth, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), words AS (
+  SELECT nth, lang, source, unnest(regexp_extract_all(text, '[a-z\x{80}-\x{10FFFF}]+')) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT nth) >= 10
+), counts AS (
+  SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), groups AS (
+  SELECT g.lang, g.source, coalesce(s.n, 0) AS n, coalesce(k.v, 0) AS v, coalesce(k.n, 0) AS whole
+  FROM (SELECT DISTINCT lang, source FROM docs) AS g LEFT JOIN (SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL) AS s USING (lang, source)
+       LEFT JOIN (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang) AS k USING (lang)
+), shares AS (
+  SELECT lang, g.source, term, coalesce(c.n, 0) AS n,
+         1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (g.n + 2 * g.v)::HUGEINT AS p, 1 + 1000000000::HUGEINT * (k.n + 2) // (g.whole + 2 * g.v)::HUGEINT AS q
+  FROM groups AS g JOIN kept AS k USING (lang) LEFT JOIN counts AS c USING (lang, source, term)
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares AS a JOIN shares AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source
+       LEFT JOIN sums AS s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), marks AS (
+  SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM shares WHERE n > 0 AND p > q
+), parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM marks
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER ranked AS INTEGER) AS rank
+FROM parts WINDOW ranked AS (PARTITION BY lang, source, part ORDER BY value DESC, item)
+QUALIFY part = 'pair' OR rank <= 10
+"""
