@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastermill.llm import bytecnn, divergence, itq, logcounts, markov, mixing, polyhash, simhash, spans, token_counts, transducer
+from rastermill.llm import bytecnn, divergence, itq, logcounts, markov, mixing, negatives, polyhash, simhash, spans, token_counts, transducer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -157,3 +157,32 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number
 FROM parts WINDOW ranked AS (PARTITION BY lang, source, part ORDER BY value DESC, item)
 QUALIFY part = 'pair' OR rank <= 10
 """
+
+
+@query
+def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END").alias("label")
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", label)
+    return negatives.hard_negatives(
+        vectors, F.col("vec_id") % 100 == 0, id="vec_id", vector="embedding", label="label", scale=256, positives=5, negatives=10, low=30, high=90
+    )
+
+
+ORACLES["op12_negatives"] = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM rows AS a JOIN rows AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER ranked AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM positives AS p JOIN scored AS s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+WINDOW ranked AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id)
+QUALIFY rank <= 10
+"""
