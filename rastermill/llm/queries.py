@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastermill.llm import bytecnn, divergence, itq, logcounts, markov, mixing, negatives, polyhash, simhash, spans, token_counts, transducer
+from rastermill.llm import bytecnn, divergence, itq, language, logcounts, markov, mixing, negatives, polyhash, simhash, spans, token_counts, transducer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -186,3 +186,10 @@ FROM positives AS p JOIN scored AS s ON s.anchor_id = p.anchor_id AND NOT s.same
 WINDOW ranked AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id)
 QUALIFY rank <= 10
 """
+
+
+@query
+def op13_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = language.text_probability(docs, ~held_out("doc_id", 5, 1), id="doc_id", text="text")
+    return scored.select("doc_id", held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
