@@ -10,7 +10,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rastermill.operators.bands import BAND_STAND_INS, ROLE_NAMES
@@ -86,6 +86,27 @@ def _result(cube: DataFrame, value: Column, name: str, target_band: str | None =
     return cube.select(*[k for k in KEYS if k in cube.columns], value.alias(name))
 
 
+def vegetation_enhanced(n: Column, r: Column, b: Column) -> Column:
+    below = n + _float(EVI_RED) * r - _float(EVI_BLUE) * b + _float(EVI_OFFSET)
+    ratio = ((_float(EVI_GAIN) * (n - r)) / below).cast("float")
+    return F.when(below == 0, _float(0.0)).otherwise(F.least(F.greatest(ratio, _float(-1.0)), _float(1.0)))
+
+
+def clear_sky(scl: Column, classes: tuple[int, ...] = CLOUD_CLASSES) -> Column:
+    return (~scl.cast("int").isin(*classes)).cast("float")
+
+
+def without_gaps(v: Column) -> Column:
+    """nan becomes 0, an infinite value 1 or -1."""
+    inf = float("inf")
+    return F.when(F.isnan(v), _float(0.0)).when(v == F.lit(inf), _float(1.0)).when(v == F.lit(-inf), _float(-1.0)).otherwise(v)
+
+
+def gateway_difference(a: Column, b: Column) -> Column:
+    """Normalised difference without gaps, as result rasters carry it."""
+    return without_gaps(normalized_difference(a, b))
+
+
 def ndvi(cube: DataFrame, nir: str | None = None, red: str | None = None, target_band: str | None = None) -> DataFrame:
     """Vegetation index; with ``target_band`` it is added to the cube instead of replacing the bands."""
     n = find_band_loose(cube, nir) if nir else find_band(cube, ROLE_NAMES["nir"])
@@ -95,10 +116,7 @@ def ndvi(cube: DataFrame, nir: str | None = None, red: str | None = None, target
 
 def ndvi_gateway(cube: DataFrame, nir: str | None = None, red: str | None = None) -> DataFrame:
     """Vegetation index without gaps, as result rasters carry it: nan becomes 0, an infinite value 1 or -1."""
-    index = ndvi(cube, nir, red)
-    v, inf = F.col("ndvi"), float("inf")
-    finite = F.when(F.isnan(v), _float(0.0)).when(v == F.lit(inf), _float(1.0)).when(v == F.lit(-inf), _float(-1.0)).otherwise(v)
-    return index.withColumn("ndvi", finite)
+    return ndvi(cube, nir, red).withColumn("ndvi", without_gaps(F.col("ndvi")))
 
 
 def ndwi(cube: DataFrame) -> DataFrame:
@@ -112,17 +130,13 @@ def ndsi(cube: DataFrame) -> DataFrame:
 
 
 def evi(cube: DataFrame) -> DataFrame:
-    n, r, b = (find_band(cube, ROLE_NAMES[f"evi_{role}"]) for role in ("nir", "red", "blue"))
-    below = n + _float(EVI_RED) * r - _float(EVI_BLUE) * b + _float(EVI_OFFSET)
-    ratio = ((_float(EVI_GAIN) * (n - r)) / below).cast("float")
-    value = F.when(below == 0, _float(0.0)).otherwise(F.least(F.greatest(ratio, _float(-1.0)), _float(1.0)))
+    value = vegetation_enhanced(*(find_band(cube, ROLE_NAMES[f"evi_{role}"]) for role in ("nir", "red", "blue")))
     return _result(cube, value, "evi")
 
 
 def cloud_mask(cube: DataFrame, classes: tuple[int, ...] = CLOUD_CLASSES) -> DataFrame:
     """1 where the scene class is clear, 0 where it is a cloud class."""
-    scl = find_band(cube, ROLE_NAMES["scl"]).cast("int")
-    return _result(cube, (~scl.isin(*classes)).cast("float"), "cloud_mask")
+    return _result(cube, clear_sky(find_band(cube, ROLE_NAMES["scl"]), classes), "cloud_mask")
 
 
 def true_color(cube: DataFrame) -> DataFrame:
@@ -206,10 +220,10 @@ _FUNCTIONS = {
 }
 
 
-def band_expression(expression: str, bands: list[str]) -> Column:
+def band_expression(expression: str, bands: list[str], column: Callable[[str], Column] = F.col) -> Column:
     """Column for an expression over band names, numbers, operators and ``np.`` functions.
 
-    Only listed syntax is accepted; anything else raises ValueError.
+    Only listed syntax is accepted; anything else raises ValueError. ``column`` gives a band's values by its name.
     """
     if not expression:
         raise ValueError("band_math needs an expression")
@@ -224,7 +238,7 @@ def band_expression(expression: str, bands: list[str]) -> Column:
                 return _float(float(number))
             case ast.Name(id=name) if name in bands:
                 used.add(name)
-                return F.col(name).cast("float")
+                return column(name).cast("float")
             case ast.UnaryOp(op=ast.USub(), operand=inner):
                 return -build(inner)
             case ast.UnaryOp(op=ast.UAdd(), operand=inner):
@@ -251,9 +265,63 @@ def band_expression(expression: str, bands: list[str]) -> Column:
 def band_math(cube: DataFrame, expression: str) -> DataFrame:
     """Evaluate an expression per pixel; nan and infinities become 0."""
     bands = [c for c in cube.columns if c not in KEYS]
-    value = band_expression(expression, bands).cast("float")
+    return _result(cube, _finite(band_expression(expression, bands).cast("float")), "result")
+
+
+def _finite(value: Column) -> Column:
     finite = F.when(F.isnan(value) | (F.abs(value) == F.lit(float("inf"))), _float(0.0)).otherwise(value)
-    return _result(cube, F.coalesce(finite, _float(0.0)), "result")
+    return F.coalesce(finite, _float(0.0))
+
+
+# ---------------------------------------------------------------- whole tiles
+
+
+# Formulas over pixel values by role, for tiles of paired bands.
+FORMULAS: dict[str, tuple[list[str], Callable[..., Column]]] = {
+    "ndvi": (["nir", "red"], gateway_difference),
+    "ndwi": (["green", "nir"], normalized_difference),
+    "ndsi": (["green", "swir"], normalized_difference),
+    "evi": (["nir", "red", "blue"], vegetation_enhanced),
+    "cloud_mask": (["scl"], clear_sky),
+}
+
+
+def pair_tiles(tiles: DataFrame, keys: list[str], roles: list[str], value: str = "pixels") -> DataFrame:
+    """A row per key with the tile of each role (column ``role``), where all roles are there; a role has one tile per key.
+
+    Tiles move once and are sorted by their narrow key; the tile lists themselves are neither compared nor merged.
+    """
+    names = F.array(*map(F.lit, sorted(roles)))
+    numbered = tiles.filter(F.col("role").isin(roles)).withColumn("_nth", F.array_position(names, F.col("role")))
+    by_role = Window.partitionBy(*keys).orderBy("_nth")
+    entry = F.struct("role", value)
+    chain = [entry if not k else F.lead(entry, k).over(by_role) for k in range(len(roles))]
+    row = numbered.select(*keys, "_nth", *[c.alias(f"_r{k}") for k, c in enumerate(chain)]).filter("_nth = 1")
+    for k, role in enumerate(sorted(roles)):
+        row = row.filter(F.col(f"_r{k}.role") == role)
+    return row.select(*keys, *[F.col(f"_r{k}.{value}").alias(role) for k, role in enumerate(sorted(roles))])
+
+
+def tile_index(paired: DataFrame, operation: str, keys: list[str], expression: str | None = None, bands: list[str] | None = None) -> DataFrame:
+    """Result tiles (``keys``, ``pixels``) from tiles paired by role (by band for ``band_math``): arrays in, arrays out.
+
+    Pixels meet by their position in the tile, inside the row; nothing is spread out or moved.
+    """
+    if operation == "band_math":
+        names = sorted(bands or [])
+        formula = lambda *v: _finite(band_expression(expression, names, dict(zip(names, v)).__getitem__).cast("float"))
+    elif operation in FORMULAS:
+        names, formula = FORMULAS[operation]
+    else:
+        raise ValueError(f"no tile formula for {operation!r}, have {sorted([*FORMULAS, 'band_math'])}")
+    as_float = lambda c: c.cast("float")
+    if len(names) == 1:
+        pixels = F.transform(names[0], lambda a: formula(as_float(a)))
+    elif len(names) == 2:
+        pixels = F.zip_with(names[0], names[1], lambda a, b: formula(as_float(a), as_float(b)))
+    else:
+        pixels = F.transform(F.arrays_zip(*names), lambda v: formula(*[as_float(v[n]) for n in names]))
+    return paired.select(*keys, pixels.alias("pixels"))
 
 
 # ---------------------------------------------------------------- registry

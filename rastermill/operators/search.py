@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from rastermill.functions.times import moment, normalise_end
 from rastermill.plans.gridjoin import overlap_join
 from rastermill.plans.lookup import salted_join
+from rastermill.plans.ordered import running_sum
 from rastermill.plans.pick import first_per_key
+from rastermill.session import pin
 
 # Logical collection -> upstream collection, and the fall-back.
 UPSTREAM_COLLECTIONS = {
@@ -225,57 +227,49 @@ def open_period(requests: DataFrame) -> DataFrame:
 def search_fallback(requests: DataFrame, items: DataFrame, limit: int) -> DataFrame:
     """Per request (request_id, item_id, step): step 0 box and period, 1 period only, 2 collection only.
 
-    A later step is used only when the earlier one finds nothing; steps 1 and 2
-    return the newest ``limit`` items. No request is ever paired with a whole
-    collection: step 2 reads one ranked list per collection, step 1 first works
-    out from daily counts which days can reach the list.
+    A later step is used only when the earlier one finds nothing; steps 1 and 2 return the newest ``limit`` items.
+
+    Items are put into one order, newest first within their collection, together with a mark where each open request's period
+    ends. Counting items along that order gives an item its place and a request the place its list starts at: the
+    item there tells whether the period holds any, and the list is looked up by blocks of ``limit`` places, two a request.
     """
     requests = open_period(requests)
     in_period = (F.col("datetime") >= F.col("date_from")) & (F.col("datetime") <= F.col("date_to"))
-    exact = batch_bbox_search(requests, items, same_collection=True).filter(in_period)
-    answered = exact.select("request_id", "item_id", F.lit(0).alias("step"))
+    exact = pin(batch_bbox_search(requests, items, same_collection=True).filter(in_period).select("request_id", "item_id"))
     # one row per answered request, combined on the map side: a request may match most items
     hits = exact.groupBy("request_id").agg(F.max("item_id").alias("_hit"))
     open_requests = requests.join(hits, "request_id", "left").filter(F.col("_hit").isNull())
-    open_requests = open_requests.select("request_id", "collection", "date_from", "date_to")
-
-    slim = items.select(F.col("id").alias("item_id"), "collection", "datetime", F.substring("datetime", 1, 10).alias("day"))
-    days = slim.groupBy("collection", "day").agg(F.count(F.lit(1)).alias("n"))
-
-    # Step 1. Requests walk the days that exist in their period, newest first,
-    # until the days strictly inside the period have filled the list.
-    wanted = open_requests.join(
-        days.withColumn("day_n", F.col("n")), "collection"
-    ).filter((F.col("day") >= F.substring("date_from", 1, 10)) & (F.col("day") <= F.substring("date_to", 1, 10)))
-    inside = (F.col("day") > F.substring("date_from", 1, 10)) & (F.col("day") < F.substring("date_to", 1, 10))
-    newest = Window.partitionBy("request_id").orderBy(F.col("day").desc())
-    filled = F.sum(F.when(inside, F.col("day_n")).otherwise(0)).over(newest.rowsBetween(Window.unboundedPreceding, -1))
-    wanted = wanted.withColumn("_before", F.coalesce(filled, F.lit(0))).filter(F.col("_before") < limit)
-    per_request = Window.partitionBy("request_id").orderBy(F.col("datetime").desc(), "item_id")
-    by_period = (
-        wanted.join(slim, ["collection", "day"]).filter(in_period)
-        .withColumn("_rank", F.row_number().over(per_request)).filter(F.col("_rank") <= limit)
-        .select("request_id", "item_id")
-    )
-    by_period = open_requests.select("request_id", "collection").join(by_period, "request_id", "left")
-    newest_in_period = by_period.filter(F.col("item_id").isNotNull()).select("request_id", "item_id", F.lit(1).alias("step"))
-    still_open = by_period.filter(F.col("item_id").isNull()).select("request_id", "collection")
-
-    # Step 2. The newest items of each collection, ranked once: only days that
-    # the list can reach are ranked, so a crowded collection stays small.
-    later = Window.partitionBy("collection").orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    top_days = days.withColumn("_before", F.coalesce(F.sum("n").over(later), F.lit(0))).filter(F.col("_before") < limit)
-    per_collection = Window.partitionBy("collection").orderBy(F.col("datetime").desc(), "item_id")
-    ranked = (
-        slim.join(top_days.select("collection", "day"), ["collection", "day"], "left_semi")
-        .withColumn("_rank", F.row_number().over(per_collection)).filter(F.col("_rank") <= limit)
+
+    listed = items.select("collection", "datetime", F.col("id").alias("item_id"), F.lit(1).cast("bigint").alias("_item"))
+    marks = open_requests.select("collection", F.col("date_to").alias("datetime"), F.lit(0).cast("bigint").alias("_item"), "request_id", "date_from")
+    rows = listed.unionByName(marks, allowMissingColumns=True).filter(F.col("collection").isNotNull())
+    # a mark stands before the items of its own instant, which are in its period
+    order = [F.col("collection"), F.col("datetime").desc(), F.col("_item"), F.col("item_id"), F.col("request_id")]
+    placed = pin(running_sum(rows, order, "_item", "_place"))
+    known = placed.filter(F.col("_item") == 1).select("collection", "datetime", "item_id", (F.col("_place") - 1).alias("_place"))
+    asked = placed.filter(F.col("_item") == 0).select("request_id", "collection", "date_from", F.col("_place").alias("_from"))
+
+    newest = known.select(F.col("collection").alias("_c"), F.col("datetime").alias("_newest"), F.col("_place").alias("_from"))
+    asked = asked.join(newest, "_from", "left")
+    found = F.coalesce((F.col("_c") == F.col("collection")) & (F.col("_newest") >= F.col("date_from")), F.lit(False))
+    asked = asked.select("request_id", "collection", "date_from", "_from", found.alias("_found"))
+
+    block = F.floor(F.col("_place") / limit).alias("_block")
+    two = F.explode(F.array(F.floor(F.col("_from") / limit), F.floor(F.col("_from") / limit) + 1)).alias("_block")
+    lists = asked.filter("_found").select("request_id", "collection", "date_from", "_from", two)
+    by_period = lists.join(known.select("*", block), ["collection", "_block"]).filter(
+        (F.col("_place") >= F.col("_from")) & (F.col("_place") < F.col("_from") + limit) & (F.col("datetime") >= F.col("date_from"))
     )
-    # one row per collection, at most ``limit`` ids in it
-    listed = ranked.groupBy("collection").agg(F.collect_list("item_id").alias("ids"))
-    anything = salted_join(still_open, listed, "collection", "request_id").select(
+    by_period = by_period.select("request_id", "item_id", F.lit(1).alias("step"))
+
+    # the newest items of each collection: the limit is applied before rows move; at most ``limit`` ids a row
+    first = Window.partitionBy("collection").orderBy("_place")
+    ranked = known.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= limit)
+    ids = ranked.groupBy("collection").agg(F.collect_list("item_id").alias("ids"))
+    anything = salted_join(asked.filter(~F.col("_found")), ids, "collection", "request_id").select(
         "request_id", F.explode("ids").alias("item_id"), F.lit(2).alias("step")
     )
-    return answered.unionByName(newest_in_period).unionByName(anything)
+    return exact.withColumn("step", F.lit(0)).unionByName(by_period).unionByName(anything)
 
 
 def recent_window(log: DataFrame, now: str, hours: float) -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from rastermill.functions.text import band_from_item_id
 from rastermill.operators import indices
-from rastermill.operators.bands import OPERATION_BANDS, resolve_needed_bands
-from rastermill.operators.search import WORLD, search_bbox, search_collections, search_datetime
-from rastermill.operators.tiles import TILE_SIZE, to_finest_grid
+from rastermill.operators.bands import OPERATION_BANDS, band_lookup, resolve_needed_bands
+from rastermill.operators.search import WORLD, search_bbox, search_collections, search_datetime, search_fallback
+from rastermill.operators.tiles import ALL_BANDS, TILE_SIZE, reconstruct, retile, to_finest_grid
 from rastermill.plans.pick import last_per_key
+from rastermill.session import pin
 
 # Bands and format used when a graph does not name them.
 DEFAULT_RED, DEFAULT_NIR, DEFAULT_FORMAT = "B04", "B08", "GTiff"
@@ -75,6 +76,84 @@ def process_items(
     return indices.apply_op(cube, operation, **arguments)
 
 
+def cube_query_store(
+    requests: DataFrame, items: DataFrame, chunks: DataFrame, operation: str | None = None, bands: list[str] | None = None,
+    nir: str = DEFAULT_NIR, red: str = DEFAULT_RED, limit: int = 500, tile_size: int = TILE_SIZE,
+) -> DataFrame:
+    """Requests answered from the stored chunks: search, best item of each band, tiles, common grid and index, as tiles.
+
+    ``requests`` are those of ``search_fallback``. ``items`` are catalogue rows that also carry width, height, tile_size,
+    dtype, band_names and chunk_hashes; ``chunks`` is the chunk table. Returns (request_id, band, tile_row, tile_col, y_off, x_off, h,
+    w, pixels, width, height, item_id): tiles of the index, or of each band where no ``operation`` is given, on the request's
+    finest grid. ``item_id`` is the item whose place on earth the result takes.
+
+    Of the items found for a request each tells its band (its only declared one, else the end of its id), and the
+    widest of a band is read, the first found of equals. Where no item tells a band, the first ten are read
+    band by band, later ones winning. A vegetation index needs its two bands, or their stand-ins among ``bands``; requests that
+    lack them get no row. All choices are made on narrow rows: each wanted chunk is read once, and only tiles move.
+    """
+    if operation not in (None, "ndvi"):
+        raise ValueError("stored requests are answered with ndvi or with the bands themselves")
+    needed = sorted({nir, red, *(bands or [])}) if operation == "ndvi" else list(bands or []) or None
+    catalogue = items.withColumnRenamed("id", "item_id")
+    facts = catalogue.select(
+        "item_id", "datetime", "width", "height", F.get("band_names", F.lit(0)).alias("_own"), "band_names", band_from_item_id("item_id", "band_names").alias("_tells")
+    )
+    found = search_fallback(requests, items, limit).select("request_id", "item_id").join(facts, "item_id")
+    wanted = lambda band: F.lit(True) if needed is None else band.isin(needed)
+
+    # the best item of each band; the rank is applied before rows move
+    told = found.filter(F.col("_tells").isNotNull()).withColumn("band", F.col("_tells"))
+    in_order = [F.col("datetime").desc(), F.col("item_id")]
+    per_band = Window.partitionBy("request_id", "band")
+    best = told.withColumn("_n", F.row_number().over(per_band.orderBy(F.coalesce("width", F.lit(0)).desc(), *in_order))).filter("_n = 1")
+    best = best.filter(wanted(F.col("band"))).select("request_id", "band", "item_id", F.col("_own").alias("_source"), "width", "height", "datetime")
+    # items of many bands, where none tells its band
+    silent = found.join(told.select("request_id").distinct(), "request_id", "left_anti")
+    per_request = Window.partitionBy("request_id")
+    first = silent.withColumn("_n", F.row_number().over(per_request.orderBy(*in_order))).filter("_n <= 10")
+    spread = first.withColumn("band", F.explode("band_names")).filter(wanted(F.col("band")))
+    spread = spread.withColumn("_m", F.row_number().over(per_band.orderBy(F.col("_n").desc()))).filter("_m = 1")
+    chosen = best.unionByName(spread.select("request_id", "band", "item_id", F.col("band").alias("_source"), "width", "height", "datetime"))
+    lead = F.row_number().over(per_request.orderBy(*in_order, "band"))
+    reference = chosen.withColumn("_n", lead).filter("_n = 1").select("request_id", F.col("item_id").alias("_reference"))
+    if operation == "ndvi":
+        offered = chosen.groupBy(F.col("request_id").alias("item_id")).agg(F.collect_set("band").alias("bands"))  # of the needed ones
+        roles = band_lookup(offered, [nir, red]).select(
+            F.col("item_id").alias("request_id"), "band", F.explode(F.filter(F.array(
+                F.when(F.col("target") == nir, F.lit("nir")), F.when(F.col("target") == red, F.lit("red"))), lambda r: r.isNotNull())).alias("role")
+        )
+        chosen = chosen.join(roles, ["request_id", "band"])
+    else:
+        chosen = chosen.withColumn("role", F.col("band"))
+    chosen = pin(chosen.join(reference, "request_id"))  # a row per request and band, read by the two steps below
+
+    read = chosen.groupBy("item_id").agg(F.collect_set("_source").alias("wanted_bands"))
+    stored = catalogue.select("item_id", "width", "height", "tile_size", "dtype", "band_names", "chunk_hashes").join(read, "item_id")
+    # an item's single band may be filed under another name than it is known by
+    single = F.size("chunk_hashes") == 1
+    only = F.element_at(F.map_keys("chunk_hashes"), 1)
+    stored = stored.withColumn("wanted_bands", F.when(single & (only != ALL_BANDS), F.array(only)).otherwise(F.col("wanted_bands")))
+    plain = (F.size("wanted_bands") == 1).alias("_one")
+    tiles = reconstruct(stored, chunks, element="float" if operation else "double")
+    by_item = tiles.join(stored.select("item_id", plain, "tile_size"), "item_id")
+    tiles = by_item.join(chosen.withColumnRenamed("band", "_band"), "item_id").filter(F.col("_one") | (F.col("band") == F.col("_source")))
+    tiles = tiles.drop("band", "_source", "_one", "datetime").withColumnRenamed("_band", "band")
+    carry = ("role", "width", "height", "_reference")
+    cut = retile(tiles.filter(F.col("tile_size") != tile_size), ["request_id", "band", *carry], tile_size)
+    same = tiles.filter(F.col("tile_size") == tile_size).select(*cut.columns)
+    grid = to_finest_grid(same.unionByName(cut), ["request_id"], tile_size, ("role", "_reference"))
+    shape = chosen.groupBy("request_id").agg(F.max("width").alias("width"), F.max("height").alias("height"))
+    place = ["request_id", "tile_row", "tile_col", "y_off", "x_off", "h", "w", "_reference"]
+    if operation == "ndvi":
+        result = indices.tile_index(indices.pair_tiles(grid, place, ["nir", "red"]), "ndvi", place).withColumn("band", F.lit("ndvi"))
+    else:
+        result = grid
+    return result.join(shape, "request_id").select(
+        "request_id", "band", *place[1:-1], "pixels", "width", "height", F.col("_reference").alias("item_id")
+    )
+
+
 def _has_shape(tiles: DataFrame) -> bool:
     return {"width", "height", "h"} <= set(tiles.columns)
 

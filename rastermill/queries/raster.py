@@ -504,3 +504,96 @@ def _(i: Inputs):
 def _(i: Inputs):
     flipped = tiles.tile_pixels_by(scene_tiles(i), lambda a: a[::-1] / 2, T.DoubleType())
     return flipped.select("scene", "band", "pixels")
+
+
+# What requests find, as in ``search_fallback``, and the best item of each of two bands.
+FOUND_BEST = """
+    req AS (SELECT *, CASE WHEN length(date_to) = 10 THEN concat(date_to, 'T23:59:59') ELSE date_to END AS upto FROM asked),
+    pairs AS (SELECT r.request_id, c.id, c.band, c.scene, c.width, c.datetime, c.datetime >= r.date_from AND c.datetime <= r.upto AS timely,
+                     c.bbox_east >= r.west AND c.bbox_west <= r.east AND c.bbox_north >= r.south AND c.bbox_south <= r.north AS near
+              FROM req AS r JOIN cat AS c ON c.collection = r.collection),
+    steps AS (SELECT *, CASE WHEN timely AND near THEN 0 WHEN timely THEN 1 ELSE 2 END AS step,
+                     min(CASE WHEN timely AND near THEN 0 WHEN timely THEN 1 ELSE 2 END) OVER (PARTITION BY request_id) AS best FROM pairs),
+    listed AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY datetime DESC, id) AS nth FROM steps WHERE step <= best),
+    found AS (SELECT * FROM listed WHERE best = 0 OR nth <= 500),
+    winners AS (SELECT * FROM found WHERE band IN ('B04', 'B08') QUALIFY row_number() OVER (PARTITION BY request_id, band ORDER BY width DESC, datetime DESC, id) = 1)
+"""
+
+
+def stored_scenes(i: Inputs):
+    """Catalogue and chunks of the derived scenes, an item per band; the red band of odd scenes has half the resolution, some chunks are lost."""
+    bands = scene_tiles(i)
+    odd = (F.col("band") == "B04") & (F.col("scene") % 2 == 1)
+    half = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda p: F.get("pixels", (F.floor(p / 4) * 2 * EDGE + p % 4 * 2).cast("int")))
+    coarse = bands.filter(odd).withColumn("pixels", half).withColumns({c: F.lit(4) for c in ("h", "w")})
+    small = tiles.retile(bands.filter(~odd), ["scene", "band"], 4)
+    small = small.unionByName(coarse.select(*small.columns)).withColumn("width", F.when(odd, 4).otherwise(EDGE))
+    chunks, lists = tiles.hash_tiles(tiles.encode_tile(small), ["scene", "band", "width"], F.floor(F.col("width") / 4).cast("int"))
+    items = lists.select(
+        F.concat(F.lit("S2_T32TPT_"), (F.col("scene") + 20000000).cast("string"), F.lit("_"), F.col("band")).alias("id"), "scene",
+        "width", F.col("width").alias("height"), F.lit(4).alias("tile_size"), F.lit("uint16").alias("dtype"), F.array("band").alias("band_names"),
+        F.create_map(F.col("band"), F.col("hashes")).alias("chunk_hashes"),
+    )
+    catalogue = items.join(i.items.select(F.col("seq").alias("scene"), "collection", "datetime", "bbox_west", "bbox_south", "bbox_east", "bbox_north"), "scene")
+    # an archive is a stored table, not a plan
+    return pin(catalogue), pin(_without(chunks, items, "scene % 5 = 0"))
+
+
+def six_all(name: str):
+    return F.transform(name, lambda v: F.round(v.cast("double"), 6)).alias(name)
+
+
+@query("cube_query_store",
+    f"""WITH cat AS (SELECT concat('S2_T32TPT_', CAST(20000000 + p.scene AS VARCHAR), '_', p.band) AS id, p.scene, p.band, i.collection, i.datetime,
+                      i.bbox_west, i.bbox_south, i.bbox_east, i.bbox_north, CASE WHEN p.band = 'B04' AND p.scene % 2 = 1 THEN 4 ELSE 8 END AS width
+               FROM (SELECT DISTINCT scene, band FROM pixels) AS p JOIN items AS i ON i.seq = p.scene),
+        asked AS (SELECT * FROM aois), {FOUND_BEST},
+        read AS (SELECT w.request_id, w.band, w.id, t.y, t.x, CAST(CASE WHEN w.scene % 5 = 0 AND (w.width = 4 OR (t.y >= 4 AND t.x >= 4)) THEN 0 ELSE p.dn END AS FLOAT) AS v
+                 FROM winners AS w, (SELECT y, x FROM (SELECT unnest(range(8)) AS y), (SELECT unnest(range(8)) AS x)) AS t
+                      JOIN pixels AS p ON p.scene = w.scene AND p.band = w.band AND p.y = CASE WHEN w.width = 4 THEN t.y // 2 * 2 ELSE t.y END
+                                      AND p.x = CASE WHEN w.width = 4 THEN t.x // 2 * 2 ELSE t.x END),
+        f AS (SELECT a.request_id, a.y, a.x, CASE WHEN a.v + b.v = 0 THEN 0::FLOAT ELSE CAST((a.v - b.v)::DOUBLE / (a.v + b.v)::DOUBLE AS FLOAT) END AS v
+              FROM read AS a JOIN read AS b ON a.request_id = b.request_id AND a.y = b.y AND a.x = b.x AND a.band = 'B08' AND b.band = 'B04')
+        SELECT request_id, 'ndvi' AS band, CAST(y // 4 AS INT) AS tile_row, CAST(x // 4 AS INT) AS tile_col, list(round(CAST(v AS DOUBLE), 6) ORDER BY y, x) AS pixels FROM f GROUP BY ALL""",
+    ("pixels", "items", "aois"))
+def _(i: Inputs):
+    items, chunks = stored_scenes(i)
+    answers = plans.cube_query_store(i.aois, items, chunks, "ndvi", tile_size=4)
+    return answers.select("request_id", "band", "tile_row", "tile_col", six_all("pixels"))
+
+
+@query("cube_query_store_512",
+    f"""WITH cat AS (SELECT concat('S2_T32TPT_', CAST(20000000 + p.scene AS VARCHAR), '_', p.band) AS id, p.scene, p.band, i.collection, i.datetime,
+                      i.bbox_west, i.bbox_south, i.bbox_east, i.bbox_north, 512 AS width
+               FROM (SELECT DISTINCT scene, band FROM pixels WHERE band IN ('B04', 'B08')) AS p JOIN items AS i ON i.seq = p.scene),
+        asked AS (SELECT seq AS request_id, collection, bbox_west AS west, bbox_south AS south, bbox_east AS east, bbox_north AS north,
+                         datetime AS date_from, datetime AS date_to FROM items WHERE seq IN (SELECT scene FROM pixels)), {FOUND_BEST},
+        read AS (SELECT w.request_id, w.band, p.y * 8 + p.x AS k, CAST(p.dn AS FLOAT) AS v FROM winners AS w JOIN pixels AS p USING (scene, band)),
+        f AS (SELECT a.request_id, CASE WHEN a.v + b.v = 0 THEN 0::FLOAT ELSE CAST((a.v - b.v)::DOUBLE / (a.v + b.v)::DOUBLE AS FLOAT) END AS v
+              FROM read AS a JOIN read AS b ON a.request_id = b.request_id AND a.k = b.k AND a.band = 'B08' AND b.band = 'B04')
+        SELECT request_id, CAST(count(*) * 4096 AS INT) AS n, round(sum(CAST(v AS DOUBLE)) * 4096, 3) AS total, round(CAST(min(v) AS DOUBLE), 6) AS low, round(CAST(max(v) AS DOUBLE), 6) AS high
+        FROM f GROUP BY request_id""",
+    ("pixels", "items"))
+def _(i: Inputs):
+    """Full-size tiles: each band is one 512 x 512 chunk that repeats the 64 numbers of its derived scene; each scene asks for its own box and moment."""
+    two = i.tiles.filter("band IN ('B04', 'B08')")
+    number = F.transform("pixels", lambda v: F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.floor(v / 256).cast("int")), 2, "0")))
+    stored = two.select("scene", "band", F.unhex(F.repeat(F.array_join(number, ""), 4096)).alias("data")).withColumn("sha", F.sha2("data", 256))
+    edge = F.lit(512)
+    items = stored.select(
+        F.concat(F.lit("S2_T32TPT_"), (F.col("scene") + 20000000).cast("string"), F.lit("_"), F.col("band")).alias("id"), "scene",
+        edge.alias("width"), edge.alias("height"), edge.alias("tile_size"), F.lit("uint16").alias("dtype"), F.array("band").alias("band_names"),
+        F.create_map(F.col("band"), F.array("sha")).alias("chunk_hashes"),
+    )
+    place = i.items.select(F.col("seq").alias("scene"), "collection", "datetime", "bbox_west", "bbox_south", "bbox_east", "bbox_north")
+    catalogue, stored = pin(items.join(place, "scene")), pin(stored.select("sha", "data").dropDuplicates(["sha"]))
+    requests = place.join(i.tiles.select("scene").distinct(), "scene", "left_semi").select(
+        F.col("scene").alias("request_id"), "collection", F.col("bbox_west").alias("west"), F.col("bbox_south").alias("south"),
+        F.col("bbox_east").alias("east"), F.col("bbox_north").alias("north"), F.col("datetime").alias("date_from"), F.col("datetime").alias("date_to"),
+    )
+    answers = plans.cube_query_store(requests, catalogue, stored, "ndvi")
+    total = F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v)
+    return answers.select(
+        "request_id", F.size("pixels").alias("n"), F.round(total, 3).alias("total"), F.round(F.array_min("pixels").cast("double"), 6).alias("low"),
+        F.round(F.array_max("pixels").cast("double"), 6).alias("high"),
+    )
