@@ -8,7 +8,7 @@ from rastermill.fixtures import Inputs
 from rastermill.queries.flow import REPLAY, REPLAY_TABLES
 from rastermill.queries.stats import CLASSIFY, classified, raw_requests
 from rastermill.registry import query
-from rastermill.streaming import merges, run, stateful, windows
+from rastermill.streaming import merges, replay, run, stateful, windows
 
 CLOSED = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)"
 
@@ -58,6 +58,21 @@ def _(i: Inputs):
     return up.select("node_id", _plain("up_from"), _plain("last_seen"), _plain("gone_at"), "heartbeats")
 
 
+SPANS = """e AS (SELECT user_id % 20 AS node_id, ts FROM events),
+        m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY node_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM e),
+        s AS (SELECT *, sum(fresh) OVER (PARTITION BY node_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM m),
+        spans AS (SELECT node_id, min(ts) AS up_from, max(ts) + INTERVAL 2 HOUR AS gone_at FROM s GROUP BY node_id, sid)"""
+
+
+@query("st_liveness_changes",
+    f"""WITH {SPANS} SELECT * FROM (SELECT node_id, up_from AS \"at\", TRUE AS alive FROM spans UNION ALL SELECT node_id, gone_at, FALSE FROM spans) WHERE \"at\" <= {CLOSED}""")
+def _(i: Inputs):
+    """Four micro-batches, the heartbeats of each in no order."""
+    beats = run.in_batches(i.events.select("ts", (F.col("user_id") % 20).alias("node_id")), "ts", 4)
+    changes = run.drain(stateful.st_liveness_changes(beats, ttl_s=7200))
+    return changes.select("node_id", _plain("at"), "alive")
+
+
 @query("st_log_classify", f"WITH ok AS (SELECT *, event_id % 5 AS k FROM events WHERE event_type <> 'error') {CLASSIFY}")
 def _(i: Inputs):
     return classified(*map(run.drain, windows.st_log_classify(raw_requests(event_stream(i)))))
@@ -66,9 +81,11 @@ def _(i: Inputs):
 @query("st_heartbeat_registry",
     "SELECT user_id % 40 AS node_id, max(ts) AS ts, arg_max(CAST(floor(value) AS BIGINT), ts) AS item_count FROM events GROUP BY 1")
 def _(i: Inputs):
-    beats = event_stream(i).select((F.col("user_id") % 40).alias("node_id"), "ts", F.floor("value").cast("bigint").alias("item_count"))
+    """Five micro-batches, a snapshot at every second one."""
+    beats = i.events.select((F.col("user_id") % 40).alias("node_id"), "ts", F.floor("value").cast("bigint").alias("item_count"))
     folder = run.work_folder(i.spark)
-    run.finish(merges.st_heartbeat_registry(beats, f"{folder}/nodes", f"{folder}/progress", available_now=True))
+    stream = run.in_batches(beats, "ts", 5)
+    run.finish(merges.st_heartbeat_registry(stream, f"{folder}/nodes", f"{folder}/progress", available_now=True, snapshot_every=2))
     return merges.read_registry(i.spark, f"{folder}/nodes")
 
 
@@ -99,8 +116,11 @@ def _(i: Inputs):
 @query("st_rate_limit", f"WITH {REPLAY} SELECT client, seq, admitted FROM step", REPLAY_TABLES)
 def _(i: Inputs):
     path = F.when(F.col("event_id") % 11 == 0, "/health").otherwise("/stac/search")
-    stream = event_stream(i).select(F.col("event_id").alias("seq"), "ts", (F.col("user_id") % 20).alias("client"), path.alias("path"))
-    return run.drain(stateful.st_rate_limit(stream, rpm=20, burst=4, minute_s=86400, burst_s=3600))
+    requests = i.events.select(F.col("event_id").alias("seq"), "ts", (F.col("user_id") % 20).alias("client"), path.alias("path"))
+    folder = run.work_folder(i.spark)
+    stream = run.in_batches(requests, "ts", 3)
+    run.finish(stateful.st_rate_limit(stream, f"{folder}/verdicts", f"{folder}/progress", rpm=20, burst=4, minute_s=86400, burst_s=3600, available_now=True))
+    return replay.read_replayed(i.spark, f"{folder}/verdicts", stateful.RATE_SCHEMA)
 
 
 @query("st_fail_breaker",
@@ -109,7 +129,10 @@ def _(i: Inputs):
        r AS (SELECT account_id, seq, row_number() OVER (PARTITION BY account_id, isl ORDER BY seq) AS n FROM m WHERE NOT success)
        SELECT account_id, min(seq) AS seq FROM r WHERE n = 3 GROUP BY 1""")
 def _(i: Inputs):
-    stream = event_stream(i).select(
+    calls = i.events.select(
         F.col("event_id").alias("seq"), (F.col("user_id") % 25).alias("account_id"), (F.col("event_type") != "error").alias("success")
     )
-    return run.drain(stateful.st_fail_breaker(stream, limit=3))
+    folder = run.work_folder(i.spark)
+    stream = run.in_batches(calls, "seq", 3)
+    run.finish(stateful.st_fail_breaker(stream, f"{folder}/trips", f"{folder}/progress", limit=3, available_now=True))
+    return replay.read_replayed(i.spark, f"{folder}/trips", stateful.BREAKER_SCHEMA)

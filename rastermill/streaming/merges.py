@@ -1,8 +1,8 @@
 """Streams that change a stored table, one micro-batch at a time.
 
-Every batch writes in a way that can be repeated after a failure: a registry
-version is overwritten by the same batch number, and chunk appends first drop
-what is already stored.
+Every batch writes in a way that can be repeated after a failure: a delta of
+the registry is overwritten by the same batch number, and chunk appends first
+drop what is already stored.
 """
 
 from __future__ import annotations
@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from rastermill.operators.chunks import missing_chunks
 from rastermill.plans.pick import last_per_key
 from rastermill.sources.sinks import content_hash, sink_chunks_put, write_chunks
+from rastermill.streaming.run import folders, remove_folder
 
 
 def _start(stream: DataFrame, apply, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -21,23 +23,45 @@ def _start(stream: DataFrame, apply, checkpoint: str, available_now: bool) -> St
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def st_heartbeat_registry(stream: DataFrame, target: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Keep the newest heartbeat per node in ``target``, one version folder per batch."""
+def st_heartbeat_registry(stream: DataFrame, target: str, checkpoint: str, available_now: bool = False, snapshot_every: int = 10) -> StreamingQuery:
+    """Keep the newest heartbeat per node in ``target``: the nodes of a batch as its delta, and a snapshot every few batches.
+
+    What a batch writes follows the nodes it hears from, not the registry. A snapshot takes in all deltas before it; those
+    that the snapshot before it already held are removed then, so that readers of the older one can finish.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        newest = last_per_key(batch, ["node_id"], "ts")
-        if batch_id > 0:
-            known = batch.sparkSession.read.schema(batch.schema).parquet(f"{target}/version={batch_id - 1}")
-            newest = last_per_key(known.unionByName(newest), ["node_id"], "ts")
-        newest.write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+        spark = batch.sparkSession
+        last_per_key(batch, ["node_id"], "ts").write.mode("overwrite").parquet(f"{target}/delta={batch_id}")
+        if (batch_id + 1) % snapshot_every:
+            return
+        whole = _registry(spark, target, batch.schema, batch_id)
+        whole.write.mode("overwrite").parquet(f"{target}/snapshot={batch_id}")
+        before = max((n for n in _numbers(spark, target, "snapshot") if n < batch_id), default=-1)
+        for kind, least in (("delta", before + 1), ("snapshot", before)):
+            for n in _numbers(spark, target, kind):
+                if n < least:
+                    remove_folder(spark, f"{target}/{kind}={n}")
 
     return _start(stream, apply, checkpoint, available_now)
 
 
+def _numbers(spark: SparkSession, target: str, kind: str) -> list[int]:
+    return [int(name.split("=")[1]) for name in folders(spark, target) if name.startswith(f"{kind}=")]
+
+
+def _registry(spark: SparkSession, target: str, schema: StructType | None, upto: int | None = None) -> DataFrame:
+    """The last snapshot (before ``upto``) and the deltas after it, newest row per node."""
+    base = max((n for n in _numbers(spark, target, "snapshot") if upto is None or n < upto), default=-1)
+    paths = [f"{target}/snapshot={base}"] if base >= 0 else []
+    paths += [f"{target}/delta={n}" for n in sorted(_numbers(spark, target, "delta")) if n > base and (upto is None or n <= upto)]
+    reader = spark.read.schema(schema) if schema else spark.read
+    return last_per_key(reader.parquet(*paths), ["node_id"], "ts")
+
+
 def read_registry(spark: SparkSession, target: str) -> DataFrame:
-    """Newest version of the registry."""
-    versions = spark.read.parquet(target)
-    return versions.filter(F.col("version") == versions.agg(F.max("version")).scalar()).drop("version")
+    """The registry as it is now."""
+    return _registry(spark, target, None)
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:

@@ -20,16 +20,16 @@ def st_access_daily(stream: DataFrame, watermark: str = WATERMARK) -> DataFrame:
 
 
 def st_hot_chunks(stream: DataFrame, hot: int = stats.HOT_PER_WEEK, watermark: str = WATERMARK) -> DataFrame:
-    """Chunks with at least ``hot`` accesses in a trailing week, day by day."""
-    weekly = timed(stream, watermark).groupBy(F.window("ts", "7 days", "1 day").alias("w"), "sha").agg(F.count(F.lit(1)).alias("accesses"))
+    """Chunks with at least ``hot`` accesses in a trailing week, day by day. Accesses are counted per day first, then weeks add up days."""
+    daily = timed(stream, watermark).groupBy(F.window("ts", "1 day").alias("d"), "sha").agg(F.count(F.lit(1)).alias("accesses"))
+    weekly = daily.groupBy(F.window(F.window_time("d"), "7 days", "1 day").alias("w"), "sha").agg(F.sum("accesses").alias("accesses"))
     return weekly.filter(F.col("accesses") >= hot).select("sha", F.col("w.end").alias("week_end"), "accesses")
 
 
 def st_quota(stream: DataFrame, hours: int = 1, watermark: str = WATERMARK) -> DataFrame:
-    """Requests per account in a sliding window of ``hours``, every five minutes."""
-    hourly = timed(stream, watermark).groupBy(F.window("ts", f"{hours} hours", "5 minutes").alias("w"), "account_id").agg(
-        F.count(F.lit(1)).alias("requests")
-    )
+    """Requests per account in a sliding window of ``hours``, every five minutes; counted in panes of five minutes first."""
+    panes = timed(stream, watermark).groupBy(F.window("ts", "5 minutes").alias("d"), "account_id").agg(F.count(F.lit(1)).alias("requests"))
+    hourly = panes.groupBy(F.window(F.window_time("d"), f"{hours} hours", "5 minutes").alias("w"), "account_id").agg(F.sum("requests").alias("requests"))
     return hourly.select("account_id", F.col("w.end").alias("window_end"), "requests")
 
 
