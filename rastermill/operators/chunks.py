@@ -31,12 +31,12 @@ def chunk_refs(items: DataFrame) -> DataFrame:
 
 
 def chunk_availability(refs: DataFrame, store: DataFrame) -> DataFrame:
-    """References with a flag telling whether the chunk is stored.
+    """References with a flag telling whether the chunk is stored (a store has one row per hash).
 
-    The two halves read the same shuffles of references and hashes.
+    One outer join, whose crowded hashes adaptive execution can split, as both sides come straight from a shuffle.
     """
-    stored = has_chunk(refs, store).withColumn("local", F.lit(True))
-    return stored.unionByName(missing_chunks(refs, store).withColumn("local", F.lit(False)))
+    held = store.select("sha", F.lit(True).alias("_held"))
+    return refs.join(held, "sha", "left").withColumn("local", F.coalesce("_held", F.lit(False))).drop("_held")
 
 
 def missing_chunks(refs: DataFrame, store: DataFrame) -> DataFrame:
@@ -145,7 +145,8 @@ def sync_plan(
     Columns: collection, new_collection, items, chunks_missing,
     chunks_skipped. Items that are known and complete are skipped with all
     their chunks. ``max_items`` stops after that many incomplete items in
-    (collection, id) order.
+    (collection, id) order; items after the stop count nowhere, but their
+    collections keep a row.
     """
     if collections:
         remote_items = remote_items.filter(F.col("collection").isin(list(collections)))
@@ -164,7 +165,9 @@ def sync_plan(
             F.when(F.count(F.lit(1)) == max_items, F.max(F.struct("collection", "id"))).alias("stop")
         ).scalar()
         state = state.withColumn("_stop", stop)
-        state = state.filter(F.col("_stop").isNull() | (F.struct("collection", "id") <= F.col("_stop"))).drop("_stop")
+        reached = F.coalesce(F.struct("collection", "id") <= F.col("_stop"), F.lit(True))
+        state = state.withColumns({c: F.when(reached, F.col(c)).otherwise(0) for c in ("total", "missing")})
+        state = state.withColumn("complete", F.col("complete") | ~reached).drop("_stop")
     held = local_items.select("collection").distinct().withColumn("held", F.lit(True))
     todo = ~F.col("complete")
     return (

@@ -36,17 +36,21 @@ def top_collections(log: DataFrame, now: str, hours: float = 168, limit: int = 2
 
 def chunk_heat_map(log: DataFrame, now: str, hours: float = 168, limit: int = 50, key: str = "sha") -> DataFrame:
     """Most used chunks, with the collection of their latest access."""
-    counted = recent_window(log, now, hours).groupBy(key).agg(
-        F.count(F.lit(1)).alias("access_count"),
-        _latest_collection(),
-        F.max("ts").alias("last_access"),
-    )
+    counted = _by_chunk(recent_window(log, now, hours), key, access_count=F.count(F.lit(1)))
     return counted.orderBy(F.col("access_count").desc(), key).limit(limit)
 
 
-def _latest_collection() -> Column:
-    """Collection of the latest access; of accesses at the same time the last by name."""
-    return F.max_by("collection_id", F.struct("ts", "collection_id")).alias("collection_id")
+def _by_chunk(log: DataFrame, key: str, **counts: Column) -> DataFrame:
+    """Counts, latest access and the collection of that access (of accesses at the same time the last by name) per chunk.
+
+    The log is counted per chunk and collection with numbers alone, which hash aggregation does without sorting; a collection is
+    chosen among the few rows this leaves for a chunk.
+    """
+    pairs = log.groupBy(key, "collection_id").agg(*[c.alias(name) for name, c in counts.items()], F.max("ts").alias("last_access"))
+    return pairs.groupBy(key).agg(
+        *[F.sum(name).alias(name) for name in counts], F.max("last_access").alias("last_access"),
+        F.max_by("collection_id", F.struct("last_access", "collection_id")).alias("collection_id"),
+    )
 
 
 def _replicas(count: Column, hot: int) -> Column:
@@ -55,12 +59,7 @@ def _replicas(count: Column, hot: int) -> Column:
 
 def replication_advice(log: DataFrame, now: str, hot: int = HOT_PER_WEEK, cold_days: int = COLD_DAYS, key: str = "sha") -> DataFrame:
     """Every tracked chunk with ``promote``, ``demote`` or ``ok``, in one pass over the log."""
-    per_chunk = log.groupBy(key).agg(
-        F.count_if(F.col("ts") > moment(now, 7 * 24)).alias("weekly"),
-        F.max("ts").alias("last_access"),
-        F.count(F.lit(1)).alias("total"),
-        _latest_collection(),
-    )
+    per_chunk = _by_chunk(log, key, weekly=F.count_if(F.col("ts") > moment(now, 7 * 24)), total=F.count(F.lit(1)))
     advice = (
         F.when(F.col("weekly") >= hot, "promote").when(F.col("last_access") < moment(now, cold_days * 24), "demote").otherwise("ok")
     )
@@ -73,14 +72,12 @@ def replication_advice(log: DataFrame, now: str, hot: int = HOT_PER_WEEK, cold_d
 
 
 def replication_promote(log: DataFrame, now: str, hot: int = HOT_PER_WEEK, key: str = "sha") -> DataFrame:
-    weekly = recent_window(log, now, 7 * 24).groupBy(key).agg(
-        F.count(F.lit(1)).alias("weekly_accesses"), _latest_collection()
-    )
+    weekly = _by_chunk(recent_window(log, now, 7 * 24), key, weekly_accesses=F.count(F.lit(1))).drop("last_access")
     return weekly.filter(F.col("weekly_accesses") >= hot).withColumn("replicas", _replicas(F.col("weekly_accesses"), hot))
 
 
 def replication_demote(log: DataFrame, now: str, cold_days: int = COLD_DAYS, key: str = "sha") -> DataFrame:
-    last = log.groupBy(key).agg(F.max("ts").alias("last_access"), F.count(F.lit(1)).alias("total_accesses"), _latest_collection())
+    last = _by_chunk(log, key, total_accesses=F.count(F.lit(1)))
     cold = last.filter(F.col("last_access") < moment(now, cold_days * 24))
     return cold.withColumn("replicas", F.lit(COLD_REPLICAS).cast("bigint"))
 

@@ -246,6 +246,7 @@ def _placed_chunks(items: DataFrame, bands: list[str] | None, carry: tuple[str,
         *kept, "_band", "sha",
         row.alias("tile_row"), col.alias("tile_col"), (row * size).alias("y_off"), (col * size).alias("x_off"),
         F.least(size, F.col("height") - row * size).alias("h"), F.least(size, F.col("width") - col * size).alias("w"),
+        F.col("width").alias("_width"), F.col("height").alias("_height"),
     )
 
 
@@ -297,6 +298,40 @@ def geo_transform(pixels: DataFrame, items: DataFrame, key: str = "item_id") ->
     return located.drop("width", "height", "bbox_west", "bbox_south", "bbox_east", "bbox_north")
 
 
+def clip_tiles(tiles: DataFrame, items: DataFrame, bbox: list[float], key: str = "item_id", value: str = "pixels") -> DataFrame:
+    """The part of each tile whose pixel centres lie in the box, ends included; tiles outside it go as they are.
+
+    A centre's longitude depends on its column alone and its latitude on its line, so the box is a window of columns and lines: it
+    is found from the tile's edges, and the rows inside are sliced. Pixels outside are never made.
+    """
+    west, south, east, north = bbox
+    box = items.select(key, "width", "height", "bbox_west", "bbox_south", "bbox_east", "bbox_north")
+    lon = lambda x: pixel_centre(F.col("bbox_west"), F.col("bbox_east"), F.col("width"), x)
+    lat = lambda y: pixel_middle(F.col("bbox_north"), F.col("bbox_south"), F.col("height"), y)
+    columns = F.filter(F.sequence("x_off", F.col("x_off") + F.col("w") - 1), lambda x: lon(x).between(west, east))
+    lines = F.filter(F.sequence("y_off", F.col("y_off") + F.col("h") - 1), lambda y: lat(y).between(south, north))
+    # items outside the box are left out before any tile is met
+    near = box.filter((F.col("bbox_east") >= west) & (F.col("bbox_west") <= east) & (F.col("bbox_north") >= south) & (F.col("bbox_south") <= north))
+    cut = tiles.join(near, key).withColumns({"_x": columns, "_y": lines}).filter((F.size("_x") > 0) & (F.size("_y") > 0))
+    first = F.get("_x", F.lit(0)) - F.col("x_off")
+    rows = F.transform("_y", lambda y: F.slice(value, ((y - F.col("y_off")) * F.col("w") + first + 1).cast("int"), F.size("_x")))
+    window = {
+        value: F.flatten(rows), "y_off": F.get("_y", F.lit(0)).cast("int"), "x_off": F.get("_x", F.lit(0)).cast("int"),
+        "h": F.size("_y"), "w": F.size("_x"),
+    }
+    # under other names first, as the slices are cut by the tile's old edges
+    made = cut.select("*", *[c.alias(f"_new_{name}") for name, c in window.items()])
+    return made.select(*[F.col(f"_new_{c}").alias(c) if c in window else c for c in tiles.columns])
+
+
+def tile_axes(tiles: DataFrame, items: DataFrame, key: str = "item_id") -> DataFrame:
+    """Tiles with the longitudes of their columns (``lons``) and the latitudes of their lines (``lats``), instead of a pair per pixel."""
+    box = items.select(key, "width", "height", "bbox_west", "bbox_south", "bbox_east", "bbox_north")
+    lons = F.transform(F.sequence("x_off", F.col("x_off") + F.col("w") - 1), lambda x: pixel_centre(F.col("bbox_west"), F.col("bbox_east"), F.col("width"), x))
+    lats = F.transform(F.sequence("y_off", F.col("y_off") + F.col("h") - 1), lambda y: pixel_middle(F.col("bbox_north"), F.col("bbox_south"), F.col("height"), y))
+    return tiles.join(box, key).select(*tiles.columns, lons.alias("lons"), lats.alias("lats"))
+
+
 def resample_nearest(pixels: DataFrame, height: int, width: int, target_height: int, target_width: int) -> DataFrame:
     """Pixels of a ``height`` x ``width`` raster on a ``target`` grid, nearest neighbour.
 
@@ -398,7 +433,7 @@ def band_bytes(items: DataFrame, chunks: DataFrame, carry: tuple[str, ...] = ())
     planes = F.filter(planes, lambda p: F.array_contains("wanted_bands", p["band"]))
     cut = joined.withColumn("_p", F.explode(planes))
     return cut.select(
-        "item_id", *carry, "dtype", F.col("_p.band").alias("band"), "y_off", "x_off", "h", "w",
+        "item_id", *carry, "dtype", F.col("_p.band").alias("band"), "y_off", "x_off", "h", "w", "_width", "_height",
         F.substring("data", F.col("_p.from") + 1, area).alias("data"),
     )
 
@@ -414,8 +449,18 @@ def convert_bytes(planes: DataFrame, target: str) -> DataFrame:
 
 
 def retile_bytes(planes: DataFrame, keys: list[str], dtype: str, tile_size: int = TILE_SIZE) -> DataFrame:
-    """Like ``retile`` on raw single-band bytes: lines are cut and joined as bytes, no pixel is decoded."""
-    lines = planes.withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
+    """Like ``retile`` on raw single-band bytes: lines are cut and joined as bytes, no pixel is decoded.
+
+    A plane that is a tile of the new grid already, by the raster's ``_width`` and ``_height``, passes whole; only others are cut to lines.
+    """
+    at = planes.withColumns({"tile_row": _div("y_off", tile_size), "tile_col": _div("x_off", tile_size)})
+    fits = (
+        (F.col("y_off") == F.col("tile_row") * tile_size) & (F.col("x_off") == F.col("tile_col") * tile_size)
+        & (F.col("h") == F.least(F.lit(tile_size), F.col("_height") - F.col("y_off")))
+        & (F.col("w") == F.least(F.lit(tile_size), F.col("_width") - F.col("x_off")))
+    )
+    whole = at.filter(fits).select(*keys, "tile_row", "tile_col", "data")
+    lines = at.filter(~fits).drop("tile_row", "tile_col").withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
     first, last = _div("x_off", tile_size), _div(F.col("x_off") + F.col("w") - 1, tile_size)
     lines = lines.withColumn("tile_col", F.explode(F.sequence(first, last)))
     start = F.greatest(F.col("x_off"), F.col("tile_col") * tile_size)
@@ -425,7 +470,8 @@ def retile_bytes(planes: DataFrame, keys: list[str], dtype: str, tile_size: int
         *keys, "tile_col", (F.col("y_off") + F.col("_r")).cast("int").alias("_y"), start.alias("_x"),
         F.substring("data", (F.col("_r") * F.col("w") + start - F.col("x_off")) * size + 1, (stop - start) * size).alias("_v"),
     ).withColumn("tile_row", _div("_y", tile_size))
-    return fragments.groupBy(*keys, "tile_row", "tile_col").agg(F.expr("listagg(_v) WITHIN GROUP (ORDER BY _y, _x)").alias("data"))
+    joined = fragments.groupBy(*keys, "tile_row", "tile_col").agg(F.expr("listagg(_v) WITHIN GROUP (ORDER BY _y, _x)").alias("data"))
+    return whole.unionByName(joined)
 
 
 def migrate_tiles(items: DataFrame, chunks: DataFrame, tile_size: int = TILE_SIZE) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from rastermill.functions.times import normalise_end
 from rastermill.operators import bands, coverage, search
 from rastermill.registry import query
 from rastermill.sources import sinks
-from rastermill.sources.readers import decode_items, decode_products
+from rastermill.sources.readers import decode_items, decode_products, decode_stac_products
 
 ITEM_COLUMNS = ["id", "collection", "bbox_west", "bbox_south", "bbox_east", "bbox_north", "datetime", "width", "seq"]
 ITEM_SQL = ", ".join(ITEM_COLUMNS)
@@ -261,6 +261,44 @@ def _(i: Inputs):
     return decode_products(listing).select(F.col("id").cast("bigint").alias("id"), "name", "date", "size_mb", "cloud_cover")
 
 
+LISTED = """SELECT product_id, product_type, date, cloud_cover, west, south, west + 1 AS east, south + 1 AS north,
+                   CASE product_id % 3 WHEN 0 THEN 'SENTINEL-1' WHEN 1 THEN 'SENTINEL-2' ELSE 'SENTINEL-3' END AS collection FROM products"""
+
+
+@query(
+    "product_chain",
+    f"""WITH listed AS ({LISTED}),
+        both_lists AS (SELECT CAST(product_id AS VARCHAR) AS product_id, date, cloud_cover, west, collection FROM listed WHERE product_id % 4 <> 0 AND product_id % 5 <> 0
+                 UNION ALL SELECT concat('S2_', CAST(product_id AS VARCHAR)), date, CASE WHEN product_id % 8 = 0 THEN -1 ELSE cloud_cover END, west, 'SENTINEL-2' FROM listed WHERE product_id % 4 = 0)
+        SELECT product_id, date, cloud_cover, collection FROM both_lists
+        WHERE collection = 'SENTINEL-2' AND west + 1 >= -100 AND west <= 100 AND date >= '2024-02-01T00:00:00.000Z' AND date <= '2024-08-31T23:59:59.999Z' AND cloud_cover <= 70""",
+    ("products",),
+)
+def _(i: Inputs):
+    """Both listings as their services send them, read into one table and searched."""
+    listed = i.products.withColumns({"east": F.col("west") + 1, "north": F.col("south") + 1})
+    corners = F.array(*[F.array(x, y) for x, y in (("west", "south"), ("east", "south"), ("east", "north"), ("west", "north"), ("west", "south"))])
+    polygon = F.struct(F.lit("Polygon").alias("type"), F.array(corners).alias("coordinates"))
+    several = F.struct(F.lit("MultiPolygon").alias("type"), F.array(F.array(corners)).alias("coordinates"))
+    attribute = lambda name, value: F.struct(F.lit(name).alias("Name"), value.cast("string").alias("Value"))
+    mission = F.concat(F.lit("Sentinel-"), F.col("product_id") % 3 + 1)
+    facts = F.array(attribute("productType", F.col("product_type")), attribute("platformShortName", mission), attribute("cloudCover", F.col("cloud_cover")))
+    upstream = listed.filter("product_id % 4 <> 0").select(F.to_json(F.struct(
+        F.col("product_id").cast("string").alias("Id"), F.struct(F.col("date").alias("Start")).alias("ContentDate"), polygon.alias("GeoFootprint"),
+        F.when(F.col("product_id") % 5 != 0, facts).otherwise(F.slice(facts, 1, 2)).alias("Attributes"),
+    )).alias("value"))
+    box = F.array("west", "south", "east", "north")
+    cover = F.when(F.col("product_id") % 8 != 0, F.col("cloud_cover")).alias("eo:cloud_cover")
+    archive = listed.filter("product_id % 4 = 0").select(F.to_json(F.struct(
+        F.concat(F.lit("S2_"), F.col("product_id")).alias("id"), F.lit("sentinel-2-l2a").alias("collection"), several.alias("geometry"),
+        F.when(F.col("product_id") % 16 != 0, box).alias("bbox"), F.struct(F.col("date").alias("datetime"), cover).alias("properties"),
+    )).alias("value"))
+    products = decode_products(upstream).unionByName(decode_stac_products(archive, search.UPSTREAM_COLLECTIONS).drop("assets"))
+    known = products.select("product_id").limit(0)
+    found = search.product_search(products, known, None, [-100.0, -90.0, 100.0, 90.0], "2024-02-01", "2024-08-31", 70.0, None, "sentinel-2-l2a")
+    return found.select("product_id", "date", "cloud_cover", "collection")
+
+
 @query(
     "batch_bbox_search",
     """SELECT request_id, id AS item_id FROM aois JOIN items

@@ -211,7 +211,9 @@ def _(i: Inputs):
 
 @query("sync_plan_limited",
     f"""WITH {SYNC}, cut AS (SELECT collection, id FROM st WHERE NOT complete ORDER BY collection, id LIMIT 1 OFFSET 599),
-        part_st AS (SELECT * FROM st WHERE (SELECT count(*) FROM cut) = 0 OR (collection, id) <= (SELECT (collection, id) FROM cut))
+        seen AS (SELECT *, (SELECT count(*) FROM cut) = 0 OR (collection, id) <= (SELECT (collection, id) FROM cut) AS reached FROM st),
+        part_st AS (SELECT id, collection, CASE WHEN reached THEN total ELSE 0 END AS total, CASE WHEN reached THEN missing ELSE 0 END AS missing,
+                           complete OR NOT reached AS complete FROM seen)
         {PLAN.format(src='part_st')}""", ("items", "item_chunks", "stored"))
 def _(i: Inputs):
     local, remote, refs = _sync_inputs(i)

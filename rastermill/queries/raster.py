@@ -364,6 +364,25 @@ def _(i: Inputs):
     return search.filter_spatial(located_pixels(i), [-100.0, -40.0, 60.0, 50.0]).select("scene", "band", "y", "x", "value")
 
 
+@query("filter_spatial_tiles",
+    f"""WITH {LOCATED} SELECT scene, band, CAST(min(y) AS INT) AS y_off, CAST(min(x) AS INT) AS x_off, CAST(max(y) - min(y) + 1 AS INT) AS h, CAST(max(x) - min(x) + 1 AS INT) AS w,
+        list(value ORDER BY y, x) AS pixels FROM loc WHERE lon BETWEEN -100 AND 60 AND lat BETWEEN -40 AND 50 GROUP BY scene, band, y // 4, x // 4""", ("pixels", "items"))
+def _(i: Inputs):
+    items = scene_items(i).withColumns({"width": F.lit(EDGE), "height": F.lit(EDGE)})
+    small = tiles.retile(scene_tiles(i), ["scene", "band"], 4)
+    clipped = tiles.clip_tiles(small, items, [-100.0, -40.0, 60.0, 50.0], "scene")
+    return clipped.select("scene", "band", "y_off", "x_off", "h", "w", "pixels")
+
+
+@query("geo_axes",
+    f"WITH {LOCATED} SELECT scene, band, list(DISTINCT round(lon, 6) ORDER BY round(lon, 6)) AS lons, list(DISTINCT round(lat, 6) ORDER BY round(lat, 6) DESC) AS lats FROM loc GROUP BY 1, 2",
+    ("pixels", "items"))
+def _(i: Inputs):
+    items = scene_items(i).withColumns({"width": F.lit(EDGE), "height": F.lit(EDGE)})
+    placed = tiles.tile_axes(scene_tiles(i), items, "scene")
+    return placed.select("scene", "band", six_all("lons"), six_all("lats"))
+
+
 @query("filter_temporal",
     f"WITH {LOCATED} SELECT scene, band, y, x, value FROM loc WHERE datetime >= '1995-01-01' AND datetime <= '1998-06-30T23:59:59'", ("pixels", "items"))
 def _(i: Inputs):

@@ -8,6 +8,8 @@ from rastermill.fixtures import NOW, Inputs
 from rastermill.operators import stats
 from rastermill.registry import query
 from rastermill.sources import readers
+from rastermill.sources.sinks import sink_retention
+from rastermill.streaming.run import work_folder
 
 SINCE_WEEK = "ts > TIMESTAMP '2024-01-24'"
 SINCE_DAY = "ts > TIMESTAMP '2024-01-30'"
@@ -123,6 +125,16 @@ def _(i: Inputs):
     return stats.retention_cleanup(i.access_log, NOW, retain_days=10).select("event_id", "chunk_no", "ts")
 
 
+@query("retention_folders", "SELECT event_id, chunk_no, ts FROM access_log WHERE ts >= TIMESTAMP '2024-01-21 06:00:00'", ("access_log",))
+def _(i: Inputs):
+    """The log stored by day, its expired days dropped in place."""
+    folder = f"{work_folder(i.spark)}/log"
+    log = i.access_log.select("event_id", "chunk_no", "ts", F.to_date("ts").cast("string").alias("day"))
+    log.repartition("day").write.partitionBy("day").parquet(folder)
+    sink_retention(i.spark, folder, "2024-01-31 06:00:00", retain_days=10)
+    return i.spark.read.parquet(folder).select("event_id", "chunk_no", "ts")
+
+
 @query("serve_history",
     """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS served, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS requests
        FROM download_log WHERE origin = 'user' GROUP BY 1 ORDER BY 1 DESC LIMIT 20""", ("download_log",))

@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rastermill.operators.bands import asset_key
+
 PROPERTIES = {
     "datetime": "string", "crs": "string", "width": "int", "height": "int", "bands": "int", "band_names": "array<string>",
     "dtype": "string", "tile_size": "int", "tile_cols": "int", "tile_rows": "int", "source_file": "string", "chunk_format": "string",
 }
 AUDIT = "ts string, action string, detail string, ip string, ok boolean, _bad string"
+# Names of the attributes that tell a product's type and mission, and the cloud cover of a product that tells none.
+TYPE_ATTRIBUTE, MISSION_ATTRIBUTE, NO_COVER = "productType", "platformShortName", -1.0
+BOX = ("west", "south", "east", "north")
+STAC_PRODUCT = (
+    "id string, collection string, bbox array<double>, geometry string, assets map<string,struct<href:string>>, "
+    "properties struct<datetime:string,`eo:cloud_cover`:double>"
+)
 PRODUCT = (
     "struct<Id:string,Name:string,ContentDate:struct<Start:string>,ContentLength:bigint,Online:boolean,"
     "GeoFootprint:string,Attributes:array<struct<Name:string,Value:string>>>"
@@ -101,21 +110,68 @@ def read_chunk_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode_products(listing: DataFrame) -> DataFrame:
-    """Upstream product JSON (column ``value``); cloud cover comes from the attribute list."""
+    """Upstream product JSON (column ``value``): facts from the attribute list, the box from the footprint, as ``product_search`` reads them."""
     p = F.from_json("value", PRODUCT)
-    cover = F.filter(p["Attributes"], lambda a: a["Name"] == "cloudCover")
+
+    def attribute(name: str) -> Column:
+        return F.get(F.filter(p["Attributes"], lambda a: a["Name"] == name), F.lit(0))["Value"]
+
+    box = footprint_box(p["GeoFootprint"])
     return listing.select(
         p["Id"].alias("id"),
+        p["Id"].alias("product_id"),
         p["Name"].alias("name"),
         F.coalesce(p["ContentDate"]["Start"], F.lit("")).alias("date"),
         F.bround(F.coalesce(p["ContentLength"], F.lit(0)) / 1024 / 1024, 1).alias("size_mb"),
-        F.get(cover, F.lit(0))["Value"].cast("double").alias("cloud_cover"),
+        attribute("cloudCover").cast("double").alias("cloud_cover"),
         F.coalesce(p["Online"], F.lit(True)).alias("online"),
+        attribute(TYPE_ATTRIBUTE).alias("product_type"),
+        F.upper(attribute(MISSION_ATTRIBUTE)).alias("collection"),
+        *[box[c].alias(c) for c in BOX],
+    )
+
+
+def footprint_box(footprint: Column) -> Column:
+    """Struct (west, south, east, north) around a GeoJSON polygon or multi-polygon given as text; null where it is neither."""
+    kind = F.get_json_object(footprint, "$.type")
+    at = F.get_json_object(footprint, "$.coordinates")
+    rings = F.when(kind == "Polygon", F.from_json(at, "array<array<array<double>>>")).when(
+        kind == "MultiPolygon", F.flatten(F.from_json(at, "array<array<array<array<double>>>>"))
     )
+    points = F.flatten(rings)
+    x = F.transform(points, lambda p: F.get(p, F.lit(0)))
+    y = F.transform(points, lambda p: F.get(p, F.lit(1)))
+    return F.when(F.size(points) > 0, F.struct(F.array_min(x).alias("west"), F.array_min(y).alias("south"), F.array_max(x).alias("east"), F.array_max(y).alias("north")))
+
+
+def decode_stac_products(features: DataFrame, missions: dict[str, str] | None = None) -> DataFrame:
+    """STAC Features of an open archive (column ``value``) in the columns of ``decode_products``, with ``assets`` (key -> address).
+
+    ``missions`` names the upstream collection of a STAC collection. The box is the feature's own, else that of its footprint. A
+    feature that tells no cloud cover has -1; its size and type are not known.
+    """
+    f = F.from_json("value", STAC_PRODUCT)
+    names = F.create_map(*[F.lit(x) for kv in (missions or {}).items() for x in kv]).cast("map<string,string>")
+    shape = footprint_box(f["geometry"])
+    box = [F.coalesce(F.when(F.size(f["bbox"]) == 4, F.get(f["bbox"], F.lit(k))), shape[c]).alias(c) for k, c in enumerate(BOX)]
+    return features.select(
+        f["id"].alias("id"), f["id"].alias("product_id"), f["id"].alias("name"), F.coalesce(f["properties"]["datetime"], F.lit("")).alias("date"),
+        F.lit(None).cast("double").alias("size_mb"), F.coalesce(f["properties"]["eo:cloud_cover"], F.lit(NO_COVER)).alias("cloud_cover"), F.lit(True).alias("online"),
+        F.lit(None).cast("string").alias("product_type"), F.coalesce(F.element_at(names, F.lower(f["collection"])), F.upper(f["collection"])).alias("collection"),
+        *box, F.transform_values(f["assets"], lambda _, a: a["href"]).alias("assets"),
+    )
+
+
+def product_assets(products: DataFrame, bands: list[str]) -> DataFrame:
+    """(product_id, band, href) of each wanted band that a product of the open archive offers."""
+    wanted = products.select("product_id", "assets", F.explode(F.array(*map(F.lit, bands))).alias("band"))
+    return wanted.select("product_id", "band", F.element_at("assets", asset_key("band")).alias("href")).filter("href IS NOT NULL")
 
 
-def src_products(spark: SparkSession, path: str) -> DataFrame:
-    return decode_products(spark.read.text(path))
+def src_products(spark: SparkSession, path: str, stac: bool = False, missions: dict[str, str] | None = None) -> DataFrame:
+    """A product listing, one JSON document a line: of the upstream catalogue, or with ``stac`` of the open archive."""
+    lines = spark.read.text(path)
+    return decode_stac_products(lines, missions) if stac else decode_products(lines)
 
 
 def decode_audit(lines: DataFrame) -> DataFrame:

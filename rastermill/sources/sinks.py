@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rastermill.functions.times import moment
 from rastermill.plans.ordered import running_sum
 from rastermill.plans.pick import first_per_key, last_per_key
+from rastermill.session import pin
+from rastermill.sources.folders import folder_exists, folder_names, remove_folder
 
 GIB = 1024**3
 LICENCE = "EUPL-1.2"  # fixed value: licence of a collection that names none
@@ -74,6 +77,25 @@ def sink_storage_limit(
     return totals.filter(F.col("_running") + used <= limit_bytes).drop("_running")
 
 
+def sink_retention(spark: SparkSession, path: str, now: str, retain_days: int = 90, day: str = "day") -> None:
+    """Drop the rows of a log older than ``retain_days``, in place; the log is stored in one folder per ``day`` of its ``ts``.
+
+    Folders of expired days go as a whole, and the day that the border cuts is rewritten. Other days are neither read nor
+    touched, so the work follows what expires. Repeating it changes nothing more.
+    """
+    border = spark.range(1).select(moment(now, retain_days * 24)).first()[0]
+    cut = str(border.date())
+    for name in folder_names(spark, path):
+        if name.startswith(f"{day}=") and name.removeprefix(f"{day}=") < cut:
+            remove_folder(spark, f"{path}/{name}")
+    if folder_exists(spark, f"{path}/{day}={cut}"):
+        split = pin(spark.read.parquet(f"{path}/{day}={cut}").filter(F.col("ts") >= moment(now, retain_days * 24)).withColumn(day, F.lit(cut)))
+        if split.isEmpty():
+            remove_folder(spark, f"{path}/{day}={cut}")
+        else:
+            split.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
 def sink_volume_gate(store: DataFrame, incoming: DataFrame, max_gb: float) -> DataFrame:
     """All of ``incoming`` while the store is below ``max_gb``, nothing once it is not."""
     used_gb = store.agg((F.coalesce(F.sum("bytes"), F.lit(0)) / F.lit(GIB)).alias("gb")).scalar()

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from rastermill.operators.chunks import missing_chunks
 from rastermill.plans.pick import last_per_key
 from rastermill.sources.sinks import content_hash, sink_chunks_put, write_chunks
-from rastermill.streaming.run import folders, remove_folder
+from rastermill.sources.folders import folder_names, remove_folder
 
 
 def _start(stream: DataFrame, apply, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -47,7 +47,7 @@ def st_heartbeat_registry(stream: DataFrame, target: str, checkpoint: str, avail
 
 
 def _numbers(spark: SparkSession, target: str, kind: str) -> list[int]:
-    return [int(name.split("=")[1]) for name in folders(spark, target) if name.startswith(f"{kind}=")]
+    return [int(name.split("=")[1]) for name in folder_names(spark, target, finished=True) if name.startswith(f"{kind}=")]
 
 
 def _registry(spark: SparkSession, target: str, schema: StructType | None, upto: int | None = None) -> DataFrame:

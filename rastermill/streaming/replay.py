@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rastermill.streaming.run import remove_folder
+from rastermill.sources.folders import folder_exists, remove_folder
 
 Step = Callable[[list[int], dict[str, np.ndarray]], dict[str, np.ndarray]]
 
@@ -88,7 +88,7 @@ def replay_stream(
         spark = batch.sparkSession
         before = f"{target}/batch={batch_id - 1}/kind=state"
         kind = batch.schema[key].dataType.simpleString()
-        states = spark.read.schema(f"`{key}` {kind}, state array<bigint>").parquet(before) if batch_id and _exists(spark, before) else None
+        states = spark.read.schema(f"`{key}` {kind}, state array<bigint>").parquet(before) if batch_id and folder_exists(spark, before) else None
         top = batch.agg(F.max(newest)).first()[0] if newest else None
         done = replayed(batch, states, key, order, read, step, out, None if top is None else top - span)
         done.write.mode("overwrite").partitionBy("kind").parquet(f"{target}/batch={batch_id}")
@@ -99,11 +99,6 @@ def replay_stream(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def read_replayed(spark: SparkSession, target: str, schema: str) -> DataFrame:
     """All rows that ``replay_stream`` made; ``schema`` is that of its key and results."""
     names = [part.split()[0].strip("`") for part in schema.split(",")]

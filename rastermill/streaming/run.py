@@ -47,23 +47,6 @@ def timed(stream: DataFrame, watermark: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
 
 
-def folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the finished folders below ``path``."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(conf)
-    if not files.exists(where):
-        return []
-    found = [f.getPath() for f in files.listStatus(where) if f.isDirectory()]
-    return [f.getName() for f in found if files.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
-
-
-def remove_folder(spark: SparkSession, path: str) -> None:
-    """Take away a folder that later batches no longer read."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def in_batches(rows: DataFrame, order: str, batches: int) -> DataFrame:
     """A stored table as a stream of ``batches`` micro-batches, cut at equal shares of ``order``."""
     spark, folder = rows.sparkSession, work_folder(rows.sparkSession)

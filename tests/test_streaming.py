@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rastermill.operators import flow
+from rastermill.sources.folders import folder_names
 from rastermill.sources.sinks import content_hash
 from rastermill.streaming import merges, replay, run, stateful, windows
 
@@ -157,7 +158,7 @@ def test_registry_writes_what_a_batch_changes(spark, tmp_path):
     stream = as_stream(spark, df, str(tmp_path / "in"), parts=34, order="ts")
     target = str(tmp_path / "nodes")
     run.finish(merges.st_heartbeat_registry(stream, target, str(tmp_path / "progress"), available_now=True, snapshot_every=8))
-    names = sorted(run.folders(spark, target))
+    names = folder_names(spark, target, finished=True)
     # two snapshots are kept, and the deltas that the older one does not hold
     assert [n for n in names if n.startswith("snapshot")] == ["snapshot=23", "snapshot=31"]
     deltas = sorted(int(n.split("=")[1]) for n in names if n.startswith("delta"))
