@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rastermill.llm.frames import dealt_pairs, linked_groups, meetings, merge_labels, whole_tasks
@@ -61,13 +61,21 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return scaled / np.maximum(np.sqrt((scaled * scaled).sum(1, keepdims=True)), 1e-300)
 
 
+def _by_size(whole: pa.Table) -> Iterator[pa.Table]:
+    sizes = whole.column("size").to_numpy()
+    for size in np.unique(sizes):
+        yield whole.filter(pa.array(sizes == size))
+
+
 def near_duplicate_vectors(
     tiles: DataFrame, id: str = "id", vector: str = "pixels", label: str = "band", least: float = 0.98, radius: int = 16, most: int = 1024
 ) -> DataFrame:
     """``(id, n_links, component_id, kept)`` per tile: tiles of one band whose pixel vectors have cosine ``least`` or more.
 
-    Equal vectors of a band are one class. A rotation for balanced sign codes is
-    learned on at most ``SAMPLE`` classes; every class gets a 64-bit code. Codes
+    Equal vectors of a band are one class. For each length of vectors, of which
+    there are few, a rotation for balanced sign codes is learned on at most
+    ``SAMPLE`` classes, those with the smallest hashes; every class gets a 64-bit
+    code. Vectors of different lengths have no cosine and never meet. Codes
     are filed by every pair of their eight bytes, so codes that agree in two
     bytes meet (any with up to six differing bits, most with more). Pairs within
     ``radius`` bits are compared by cosine in double precision, in the first table
@@ -76,7 +84,7 @@ def near_duplicate_vectors(
 
     Links are approximate in one direction: none is false, and few are missed
     (recall is tested). ``component_id`` is the smallest id reachable, itself
-    included. Vectors that are null, zero, of another length than the most common one, or hold
+    included; ids may be of any type that has an order. Vectors that are null, zero, or hold
     null or non-finite numbers link with nothing, as do rows without a label or
     id. Repeated rows count like other rows; rows of one id are one node. Other
     columns are ignored, whatever their names. An empty table gives an empty result.
@@ -86,42 +94,54 @@ def near_duplicate_vectors(
     rows = rows.withColumn("k1", F.xxhash64("_label", "_vector")).withColumn("k2", F.xxhash64(F.lit(1), "_vector", "_label"))
     valid = rows.filter("_id IS NOT NULL AND _label IS NOT NULL AND _vector IS NOT NULL")
     classes = pin(valid.groupBy("k1", "k2", "_label").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("n"), F.first("_vector").alias("_vector")))
-    common = classes.groupBy(F.size("_vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "size").first()
-    size, total = (common.size, common.n) if common else (0, 0)
-    share = min(1.0, 2 * SAMPLE / total) if total else 0.0
-    drawn = classes.filter(F.shiftrightunsigned("k1", 11) < F.lit(int(share * 2**53))).select("_vector").limit(SAMPLE)
-    matrix, right = _matrix(pa.array([r._vector for r in drawn.collect()], pa.list_(pa.float64())), size)
-    mean, projection = learn_rotation(_unit(matrix[right])) if size else (None, None)
+    size = F.size("_vector")
+    lengths = {r.size: r.n for r in classes.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n")).filter("size > 0").collect()}
+    smallest = Window.partitionBy("size").orderBy("k1", "k2")
+    shares = F.create_map(*[F.lit(x) for k, n in lengths.items() for x in (k, int(min(1.0, 2 * SAMPLE / n) * 2**53))]).cast("map<int,bigint>")
+    drawn = classes.select("k1", "k2", "_vector", size.alias("size")).filter(F.shiftrightunsigned("k1", 11) < F.element_at(shares, F.col("size")))
+    drawn = drawn.withColumn("nth", F.row_number().over(smallest)).filter(F.col("nth") <= SAMPLE).orderBy("size", "nth")
+    samples: dict[int, list] = {k: [] for k in lengths}
+    for r in drawn.select("size", "_vector").collect() if lengths else []:
+        samples[r.size].append(r._vector)
+    learned = {}
+    for k, sample in samples.items():
+        matrix, right = _matrix(pa.array(sample, pa.list_(pa.float64())), k)
+        # a single class meets no other, and needs no code
+        learned[k] = learn_rotation(_unit(matrix[right])) if lengths[k] > 1 else (np.zeros(k), np.zeros((k, BITS)))
 
     kind = classes.schema["_id"].dataType.simpleString()
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows or not size:
-                continue
-            matrix, right = _matrix(batch.column("_vector"), size)
-            rows = pa.array(np.flatnonzero(right))
-            unit = _unit(matrix[right])
-            out = [batch.column(c).take(rows) for c in ("k1", "k2", "_label", "_id", "n")]
-            code = codes(unit, mean, projection).view(np.int64) if len(unit) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*out, pa.array(code), pa.array([u.tobytes() for u in unit], pa.binary())], names=["k1", "k2", "_label", "_id", "n", "code", "unit"]
-            )
-
-    filed = pin(classes.mapInArrow(coded, f"k1 bigint, k2 bigint, _label string, _id {kind}, n bigint, code bigint, unit binary"))
+            sizes = np.array([-1 if v is None else v for v in batch.column("_vector").value_lengths().to_pylist()], np.int64)
+            for k in np.unique(sizes):
+                if int(k) not in learned:
+                    continue
+                part = batch.take(pa.array(np.flatnonzero(sizes == k)))
+                matrix, right = _matrix(part.column("_vector"), int(k))
+                unit = _unit(matrix[right])
+                out = [part.column(c).take(pa.array(np.flatnonzero(right))) for c in ("k1", "k2", "_label", "_id", "n")]
+                code = codes(unit, *learned[int(k)]).view(np.int64) if len(unit) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*out, pa.array(np.full(len(unit), k, np.int32)), pa.array(code), pa.array([u.tobytes() for u in unit], pa.binary())],
+                    names=["k1", "k2", "_label", "_id", "n", "size", "code", "unit"],
+                )
+
+    filed = pin(classes.mapInArrow(coded, f"k1 bigint, k2 bigint, _label string, _id {kind}, n bigint, size int, code bigint, unit binary"))
     byte = lambda b: F.shiftrightunsigned("code", 8 * (BLOCKS - 1 - b)).bitwiseAND(255)
     tables = F.array(*(F.struct(F.lit(t).alias("t"), (byte(a) * 256 + byte(b)).alias("bucket")) for t, (a, b) in enumerate(TABLES)))
-    entries = filed.select("k1", "k2", "_label", F.explode(tables).alias("e")).select("k1", "k2", "_label", "e.*")
-    bucket = ["_label", "t", "bucket"]
+    entries = filed.select("k1", "k2", "_label", "size", F.explode(tables).alias("e")).select("k1", "k2", "_label", "size", "e.*")
+    bucket = ["_label", "size", "t", "bucket"]
     counts = pin(entries.groupBy(*bucket).agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
     dealt = dealt_pairs(entries.join(counts, bucket), bucket, "m", F.col("k2"), most)
-    units = filed.select("k1", "k2", F.col("_id").cast("bigint").alias("_id"), "n", "code", "unit")
+    units = filed.select("k1", "k2", "_id", "n", "size", "code", "unit")
     tasks = dealt.select("task", "side", "t", "k1", "k2").join(units, ["k1", "k2"]).repartition("task").sortWithinPartitions("task")
     pairs = np.array(TABLES)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_tasks(batches):
-            task, side, table, k1, k2, ids, n, code = (part.column(c).to_numpy() for c in ("task", "side", "t", "k1", "k2", "_id", "n", "code"))
+        for part in (same for whole in whole_tasks(batches) for same in _by_size(whole)):
+            task, side, table, k1, k2, n, code = (part.column(c).to_numpy() for c in ("task", "side", "t", "k1", "k2", "n", "code"))
+            ids, size = part.column("_id").combine_chunks(), part.column("size")[0].as_py()
             unit = np.frombuffer(b"".join(part.column("unit").to_pylist()), np.float64).reshape(len(task), size)
             code = code.astype(np.int64).view(np.uint64)
             first, second = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
@@ -145,10 +165,10 @@ def near_duplicate_vectors(
                 np.add.at(links, b, n[a])
                 labels = merge_labels(labels, a, b)
             on = np.flatnonzero(links)
-            out = [k1[on], k2[on], links[on], ids[on], ids[labels[on]]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["k1", "k2", "links", "u", "v"])
+            out = [pa.array(k1[on]), pa.array(k2[on]), pa.array(links[on]), ids.take(pa.array(on)), ids.take(pa.array(labels[on]))]
+            yield pa.RecordBatch.from_arrays(out, names=["k1", "k2", "links", "u", "v"])
 
-    found = pin(tasks.mapInArrow(compare, "k1 bigint, k2 bigint, links bigint, u bigint, v bigint"))
+    found = pin(tasks.mapInArrow(compare, f"k1 bigint, k2 bigint, links bigint, u {kind}, v {kind}"))
     linked = found.groupBy("k1", "k2").agg(F.sum("links").alias("links"))
     groups = linked_groups(found.select("u", "v"))
     known = filed.select("k1", "k2", "n", F.col("_id").alias("_class")).join(linked, ["k1", "k2"], "left")

@@ -165,3 +165,36 @@ def test_short_vectors(spark):
     rows = [(k, [float(x) for x in v], 1) for k, v in enumerate(vectors(2, 60, 10))]
     got = itq.near_duplicate_vectors(spark.createDataFrame(rows, "id bigint, pixels array<float>, band int")).collect()
     assert sum(r.n_links for r in got) >= 0.9 * 2 * len(slow_vectors(rows))
+
+
+def test_vectors_of_several_lengths_and_text_ids(spark):
+    """Each length links within itself; ids are those of catalogue items."""
+    rows, n = [], 0
+    for size, seed in ((64, 3), (16, 4), (5, 5)):
+        for v in vectors(seed, 80, size):
+            rows.append((f"S2_T32_B04_{n:04d}", [float(x) for x in v], 1))
+            n += 1
+    rows += [("S2_alone", [1.0] * 7, 1), ("S2_empty", [], 1), ("S2_empty2", [], 1)]
+    found = {r.id: r for r in itq.near_duplicate_vectors(spark.createDataFrame(rows, "id string, pixels array<float>, band int"), most=16).collect()}
+    links = []
+    for size in (64, 16, 5):
+        own = [r for r in rows if len(r[1]) == size]
+        links += [(own[a][0], own[b][0]) for a, b in slow_vectors([(k, v, y) for k, (_, v, y) in enumerate(own)])]
+        of_size = {r[0] for r in own}
+        expected = sum(a in of_size for a, _ in links) * 2
+        assert 0.9 * expected <= sum(found[i].n_links for i in of_size) <= expected
+    assert found["S2_alone"].n_links == found["S2_empty"].n_links == found["S2_empty2"].n_links == 0
+    assert all(found[i].component_id <= i and found[i].kept == (found[i].component_id == i) for i in found)
+
+
+def test_three_equal_vectors_of_a_rare_length(spark):
+    rows = [(k, [float(x) for x in v], 1) for k, v in enumerate(vectors(6, 40, 16))]
+    rows += [(1000 + k, [0.5] * 64, 1) for k in range(3)]
+    found = {r.id: r for r in itq.near_duplicate_vectors(spark.createDataFrame(rows, "id bigint, pixels array<float>, band int")).collect()}
+    assert [(found[k].n_links, found[k].component_id) for k in (1000, 1001, 1002)] == [(2, 1000)] * 3
+
+
+def test_very_long_vectors(spark):
+    rows = [(k, [float(x) for x in v], 1) for k, v in enumerate(vectors(7, 12, 5000))]
+    found = itq.near_duplicate_vectors(spark.createDataFrame(rows, "id bigint, pixels array<float>, band int")).collect()
+    assert sum(r.n_links for r in found) >= 0.9 * 2 * len(slow_vectors(rows))
