@@ -44,8 +44,10 @@ def test_mix(spark, catalogue):
     for r in got:
         assert r.source_size == sizes[r.collection] and r.target == pytest.approx(targets[r.collection], rel=1e-9)
     assert sum(targets.values()) == pytest.approx(sum(sizes.values()))
-    for c in sizes:  # within one item, the one that is rounded last
-        assert abs(taken[c] - targets[c]) <= largest[c]
+    for c in sizes:  # within half an item, the one that is rounded last: a small one, unless an item outweighs the others
+        assert abs(taken[c] - targets[c]) <= largest[c] / 2
+        if 10 * largest[c] <= targets[c]:
+            assert abs(taken[c] - targets[c]) <= 0.005 * targets[c]
     again = mixing.mix_collections(frame(spark, catalogue[::-1]).repartition(5)).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, again))
 
@@ -61,6 +63,20 @@ def test_rounding_has_no_bias(spark):
     assert sum(total[:150]) / 12 / 150 == pytest.approx(sum(r[2] for r in rows) / 3 / sum(r[2] for r in rows[:150]), rel=0.03)
 
 
+def test_large_items_and_repeated_rows(spark):
+    """One item as large as all others, and rows alike in everything: a group holds no more than its share of them."""
+    r = random.Random(5)
+    rows = [(k, "a", 1 + r.randrange(30)) for k in range(900)] + [(900, "a", 14_000)]
+    rows += [(None, "b", 7)] * 700 + [(k, "b", 1 + k % 90) for k in range(1000, 1300)] + [(2000 + k, "c", n) for k, n in enumerate((900, 300, 200, 150, 90, 40, 20, 9))]
+    got = mixing.mix_collections(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and sum(x.id is None for x in got) == 700
+    for c, near in (("a", 5), ("b", 5), ("c", 60)):
+        own = [x for x in got if x.collection == c]
+        assert abs(sum(x.taken for x in own) - own[0].target) <= near
+    alike = [x.copies for x in got if x.id is None]
+    assert max(alike) - min(alike) <= 1
+
+
 def test_empty_table(spark):
     assert mixing.mix_collections(frame(spark, [])).collect() == []
 
