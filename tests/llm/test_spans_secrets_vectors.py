@@ -125,6 +125,34 @@ def test_secrets(items, prose):
     assert not any(random_spans[k] for k in (*range(100), 300))
 
 
+def test_drawn_strings_of_several_alphabets(items, prose):
+    """The models alone tell drawn strings from ids, paths, hashes within paths and long words; 0.9 or more of each kind are found."""
+    r = random.Random(8)
+    large, small, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    ordinary = [f"S2A_MSIL2A_2024{m:02d}{d:02d}T101031_N0510_R{d:03d}_T32TQM tiles/chunks/{d:02x}/B0{1 + d % 9}.npy interoperability" for m in range(1, 13) for d in range(1, 28)]
+    rows = [(k, f"{prose(k, 40)} {t} token = {''.join(r.choices(large + small + digits, k=24))}") for k, t in enumerate(ordinary)]
+    model = markov.train(items(rows, "detail"))
+    for alphabet in (large + small + digits, large + small + digits + "+/", large + "234567", small + digits, large + small, small):
+        for length in (12, 20, 40):
+            drawn = ["".join(r.choices(alphabet, k=length)) for _ in range(200)]
+            hits = sum(markov.secret_spans(f"see {w} there", model, 10.0) == [(4, 4 + length, "random")] for w in drawn)
+            assert hits >= 0.9 * len(drawn), (alphabet, length, hits)
+    assert not [s for t in ordinary for s in markov.secret_spans(t, model, 10.0)]
+
+
+def test_runs_beside_fixed_patterns():
+    """The sweep over runs and fixed patterns equals a comparison of all with all."""
+    model = np.ones((markov.SYMBOLS, markov.SYMBOLS))
+    r = random.Random(9)
+    parts = [*SECRETS[2:], "aB3dE5gH7jK9mN1p", "x" * 30, "deadbeef" * 5, "a/b=c", "é" * 14, "-" * 12]
+    for _ in range(60):
+        text = r.choice(["", " "]).join(r.choices(parts, k=r.randrange(30)))
+        base = slow_base(text)
+        runs = [(m.start(), m.end(), "random") for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", text)]
+        free = [x for x in runs if not any(a < x[1] and x[0] < b for a, b, _ in base)]
+        assert markov.secret_spans(text, model, 10.0) == sorted(base + free, key=lambda s: (s[0], markov.KINDS.index(s[2])))
+
+
 def vectors(seed, groups, size=64):
     r = np.random.default_rng(seed)
     rows = []
