@@ -53,7 +53,7 @@ def _samples(text: str) -> tuple[list[str], list[str]]:
     """Random strings and ordinary identifiers of a text, labelled by the fixed patterns."""
     spans = base_spans(text)
     random = [m[1] for m in ASSIGN.finditer(text) if len(m[1]) >= 16 and any(c.isdigit() for c in m[1])] + [text[a:b] for a, b, k in spans if k == "access"]
-    return random, [m[0] for m in _outside(text, spans, IDENTIFIER)]
+    return random, [m[0] for m in _outside(text, spans, IDENTIFIER)] if spans else IDENTIFIER.findall(text)
 
 
 def train(entries: DataFrame, text: str = "detail", prior: float = 0.5) -> np.ndarray:
