@@ -1,8 +1,9 @@
-"""Removal of passages that repeat across texts, by runs of words."""
+"""Removal of passages that repeat across texts, by sliding runs of several sentences."""
 
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +13,15 @@ from pyspark.sql import functions as F
 
 from rastermill.llm.frames import map_rows
 from rastermill.plans.ordered import global_row_number
-from rastermill.session import pin
+from rastermill.session import pin, shared_folder
 
 # behind the blanks that follow a sentence mark with its closing quotes and brackets, and behind line ends
-_END = re.compile(r"""(?<=\n)|[.!?]["'\u00bb\u201d\u2019)\]}]*[ \t]+(?=\S)""")
+_END = re.compile(r"""(?<=\n)|[.!?]["'»”’)\]}]*[ \t]+(?=\S)""")
 _WORD = re.compile(r"\S+")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_BASES = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 _PLACE = 28  # bits of a place in a text
+_LONG = 12  # words of a sentence beyond which it is cut into clauses
+_NEAR = 3  # words on either side that a cut inside a clause is the least of
 
 
 def sentences(text: str) -> list[str]:
@@ -27,52 +30,78 @@ def sentences(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(edges, edges[1:]) if a < b]
 
 
-def word_hashes(text: str) -> np.ndarray:
+def word_hashes(words: list[str]) -> np.ndarray:
     """A 64-bit hash per word, without regard to case."""
     digest = xxhash.xxh3_64_intdigest
-    return np.array([digest(w.encode("utf-8", "surrogatepass")) for w in text.lower().split()], np.uint64)
+    return np.array([digest(w.lower().encode("utf-8", "surrogatepass")) for w in words], np.uint64)
 
 
-def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
-    """A hash of every run of ``length`` words."""
-    n = len(words) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    found = np.zeros(n, np.uint64)
-    for k in range(length):
-        found = found * _MIX + words[k : k + n]
+def clause_starts(words: list[str], hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Numbers of the words that sentences, or clauses of long ones, begin with; ``first`` are those of sentences.
+
+    Sentences of more than 12 words are cut behind commas, colons and
+    semicolons, and what is still long behind words that are one of the three
+    before again, or whose hash is less than those of the three on either side:
+    cuts hang on near words only, so a passage has the same ones wherever it begins and ends.
+    """
+    n = len(words)
+
+    def long(edges: np.ndarray) -> np.ndarray:
+        size = np.diff(np.append(edges, n))
+        return np.repeat(size > _LONG, size)
+
+    marks = 1 + np.array([k for k, w in enumerate(words) if w[-1] in ",;:"], np.int64)
+    marks = marks[marks < n]
+    edges = np.union1d(first, marks[long(first)[marks - 1]])
+    wide = np.concatenate([np.zeros(_NEAR, np.uint64), hashes, np.zeros(_NEAR, np.uint64)])
+    least, again = np.ones(n, bool), np.zeros(n, bool)
+    for k in range(1, _NEAR + 1):
+        before = wide[_NEAR - k : n + _NEAR - k]
+        least &= (hashes < before) & (hashes < wide[_NEAR + k : n + _NEAR + k])
+        again |= hashes == before
+    cuts = 1 + np.flatnonzero((least | again) & long(edges))
+    return np.union1d(edges, cuts[cuts < n])
+
+
+def sentence_runs(starts: np.ndarray, n: int, several: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(from, to)`` in words: the shortest runs that begin or end at each clause, of ``several`` clauses and ``least`` words."""
+    edges = np.append(starts, n)
+    count = len(starts)
+    at = np.arange(count + 1)
+    ahead = np.maximum(at + several, np.searchsorted(edges, edges + least))
+    back = np.minimum(at - several, np.searchsorted(edges, edges - least, "right") - 1)
+    a = np.concatenate([at[ahead <= count], back[back >= 0]])
+    b = np.concatenate([ahead[ahead <= count], at[back >= 0]])
+    pairs = np.unique(a * (count + 1) + b)
+    return edges[pairs // (count + 1)], edges[pairs % (count + 1)]
+
+
+def run_hashes(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, base: int) -> np.ndarray:
+    """A 64-bit hash of each run of words from ``a`` to ``b``: differences of prefix sums, moved to one place."""
+    up = np.multiply.accumulate(np.full(len(hashes), base, np.uint64))
+    down = np.multiply.accumulate(np.full(len(hashes), pow(base, -1, 1 << 64), np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(hashes * up)])
+    found = (sums[b] - sums[a]) * down[a]
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         found = (found ^ (found >> np.uint64(shift))) * np.uint64(factor)
     return found ^ (found >> np.uint64(31))
 
 
-def seeds(words: np.ndarray, least: int) -> np.ndarray:
-    """For every run of ``least`` words, the smallest hash of its runs of half as many: equal runs have equal seeds."""
-    short = max(least // 2, 1)
-    found = run_hashes(words, short)
-    width = least - short + 1
-    if len(found) < width:
-        return np.zeros(0, np.int64)
-    low, step = found, 1
-    while step < width:  # minima over twice as many runs each time
-        ahead = min(step, width - step)
-        low, step = np.minimum(low[:-ahead], low[ahead:]), step + ahead
-    return low.view(np.int64)
-
-
-def remove_repeated_passages(items: DataFrame, id: str = "id", text: str = "description", least: int = 40) -> DataFrame:
+def remove_repeated_passages(items: DataFrame, id: str = "id", text: str = "description", several: int = 3, least: int = 25) -> DataFrame:
     """``(id, text, n_sentences, n_removed)``: collection descriptions without passages that stand elsewhere before.
 
-    Of all equal runs of ``least`` words, without regard to case and blanks, the
-    first stays, by id (null last), then place; the words that the others cover go
-    with the blanks behind them. So a repeated stretch of ``least`` words or more
-    is found whole wherever it begins and ends, also inside sentences, and
-    shorter repeats (a licence line, a title) stay. ``n_removed`` counts sentences
-    of which no word is left.
+    Every shortest run of ``several`` consecutive sentences with ``least`` words
+    or more is hashed (one that begins and one that ends at each sentence) and
+    joined over all texts, without regard to case and blanks. Of equal runs the
+    first stays, by id (null last), then place; the sentences that the others
+    cover go with the blanks behind them. Of a sentence of more than 12 words
+    each clause counts as one (see ``clause_starts``), so that passages that begin
+    and end inside sentences, or have few of them, are found too; their edges, up
+    to the first and from the last whole clause, stay, as do shorter repeats
+    (a licence line, a title). ``n_removed`` counts sentences of which no word is left.
 
-    Runs are not all moved: of the half as long runs in each the one with the
-    smallest hash is its seed. Seeds are counted first, a row per seed and
-    document, and only runs whose seed occurs more than once are joined.
+    Runs have 96 bits of hash. They are written once to the shared folder; those
+    that occur again are chosen by counts that combine before the shuffle.
 
     A null or empty text stays as it is. Rows with one id and text are one
     document with one result, a row each. Other columns are ignored, whatever
@@ -81,41 +110,39 @@ def remove_repeated_passages(items: DataFrame, id: str = "id", text: str = "desc
     source = items.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text")).withColumn("_key", F.xxhash64("_id", "_text"))
     kind = source.schema["_id"].dataType.simpleString()
 
-    def seeded(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, codes, times = [], [], []
+    def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, codes, checks, places, sizes = ([np.zeros(0, np.int64)] for _ in range(5))
         for key, value in zip(batch.column("_key").to_pylist(), batch.column("_text")):
-            words = word_hashes(value.as_py() or "")
-            code = np.unique(seeds(words, least))
-            runs, n = np.unique(run_hashes(words, max(least // 2, 1)).view(np.int64), return_counts=True)
-            codes.append(code)
-            times.append(n[np.searchsorted(runs, code)])
-            keys.append(np.full(len(code), key, np.int64))
-        columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in (keys, codes, times)]
-        return pa.RecordBatch.from_arrays(columns, names=["_key", "seed", "times"])
-
-    starts = map_rows(source, seeded, "_key bigint, seed bigint, times bigint")
-    # rows of one document have one key, and are no repeats of each other
-    often = starts.groupBy("seed").agg(F.min("_key").alias("a"), F.max("_key").alias("b"), F.max("times").alias("n")).filter("a <> b OR n > 1")
-    often = pin(often.select("seed"))
-    known = starts.select("_key", "seed").join(often, "seed").groupBy("_key").agg(F.collect_set("seed").alias("_seeds"))
+            value = value.as_py() or ""
+            words = value.split()
+            if len(words) < least:
+                continue
+            hashes = word_hashes(words)
+            first = np.unique(np.cumsum([0, *(len(part.split()) for part in sentences(value))]))
+            a, b = sentence_runs(clause_starts(words, hashes, first[first < len(words)]), len(words), several, least)
+            keys.append(np.full(len(a), key, np.int64))
+            codes.append(run_hashes(hashes, a, b, _BASES[0]).view(np.int64))
+            checks.append((run_hashes(hashes, a, b, _BASES[1]) >> np.uint64(32)).astype(np.int64))
+            places.append(a)
+            sizes.append(b - a)
+        columns = [pa.array(np.concatenate(x)) for x in (keys, codes, checks, places, sizes)]
+        return pa.RecordBatch.from_arrays([*columns[:2], *(c.cast(t) for c, t in zip(columns[2:], (pa.int64(), pa.int32(), pa.int32())))], names=["_key", "code", "check", "at", "size"])
+
+    folder = f"{shared_folder(items.sparkSession, 'spans')}/runs-{uuid.uuid4().hex}"
+    map_rows(source, hashed, "_key bigint, code bigint, check bigint, at int, size int").write.parquet(folder)
+    runs = items.sparkSession.read.parquet(folder)
+    same = ["code", "check"]
+    # rows of one document have one key and the same places, and are no repeats of each other
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("_key", "at") for f in (F.min, F.max)]
+    often = runs.groupBy(*same).agg(*ends).filter("min__key <> max__key OR min_at <> max_at").select(*same)
     # documents in order get numbers, so that a place is one number and minima combine before the shuffle
     ranked = source.select("_id", "_key").distinct()
     ranked = global_row_number(ranked, [F.col("_id").asc_nulls_last(), F.col("_key").asc()], "_nth").select("_key", "_nth")
-    hot = pin(source.join(known, "_key").groupBy("_key").agg(F.first("_text").alias("_text"), F.first("_seeds").alias("_seeds")).join(ranked, "_key"))
-
-    def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codes, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for value, nth, repeated in zip(batch.column("_text"), batch.column("_nth").to_pylist(), batch.column("_seeds")):
-            words = word_hashes(value.as_py() or "")
-            at = np.flatnonzero(np.isin(seeds(words, least), repeated.values.to_numpy()))
-            codes.append(run_hashes(words, least).view(np.int64)[at])
-            places.append((nth << _PLACE) + at)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes)), pa.array(np.concatenate(places))], names=["code", "place"])
-
-    spans = map_rows(hot, hashed, "code bigint, place bigint")
-    repeated = pin(spans.groupBy("code").agg(F.min("place").alias("least"), F.max("place").alias("most")).filter("least <> most").select("code", "least"))
-    again = spans.join(repeated, "code").filter("place <> least").select(F.shiftright("place", _PLACE).alias("_nth"), F.col("place").bitwiseAND((1 << _PLACE) - 1).cast("int").alias("at"))
-    covered = again.groupBy("_nth").agg(F.collect_list("at").alias("_spans")).join(hot.select("_nth", "_key"), "_nth").drop("_nth")
+    place = F.shiftleft("_nth", _PLACE).bitwiseOR(F.col("at").cast("bigint")).alias("place")
+    spans = pin(runs.join(often, same).join(ranked, "_key").select(*same, "_key", place, "at", "size").distinct())
+    first = spans.groupBy(*same).agg(F.min("place").alias("least"))
+    again = spans.join(first, same).filter("place <> least")
+    covered = again.groupBy("_key").agg(F.collect_list(F.struct("at", "size")).alias("_spans"))
     joined = source.join(covered, "_key", "left").select("_id", "_text", "_spans")
 
     def cleaned(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -128,11 +155,11 @@ def remove_repeated_passages(items: DataFrame, id: str = "id", text: str = "desc
                 texts.append(value)
                 removed.append(0)
                 continue
-            at = found.values.to_numpy()
+            at, size = (found.values.field(name).to_numpy() for name in ("at", "size"))
             begins = [m.start() for m in _WORD.finditer(value)]
             change = np.zeros(len(begins) + 1, np.int64)
             np.add.at(change, at, 1)
-            np.add.at(change, at + least, -1)
+            np.add.at(change, at + size, -1)
             stays = np.cumsum(change)[:-1] == 0
             edges = [*begins, len(value)]
             texts.append(value[: begins[0]] + "".join(value[a:b] for a, b, s in zip(edges, edges[1:], stays.tolist()) if s))

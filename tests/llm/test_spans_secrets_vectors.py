@@ -2,35 +2,56 @@ import random
 import re
 
 import numpy as np
+import xxhash
 
 from rastermill.llm import itq, markov, spans
 from tests.llm.conftest import components
 
 
-def slow_clean(rows, least):
-    """Every shortest run that begins or ends at a sentence, compared as text."""
-    parts = [spans.sentences(t or "") for _, t in rows]
-    seen, found = {}, []
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
-    for k in order:
-        words = [p.lower().split() for p in parts[k]]
-        for i in range(len(words)):
-            for ends in (range(i, len(words)), range(i, -1, -1)):
+def slow_clauses(text):
+    """Sentences as lists of words; of long ones their clauses, word by word."""
+    low = text.lower().split()
+    code = [xxhash.xxh3_64_intdigest(w.encode()) for w in low]
+    out, n = [], 0
+    for part in spans.sentences(text):
+        pieces = [[]]
+        size = len(part.split())
+        for k in range(n, n + size):
+            pieces[-1].append(k)
+            if size > 12 and low[k][-1] in ",;:":
+                pieces.append([])
+        for piece in pieces:
+            cut = [[]]
+            for k in piece:
+                cut[-1].append(k)
+                sides = [code[j] if 0 <= j < len(code) else 0 for j in (k - 3, k - 2, k - 1, k + 1, k + 2, k + 3)]
+                if len(piece) > 12 and (code[k] < min(sides) or code[k] in sides[:3]):
+                    cut.append([])
+            out += [[low[k] for k in c] for c in cut if c]
+        n += size
+    return out
+
+
+def slow_clean(rows, several, least):
+    """Every shortest run that begins or ends at a clause, compared as text; words that others than the first cover go."""
+    seen, out = set(), []
+    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        words = slow_clauses(text or "")
+        runs = set()
+        for k in range(len(words)):
+            for ends in (range(k + several, len(words) + 1), range(k + 1 - several, -1, -1)):
                 for j in ends:
-                    a, b = min(i, j), max(i, j)
-                    if sum(map(len, words[a : b + 1])) >= least:
-                        if words[a] and words[b]:
-                            found.append((tuple(map(tuple, words[a : b + 1])), k, a, b))
+                    a, b = (k, j) if j > k else (j, k + 1)
+                    if sum(map(len, words[a:b])) >= least:
+                        runs.add((a, b))
                         break
-    for code, k, a, _ in found:
-        first = seen.get(code)
-        if first is None or (order.index(k), a) < first:
-            seen[code] = (order.index(k), a)
-    gone = {(k, s) for code, k, a, b in found if seen[code] != (order.index(k), a) for s in range(a, b + 1)}
-    return [
-        (i, "".join(p for s, p in enumerate(parts[k]) if (k, s) not in gone) if t is not None else None, len(parts[k]), sum(1 for g in gone if g[0] == k))
-        for k, (i, t) in enumerate(rows)
-    ]
+        gone = set()
+        for a, b in sorted(runs):
+            run, at = tuple(w for c in words[a:b] for w in c), sum(map(len, words[:a]))
+            gone |= set(range(at, at + len(run))) if run in seen else set()
+            seen.add(run)
+        out.append((i, [w for k, w in enumerate((text or "").split()) if k not in gone]))
+    return out
 
 
 def test_repeated_passages(items, prose):
@@ -38,25 +59,12 @@ def test_repeated_passages(items, prose):
     rows = [(k, prose(k, 80) + ".\n" + (passage if k % 3 == 0 else "") + prose(100 + k, 70)) for k in range(12)]
     rows += [(20, passage + passage), (21, prose(1, 30)), (22, None), (23, ""), (None, prose(50, 60)), (24, rows[3][1]), (25, passage.upper()), (26, "One. " * 200)]
     got = spans.remove_repeated_passages(items(rows)).collect()
-    expected = slow_clean(rows, 40)
-    assert sorted(((r.id, r.description, r.n_sentences, r.n_removed) for r in got), key=repr) == sorted(expected, key=repr)
-    texts = {r.id: r.description for r in got}
-    assert passage.strip() in texts[0] and all(passage.strip() not in texts[k] for k in (3, 6, 9, 20)) and texts[1] == rows[1][1]
-
-
-def slow_words(rows, least):
-    """Texts, as words, without every run of ``least`` words that stands before."""
-    seen, out = set(), {}
-    for i, text in sorted(rows):
-        words = text.split()
-        low = [w.lower() for w in words]
-        gone = set()
-        for k in range(len(words) - least + 1):
-            run = tuple(low[k : k + least])
-            gone |= set(range(k, k + least)) if run in seen else set()
-            seen.add(run)
-        out[i] = [w for k, w in enumerate(words) if k not in gone]
-    return out
+    assert sorted(((r.id, (r.description or "").split()) for r in got), key=repr) == sorted(slow_clean(rows, 3, 25), key=repr)
+    by_id = {r.id: r for r in got}
+    assert passage.strip() in by_id[0].description and all(passage.strip() not in by_id[k].description for k in (3, 6, 9, 20))
+    assert by_id[1].description == rows[1][1] and (by_id[22].description, by_id[23].description) == (None, "")
+    # a whole text once more but for its id
+    assert by_id[24].description.strip() == "" and by_id[24].n_removed == by_id[24].n_sentences
 
 
 def test_passages_inside_sentences(items, prose):
@@ -65,9 +73,33 @@ def test_passages_inside_sentences(items, prose):
     rows = [(k, f"{plain(910 + k, 30)} {shared} {plain(920 + k, 30)}.") for k in range(4)]
     rows += [(4, plain(930, 12) + "\n" + shared.replace(" ", "  \n").upper() + "\n"), (5, plain(940, 50) + " " + " ".join(shared.split()[:39])), (6, "word " * 90)]
     rows += [(7, plain(950, 9) + " " + " ".join(shared.split()[3:43]) + " " + plain(951, 9)), (8, "a b " * 50), (9, "c d e " * 15)]
-    got = {r.id: r.description for r in spans.remove_repeated_passages(items(rows)).collect()}
-    assert {i: t.split() for i, t in got.items()} == slow_words(rows, 40)
-    assert len(got[1].split()) == 60 and got[5] == rows[5][1]
+    result = spans.remove_repeated_passages(items(rows)).collect()
+    got = {r.id: (r.description or "").split() for r in result}
+    assert got == dict(slow_clean(rows, 3, 25))
+    # of 55 shared words at most a clause at either end stays, and nothing else goes
+    assert got[0] == rows[0][1].split()
+    for k in (1, 2, 3):
+        whole = rows[k][1].split()
+        assert got[k][:30] == whole[:30] and got[k][-30:] == whole[-30:] and len(got[k]) <= 60 + 24
+    # one word over and over
+    assert len(got[6]) < 10
+
+
+def test_three_short_sentences(items, prose):
+    shared = "Orbits drift apart here. Masks were drawn by hand. Rows follow the swath."
+    rows = [(k, f"{prose(70 + k, 30)}.\n{shared}\n{prose(80 + k, 30)}.") for k in range(3)] + [(5, shared[:50])]
+    few = {r.id: r.description for r in spans.remove_repeated_passages(items(rows), least=10).collect()}
+    assert shared in few[0] and all(shared not in few[k] and few[k] == rows[k][1].replace(shared + "\n", "") for k in (1, 2)) and few[5] == rows[3][1]
+    assert {r.description for r in spans.remove_repeated_passages(items(rows)).collect()} == {t for _, t in rows}
+
+
+def test_spans_of_text_ids_and_long_texts(spark, prose):
+    long = prose(5, 60_000)
+    rows = [("S2_T32_B04_0", long), ("S2_T32_B04_1", prose(6, 30) + ".\n" + long), (None, None), ("b", "")]
+    got = {r.id: r for r in spans.remove_repeated_passages(spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "id string, description string, code int, at int, place string")).collect()}
+    assert got["S2_T32_B04_0"].description == long and len(got["S2_T32_B04_1"].description.split()) <= 45
+    empty = spark.createDataFrame([], "id string, description string")
+    assert spans.remove_repeated_passages(empty).count() == 0
 
 
 def test_sentences_end_behind_quotes_and_blanks():
