@@ -13,15 +13,14 @@ from pyspark.sql import functions as F
 
 from rastermill.llm.frames import map_rows
 from rastermill.plans.ordered import global_row_number
-from rastermill.session import pin, shared_folder
+from rastermill.session import shared_folder
 
 # behind the blanks that follow a sentence mark with its closing quotes and brackets, and behind line ends
 _END = re.compile(r"""(?<=\n)|[.!?]["'»”’)\]}]*[ \t]+(?=\S)""")
 _WORD = re.compile(r"\S+")
-_BASES = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
-_PLACE = 28  # bits of a place in a text
-_LONG = 12  # words of a sentence beyond which it is cut into clauses
-_NEAR = 3  # words on either side that a cut inside a clause is the least of
+_BASE = 0x9E3779B97F4A7C15
+_LONG = 12  # words of a sentence beyond which it is cut
+_NEAR = 4  # words on either side that a cut inside a clause is the least of
 
 
 def sentences(text: str) -> list[str]:
@@ -36,35 +35,31 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.array([digest(w.lower().encode("utf-8", "surrogatepass")) for w in words], np.uint64)
 
 
-def clause_starts(words: list[str], hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Numbers of the words that sentences, or clauses of long ones, begin with; ``first`` are those of sentences.
+def clause_starts(text: str, hashes: np.ndarray) -> np.ndarray:
+    """Numbers of the words of ``text`` that sentences, or parts of long ones, begin with.
 
-    Sentences of more than 12 words are cut behind commas, colons and
-    semicolons, and what is still long behind words that are one of the three
-    before again, or whose hash is less than those of the three on either side:
-    cuts hang on near words only, so a passage has the same ones wherever it begins and ends.
+    Sentences of more than 12 words are cut behind words that are one of the
+    three before again, or whose hash is less than those of the four on either
+    side: cuts hang on near words only, so a passage has the same ones wherever
+    it begins and ends.
     """
-    n = len(words)
-
-    def long(edges: np.ndarray) -> np.ndarray:
-        size = np.diff(np.append(edges, n))
-        return np.repeat(size > _LONG, size)
-
-    marks = 1 + np.array([k for k, w in enumerate(words) if w[-1] in ",;:"], np.int64)
-    marks = marks[marks < n]
-    edges = np.union1d(first, marks[long(first)[marks - 1]])
+    n = len(hashes)
+    first = np.unique(np.cumsum([0, *(len(part.split()) for part in sentences(text))]))
+    first = first[first < n]
+    size = np.diff(np.append(first, n))
     wide = np.concatenate([np.zeros(_NEAR, np.uint64), hashes, np.zeros(_NEAR, np.uint64)])
     least, again = np.ones(n, bool), np.zeros(n, bool)
     for k in range(1, _NEAR + 1):
         before = wide[_NEAR - k : n + _NEAR - k]
         least &= (hashes < before) & (hashes < wide[_NEAR + k : n + _NEAR + k])
-        again |= hashes == before
-    cuts = 1 + np.flatnonzero((least | again) & long(edges))
-    return np.union1d(edges, cuts[cuts < n])
+        if k < _NEAR:
+            again |= hashes == before
+    cuts = 1 + np.flatnonzero((least | again) & np.repeat(size > _LONG, size))
+    return np.union1d(first, cuts[cuts < n])
 
 
 def sentence_runs(starts: np.ndarray, n: int, several: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(from, to)`` in words: the shortest runs that begin or end at each clause, of ``several`` clauses and ``least`` words."""
+    """``(from, to)`` in words: the shortest runs that begin or end at each sentence or part, of ``several`` of them and ``least`` words."""
     edges = np.append(starts, n)
     count = len(starts)
     at = np.arange(count + 1)
@@ -76,15 +71,24 @@ def sentence_runs(starts: np.ndarray, n: int, several: int, least: int) -> tuple
     return edges[pairs // (count + 1)], edges[pairs % (count + 1)]
 
 
-def run_hashes(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, base: int) -> np.ndarray:
+def run_hashes(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each run of words from ``a`` to ``b``: differences of prefix sums, moved to one place."""
-    up = np.multiply.accumulate(np.full(len(hashes), base, np.uint64))
-    down = np.multiply.accumulate(np.full(len(hashes), pow(base, -1, 1 << 64), np.uint64))
+    up = np.multiply.accumulate(np.full(len(hashes), _BASE, np.uint64))
+    down = np.multiply.accumulate(np.full(len(hashes), pow(_BASE, -1, 1 << 64), np.uint64))
     sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(hashes * up)])
     found = (sums[b] - sums[a]) * down[a]
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         found = (found ^ (found >> np.uint64(shift))) * np.uint64(factor)
-    return found ^ (found >> np.uint64(31))
+    return (found ^ (found >> np.uint64(31))).view(np.int64)
+
+
+def text_runs(text: str, several: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(code, from, to)`` of all runs of a text, by place."""
+    hashes = word_hashes(text.split())
+    if len(hashes) < least:
+        return (np.zeros(0, np.int64),) * 3
+    a, b = sentence_runs(clause_starts(text, hashes), len(hashes), several, least)
+    return run_hashes(hashes, a, b), a, b
 
 
 def remove_repeated_passages(items: DataFrame, id: str = "id", text: str = "description", several: int = 3, least: int = 25) -> DataFrame:
@@ -95,59 +99,52 @@ def remove_repeated_passages(items: DataFrame, id: str = "id", text: str = "desc
     joined over all texts, without regard to case and blanks. Of equal runs the
     first stays, by id (null last), then place; the sentences that the others
     cover go with the blanks behind them. Of a sentence of more than 12 words
-    each clause counts as one (see ``clause_starts``), so that passages that begin
+    each part counts as one (see ``clause_starts``), so that passages that begin
     and end inside sentences, or have few of them, are found too; their edges, up
-    to the first and from the last whole clause, stay, as do shorter repeats
+    to the first and from the last whole part, stay, as do shorter repeats
     (a licence line, a title). ``n_removed`` counts sentences of which no word is left.
 
-    Runs have 96 bits of hash. They are written once to the shared folder; those
-    that occur again are chosen by counts that combine before the shuffle.
+    The runs of a text, each once, are written to the shared folder; those that
+    occur again are chosen by counts that combine before the shuffle. A text
+    with such runs hashes its own once more to place them.
 
     A null or empty text stays as it is. Rows with one id and text are one
     document with one result, a row each. Other columns are ignored, whatever
     their names. An empty table gives an empty result.
     """
+    spark = items.sparkSession
     source = items.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text")).withColumn("_key", F.xxhash64("_id", "_text"))
     kind = source.schema["_id"].dataType.simpleString()
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, codes, checks, places, sizes = ([np.zeros(0, np.int64)] for _ in range(5))
+        keys, codes, times = ([np.zeros(0, np.int64)] for _ in range(3))
         for key, value in zip(batch.column("_key").to_pylist(), batch.column("_text")):
-            value = value.as_py() or ""
-            words = value.split()
-            if len(words) < least:
-                continue
-            hashes = word_hashes(words)
-            first = np.unique(np.cumsum([0, *(len(part.split()) for part in sentences(value))]))
-            a, b = sentence_runs(clause_starts(words, hashes, first[first < len(words)]), len(words), several, least)
-            keys.append(np.full(len(a), key, np.int64))
-            codes.append(run_hashes(hashes, a, b, _BASES[0]).view(np.int64))
-            checks.append((run_hashes(hashes, a, b, _BASES[1]) >> np.uint64(32)).astype(np.int64))
-            places.append(a)
-            sizes.append(b - a)
-        columns = [pa.array(np.concatenate(x)) for x in (keys, codes, checks, places, sizes)]
-        return pa.RecordBatch.from_arrays([*columns[:2], *(c.cast(t) for c, t in zip(columns[2:], (pa.int64(), pa.int32(), pa.int32())))], names=["_key", "code", "check", "at", "size"])
-
-    folder = f"{shared_folder(items.sparkSession, 'spans')}/runs-{uuid.uuid4().hex}"
-    map_rows(source, hashed, "_key bigint, code bigint, check bigint, at int, size int").write.parquet(folder)
-    runs = items.sparkSession.read.parquet(folder)
-    same = ["code", "check"]
-    # rows of one document have one key and the same places, and are no repeats of each other
-    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("_key", "at") for f in (F.min, F.max)]
-    often = runs.groupBy(*same).agg(*ends).filter("min__key <> max__key OR min_at <> max_at").select(*same)
-    # documents in order get numbers, so that a place is one number and minima combine before the shuffle
+            code, n = np.unique(text_runs(value.as_py() or "", several, least)[0], return_counts=True)
+            keys.append(np.full(len(code), key, np.int64))
+            codes.append(code)
+            times.append(np.minimum(n, 2))
+        columns = [pa.array(np.concatenate(x)) for x in (keys, codes, times)]
+        return pa.RecordBatch.from_arrays([*columns[:2], columns[2].cast(pa.int32())], names=["_key", "code", "times"])
+
+    folder = f"{shared_folder(spark, 'spans')}/runs-{uuid.uuid4().hex}"
+    map_rows(source, hashed, "_key bigint, code bigint, times int").write.parquet(folder)
+    runs = spark.read.parquet(folder)
+    often = runs.groupBy("code").agg(F.sum("times").alias("n")).filter("n > 1").select("code")
+    # documents in order get numbers, so that the first one of a run combines before the shuffle
     ranked = source.select("_id", "_key").distinct()
     ranked = global_row_number(ranked, [F.col("_id").asc_nulls_last(), F.col("_key").asc()], "_nth").select("_key", "_nth")
-    place = F.shiftleft("_nth", _PLACE).bitwiseOR(F.col("at").cast("bigint")).alias("place")
-    spans = pin(runs.join(often, same).join(ranked, "_key").select(*same, "_key", place, "at", "size").distinct())
-    first = spans.groupBy(*same).agg(F.min("place").alias("least"))
-    again = spans.join(first, same).filter("place <> least")
-    covered = again.groupBy("_key").agg(F.collect_list(F.struct("at", "size")).alias("_spans"))
-    joined = source.join(covered, "_key", "left").select("_id", "_text", "_spans")
+    # rows with one id and text are one document
+    folder = f"{shared_folder(spark, 'spans')}/repeated-{uuid.uuid4().hex}"
+    runs.join(often, "code").join(ranked, "_key").select("code", "_nth", "_key", "times").distinct().write.parquet(folder)
+    repeated = spark.read.parquet(folder)
+    first = repeated.groupBy("code").agg(F.min("_nth").alias("_first"))
+    again = repeated.join(first, "code").filter("_nth <> _first OR times > 1").select("_key", "code", (F.col("_nth") == F.col("_first")).alias("own"))
+    covered = again.groupBy("_key").agg(F.collect_list(F.struct("code", "own")).alias("_runs"))
+    joined = source.join(covered, "_key", "left").select("_id", "_text", "_runs")
 
     def cleaned(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, total, removed = [], [], []
-        for value, found in zip(batch.column("_text"), batch.column("_spans")):
+        for value, found in zip(batch.column("_text"), batch.column("_runs")):
             value = value.as_py()
             parts = sentences(value or "")
             total.append(len(parts))
@@ -155,14 +152,18 @@ def remove_repeated_passages(items: DataFrame, id: str = "id", text: str = "desc
                 texts.append(value)
                 removed.append(0)
                 continue
-            at, size = (found.values.field(name).to_numpy() for name in ("at", "size"))
+            codes, own = (found.values.field(name).to_numpy(zero_copy_only=False) for name in ("code", "own"))
+            code, a, b = text_runs(value, several, least)
+            gone = np.isin(code, codes)
+            once, at = np.unique(code, return_index=True)  # the first place of each
+            gone[at[np.isin(once, codes[own])]] = False
             begins = [m.start() for m in _WORD.finditer(value)]
             change = np.zeros(len(begins) + 1, np.int64)
-            np.add.at(change, at, 1)
-            np.add.at(change, at + size, -1)
+            np.add.at(change, a[gone], 1)
+            np.add.at(change, b[gone], -1)
             stays = np.cumsum(change)[:-1] == 0
             edges = [*begins, len(value)]
-            texts.append(value[: begins[0]] + "".join(value[a:b] for a, b, s in zip(edges, edges[1:], stays.tolist()) if s))
+            texts.append(value[: begins[0]] + "".join(value[x:y] for x, y, s in zip(edges, edges[1:], stays.tolist()) if s))
             first = np.searchsorted(begins, np.cumsum([0, *map(len, parts)]))
             left = np.concatenate([[0], np.cumsum(stays)])[first]
             removed.append(int(((np.diff(left) == 0) & (np.diff(first) > 0)).sum()))

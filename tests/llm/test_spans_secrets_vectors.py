@@ -9,25 +9,19 @@ from tests.llm.conftest import components
 
 
 def slow_clauses(text):
-    """Sentences as lists of words; of long ones their clauses, word by word."""
+    """Sentences as lists of words; of long ones their parts, word by word."""
     low = text.lower().split()
     code = [xxhash.xxh3_64_intdigest(w.encode()) for w in low]
     out, n = [], 0
     for part in spans.sentences(text):
-        pieces = [[]]
         size = len(part.split())
+        cut = [[]]
         for k in range(n, n + size):
-            pieces[-1].append(k)
-            if size > 12 and low[k][-1] in ",;:":
-                pieces.append([])
-        for piece in pieces:
-            cut = [[]]
-            for k in piece:
-                cut[-1].append(k)
-                sides = [code[j] if 0 <= j < len(code) else 0 for j in (k - 3, k - 2, k - 1, k + 1, k + 2, k + 3)]
-                if len(piece) > 12 and (code[k] < min(sides) or code[k] in sides[:3]):
-                    cut.append([])
-            out += [[low[k] for k in c] for c in cut if c]
+            cut[-1].append(low[k])
+            sides = [code[j] if 0 <= j < len(code) else 0 for j in range(k - 4, k + 5) if j != k]
+            if size > 12 and (code[k] < min(sides) or code[k] in sides[1:4]):
+                cut.append([])
+        out += [c for c in cut if c]
         n += size
     return out
 
