@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from rastermill.plans.ordered import global_row_number
 from rastermill.session import shared_folder
 
 # behind the blanks that follow a sentence mark with its closing quotes and brackets, and behind line ends
-_END = re.compile(r"""(?<=\n)|[.!?]["'»”’)\]}]*[ \t]+(?=\S)""")
+_END = re.compile(r"""\n|[.!?]["'»”’)\]}]*[ \t]+(?=\S)""")
 _WORD = re.compile(r"\S+")
 _BASE = 0x9E3779B97F4A7C15
 _LONG = 12  # words of a sentence beyond which it is cut
@@ -25,18 +26,22 @@ _NEAR = 4  # words on either side that a cut inside a clause is the least of
 
 def sentences(text: str) -> list[str]:
     """Cut behind sentence marks and line ends; the parts make up the text again."""
-    edges = [0, *(m.end() for m in _END.finditer(text)), len(text)]
+    edges = [0, *[m.end() for m in _END.finditer(text)], len(text)]
     return [text[a:b] for a, b in zip(edges, edges[1:]) if a < b]
 
 
+def n_sentences(text: str) -> int:
+    """How many parts ``sentences`` cuts; a line end is the only cut that can be the text's end."""
+    return len(_END.findall(text)) + (text != "" and not text.endswith("\n"))
+
+
 def word_hashes(words: list[str]) -> np.ndarray:
-    """A 64-bit hash per word, without regard to case."""
-    digest = xxhash.xxh3_64_intdigest
-    return np.array([digest(w.lower().encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+    """A 64-bit hash per word."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def clause_starts(text: str, hashes: np.ndarray) -> np.ndarray:
-    """Numbers of the words of ``text`` that sentences, or parts of long ones, begin with.
+def clause_starts(sizes: list[int], hashes: np.ndarray) -> np.ndarray:
+    """Numbers of the words that sentences, or parts of long ones, begin with; ``sizes`` are words per sentence.
 
     Sentences of more than 12 words are cut behind words that are one of the
     three before again, or whose hash is less than those of the four on either
@@ -44,9 +49,8 @@ def clause_starts(text: str, hashes: np.ndarray) -> np.ndarray:
     it begins and ends.
     """
     n = len(hashes)
-    first = np.unique(np.cumsum([0, *(len(part.split()) for part in sentences(text))]))
-    first = first[first < n]
-    size = np.diff(np.append(first, n))
+    size = np.array([k for k in sizes if k], np.int64)
+    first = np.cumsum(size) - size
     wide = np.concatenate([np.zeros(_NEAR, np.uint64), hashes, np.zeros(_NEAR, np.uint64)])
     least, again = np.ones(n, bool), np.zeros(n, bool)
     for k in range(1, _NEAR + 1):
@@ -84,10 +88,11 @@ def run_hashes(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def text_runs(text: str, several: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(code, from, to)`` of all runs of a text, by place."""
-    hashes = word_hashes(text.split())
+    parts = [part.split() for part in sentences(text.lower())]
+    hashes = word_hashes(list(chain.from_iterable(parts)))
     if len(hashes) < least:
         return (np.zeros(0, np.int64),) * 3
-    a, b = sentence_runs(clause_starts(text, hashes), len(hashes), several, least)
+    a, b = sentence_runs(clause_starts([len(part) for part in parts], hashes), len(hashes), several, least)
     return run_hashes(hashes, a, b), a, b
 
 
@@ -146,12 +151,13 @@ def remove_repeated_passages(items: DataFrame, id: str = "id", text: str = "desc
         texts, total, removed = [], [], []
         for value, found in zip(batch.column("_text"), batch.column("_runs")):
             value = value.as_py()
-            parts = sentences(value or "")
-            total.append(len(parts))
             if not found.is_valid:
                 texts.append(value)
+                total.append(n_sentences(value or ""))
                 removed.append(0)
                 continue
+            parts = sentences(value)
+            total.append(len(parts))
             codes, own = (found.values.field(name).to_numpy(zero_copy_only=False) for name in ("code", "own"))
             code, a, b = text_runs(value, several, least)
             gone = np.isin(code, codes)

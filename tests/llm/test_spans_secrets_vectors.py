@@ -103,6 +103,7 @@ def test_sentences_end_behind_quotes_and_blanks():
 def test_sentences_make_up_the_text(prose):
     for text in ["", "a", "A. B.\nC\n\nD!  E?", prose(1, 300), "\n", ". . .\n."]:
         assert "".join(spans.sentences(text)) == text
+        assert spans.n_sentences(text) == len(spans.sentences(text))
 
 
 def test_empty_tables(spark, items):
