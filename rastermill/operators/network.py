@@ -157,15 +157,31 @@ def _search_each(rows: DataFrame, rank: str, collections, bbox, datetime_range,
 def routed_search(
     node_items: DataFrame, nodes: DataFrame, now_s: int, collections: list[str] | None = None,
     bbox: list[float] | None = None, datetime_range: str | None = None, limit: int | None = None,
+    peer_items: DataFrame | None = None, peers: DataFrame | None = None,
 ) -> DataFrame:
-    """Search on the alive, reachable nodes that hold one of the collections."""
+    """Search on the alive, reachable nodes that hold one of the collections, then on alive peer registries.
+
+    ``peer_items`` (with the column ``peer``, which gives their order) and ``peers``
+    (``peer, url, last_seen_s``) are left out or given together. What peers find
+    follows what nodes find; an id that a node found stays with the node. Rows of
+    peers have no ``node_id`` and ``source_name``, rows of nodes no ``peer``.
+    """
     chosen = alive_nodes(nodes, now_s).filter(F.coalesce("url", F.lit("")) != "")
     if collections:
         chosen = chosen.filter(F.arrays_overlap("collections", F.array(*[F.lit(c) for c in collections])))
     tagged = node_items.join(
         chosen.select("node_id", F.col("url").alias("source_node"), F.col("node_name").alias("source_name")), "node_id"
     )
-    return _search_each(tagged, "node_id", collections, bbox, datetime_range, limit)
+    found = _search_each(tagged, "node_id", collections, bbox, datetime_range, limit)
+    if peer_items is None:
+        return found
+    heard = peer_items.drop("node_id").join(alive_peers(peers, now_s).select("peer", F.col("url").alias("source_node")), "peer")
+    more = _search_each(heard, "peer", collections, bbox, datetime_range, limit).join(found.select("id"), "id", "left_anti")
+    both = found.unionByName(more, allowMissingColumns=True)
+    if limit is None:
+        return both
+    # each side is already cut, and nodes that fill the limit leave no room
+    return both.orderBy(F.col("node_id").asc_nulls_last(), "peer", F.col("datetime").desc(), "id").limit(limit)
 
 
 def federated_search(

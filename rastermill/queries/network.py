@@ -168,6 +168,26 @@ def _(i: Inputs):
     return found.select("id", "node_id", "source_node", "source_name", "datetime")
 
 
+@query("routed_search_peers",
+    f"""WITH {NODE_ITEMS}, good AS (SELECT node_id, url, node_name FROM nodes WHERE {NOW_SECONDS} - last_seen_s < 300 AND url IS NOT NULL
+           AND node_id IN (SELECT node_id FROM node_collections WHERE collection IN ('sentinel-2-l2a'))),
+        f AS (SELECT DISTINCT id, node_id, datetime FROM ni WHERE collection IN ('sentinel-2-l2a') AND bbox_east >= -100 AND bbox_west <= 100
+              AND bbox_north >= -60 AND bbox_south <= 60 AND datetime >= '1995'),
+        u AS (SELECT f.*, url, node_name, row_number() OVER (PARTITION BY id ORDER BY node_id) AS rn FROM f JOIN good USING (node_id)),
+        p AS (SELECT f.id, f.node_id AS peer, url, datetime, row_number() OVER (PARTITION BY id ORDER BY f.node_id) AS rn
+              FROM f JOIN nodes AS n ON f.node_id = n.node_id
+              WHERE {NOW_SECONDS} - last_seen_s + n.node_id % 3 * 100 < 600 AND id NOT IN (SELECT id FROM u))
+        SELECT id, node_id, NULL AS peer, url AS source_node, node_name AS source_name, datetime FROM u WHERE rn = 1
+        UNION ALL SELECT id, NULL, peer, url, NULL, datetime FROM p WHERE rn = 1""", ("items", "nodes", "node_collections"))
+def _(i: Inputs):
+    peers = _peers(i).join(i.nodes.select("node_id", "url"), "node_id").withColumnRenamed("node_id", "peer")
+    found = network.routed_search(
+        _node_items(i), nodes_with_collections(i), NOW_SECONDS, ["sentinel-2-l2a"], [-100.0, -60.0, 100.0, 60.0], "1995/..",
+        peer_items=_node_items(i).withColumnRenamed("node_id", "peer"), peers=peers,
+    )
+    return found.select("id", "node_id", "peer", "source_node", "source_name", "datetime")
+
+
 @query("federated_search",
     f"""WITH {NODE_ITEMS}, f AS (SELECT id, node_id % 3 AS peer, datetime, row_number() OVER (PARTITION BY node_id % 3 ORDER BY datetime DESC, id) AS p FROM
               (SELECT DISTINCT id, node_id % 3 AS node_id, datetime, collection FROM ni) WHERE collection = 'landsat-c2-l2'),

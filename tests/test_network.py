@@ -71,6 +71,23 @@ def test_searches_keep_the_first_source(spark):
     assert [(r.id, r.peer) for r in network.federated_search(peers, limit=3).collect()] == [("i3", 1), ("i1", 1), ("i2", 2)]
 
 
+def test_peer_registries_follow_the_nodes(spark):
+    box = {c: F.lit(0.0) for c in ("bbox_west", "bbox_south", "bbox_east", "bbox_north")}
+    items = spark.createDataFrame([("i1", "c", "2024-01", 1), ("i2", "c", "2024-03", 2)], "id string, collection string, datetime string, node_id int").withColumns(box)
+    registry = spark.createDataFrame(
+        [(1, "one", "u1", ["c"], 100), (2, "two", "u2", ["c"], 100)], "node_id int, node_name string, url string, collections array<string>, last_seen_s bigint"
+    )
+    heard = [("i1", "c", "2024-01", 7), ("i3", "c", "2024-02", 7), ("i3", "c", "2024-02", 8), ("i4", "c", "2024-05", 8), ("i5", "c", "2024-09", 9), ("i6", "d", "2024-09", 7)]
+    heard = spark.createDataFrame(heard, "id string, collection string, datetime string, peer int").withColumns(box)
+    peers = spark.createDataFrame([(7, "p7", 100), (8, "p8", -300), (9, "dead", -900)], "peer int, url string, last_seen_s bigint")
+    search = lambda limit, rows=heard: network.routed_search(items, registry, 200, ["c"], limit=limit, peer_items=rows, peers=peers).collect()
+    expected = [("i1", 1, None, "u1"), ("i2", 2, None, "u2"), ("i3", None, 7, "p7"), ("i4", None, 8, "p8")]
+    assert sorted((r.id, r.node_id, r.peer, r.source_node) for r in search(None)) == expected
+    for limit in (1, 2, 3, 4, 9):
+        assert [(r.id, r.node_id, r.peer, r.source_node) for r in search(limit)] == expected[:limit]
+    assert [r.id for r in search(9, heard.limit(0))] == ["i1", "i2"]
+
+
 def test_swarm_assign_round_robin(spark):
     n = spark.createDataFrame([("slow", 1.0), ("fast", 9.0)], "node_id string, score double")
     b = spark.createDataFrame([(f"B{k}", k) for k in range(5)], "band string, position int")
